@@ -7,21 +7,33 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from segue.llm import packing, piece_bpe
+from segue.llm import packing, piece_bpe, secret_scan, syncmers
 from segue.llm.common import table
 
 
+def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edit_comparison(table(spark, sf_dir, "documents"))
+
+
 def op2_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = secret_scan.train(secret_scan.corpus_samples(docs))
+    return secret_scan.digests(secret_scan.scan(docs, model))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
         "op2_piece_encoding": op2_piece_encoding,
+        "op3_secret_scan": op3_secret_scan,
         "op8_packing": op8_packing,
     }
 
