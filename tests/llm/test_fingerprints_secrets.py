@@ -79,6 +79,7 @@ def test_secret_spans(spark):
     docs += [(900, None), (901, ""), (902, "password=token:abcdefghijklmnop"), (903, "secret='" + "a1" * 9000 + "' " * 3), (904, "key wJalrXUtnFEMIK7MDENGbPxRfiCY9zQ end"), (904, "key wJalrXUtnFEMIK7MDENGbPxRfiCY9zQ end"), (905, "call configuration_manager_settings here")]
     df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, hex string")
     words = ["configuration", "manager", "settings", "value", "internationalisation", "document_identifier", "user_name", "printing", "the_quick_brown_fox"]
+    words += [w.title() for w in words] + [w.upper() for w in words] + ["Zebra1", "Junior2", "Quality3", "XML4", "KEY7"]
     samples = spark.createDataFrame([(w, False) for w in words * 30] + [(base64.b64encode(hashlib.sha256(str(i).encode()).digest()).decode(), True) for i in range(800)], "token string, random boolean")
     model = secret_scan.train(samples)
     scanned = secret_scan.scan(df, model)
