@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from segue.llm import minhash, packing, piece_bpe, secret_scan, syncmers
+from segue.llm import minhash, packing, piece_bpe, secret_scan, suffix_dedup, syncmers
 from segue.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(docs, model))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -38,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
         "op2_piece_encoding": op2_piece_encoding,
         "op3_secret_scan": op3_secret_scan,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_minhash_near_duplicates": op5_minhash_near_duplicates,
         "op8_packing": op8_packing,
     }
