@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from segue.llm import minhash, packing, piece_bpe, secret_scan, suffix_dedup, syncmers
+from segue.llm import mil_quality, minhash, packing, piece_bpe, secret_scan, suffix_dedup, syncmers, threshold_search
 from segue.llm.common import table
 
 
@@ -33,10 +33,19 @@ def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op6_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mil_quality.score(docs, mil_quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
@@ -44,9 +53,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secret_scan": op3_secret_scan,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_minhash_near_duplicates": op5_minhash_near_duplicates,
+        "op6_threshold_top_k": op6_threshold_top_k,
         "op8_packing": op8_packing,
+        "op10_attention_quality": op10_attention_quality,
     }
 
 
+OP6_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+      FROM (SELECT DISTINCT ON (vec_id) * FROM v WHERE vec_id % 20 = 0) a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_threshold_top_k": OP6_SQL}
