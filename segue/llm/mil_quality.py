@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from segue.llm.common import id_text, mapped
@@ -145,3 +146,14 @@ def score(docs: DataFrame, model: AttentionModel) -> DataFrame:
             yield doc_id, None if doc_id is None else zlib.crc32(str(doc_id).encode()) % 3 == 1, s, int(s >= 0.5)
 
     return mapped(id_text(docs), rows, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: AttentionModel) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score one half or more."""
+    text = docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([model.score(passages(t or "")) >= 0.5 for t in b.column(text).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)

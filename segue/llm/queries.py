@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from segue.llm import mil_quality, minhash, packing, piece_bpe, secret_scan, suffix_dedup, syncmers, threshold_search
+from segue.llm import cross_entropy, license_scan, mil_quality, minhash, packing, piece_bpe, secret_scan, suffix_dedup, syncmers, threshold_search
 from segue.llm.common import table
 
 
@@ -37,10 +38,21 @@ def op6_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_search.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.train(docs))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what ``labels`` marks as good; all other documents are the background."""
+    docs = table(spark, sf_dir, "documents")
+    return cross_entropy.score(docs, *cross_entropy.train(docs, table(spark, sf_dir, "labels").where("quality = 1")))
+
+
 def op10_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mil_quality.score(docs, mil_quality.train(docs, table(spark, sf_dir, "labels")))
@@ -54,8 +66,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_minhash_near_duplicates": op5_minhash_near_duplicates,
         "op6_threshold_top_k": op6_threshold_top_k,
+        "op7_licence_scan": op7_licence_scan,
         "op8_packing": op8_packing,
+        "op9_cross_entropy_difference": op9_cross_entropy_difference,
         "op10_attention_quality": op10_attention_quality,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -14,8 +14,6 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from segue.llm.common import id_text
-
 #: The base patterns by kind, with the least length of what the group captures.
 #: For ``access`` and ``hex`` a run's length is part of the pattern: a run is matched whole from its start, so a failing run hides none that passes.
 BASE = (
@@ -47,9 +45,10 @@ def spans(text: Column, pattern: str, group: int = 0, least: int = 1) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` and one array of spans per base kind."""
-    return id_text(docs).select("doc_id", "text", *(spans(F.col("text"), p, g, n).alias(k) for k, p, g, n in BASE))
+def base_spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, text``, further columns to ``keep``, and one array of spans per base kind."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keep)
+    return texts.select("doc_id", "text", *keep, *(spans(F.col("text"), p, g, n).alias(k) for k, p, g, n in BASE))
 
 
 def _symbol(token: Column, i: Column) -> Column:
@@ -100,16 +99,16 @@ def corpus_samples(docs: DataFrame, sample_docs: int = 2000) -> DataFrame:
     return words.unionByName(known).unionByName(drawn)
 
 
-def scan(docs: DataFrame, table: list[float], least_total: float = 12.0, least_mean: float = 0.4) -> DataFrame:
-    """``doc_id, text, assign, access, hex, random``: arrays of ``(start, end, value)``.
+def scan(docs: DataFrame, table: list[float], least_total: float = 12.0, least_mean: float = 0.4, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, text``, further columns to ``keep``, and ``assign, access, hex, random``: arrays of ``(start, end, value)``.
 
     ``random`` holds tokens of 20 or more characters whose ratio reaches both limits and that touch no base span.
     """
-    based = base_spans(docs)
+    based = base_spans(docs, keep)
     tokens = based.withColumn("tokens", F.filter(spans(F.col("text"), TOKEN), lambda t: ~F.exists(F.concat(*(F.col(k) for k, *_ in BASE)), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))))
     scored = tokens.withColumn("scored", F.transform("tokens", lambda t: F.struct(t.alias("t"), ratio(t["value"], table).alias("r"))))
     kept = F.filter("scored", lambda x: (x["r"] >= least_total) & (x["r"] >= least_mean * (F.length(x["t"]["value"]) - 1)))
-    return scored.select("doc_id", "text", *(k for k, *_ in BASE), F.transform(kept, lambda x: x["t"]).alias("random"))
+    return scored.select("doc_id", "text", *keep, *(k for k, *_ in BASE), F.transform(kept, lambda x: x["t"]).alias("random"))
 
 
 def _tagged(kinds: tuple[str, ...]) -> Column:
@@ -128,8 +127,8 @@ def digests(scanned: DataFrame) -> DataFrame:
     return listed.select("doc_id", "n_assign", "n_access", "n_hex", "n_random", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-def masked(scanned: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """``doc_id, text`` with each run of overlapping spans replaced by the mask."""
+def masked(scanned: DataFrame, mask: str = "[SECRET]", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, text`` with each run of overlapping spans replaced by the mask, and further columns to ``keep``."""
     every = F.array_sort(F.concat(*(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS)))
     text = F.col("text")
     done = F.aggregate(
@@ -144,4 +143,4 @@ def masked(scanned: DataFrame, mask: str = "[SECRET]") -> DataFrame:
         lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))),
     )
     found = F.size(every) > 0
-    return scanned.select("doc_id", F.when(found, done).otherwise(text).alias("text"))
+    return scanned.select("doc_id", F.when(found, done).otherwise(text).alias("text"), *keep)

@@ -257,10 +257,10 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, hot: int = 20_000) -
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, hot: int = 20_000) -> DataFrame:
-    """``doc_id, text, spans``: each row of ``docs`` with the starts and ends of removed stretches, packed as ``start * 2**32 + end``, not yet joined."""
+    """``docs`` with a column ``spans``: the starts and ends of removed stretches, packed as ``start * 2**32 + end``, not yet joined."""
     found = written(repeated_windows(docs, length, hot))
     packed = found.groupBy("doc_id").agg(F.collect_list(F.shiftleft(F.col("first").cast("long"), 32) + F.col("first") + F.col("size") + (length - 1)).alias("spans"))
-    return id_text(docs).join(packed, "doc_id", "left").select("doc_id", "text", "spans")
+    return docs.join(packed, "doc_id", "left")
 
 
 def kept_parts(raw: bytes, packed: list[int] | None) -> tuple[bytes, int, int]:
@@ -286,15 +286,23 @@ def dedup_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             kept, gone, runs = kept_parts(raw, spans)
             yield doc_id, len(raw), gone, runs, hashlib.sha256(kept).hexdigest()
 
-    return mapped(removed_spans(docs, length), rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return mapped(removed_spans(id_text(docs), length), rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def dedup_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc_id, text, n_removed``: the remaining text of each row; bytes of characters that were cut in two go as well."""
+def dedup_rows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The rows of ``docs``, with all their columns, ``text`` being what remains of it, and ``n_removed`` bytes.
 
-    def rows(source: Iterator[tuple]) -> Iterator[tuple]:
-        for doc_id, text, spans in source:
-            kept, gone, _ = kept_parts(text.encode(), spans)
-            yield doc_id, kept.decode("utf-8", "ignore"), gone
+    Bytes of characters that were cut in two go as well.
+    """
+    joined = removed_spans(docs, length)
+    text, spans, names = joined.columns.index("text"), joined.columns.index("spans"), [*joined.columns[:-1], "n_removed"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = [kept_parts((t or "").encode(), s) for t, s in zip(b.column(text).to_pylist(), b.column(spans).to_pylist(), strict=True)]
+            columns = list(b.columns)
+            columns[text] = pa.array([d[0].decode("utf-8", "ignore") for d in done], pa.string())
+            columns[spans] = pa.array([d[1] for d in done], pa.int64())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return mapped(removed_spans(docs, length), rows, "doc_id long, text string, n_removed long")
+    return joined.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "spans") + ", n_removed long")

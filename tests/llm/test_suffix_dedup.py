@@ -73,5 +73,5 @@ def test_odd_rows(spark):
     got = sorted((x.doc_id or 0, x.n_removed) for x in suffix_dedup.dedup_digests(df).collect())
     assert got == [(0, 0), (1, 0), (1, 0), (2, len(text)), (3, 0)]
     assert suffix_dedup.dedup_digests(df.limit(0)).collect() == []
-    texts = {x.doc_id: x.text for x in suffix_dedup.dedup_texts(df.where("doc_id > 1")).collect()}
+    texts = {x.doc_id: x.text for x in suffix_dedup.dedup_rows(df.where("doc_id > 1")).collect()}
     assert texts == {2: text, 3: ""}
