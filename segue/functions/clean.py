@@ -6,6 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 UNKNOWN = "Unknown"
 
@@ -59,7 +60,7 @@ def safe_filename(artist: Column, title: Column) -> Column:
     return _file_name(F.concat_ws("_", artist, title))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ascii(c: pd.Series) -> pd.Series:
     return c.map(lambda s: None if s is None else unicodedata.normalize("NFD", s).encode("ascii", "ignore").decode())
 

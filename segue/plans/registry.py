@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segue.plans import basics, music, streams  # noqa: F401  (they register their queries)
+from segue.plans import basics, files, music, streams  # noqa: F401  (they register their queries)
 from segue.plans.base import QUERIES, SQL
 
 
