@@ -46,7 +46,7 @@ def suggest(knn: DataFrame, labels: DataFrame, column: str = "semantic_tags", le
     joined = knn.join(known, "neighbour")
     sound = joined.groupBy("seed").agg(F.sum("sim").alias("total")).where("total != 0").select("seed")
     sums = joined.select("seed", "sim", F.explode(column).alias("tag")).groupBy("seed", "tag").agg(F.round(F.sum("sim"), 6).alias("weight"))
-    return sums.where(F.col("weight") > least).join(sound, "seed", "left_semi").withColumn("confidence", F.round(F.least(F.lit(0.99), F.col("weight") / 4), 6))
+    return sums.where(F.col("weight") > least).join(sound, "seed", "left_semi").withColumn("confidence", F.round(F.least(F.lit(0.99), F.col("weight") / 4), 9))
 
 
 def predict_energy(knn: DataFrame, labels: DataFrame) -> DataFrame:

@@ -300,7 +300,7 @@ def _(t):
     return tags.vote_summary(t.votes)
 
 
-SUGGEST = "j AS (SELECT n.*, {c} AS names, energy, semantic_tags, vibe FROM n JOIN track_labels l ON l.trackid = n.neighbour), so AS (SELECT seed FROM j WHERE len(semantic_tags) > 0 OR len(vibe) > 0 GROUP BY seed HAVING sum(sim) <> 0), x AS (SELECT seed, tag, round(sum(sim), 6) AS weight FROM (SELECT seed, sim, unnest(names) AS tag FROM j) GROUP BY seed, tag) SELECT seed, tag, weight, round(least(0.99::DOUBLE, weight / 4), 6) AS confidence FROM x WHERE weight > 0.5 AND seed IN (FROM so)"
+SUGGEST = "j AS (SELECT n.*, {c} AS names, energy, semantic_tags, vibe FROM n JOIN track_labels l ON l.trackid = n.neighbour), so AS (SELECT seed FROM j WHERE len(semantic_tags) > 0 OR len(vibe) > 0 GROUP BY seed HAVING sum(sim) <> 0), x AS (SELECT seed, tag, round(sum(sim), 6) AS weight FROM (SELECT seed, sim, unnest(names) AS tag FROM j) GROUP BY seed, tag) SELECT seed, tag, weight, round(least(0.99::DOUBLE, weight / 4), 9) AS confidence FROM x WHERE weight > 0.5 AND seed IN (FROM so)"
 
 
 @query("a8_suggest_tags", f"WITH n AS ({knn_sql(10)}), {SUGGEST.format(c='semantic_tags')}")
