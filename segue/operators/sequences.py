@@ -35,7 +35,7 @@ def validate_sequence(crates: DataFrame, tracks: DataFrame) -> DataFrame:
     """One report per session: mean score (0 below two tracks), numbers of issues, and whether none is high."""
     steps = transitions(crates, tracks)
     high, medium = F.col("bpm_step") > 15, F.col("bpm_step").between(10.0000001, 15)
-    report = steps.groupBy("session_id").agg(F.round(F.avg("score"), 6).alias("overall"), F.count_if(high).alias("high"), (F.count_if(medium) + F.count_if(F.col("harmony") < 0.3)).alias("medium"))
+    report = steps.groupBy("session_id").agg(F.round(F.avg("score"), 9).alias("overall"), F.count_if(high).alias("high"), (F.count_if(medium) + F.count_if(F.col("harmony") < 0.3)).alias("medium"))
     sizes = crates.groupBy("session_id").agg(F.count("*").alias("n"))
     zero = F.lit(0)
     return sizes.join(report, "session_id", "left").select("session_id", "n", F.coalesce("overall", F.lit(0.0)).alias("overall"), F.coalesce("high", zero).alias("high"), F.coalesce("medium", zero).alias("medium"), (F.coalesce("high", zero) == 0).alias("is_mixable"))

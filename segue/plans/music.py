@@ -473,7 +473,7 @@ def _(t):
     return sequences.sequence_issues(sequences.transitions(t.crates, t.tracks))
 
 
-@query("q3_validate_sequence", f"WITH {STEPS} SELECT session_id, any_value(n) AS n, coalesce(round(avg(score), 6), 0) AS overall, count(*) FILTER (bpm_step > 15) AS high, count(*) FILTER (bpm_step > 10 AND bpm_step <= 15) + count(*) FILTER (harmony < 0.3) AS medium, count(*) FILTER (bpm_step > 15) = 0 AS is_mixable FROM (SELECT session_id, count(*) AS n FROM crates GROUP BY 1) LEFT JOIN tr USING (session_id) GROUP BY session_id")
+@query("q3_validate_sequence", f"WITH {STEPS} SELECT session_id, any_value(n) AS n, coalesce(round(avg(score), 9), 0) AS overall, count(*) FILTER (bpm_step > 15) AS high, count(*) FILTER (bpm_step > 10 AND bpm_step <= 15) + count(*) FILTER (harmony < 0.3) AS medium, count(*) FILTER (bpm_step > 15) = 0 AS is_mixable FROM (SELECT session_id, count(*) AS n FROM crates GROUP BY 1) LEFT JOIN tr USING (session_id) GROUP BY session_id")
 def _(t):
     return sequences.validate_sequence(t.crates, t.tracks)
 
@@ -504,7 +504,7 @@ def _(t):
     return sequences.badges(sequences.transitions(t.crates, t.tracks)).select("session_id", "position", "badge")
 
 
-@query("sn10_save_crates", f"WITH {STEPS} SELECT session_id, coalesce(round(avg(score), 6), 0) AS overall, 2 AS saved_at FROM (SELECT DISTINCT session_id FROM crates) LEFT JOIN tr USING (session_id) GROUP BY session_id")
+@query("sn10_save_crates", f"WITH {STEPS} SELECT session_id, coalesce(round(avg(score), 9), 0) AS overall, 2 AS saved_at FROM (SELECT DISTINCT session_id FROM crates) LEFT JOIN tr USING (session_id) GROUP BY session_id")
 def _(t):
     new = sequences.validate_sequence(t.crates, t.tracks).select("session_id", "overall", F.lit(2).alias("saved_at"))
     old = t.crates.select("session_id", F.lit(0.0).alias("overall"), F.lit(1).alias("saved_at")).distinct()
