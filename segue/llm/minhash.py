@@ -12,7 +12,8 @@ with every member of a component of which some member in its bucket agrees in at
 standard deviations below the threshold). Every link counted was found by comparing full sets.
 
 Documents without words, or with a null text, have an empty set and link with nothing; rows with a null id take no part
-(their component is null). Repeated rows are one member of a class. An empty table gives an empty result.
+(their component is null). Repeated rows are one member of a class; ids must tell different texts apart, and where they do not,
+one of the texts is compared for all. An empty table gives an empty result.
 """
 
 from __future__ import annotations
