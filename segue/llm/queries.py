@@ -50,7 +50,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target is what ``labels`` marks as good; all other documents are the background."""
     docs = table(spark, sf_dir, "documents")
-    return cross_entropy.score(docs, *cross_entropy.train(docs, table(spark, sf_dir, "labels").where("quality = 1")))
+    return cross_entropy.cross_entropy_difference(docs, table(spark, sf_dir, "labels").where("quality = 1"))
 
 
 def op10_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
