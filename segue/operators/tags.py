@@ -123,19 +123,63 @@ def _average_linkage(sims: np.ndarray, clusters: int) -> list[list[int]]:
     return groups
 
 
-def centroid_multi(of: DataFrame, most: int = 30, clusters: int = 3) -> DataFrame:
-    """Up to three medoids for tags of at most ``most`` members, one per average-linkage cluster."""
-    few = of.groupBy("tag").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("tag")
+def _linkage_chain(u: np.ndarray, clusters: int) -> list[list[int]]:
+    """The clusters of ``_average_linkage`` (but for ties) by chains of nearest neighbours, from sums of unit vectors: no table of pairs is held."""
+    n = len(u)
+    sums, size, gone = u.astype(float), np.ones(n), np.zeros(n)
+    chain: list[int] = []
+    merges = []
+    while len(merges) < n - 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(gone == 0)[0]))
+        i = chain[-1]
+        near = (sums @ sums[i]) / (size * size[i]) + gone
+        near[i] = -np.inf
+        j = int(near.argmax())
+        if len(chain) < 2 or near[chain[-2]] < near[j] - 1e-12:
+            chain.append(j)
+            continue
+        j = chain[-2]
+        del chain[-2:]
+        a, b = min(i, j), max(i, j)
+        sums[a] += sums[b]
+        size[a] += size[b]
+        gone[b] = -np.inf
+        merges.append((float(near[j]), a, b))
+    of = list(range(n))
+
+    def top(x: int) -> int:
+        while of[x] != x:
+            of[x] = of[of[x]]
+            x = of[x]
+        return x
+
+    for _, a, b in sorted(merges, key=lambda m: -m[0])[: n - clusters]:
+        a, b = sorted((top(a), top(b)))
+        of[b] = a
+    groups: dict[int, list[int]] = {}
+    for x in range(n):
+        groups.setdefault(top(x), []).append(x)
+    return list(groups.values())
+
+
+def centroid_multi(of: DataFrame, small: int = 30, clusters: int = 3) -> DataFrame:
+    """Up to three medoids a tag, one per average-linkage cluster: one below four members, else at most half as many as members.
+
+    Tags of more than ``small`` members are clustered without a table of pairs. A tag is one task, whose memory grows with
+    its members and whose time with their square.
+    """
 
     def medoids(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("trackid").reset_index(drop=True)
         u = np.stack(g["unit"])
-        sims = u @ u.T
-        groups = [list(range(len(g)))] if len(g) < 4 else _average_linkage(sims, clusters)
-        picked = [min(c, key=lambda i: (-round(float(sims[i, c].mean()), 6), g["trackid"][i])) for c in groups]
+        n = min(clusters, len(g) // 2)
+        groups = [list(range(len(g)))] if len(g) < 4 else _average_linkage(u @ u.T, n) if len(g) <= small else _linkage_chain(u, n)
+        near = {i: round(float(x), 6) for c in groups for i, x in zip(c, u[c] @ u[c].mean(axis=0), strict=True)}
+        picked = [min(c, key=lambda i: (-near[i], g["trackid"][i])) for c in groups]
         return pd.DataFrame({"tag": g["tag"][0], "trackid": g["trackid"][picked], "centroid": [list(map(float, g["raw"][i])) for i in picked]})
 
-    return of.join(few, "tag", "left_semi").select("tag", "trackid", "raw", "unit").groupBy("tag").applyInPandas(medoids, "tag string, trackid long, centroid array<double>")
+    return of.select("tag", "trackid", "raw", "unit").groupBy("tag").applyInPandas(medoids, "tag string, trackid long, centroid array<double>")
 
 
 def intra_similarity(of: DataFrame) -> DataFrame:
