@@ -165,33 +165,47 @@ def links_to_components(wanted: DataFrame, members: DataFrame, docs: DataFrame,
     return written(mapped(dealt, made, "a long, b long").distinct())
 
 
+def _dealt(open_buckets: DataFrame, block: int) -> DataFrame:
+    """``bucket, rep, component, signature, own, mine, kind, x, y``: who meets in which task of a bucket.
+
+    The largest component's members (``own``) and the others are dealt into blocks apart. Each block of the one meets each
+    block of the other (kind 0), and the others' blocks meet each other and themselves (kind 1), so a task holds two blocks.
+    """
+    sizes = open_buckets.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    main = written(sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n"), F.sum("n").alias("every")))
+    count = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
+    known = open_buckets.join(main, "bucket").withColumn("own", F.col("component") == F.col("main")).withColumn("ms", count(F.col("n"))).withColumn("ks", count(F.col("every") - F.col("n")))
+    known = known.withColumn("mine", F.pmod(F.xxhash64("rep"), F.when(F.col("own"), F.col("ms")).otherwise(F.col("ks"))).cast("int"))
+    task = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.cast("int").alias("x"), y.cast("int").alias("y"))
+    mine = F.col("mine")
+    of_main = F.transform(F.sequence(F.lit(0), F.col("ks") - 1), lambda k: task(0, mine, k))
+    of_others = F.concat(F.transform(F.sequence(F.lit(0), F.col("ms") - 1), lambda m: task(0, m, mine)), F.transform(F.sequence(F.lit(0), F.col("ks") - 1), lambda k: task(1, F.least(mine, k), F.greatest(mine, k))))
+    return known.select("bucket", "rep", "component", "signature", "own", "mine", F.explode(F.when(F.col("own"), of_main).otherwise(of_others)).alias("task")).select("bucket", "rep", "component", "signature", "own", "mine", "task.*")
+
+
 def _across(open_buckets: DataFrame, prune: float, best: bool, block: int = 512) -> DataFrame:
     """What may be linked across components in one bucket, by signatures, ``bucket, rep, component, signature`` given.
 
-    The largest component's members are dealt into blocks; the other members of the bucket go to each of its blocks, so a
-    task holds one block and the others, compared as matrices. With ``best``, the result is the likeliest pair ``a, b`` of
-    each member outside the largest component; without, it is ``a``, such a member, and ``b``, a component that may hold a link.
+    A task holds two blocks of a bucket's members, compared as matrices. With ``best``, the result is the likeliest pair
+    ``a, b`` in a task of each member outside the largest component; without, it is ``a``, such a member, and ``b``, a
+    component that may hold a link.
     """
-    sizes = open_buckets.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    main = written(sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n")))
-    known = open_buckets.join(main, "bucket")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
-    dealt = known.select(
-        "bucket", "rep", "component", "signature", (F.col("component") == F.col("main")).alias("own"),
-        F.explode(F.when(F.col("component") == F.col("main"), F.array(F.pmod(F.xxhash64("rep"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))).alias("block"),
-    )
-    dealt = dealt.repartition("bucket", "block").sortWithinPartitions("bucket", "block", F.desc("own"), "rep")
-
-    def pairs(group: list[tuple], first: bool) -> Iterator[tuple]:
+    dealt = _dealt(open_buckets, block).repartition("bucket", "kind", "x", "y").sortWithinPartitions("bucket", "kind", "x", "y", F.desc("own"), "rep")
+
+    def pairs(group: list[tuple], kind: int, apart: bool) -> Iterator[tuple]:
         reps = np.array([g[0] for g in group])
         comps = np.array([g[1] for g in group])
         own = np.array([g[3] for g in group])
+        mine = np.array([g[4] for g in group])
         signs = np.frombuffer(b"".join(g[2] for g in group), np.uint32).reshape(len(group), -1)
         for i in np.flatnonzero(~own):
             others = comps != comps[i]
-            if not first:
-                others &= own  # pairs of two members outside the main component are compared in block 0 alone
-            others &= own | (reps > reps[i])
+            if kind == 0:
+                others &= own
+            else:
+                others &= reps > reps[i]
+                if apart:
+                    others &= mine != mine[i]  # pairs within a block are compared where it meets itself
             at = np.flatnonzero(others)
             if not len(at):
                 continue
@@ -206,16 +220,16 @@ def _across(open_buckets: DataFrame, prune: float, best: bool, block: int = 512)
 
     def made(source: Iterator[tuple]) -> Iterator[tuple]:
         group, at = [], None
-        for bucket, rep, component, sign, own, number in source:
-            if at != (bucket, number):
+        for bucket, rep, component, sign, own, mine, kind, x, y in source:
+            if at != (bucket, kind, x, y):
                 if group:
-                    yield from pairs(group, at[1] == 0)
-                group, at = [], (bucket, number)
-            group.append((rep, component, sign, own))
+                    yield from pairs(group, at[1], at[2] != at[3])
+                group, at = [], (bucket, kind, x, y)
+            group.append((rep, component, sign, own, mine))
         if group:
-            yield from pairs(group, at[1] == 0)
+            yield from pairs(group, at[1], at[2] != at[3])
 
-    return mapped(dealt.select("bucket", "rep", "component", "signature", "own", "block"), made, "a long, b long", batch=8192).distinct()
+    return mapped(dealt.select("bucket", "rep", "component", "signature", "own", "mine", "kind", "x", "y"), made, "a long, b long", batch=8192).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
