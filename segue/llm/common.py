@@ -11,6 +11,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -27,19 +29,44 @@ def id_text(docs: DataFrame) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared ``spark.checkpoint.dir``; without one (as in tests) a temporary folder is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder under the cluster's shared ``spark.checkpoint.dir``.
+
+    Where that is unset, the context's checkpoint folder serves; a session on one machine (``local`` master) that has neither gets
+    a temporary folder as its checkpoint folder. On a cluster a machine's own folder would lose rows, so there it is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/segue-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
+#: The scratch folders of each open ``scratch`` block, the innermost last.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are ``written`` inside the block are deleted at its end, but for those to ``keep``; these belong to the block around it, if any."""
+    mine: list[str] = []
+    token = _OPEN.set((*_OPEN.get(), mine))
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        for path in mine:
+            removed(spark, path)
+
+
+def written(df: DataFrame, path: str | None = None, keep: bool = False) -> DataFrame:
     """The same rows, written as Parquet in the shared folder and read again: the lineage ends there and a lost executor costs nothing."""
     spark = df.sparkSession
     path = path or scratch_dir(spark)
+    blocks = _OPEN.get()[: -1 if keep else None]
+    if blocks:
+        blocks[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -51,6 +78,34 @@ def removed(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """What is executed inside the block sends Python workers so many rows at once, for rows of many kilobytes; the session's setting comes back at its end."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
+def hash_bound(most: int, n: int) -> int | None:
+    """The greatest 64-bit hash below which some four times ``most`` of ``n`` rows fall; none if that is all of them."""
+    return None if 4 * most >= n else -(2**63) + 2**64 * 4 * most // n
+
+
+def sample(docs: DataFrame, most: int, n: int | None = None) -> DataFrame:
+    """At most ``most`` rows, those with the least hashes of ``doc_id`` and ``text``: the same rows on every run, and never none of many.
+
+    A bound on the hash, from the number of rows, leaves few rows to be put in order, whatever the size of the table.
+    """
+    at = F.xxhash64("doc_id", "text")
+    bound = hash_bound(most, docs.count() if n is None else n)
+    near = docs if bound is None else docs.where(at <= bound)
+    return near.orderBy(at, "doc_id", "text").limit(most)
+
+
 def mapped(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str, batch: int = 512) -> DataFrame:
     """``mapInArrow`` over Python tuples: ``rows`` takes the partition's rows one by one and yields result tuples.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from segue.llm.common import removed, scratch_dir, written
+from segue.llm.common import removed, scratch, scratch_dir, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,18 +16,18 @@ def components(links: DataFrame) -> DataFrame:
     """
     spark = links.sparkSession
     sound = links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    both_path, path = scratch_dir(spark), scratch_dir(spark)
-    both = written(sound.select("a", "b").unionByName(sound.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), both_path)
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")), path)
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        stepped = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        up = labels.select(F.col("node").alias("over"), F.col("component").alias("higher"))
-        following = scratch_dir(spark)
-        fresh = written(stepped.join(up, stepped["component"] == up["over"]).select("node", "was", F.least("component", "higher").alias("component")), following)
-        changed = fresh.where(F.col("was") != F.col("component")).limit(1).count()
-        removed(spark, path)
-        labels, path = fresh.select("node", "component"), following
-        if not changed:
-            removed(spark, both_path)
-            return labels
+    path = scratch_dir(spark)
+    with scratch(spark):
+        both = written(sound.select("a", "b").unionByName(sound.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+        labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")), path, keep=True)
+        while True:
+            near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
+            stepped = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
+            up = labels.select(F.col("node").alias("over"), F.col("component").alias("higher"))
+            following = scratch_dir(spark)
+            fresh = written(stepped.join(up, stepped["component"] == up["over"]).select("node", "was", F.least("component", "higher").alias("component")), following, keep=True)
+            changed = fresh.where(F.col("was") != F.col("component")).limit(1).count()
+            removed(spark, path)
+            labels, path = fresh.select("node", "component"), following
+            if not changed:
+                return labels

@@ -154,6 +154,8 @@ def accepted(docs: DataFrame, model: AttentionModel) -> DataFrame:
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([model.score(passages(t or "")) >= 0.5 for t in b.column(text).to_pylist()], pa.bool_()))
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                yield part.filter(pa.array([model.score(passages(t or "")) >= 0.5 for t in part.column(text).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)

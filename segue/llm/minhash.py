@@ -6,10 +6,12 @@ first scatters the shingles, the second is applied after a circular shift by the
 
 Equal sets form classes, of which one document (the smallest id) goes on. Its bands name buckets. Of the documents that begin
 or end its buckets, a member is verified against the two with which it shares the most; components of the verified links
-follow. Only where a bucket still holds several components does more follow: signatures are compared across components,
-in blocks of members; the likeliest pair of each document is verified, and then each document is compared, by full sets,
-with every member of a component of which some member in its bucket agrees in at least ``prune`` of the coordinates (five
-standard deviations below the threshold). Every link counted was found by comparing full sets.
+follow. Only the members of buckets that still hold several components go on: those of different components that share one of
+their rarest shingles (so many of them that no link can be missed) have their signatures compared, in blocks; the likeliest
+pair of each document is verified, and then each document is compared, by full sets, with every member of a component of which
+some member agrees in at least ``prune`` of the coordinates (five standard deviations below the threshold). So documents of one
+template that are not linked, which fill each other's buckets, meet only in what they have in common beyond it. Every link
+counted was found by comparing full sets.
 
 Documents without words, or with a null text, have an empty set and link with nothing; rows with a null id take no part
 (their component is null). Repeated rows are one member of a class; ids must tell different texts apart, and where they do not,
@@ -19,13 +21,15 @@ one of the texts is compared for all. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from segue.llm.common import id_text, mapped, scratch_dir, written
+from segue.llm.common import id_text, mapped, scratch, scratch_dir, small_batches, written
 from segue.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -126,7 +130,8 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
             if 100 * both >= percent * (len(x) + len(y) - both):
                 yield a, b
 
-    return written(mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), kept, "a long, b long"))
+    with small_batches(docs.sparkSession):  # two sets a row
+        return written(mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), kept, "a long, b long"))
 
 
 def links_to_components(wanted: DataFrame, members: DataFrame, docs: DataFrame, width: int, percent: int, block: int = 256) -> DataFrame:
@@ -162,7 +167,57 @@ def links_to_components(wanted: DataFrame, members: DataFrame, docs: DataFrame,
             if len(linked):
                 yield min(rep, reps[linked[0]]), max(rep, reps[linked[0]])
 
-    return written(mapped(dealt, made, "a long, b long").distinct())
+    with small_batches(docs.sparkSession):
+        return written(mapped(dealt, made, "a long, b long").distinct())
+
+
+#: Counters of the sketch that puts shingles in an order, rare ones first, and how many of them go into one row.
+SLOTS, CHUNK = 1 << 20, 1 << 14
+
+
+def _rarities(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of each slot of a hash occur: a table of fixed size (4 MB), the only thing that goes to the driver."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for found in b.column(0).to_pylist():
+                slots, times = np.unique(np.frombuffer(found, np.uint64) & np.uint64(SLOTS - 1), return_counts=True)
+                total[slots.astype(np.int64)] += times
+        chunks = [(i, c.tobytes()) for i, c in enumerate(total.reshape(-1, CHUNK)) if c.any()]
+        if chunks:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*chunks, strict=True)], names=["chunk", "counts"])
+
+    def summed(source: Iterator[tuple]) -> Iterator[tuple]:
+        for chunk, group in itertools.groupby(source, key=lambda r: r[0]):
+            total = np.zeros(CHUNK, np.int64)
+            for _, counts in group:
+                total += np.frombuffer(counts, np.int64)
+            yield chunk, np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()
+
+    parts = sets.select("found").mapInArrow(counted, "chunk long, counts binary").repartition("chunk").sortWithinPartitions("chunk")
+    out = np.zeros((SLOTS // CHUNK, CHUNK), np.int32)
+    for r in mapped(parts, summed, "chunk long, counts binary").collect():  # at most SLOTS / CHUNK rows
+        out[r["chunk"]] = np.frombuffer(r["counts"], np.int32)
+    return out.ravel()
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """``bucket, rep``: the rarest shingles of each set, so many that two sets whose likeness reaches the threshold share one of them.
+
+    Such sets share ``ceil(percent * n / 100)`` shingles at least, ``n`` being the size of either; so in any order of all shingles
+    the first ``n - ceil(percent * n / 100) + 1`` of both have one in common. The order is by rarity and then by hash.
+    """
+    rare = sets.sparkSession.sparkContext.broadcast(_rarities(sets))  # a fixed size
+
+    def made(source: Iterator[tuple]) -> Iterator[tuple]:
+        for rep, found in source:
+            x = np.frombuffer(found, np.uint64)
+            n = len(x) + (-percent * len(x)) // 100 + 1
+            first = np.lexsort((x, rare.value[(x & np.uint64(SLOTS - 1)).astype(np.int64)]))[:n]
+            yield from ((t, rep) for t in x[first].view(np.int64).tolist())
+
+    return mapped(sets.select(F.col("doc_id").alias("rep"), "found"), made, "bucket long, rep long", batch=8192)
 
 
 def _dealt(open_buckets: DataFrame, block: int) -> DataFrame:
@@ -232,40 +287,65 @@ def _across(open_buckets: DataFrame, prune: float, best: bool, block: int = 512)
     return mapped(dealt.select("bucket", "rep", "component", "signature", "own", "mine", "kind", "x", "y"), made, "a long, b long", batch=8192).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def _open_members(shared: DataFrame, components_: DataFrame) -> DataFrame:
+    """``rep, component`` of the members of buckets that hold several components."""
+    labelled = written(_labelled(shared.select("bucket", "rep"), components_))
+    several = labelled.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first != last").select("bucket")
+    return written(labelled.join(written(several), "bucket", "left_semi").select("rep", "component").distinct())
+
+
+def _labelled(members: DataFrame, components_: DataFrame) -> DataFrame:
+    """Rows with a ``rep``, with its component, which is itself where it has no link."""
+    return members.join(components_.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 512, set_block: int = 256) -> DataFrame:
     """``doc_id, n_shingles, class_id, component_id, kept, n_links`` for each row of ``docs``.
 
     ``class_id`` is the smallest id with an equal set, ``component_id`` the smallest id reachable over links, and
     ``n_links`` the number of verified links that the class has (pairs inside a component that is already known are not verified).
+    ``block`` and ``set_block`` bound how many signatures and full sets a task compares at once; results do not depend on them.
     """
-    share = percent / 100
-    prune = max(0.0, share - 5 * (share * (1 - share) / COORDINATES) ** 0.5)
-    known = written(sketches(docs, width))
-    classes = written(known.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("signature").alias("signature")).where("rep is not null"))
-    buckets = written(_buckets(classes))
-    ends = buckets.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low != high")
-    shared = written(buckets.join(ends, "bucket"))
-    # Of the documents that begin or end its buckets, a member is first verified against those with which it shares the most.
-    stars = None
-    for end in ("low", "high"):
-        counted = shared.where(F.col("rep") != F.col(end)).groupBy("rep", F.col(end).alias("other")).agg(F.count("*").alias("n"))
-        most = counted.groupBy("rep").agg(F.max_by("other", F.struct("n", "other")).alias("other"))
-        pairs = most.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
-        stars = pairs if stars is None else stars.unionByName(pairs).distinct()
-    links = verified(stars, docs, width, percent)
-    found = components(links)
-    for best in (True, False):
-        labelled = written(shared.select("bucket", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-        several = labelled.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first != last").select("bucket")
-        open_buckets = labelled.join(written(several), "bucket", "left_semi").join(classes.select("rep", "signature"), "rep")
-        near = _across(written(open_buckets), prune, best)
-        more = verified(near, docs, width, percent) if best else links_to_components(near.toDF("rep", "target"), labelled.select("rep", "component").distinct().unionByName(found.select(F.col("node").alias("rep"), "component")).distinct(), docs, width, percent)
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            found = components(links)
-    counted = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    placed = classes.select("set_key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").join(counted, "rep", "left")
-    placed = written(placed.select("set_key", "rep", "component", "n_links"))
+    spark = docs.sparkSession
+    known_path, placed_path = scratch_dir(spark), scratch_dir(spark)
+    with scratch(spark):
+        share = percent / 100
+        prune = max(0.0, share - 5 * (share * (1 - share) / COORDINATES) ** 0.5)
+        known = written(sketches(docs, width), known_path, keep=True)
+        classes = written(known.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("signature").alias("signature")).where("rep is not null"))
+        buckets = written(_buckets(classes))
+        ends = buckets.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low != high")
+        shared = written(buckets.join(ends, "bucket"))
+        # Of the documents that begin or end its buckets, a member is first verified against those with which it shares the most.
+        stars = None
+        for end in ("low", "high"):
+            counted = shared.where(F.col("rep") != F.col(end)).groupBy("rep", F.col(end).alias("other")).agg(F.count("*").alias("n"))
+            most = counted.groupBy("rep").agg(F.max_by("other", F.struct("n", "other")).alias("other"))
+            pairs = most.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
+            stars = pairs if stars is None else stars.unionByName(pairs).distinct()
+        links = verified(stars, docs, width, percent)
+        found = components(links)
+        open_members = _open_members(shared, found)
+        if open_members.limit(1).count():
+            prefixes = written(_prefixes(_sets(docs, open_members.select(F.col("rep").alias("doc_id")), width), percent))
+            for best in (True, False):
+                meeting = written(_labelled(prefixes, found))
+                several = meeting.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first != last").select("bucket")
+                open_buckets = written(meeting.join(several, "bucket", "left_semi").join(classes.select("rep", "signature"), "rep"))
+                if not open_buckets.limit(1).count():
+                    break
+                with small_batches(spark, 4000):
+                    near = written(_across(open_buckets, prune, best, block))
+                if best:
+                    more = verified(near, docs, width, percent)
+                else:
+                    more = links_to_components(near.toDF("rep", "target"), _labelled(classes.select("rep"), found), docs, width, percent, set_block)
+                if more.limit(1).count():
+                    links = links.unionByName(more)
+                    found = components(links)
+        counted = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+        placed = _labelled(classes.select("set_key", "rep"), found).join(counted, "rep", "left")
+        placed = written(placed.select("set_key", "rep", "component", "n_links"), placed_path, keep=True)
     return known.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key")).join(placed, "set_key", "left").select(
         "doc_id",
         "n_shingles",

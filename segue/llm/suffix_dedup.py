@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from segue.llm.common import id_text, mapped, written
+from segue.llm.common import id_text, mapped, scratch, scratch_dir, written
 
 LENGTH, GRAM = 100, 24
 #: Odd multipliers of the hashes.
@@ -84,9 +84,10 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
                 found: list[tuple[np.ndarray, ...]] = []
+                raws: list[bytes] = []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     raw = text.encode()
                     cut = segments(raw, length)
@@ -95,13 +96,15 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
                     first, size, key = cut
                     view = memoryview(raw)
                     seg = np.array([xxhash.xxh3_64_intdigest(view[p:q]) for p, q in zip(first.tolist(), (first + size + length - 1).tolist(), strict=True)], np.uint64)
-                    found.append((key, seg.view(np.int64), np.full(len(first), doc_id), first, size))
+                    found.append((key, seg.view(np.int64), np.full(len(first), doc_id), first, size, np.full(len(first), len(raws))))
+                    raws.append(raw)
                 if not found:
                     continue
-                key, seg, doc, first, size = (np.concatenate(c) for c in zip(*found, strict=True))
+                key, seg, doc, first, size, of = (np.concatenate(c) for c in zip(*found, strict=True))
                 order = np.lexsort((first, doc, seg, key))
-                key, seg, doc, first, size = key[order], seg[order], doc[order], first[order], size[order]
+                key, seg, doc, first, size, of = key[order], seg[order], doc[order], first[order], size[order], of[order]
                 again = np.r_[False, (key[1:] == key[:-1]) & (seg[1:] == seg[:-1])]
+                again[again] = [raws[of[i]][first[i] : first[i] + size[i] + length - 1] == raws[of[i - 1]][first[i - 1] : first[i - 1] + size[i - 1] + length - 1] for i in np.flatnonzero(again).tolist()]
                 same = again & np.r_[False, (doc[1:] == doc[:-1]) & (first[1:] == first[:-1])]
                 yield _batch(SEGMENT, key[~again], seg[~again], doc[~again], first[~again], size[~again])
                 gone = _runs(doc[again & ~same], first[again & ~same], size[again & ~same])
@@ -180,7 +183,7 @@ class SuffixLevels:
             self.levels.append(fresh[~known])
         while len(self.levels) > 1 and 2 * len(self.levels[-1]) >= len(self.levels[-2]):
             last = self.levels.pop()
-            self.levels[-1] = np.sort(np.concatenate([self.levels[-1], last]), kind="stable")  # a merge: both are sorted
+            self.levels[-1] = np.insert(self.levels[-1], np.searchsorted(self.levels[-1], last), last)  # a merge: both are sorted
         out = np.empty(len(windows), bool)
         out[order] = repeated
         return out
@@ -193,7 +196,7 @@ def windows_of(raw: bytes, first: np.ndarray, size: np.ndarray, length: int) ->
     return np.ascontiguousarray(view[at]).view(f"S{length}").ravel()
 
 
-def _compared(judged: DataFrame, docs: DataFrame, length: int, hot: int, batch_windows: int = 1 << 17, shard_windows: int = 500_000) -> DataFrame:
+def _compared(judged: DataFrame, docs: DataFrame, length: int, hot: int, batch_windows: int = 1 << 16, shard_windows: int = 250_000) -> DataFrame:
     """Removed stretches ``doc_id, first, size`` among open segments, by suffix arrays."""
     spark = docs.sparkSession
     opened = judged.where("key is not null")
@@ -252,13 +255,16 @@ def _compared(judged: DataFrame, docs: DataFrame, length: int, hot: int, batch_w
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, hot: int = 20_000) -> DataFrame:
     """``doc_id, first, size``: stretches of window starts that repeat an earlier window."""
-    judged = written(_judged(_cut(docs, length)))
-    return judged.where("key is null").select("doc_id", "first", "size").unionByName(_compared(judged, docs, length, hot))
+    path = scratch_dir(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        judged = written(_judged(_cut(docs, length)))
+        found = judged.where("key is null").select("doc_id", "first", "size").unionByName(_compared(judged, docs, length, hot))
+        return written(found, path, keep=True)
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, hot: int = 20_000) -> DataFrame:
     """``docs`` with a column ``spans``: the starts and ends of removed stretches, packed as ``start * 2**32 + end``, not yet joined."""
-    found = written(repeated_windows(docs, length, hot))
+    found = repeated_windows(docs, length, hot)
     packed = found.groupBy("doc_id").agg(F.collect_list(F.shiftleft(F.col("first").cast("long"), 32) + F.col("first") + F.col("size") + (length - 1)).alias("spans"))
     return docs.join(packed, "doc_id", "left")
 
@@ -298,11 +304,13 @@ def dedup_rows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     text, spans, names = joined.columns.index("text"), joined.columns.index("spans"), [*joined.columns[:-1], "n_removed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            done = [kept_parts((t or "").encode(), s) for t, s in zip(b.column(text).to_pylist(), b.column(spans).to_pylist(), strict=True)]
-            columns = list(b.columns)
-            columns[text] = pa.array([d[0].decode("utf-8", "ignore") for d in done], pa.string())
-            columns[spans] = pa.array([d[1] for d in done], pa.int64())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                done = [kept_parts((t or "").encode(), s) for t, s in zip(b.column(text).to_pylist(), b.column(spans).to_pylist(), strict=True)]
+                columns = list(b.columns)
+                columns[text] = pa.array([d[0].decode("utf-8", "ignore") for d in done], pa.string())
+                columns[spans] = pa.array([d[1] for d in done], pa.int64())
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return joined.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "spans") + ", n_removed long")

@@ -72,3 +72,40 @@ def test_components(spark):
     want = plain_components({n for link in links for n in link if link[0] != link[1]}, [x for x in links if x[0] != x[1]])
     assert got == want
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_small_blocks_find_the_same_links(spark):
+    docs = fixture()
+    r = random.Random(8)
+    for base in range(2):  # chains of copies, each a little further, in one bucket or another
+        text = [f"q{base}_{k}" for k in range(150)]
+        for i in range(60):
+            text = list(text)
+            text[r.randrange(150)] = f"z{base}_{i}"
+            docs.append((5000 + 100 * base + i, " ".join(text)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    sets = plain_sets(docs, 5)
+    links = [(a, b) for a, b in combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = plain_components(sets, links)
+    got = minhash.near_duplicates(df, block=4, set_block=3).collect()
+    assert {x.doc_id: x.component_id for x in got} == want
+
+
+def test_template_that_links_nothing(spark):
+    r = random.Random(9)
+    shared = [f"t{i}" for i in range(140)]
+    docs = [(i, " ".join([*shared, *(f"u{i}_{k}" for k in range(r.randint(44, 60)))])) for i in range(400)]
+    docs.append((900, docs[7][1] + " end"))
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), block=64).collect()}
+    assert got == {i: i for i in range(400)} | {900: 7}
+
+
+def test_prefixes_of_linked_sets_meet(spark):
+    docs = fixture()
+    sets = plain_sets(docs, 5)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = minhash._sets(df, df.select("doc_id"), 5).where("length(found) > 0")
+    tokens = {}
+    for x in minhash._prefixes(found, 80).collect():
+        tokens.setdefault(x.rep, set()).add(x.bucket)
+    assert all(tokens[a] & tokens[b] for a, b in combinations(tokens, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))

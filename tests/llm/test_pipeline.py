@@ -43,3 +43,26 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         at = stage(spark, at, SF)
         assert at.count() == 0
+
+
+def test_repeated_and_long_rows_of_near_duplicates(spark):
+    long = " ".join(f"w{i % 977}x{i % 31}" for i in range(40_000))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, long, "en", "a", 1), (1, long, "en", "a", 1), (2, long + " end", "en", "b", 2), (3, other, "en", "a", 3), (3, "quite another text of seven words", "en", "a", 3), (None, other, None, None, None), (None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted((x.doc_id or 0, (x.text or "")[:5]) for x in got.collect()) == sorted([(0, ""), (0, other[:5]), (1, long[:5]), (3, other[:5]), (3, "quite")])
+
+
+def test_run_leaves_only_its_result(spark, tmp_path):
+    from segue.llm import common
+
+    before = common.scratch_dir(spark).rsplit("/", 1)[0].removeprefix("file:")
+    import os
+
+    held = set(os.listdir(before)) if os.path.isdir(before) else set()
+    rows = corpus_pipeline.run(spark, SF)
+    assert rows.count() > 0
+    assert len(set(os.listdir(before)) - held) <= 1
