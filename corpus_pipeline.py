@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from segue.llm import mil_quality, minhash, packing, secret_scan, suffix_dedup
-from segue.llm.common import table, written
+from segue.llm.common import removed, scratch, scratch_dir, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: No SQL: a trained classifier, MinHash and tokenizers cannot be said in it; the stages are tested against brute force.
@@ -25,11 +25,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id; of repeated rows one, and rows without an id all."""
-    found = minhash.near_duplicates(docs, width=5, percent=80)
-    gone = written(found.where("not kept").select("doc_id").distinct())
-    with_id = docs.select(*COLUMNS).where("doc_id is not null").dropDuplicates(["doc_id"]).join(gone, "doc_id", "left_anti")
-    return with_id.select(*COLUMNS).unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    """One document of each group stays, the one with the smallest id; of equal rows one, and rows without an id all.
+
+    Where different texts share an id, the id is judged by one of them, and all its texts stay or go with it.
+    """
+    path = scratch_dir(spark)
+    with scratch(spark):
+        found = minhash.near_duplicates(docs, width=5, percent=80).where("doc_id is not null")
+        marked = written(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("kept")).where("n > 1 or not kept"), path, keep=True)
+    rows = docs.select(*COLUMNS)
+    repeated = rows.join(marked.where("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates()
+    return rows.join(marked.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS).unionByName(repeated.select(*COLUMNS))
 
 
 def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +59,13 @@ STAGES = [("quality classifier", quality), ("near duplicates", near_duplicates),
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, applied to ``documents``."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs)
+    """All stages, applied to ``documents``. What a stage has written is deleted once the next one has read it."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        path = scratch_dir(spark)
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), path, keep=True)
+        if before:
+            removed(spark, before)
+        before = path
     return docs
