@@ -33,7 +33,8 @@ from segue.llm.common import id_text, mapped, scratch, scratch_dir, small_batche
 from segue.llm.components import components
 
 BANDS, ROWS = 32, 4
-#: Coordinates of a signature; the bands take the first ``BANDS * ROWS``, all of them estimate a likeness.
+#: Coordinates of a signature; the bands take the first ``BANDS * ROWS``. The lowest byte of each of them estimates a likeness,
+#: never too low, as what agrees in whole agrees there.
 COORDINATES = 256
 #: Odd multipliers of the hashes.
 A64, M64 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -79,15 +80,16 @@ def bands(sign: np.ndarray, n_bands: int = BANDS, rows: int = ROWS) -> list[int]
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, set_key binary, signature binary``; no shuffle."""
+    """``doc_id, n_shingles, set_key binary, signature binary, low binary``; no shuffle. ``signature`` has what the bands take, ``low`` a byte of each coordinate."""
 
     def made(source: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in source:
             found = shingle_set(text, width)
-            sign = signature(found).tobytes() if len(found) else None
-            yield doc_id, len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), sign
+            sign = signature(found)
+            told = (sign[: BANDS * ROWS].tobytes(), sign.astype(np.uint8).tobytes()) if len(found) else (None, None)
+            yield doc_id, len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), *told
 
-    return mapped(id_text(docs), made, "doc_id long, n_shingles long, set_key binary, signature binary")
+    return mapped(id_text(docs), made, "doc_id long, n_shingles long, set_key binary, signature binary, low binary")
 
 
 def _buckets(members: DataFrame) -> DataFrame:
@@ -221,7 +223,7 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _dealt(open_buckets: DataFrame, block: int) -> DataFrame:
-    """``bucket, rep, component, signature, own, mine, kind, x, y``: who meets in which task of a bucket.
+    """``bucket, rep, component, low, own, mine, kind, x, y``: who meets in which task of a bucket.
 
     The largest component's members (``own``) and the others are dealt into blocks apart. Each block of the one meets each
     block of the other (kind 0), and the others' blocks meet each other and themselves (kind 1), so a task holds two blocks.
@@ -235,11 +237,11 @@ def _dealt(open_buckets: DataFrame, block: int) -> DataFrame:
     mine = F.col("mine")
     of_main = F.transform(F.sequence(F.lit(0), F.col("ks") - 1), lambda k: task(0, mine, k))
     of_others = F.concat(F.transform(F.sequence(F.lit(0), F.col("ms") - 1), lambda m: task(0, m, mine)), F.transform(F.sequence(F.lit(0), F.col("ks") - 1), lambda k: task(1, F.least(mine, k), F.greatest(mine, k))))
-    return known.select("bucket", "rep", "component", "signature", "own", "mine", F.explode(F.when(F.col("own"), of_main).otherwise(of_others)).alias("task")).select("bucket", "rep", "component", "signature", "own", "mine", "task.*")
+    return known.select("bucket", "rep", "component", "low", "own", "mine", F.explode(F.when(F.col("own"), of_main).otherwise(of_others)).alias("task")).select("bucket", "rep", "component", "low", "own", "mine", "task.*")
 
 
 def _across(open_buckets: DataFrame, prune: float, best: bool, block: int = 512) -> DataFrame:
-    """What may be linked across components in one bucket, by signatures, ``bucket, rep, component, signature`` given.
+    """What may be linked across components in one bucket, by signatures, ``bucket, rep, component, low`` given.
 
     A task holds two blocks of a bucket's members, compared as matrices. With ``best``, the result is the likeliest pair
     ``a, b`` in a task of each member outside the largest component; without, it is ``a``, such a member, and ``b``, a
@@ -252,7 +254,7 @@ def _across(open_buckets: DataFrame, prune: float, best: bool, block: int = 512)
         comps = np.array([g[1] for g in group])
         own = np.array([g[3] for g in group])
         mine = np.array([g[4] for g in group])
-        signs = np.frombuffer(b"".join(g[2] for g in group), np.uint32).reshape(len(group), -1)
+        signs = np.frombuffer(b"".join(g[2] for g in group), np.uint8).reshape(len(group), -1)
         for i in np.flatnonzero(~own):
             others = comps != comps[i]
             if kind == 0:
@@ -284,7 +286,7 @@ def _across(open_buckets: DataFrame, prune: float, best: bool, block: int = 512)
         if group:
             yield from pairs(group, at[1], at[2] != at[3])
 
-    return mapped(dealt.select("bucket", "rep", "component", "signature", "own", "mine", "kind", "x", "y"), made, "a long, b long", batch=8192).distinct()
+    return mapped(dealt.select("bucket", "rep", "component", "low", "own", "mine", "kind", "x", "y"), made, "a long, b long", batch=8192).distinct()
 
 
 def _open_members(shared: DataFrame, components_: DataFrame) -> DataFrame:
@@ -312,7 +314,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block: i
         share = percent / 100
         prune = max(0.0, share - 5 * (share * (1 - share) / COORDINATES) ** 0.5)
         known = written(sketches(docs, width), known_path, keep=True)
-        classes = written(known.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("signature").alias("signature")).where("rep is not null"))
+        classes = written(known.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("signature").alias("signature"), F.max("low").alias("low")).where("rep is not null"))
         buckets = written(_buckets(classes))
         ends = buckets.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low != high")
         shared = written(buckets.join(ends, "bucket"))
@@ -329,9 +331,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block: i
         if open_members.limit(1).count():
             prefixes = written(_prefixes(_sets(docs, open_members.select(F.col("rep").alias("doc_id")), width), percent))
             for best in (True, False):
-                meeting = written(_labelled(prefixes, found))
+                meeting = _labelled(prefixes, found)
                 several = meeting.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first != last").select("bucket")
-                open_buckets = written(meeting.join(several, "bucket", "left_semi").join(classes.select("rep", "signature"), "rep"))
+                open_buckets = written(meeting.join(several, "bucket", "left_semi").join(classes.select("rep", "low"), "rep"))
                 if not open_buckets.limit(1).count():
                     break
                 with small_batches(spark, 4000):

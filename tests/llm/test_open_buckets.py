@@ -8,9 +8,9 @@ from segue.llm import minhash
 
 def test_no_task_holds_a_whole_bucket(spark):
     r = np.random.default_rng(2)
-    signs = [r.integers(0, 2**32, 256, dtype=np.uint32) for _ in range(120)]
+    signs = [r.integers(0, 256, 256, dtype=np.uint8) for _ in range(120)]
     rows = [(7, i, i, signs[i if i % 10 else 0].tobytes()) for i in range(120)] + [(7, 200 + i, 200, signs[3].tobytes()) for i in range(30)]
-    df = spark.createDataFrame(rows, "bucket long, rep long, component long, signature binary").repartition(3).cache()
+    df = spark.createDataFrame(rows, "bucket long, rep long, component long, low binary").repartition(3).cache()
     held = minhash._dealt(df, 16).groupBy("bucket", "kind", "x", "y").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     assert held < 75  # two blocks, by a hash that deals unevenly
     same = range(0, 120, 10)
