@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
 
 UNKNOWN = "Unknown"
 
@@ -60,9 +58,18 @@ def safe_filename(artist: Column, title: Column) -> Column:
     return _file_name(F.concat_ws("_", artist, title))
 
 
-@F.pandas_udf(StringType())
-def _ascii(c: pd.Series) -> pd.Series:
-    return c.map(lambda s: None if s is None else unicodedata.normalize("NFD", s).encode("ascii", "ignore").decode())
+def _unaccented() -> dict[str, str]:
+    """Characters whose canonical decomposition holds an ASCII character, with that one."""
+    found = ((chr(c), [x for x in unicodedata.normalize("NFD", chr(c)) if x < "\x80"]) for c in range(0x80, 0x2FFF))
+    return {c: x[0] for c, x in found if x}
+
+
+ACCENTED = _unaccented()
+
+
+def _ascii(c: Column) -> Column:
+    """Accents taken off, and characters dropped that are not ASCII then."""
+    return F.regexp_replace(F.translate(c, "".join(ACCENTED), "".join(ACCENTED.values())), r"[^\x00-\x7F]", "")
 
 
 def safe_filename_ascii(artist: Column, title: Column) -> Column:

@@ -10,6 +10,8 @@ MAJOR = ("B", "F# Gb", "Db C#", "Ab G#", "Eb D#", "Bb A#", "F", "C", "G", "D", "
 SPELLINGS = {f"{i + 1}{mode}": f"{i + 1}{mode}" for i in range(12) for mode in "AB"}
 SPELLINGS |= {s: f"{i + 1}A" for i, row in enumerate(MINOR) for name in row.split() for s in (name, f"{name[:-1]} minor")}
 SPELLINGS |= {s: f"{i + 1}B" for i, row in enumerate(MAJOR) for name in row.split() for s in (name, f"{name} major")}
+#: Scales that take any spelling; the others compare keys as they are written.
+SPELLED = ("engine", "readme")
 #: Scores by relation: (equal, relative, neighbour with the same letter, neighbour with the other letter, two steps with the same letter, anything else, a key missing).
 PROFILES = {
     "engine": (1.0, 0.8, 0.8, 0.1, 0.1, 0.1, 0.5),
@@ -30,10 +32,15 @@ def _steps(a: Column, b: Column) -> Column:
 
 
 def harmonic(a: Column, b: Column, profile: str = "engine") -> Column:
-    """Score of two Camelot keys on one of the scales; keys that are not Camelot go only with themselves."""
+    """Score of two keys on one of the scales.
+
+    ``engine`` and ``readme`` turn any spelling into Camelot first, and an unknown key counts as a missing one. On the other two
+    scales a key that is not Camelot goes only with itself.
+    """
+    a, b = (to_camelot(a), to_camelot(b)) if profile in SPELLED else (F.nullif(a, F.lit("")), F.nullif(b, F.lit("")))
     same, relative, near, across, two, other, missing = (F.lit(x).cast("double") for x in PROFILES[profile])
     n, letters = _steps(a, b), F.right(a, F.lit(1)) == F.right(b, F.lit(1))
-    sound = a.rlike(r"^\d+[AB]$") & b.rlike(r"^\d+[AB]$")
+    sound = a.rlike(r"^\d{1,2}[AB]$") & b.rlike(r"^\d{1,2}[AB]$")
     return (
         F.when(a.isNull() | b.isNull(), missing)
         .when(a == b, same)

@@ -89,10 +89,17 @@ def save_crates(saved: DataFrame, reports: DataFrame) -> DataFrame:
     return upsert(saved, reports, ["session_id"], [F.desc("saved_at")])
 
 
-def artist_edges(tracks: DataFrame) -> DataFrame:
-    """Consecutive tracks of an artist, by id; tracks without one are chained as ``Unknown``."""
-    w = Window.partitionBy(F.coalesce("artist", F.lit("Unknown"))).orderBy("trackid")
-    return tracks.select(F.col("trackid").alias("source"), F.lead("trackid").over(w).alias("target"), F.lit("artist").alias("type")).where("target is not null")
+def artist_edges(tracks: DataFrame, span: int = 1_000_000) -> DataFrame:
+    """Consecutive tracks of an artist, by id; tracks without one are chained as ``Unknown``.
+
+    Chains are made within ranges of ``span`` ids, so an artist with very many tracks is no single task, and the last track of a
+    range is then chained to the first of the artist's next one.
+    """
+    ranged = tracks.select(F.coalesce("artist", F.lit("Unknown")).alias("artist"), F.floor(F.col("trackid") / span).alias("range"), "trackid")
+    inside = ranged.select(F.col("trackid").alias("source"), F.lead("trackid").over(Window.partitionBy("artist", "range").orderBy("trackid")).alias("target"))
+    ends = ranged.groupBy("artist", "range").agg(F.min("trackid").alias("first"), F.max("trackid").alias("last"))
+    across = ends.select(F.col("last").alias("source"), F.lead("first").over(Window.partitionBy("artist").orderBy("range")).alias("target"))
+    return inside.unionByName(across).where("target is not null").withColumn("type", F.lit("artist"))
 
 
 def graph_edges(knn: DataFrame, tracks: DataFrame) -> DataFrame:

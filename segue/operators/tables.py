@@ -172,4 +172,4 @@ def match_titles(files: DataFrame, tracks: DataFrame) -> DataFrame:
 def random_unlabeled(tracks: DataFrame, labels: DataFrame, seen: DataFrame, n: int, seed: int) -> DataFrame:
     """``n`` tracks without tags in the order of a seeded hash, those not seen first (so all come again once all were seen)."""
     pool = unlabeled(tracks, labels).join(seen.select("trackid").distinct().withColumn("seen", F.lit(1)), "trackid", "left")
-    return pool.orderBy(F.coalesce("seen", F.lit(0)), F.xxhash64("trackid", F.lit(seed)), "trackid").limit(n).drop("seen")
+    return pool.orderBy(F.coalesce("seen", F.lit(0)), F.md5(F.concat_ws("/", "trackid", F.lit(seed)).cast("binary")), "trackid").limit(n).drop("seen")

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from segue.functions.scores import dot, norm, unit
 from segue.operators.tables import latest
-from segue.operators.vectors import mean_vector, unit_vectors
+from segue.operators.vectors import all_cosines, mean_vector, nearest, unit_vectors
 
 
 def long_tags(labels: DataFrame, column: str = "semantic_tags") -> DataFrame:
@@ -44,16 +45,19 @@ def suggest(knn: DataFrame, labels: DataFrame, column: str = "semantic_tags", le
     """
     known = labels.where((F.size("semantic_tags") > 0) | (F.size("vibe") > 0)).withColumnRenamed("trackid", "neighbour")
     joined = knn.join(known, "neighbour")
-    sound = joined.groupBy("seed").agg(F.sum("sim").alias("total")).where("total != 0").select("seed")
+    sound = joined.groupBy("seed").agg(F.round(F.sum("sim"), 6).alias("total")).where("total != 0").select("seed")
     sums = joined.select("seed", "sim", F.explode(column).alias("tag")).groupBy("seed", "tag").agg(F.round(F.sum("sim"), 6).alias("weight"))
     return sums.where(F.col("weight") > least).join(sound, "seed", "left_semi").withColumn("confidence", F.round(F.least(F.lit(0.99), F.col("weight") / 4), 9))
 
 
 def predict_energy(knn: DataFrame, labels: DataFrame) -> DataFrame:
-    """Similarity-weighted mean energy of the neighbours that have one; null if no neighbour has tags or vibes."""
+    """Similarity-weighted mean energy of the neighbours that have one.
+
+    Null if the similarities of these sum to 0 or less, or those of the neighbours with tags or vibes to 0.
+    """
     known = labels.select(F.col("trackid").alias("neighbour"), "energy", (F.coalesce(F.size("semantic_tags") > 0, F.lit(False)) | F.coalesce(F.size("vibe") > 0, F.lit(False))).alias("tagged"))
-    sums = knn.join(known, "neighbour").groupBy("seed").agg(F.max("tagged").alias("any"), F.sum(F.when(F.col("energy").isNotNull(), F.col("energy") * F.col("sim"))).alias("e"), F.sum(F.when(F.col("energy").isNotNull(), F.col("sim"))).alias("w"))
-    return sums.select("seed", F.when(F.col("any") & (F.col("w") != 0), F.round(F.col("e") / F.col("w"), 5)).alias("energy"))
+    sums = knn.join(known, "neighbour").groupBy("seed").agg(F.round(F.sum(F.when(F.col("tagged"), F.col("sim"))), 6).alias("any"), F.sum(F.when(F.col("energy").isNotNull(), F.col("energy") * F.col("sim"))).alias("e"), F.sum(F.when(F.col("energy").isNotNull(), F.col("sim"))).alias("w"))
+    return sums.select("seed", F.when((F.col("any") != 0) & (F.round("w", 6) > 0), F.round(F.col("e") / F.col("w"), 5)).alias("energy"))
 
 
 def latest_votes(votes: DataFrame) -> DataFrame:
@@ -106,10 +110,36 @@ def centroid_medoid(of: DataFrame) -> DataFrame:
     return latest(near, ["tag"], [F.desc("near"), F.col("trackid")]).select("tag", "trackid", "near", F.col("raw").alias("centroid"))
 
 
-def centroid_density(of: DataFrame, sigma: float = 0.1) -> DataFrame:
-    """Members weighted by how many others are near; for tags of few members (pairs within a tag are formed)."""
-    a, b = of.select("tag", "trackid", "raw", "unit"), of.select("tag", F.col("unit").alias("other"))
-    weights = a.join(b, "tag").groupBy("tag", "trackid").agg(F.sum(F.exp(-(1 - dot(F.col("unit"), F.col("other"))) / (2 * sigma**2))).alias("w"))
+def centroid_density(of: DataFrame, sigma: float = 0.1, block: int = 2048) -> DataFrame:
+    """Members weighted by how many others are near.
+
+    The members of a tag are dealt into blocks; each pair of blocks is a matrix product in one task, out of which only a sum
+    per member comes.
+    """
+    a = of.select("tag", "trackid", "raw", "unit")
+    sizes = of.groupBy("tag").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    numbered = a.join(sizes, "tag").withColumn("mine", F.pmod(F.xxhash64("trackid"), F.col("n")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("n") - 1)
+    lent = numbered.select("tag", F.explode(every).alias("a"), F.col("mine").alias("b"), F.lit(False).alias("asks"), "trackid", "unit")
+    asking = numbered.select("tag", F.col("mine").alias("a"), F.explode(every).alias("b"), F.lit(True).alias("asks"), "trackid", "unit")
+    dealt = lent.unionByName(asking).repartition("tag", "a", "b").sortWithinPartitions("tag", "a", "b", "asks", "trackid")
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, vectors, matrix = None, [], None
+        for batch in batches:
+            out = []
+            for *at, asks, trackid, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != place:
+                    place, vectors, matrix = at, [], None
+                if not asks:
+                    vectors.append(v)
+                elif vectors:
+                    matrix = np.array(vectors) if matrix is None else matrix
+                    out.append((at[0], trackid, float(np.exp(-(1 - matrix @ np.array(v)) / (2 * sigma**2)).sum())))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["tag", "trackid", "w"])
+
+    weights = dealt.mapInArrow(summed, "tag string, trackid long, w double").groupBy("tag", "trackid").agg(F.sum("w").alias("w"))
     dims = a.join(weights, ["tag", "trackid"]).select("tag", "w", F.posexplode("raw").alias("dim", "x")).groupBy("tag", "dim").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
     return dims.groupBy("tag").agg(unit(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"])).alias("centroid"))
 
@@ -204,12 +234,13 @@ def adaptive_centroids(of: DataFrame, gate: float = 0.7) -> DataFrame:
 
 
 def rank_for_tags(vectors: DataFrame, centroids: DataFrame, n: int = 10, vector: str = "feat") -> DataFrame:
-    """The tracks nearest to each tag: the best cosine with any of its centroids. The centroids, a few per tag, go to every task if they are small."""
-    units = unit_vectors(vectors, vector)
-    reps = centroids.select("tag", unit(F.col("centroid")).alias("c"))
-    few = reps.limit(20_001).count() <= 20_000
-    pairs = units.join(F.broadcast(reps)) if few else units.join(reps.hint("shuffle_replicate_nl"))
-    best = pairs.select("tag", "trackid", F.round(dot(F.col("unit"), F.col("c")), 6).alias("sim")).groupBy("tag", "trackid").agg(F.max("sim").alias("sim"))
+    """The tracks nearest to each tag: the best cosine with any of its centroids.
+
+    Each centroid asks for as many tracks as may be nearest to another of its tag first; centroids and tracks meet in blocks.
+    """
+    units = unit_vectors(vectors, vector).select(F.col("trackid").alias("neighbour"), "unit")
+    reps = centroids.select("tag", unit(F.col("centroid")).alias("unit")).withColumn("seed", F.xxhash64("tag", "unit"))
+    best = nearest(reps.select("seed", "unit"), units, n, same=True).join(reps.select("seed", "tag").distinct(), "seed").groupBy("tag", F.col("neighbour").alias("trackid")).agg(F.max("sim").alias("sim"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("sim"), "trackid")))
     return ranked.where(F.col("rank") <= n)
 
@@ -217,16 +248,20 @@ def rank_for_tags(vectors: DataFrame, centroids: DataFrame, n: int = 10, vector:
 def rank_nn_voting(of: DataFrame, vectors: DataFrame, vector: str = "feat") -> DataFrame:
     """Mean cosine of every track with a tag's members, from the mean of their unit vectors."""
     means = mean_vector(of, "tag", "unit")
-    return unit_vectors(vectors, vector).join(means).select("tag", "trackid", F.round(dot(F.col("unit"), F.col("mean")), 6).alias("sim"))
+    units = unit_vectors(vectors, vector).select(F.col("trackid").alias("seed"), "unit")
+    return all_cosines(units, means.select(F.col("tag").alias("neighbour"), F.col("mean").alias("unit"))).select(F.col("neighbour").alias("tag"), F.col("seed").alias("trackid"), "sim")
 
 
 def misfits(of: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Members that are nearer to another tag's centroid than to their own, by margin."""
+    """Members that are nearer to another tag's centroid than to their own, by margin.
+
+    The two centroids nearest to a track are enough: one of them is another tag's, and the nearest such.
+    """
     c = centroids.select(F.col("tag").alias("other"), unit(F.col("centroid")).alias("c"))
     own = of.join(c.withColumnRenamed("other", "tag"), "tag").select("tag", "trackid", F.round(dot(F.col("unit"), F.col("c")), 6).alias("own_sim"))
-    units = of.select("trackid", "unit").dropDuplicates(["trackid"])
-    every = units.join(c).select("trackid", "other", F.round(dot(F.col("unit"), F.col("c")), 6).alias("sim"))
-    pairs = own.join(every, "trackid").where((F.col("other") != F.col("tag")) & (F.col("sim") > F.col("own_sim")))
+    units = of.select(F.col("trackid").alias("seed"), "unit").dropDuplicates(["seed"])
+    near = nearest(units, c.select(F.col("other").alias("neighbour"), F.col("c").alias("unit")), 2, same=True).select(F.col("seed").alias("trackid"), F.col("neighbour").alias("other"), "sim")
+    pairs = own.join(near, "trackid").where((F.col("other") != F.col("tag")) & (F.col("sim") > F.col("own_sim")))
     return latest(pairs, ["tag", "trackid"], [F.desc("sim"), F.col("other")]).withColumn("margin", F.round(F.col("sim") - F.col("own_sim"), 6))
 
 

@@ -22,59 +22,86 @@ def unit_vectors(df: DataFrame, vector: str = "embedding", key: str = "trackid")
 
 
 def knn(df: DataFrame, k: int, seeds: DataFrame | None = None, vector: str = "embedding", threshold: float | None = None, block: int = 2048) -> DataFrame:
-    """``seed, neighbour, sim, rank``: the ``k`` most similar tracks of each seed (all tracks by default), itself left out.
-
-    Cosines are rounded to six places and ties go to the smaller id. Vectors are dealt into blocks; each pair of a seed
-    block and a candidate block meets in one task as a matrix product, and only the best ``k`` of a row leave it, so the
-    shuffle is ``k`` rows per seed and block and no table is ever collected.
-    """
+    """``seed, neighbour, sim, rank``: the ``k`` most similar tracks of each seed (all tracks by default), itself left out."""
     units = unit_vectors(df, vector)
     asked = units if seeds is None else units.join(seeds.select("trackid").distinct(), "trackid", "left_semi")
-    left = max(1, -(-asked.count() // block))
-    right = left if seeds is None else max(1, -(-units.count() // block))
-    own = units.select(F.explode(F.sequence(F.lit(0), F.lit(left - 1))).alias("a"), F.pmod(F.xxhash64("trackid"), F.lit(right)).cast("int").alias("b"), F.lit(False).alias("asks"), "trackid", "unit")
-    asking = asked.select(F.pmod(F.xxhash64("trackid"), F.lit(left)).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(right - 1))).alias("b"), F.lit(True).alias("asks"), "trackid", "unit")
-    dealt = own.unionByName(asking).repartition("a", "b").sortWithinPartitions("a", "b", "asks", "trackid")
-
-    def rows(seed_ids: list, seed_vectors: list, ids: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
-        sims = np.round(np.stack(seed_vectors) @ m.T, 6) + 0.0
-        out = []
-        for i, s in enumerate(seed_ids):
-            row = sims[i]
-            at = np.flatnonzero((ids != s) & (row > threshold if threshold is not None else True))
-            if len(at) > k:
-                least = np.partition(row[at], len(at) - k)[len(at) - k]
-                at = at[row[at] >= least]
-            at = at[np.lexsort((ids[at], -row[at]))][:k]
-            out.append((np.full(len(at), s), ids[at], row[at]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["seed", "neighbour", "sim"])
+    return nearest(asked.select(F.col("trackid").alias("seed"), "unit"), units.select(F.col("trackid").alias("neighbour"), "unit"), k, threshold, block)
+
+
+def dealt_blocks(asked: DataFrame, own: DataFrame, block: int) -> DataFrame:
+    """``a, b, asks, id, unit``: each block of ``asked`` (``id, unit``) with each block of ``own``, one task to a pair of blocks."""
+    left, right = (max(1, -(-df.count() // block)) for df in (asked, own))
+    lent = own.select(F.explode(F.sequence(F.lit(0), F.lit(left - 1))).alias("a"), F.pmod(F.xxhash64("id"), F.lit(right)).cast("int").alias("b"), F.lit(False).alias("asks"), "id", "unit")
+    asking = asked.select(F.pmod(F.xxhash64("id"), F.lit(left)).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(right - 1))).alias("b"), F.lit(True).alias("asks"), "id", "unit")
+    return lent.unionByName(asking).repartition(left * right, "a", "b").sortWithinPartitions("a", "b", "asks", "id")
+
+
+def block_products(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Asking ids, a block's own ids and their cosines (six places), for up to ``rows`` asking ids at a time, from rows of ``dealt_blocks``."""
+    place, ids, vectors, matrix, held = None, [], [], None, ([], [])
+
+    def product() -> tuple[list, np.ndarray, np.ndarray]:
+        return held[0], np.array(ids), np.round(np.stack(held[1]) @ matrix.T, 6) + 0.0
+
+    for b in batches:
+        for *at, asks, id_, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if at != place:
+                if held[0]:
+                    yield product()
+                place, ids, vectors, matrix, held = at, [], [], None, ([], [])
+            if not asks:
+                ids.append(id_)
+                vectors.append(v)
+            elif ids:
+                matrix = np.array(vectors) if matrix is None else matrix
+                held[0].append(id_)
+                held[1].append(np.array(v))
+                if len(held[0]) == rows:
+                    yield product()
+                    held = ([], [])
+    if held[0]:
+        yield product()
+
+
+def nearest(asked: DataFrame, own: DataFrame, k: int, threshold: float | None = None, block: int = 2048, same: bool = False) -> DataFrame:
+    """``seed, neighbour, sim, rank``: the ``k`` most similar of ``own`` (``neighbour, unit``) for each of ``asked`` (``seed, unit``), equal ids left out but for ``same``.
+
+    Cosines are rounded to six places and ties go to the smaller id; ids are numbers or strings. Vectors are dealt into blocks; each
+    pair of blocks meets in one task as a matrix product, and only the best ``k`` of a row leave it, so the shuffle is ``k``
+    rows per seed and block and no table is ever collected.
+    """
+    kinds = dict(asked.dtypes)["seed"], dict(own.dtypes)["neighbour"]
+    dealt = dealt_blocks(asked.select(F.col("seed").cast("string" if kinds[0] != kinds[1] else kinds[0]).alias("id"), "unit"), own.select(F.col("neighbour").cast("string" if kinds[0] != kinds[1] else kinds[1]).alias("id"), "unit"), block)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, ids, vectors, matrix, held = None, [], [], None, ([], [])
-        for b in batches:
-            for *at, asks, trackid, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if at != place:
-                    if held[0]:
-                        yield rows(*held, np.array(ids), matrix)
-                    place, ids, vectors, matrix, held = at, [], [], None, ([], [])
-                if not asks:
-                    ids.append(trackid)
-                    vectors.append(v)
-                elif ids:
-                    matrix = np.array(vectors) if matrix is None else matrix
-                    held[0].append(trackid)
-                    held[1].append(np.array(v))
-                    if len(held[0]) == 256:
-                        yield rows(*held, np.array(ids), matrix)
-                        held = ([], [])
-        if held[0]:
-            yield rows(*held, np.array(ids), matrix)
-
-    found = dealt.mapInArrow(best, "seed long, neighbour long, sim double")
+        for seeds, ids, sims in block_products(batches):
+            out = []
+            for s, row in zip(seeds, sims, strict=True):
+                at = np.flatnonzero(((ids != s) | same) & (row > threshold if threshold is not None else True))
+                if len(at) > k:
+                    least = np.partition(row[at], len(at) - k)[len(at) - k]
+                    at = at[row[at] >= least]
+                at = at[np.lexsort((ids[at], -row[at]))][:k]
+                out.append((np.full(len(at), s), ids[at], row[at]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["seed", "neighbour", "sim"])
+
+    kind = kinds[0] if kinds[0] == kinds[1] else "string"
+    found = dealt.mapInArrow(best, f"seed {kind}, neighbour {kind}, sim double").select(F.col("seed").cast(kinds[0]).alias("seed"), F.col("neighbour").cast(kinds[1]).alias("neighbour"), "sim")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("sim"), "neighbour")))
     return ranked.where(F.col("rank") <= k)
 
 
+def all_cosines(asked: DataFrame, own: DataFrame, block: int = 2048) -> DataFrame:
+    """``seed, neighbour, sim`` of every pair of ``asked`` (``seed, unit``, numbers) and ``own`` (``neighbour, unit``, strings), as blocks of matrix products."""
+    dealt = dealt_blocks(asked.select(F.col("seed").cast("string").alias("id"), "unit"), own.select(F.col("neighbour").alias("id"), "unit"), block)
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seeds, ids, sims in block_products(batches, 16):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(seeds), len(ids))), pa.array(np.tile(ids, len(seeds))), pa.array(sims.ravel())], names=["seed", "neighbour", "sim"])
+
+    return dealt.mapInArrow(every, "seed string, neighbour string, sim double").select(F.col("seed").cast("long").alias("seed"), "neighbour", "sim")
+
+
 def vector_search(tracks: DataFrame, seeds: DataFrame, limit: int, threshold: float = 0.7) -> DataFrame:
     """Neighbours above a threshold (strictly), with the tracks' metadata."""
     meta = tracks.select(F.col("trackid").alias("neighbour"), "title", "artist", "bpm", "key")

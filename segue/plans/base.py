@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segue.functions.keys import PROFILES, SPELLINGS
+from segue.functions.keys import PROFILES, SPELLED, SPELLINGS
 from segue.plans.fixtures import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,10 +38,18 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def harmonic_sql(a: str, b: str, profile: str = "engine") -> str:
+    if profile in SPELLED:
+        a, b = camelot_sql(a), camelot_sql(b)
     same, relative, near, across, two, other, missing = ("NULL" if x is None else f"{x}::DOUBLE" for x in PROFILES[profile])
-    n = f"least(abs(CAST(regexp_extract({a}, '^[0-9]+') AS INT) - CAST(regexp_extract({b}, '^[0-9]+') AS INT)), 12 - abs(CAST(regexp_extract({a}, '^[0-9]+') AS INT) - CAST(regexp_extract({b}, '^[0-9]+') AS INT)))"
+    gap = f"abs(TRY_CAST(regexp_extract({a}, '^[0-9]+') AS INT) - TRY_CAST(regexp_extract({b}, '^[0-9]+') AS INT))"
+    n = f"least({gap}, 12 - {gap})"
     letters = f"right({a}, 1) = right({b}, 1)"
-    return f"(CASE WHEN {a} IS NULL OR {b} IS NULL THEN {missing} WHEN {a} = {b} THEN {same} WHEN {n} = 0 THEN {relative} WHEN {n} = 1 AND {letters} THEN {near} WHEN {n} = 1 THEN {across} WHEN {n} = 2 AND {letters} THEN {two} ELSE {other} END)"
+    return f"(CASE WHEN {a} IS NULL OR {b} IS NULL THEN {missing} WHEN {a} = {b} THEN {same} WHEN NOT regexp_full_match({a}, '[0-9]+[AB]') OR NOT regexp_full_match({b}, '[0-9]+[AB]') THEN {other} WHEN {n} = 0 THEN {relative} WHEN {n} = 1 AND {letters} THEN {near} WHEN {n} = 1 THEN {across} WHEN {n} = 2 AND {letters} THEN {two} ELSE {other} END)"
+
+
+def camelot_sql(key: str) -> str:
+    said, meant = (", ".join(f"'{x}'" for x in xs) for xs in (SPELLINGS, SPELLINGS.values()))
+    return f"(MAP([{said}], [{meant}])[trim({key})])"
 
 
 def keys_sql() -> str:

@@ -64,9 +64,9 @@ def _(t):
     return ops.update_from(t.tracks.select("trackid", "bpm"), new, "trackid", ["bpm"])
 
 
-@query("sn5_position_ids")
+@query("sn5_position_ids", "SELECT vec_id, label, row_number() OVER (ORDER BY vec_id, label) AS trackid FROM embeddings")
 def _(t):
-    return readers.with_position_id(t.embeddings.select("vec_id", "label"))
+    return readers.with_position_id(t.embeddings.select("vec_id", "label").orderBy("vec_id", "label"))
 
 
 @query("sn6_cascade_delete", "WITH gone AS (SELECT trackid FROM tracks WHERE title IS NULL) SELECT 'tracks' AS table_name, count(*) AS n FROM tracks WHERE trackid IN (FROM gone) UNION ALL SELECT 'labels', count(*) FROM track_labels WHERE trackid IN (FROM gone) UNION ALL SELECT 'votes', count(*) FROM votes WHERE trackid IN (FROM gone)")
@@ -79,9 +79,14 @@ def _(t):
     return ops.cascade_delete({"votes": t.votes}, t.tracks.where("title is null"))["votes"].select("event_id", "trackid", "tag")
 
 
-@query("sn7_crate_json")
+CRATE_ROWS = "SELECT c.session_id, count(*) OVER w AS track_count, 4 * count(*) OVER w AS minutes, round(round(avg(bpm) OVER w, 6)) AS mean_bpm, c.position, c.trackid, title, artist, bpm, key FROM crates c JOIN tracks t USING (trackid) WINDOW w AS (PARTITION BY c.session_id)"
+
+
+@query("sn7_crate_json", CRATE_ROWS)
 def _(t):
-    return writers.crate_json(t.crates, t.tracks)
+    track = "STRUCT<position: LONG, trackid: LONG, title: STRING, artist: STRING, bpm: DOUBLE, key: STRING>"
+    parsed = writers.crate_json(t.crates, t.tracks).select(F.from_json("json", f"session_id LONG, tracks ARRAY<{track}>, stats STRUCT<track_count: LONG, minutes: LONG, mean_bpm: DOUBLE>").alias("j"))
+    return parsed.select("j.session_id", "j.stats.*", F.inline("j.tracks"))
 
 
 @query("sn8_m3u", "SELECT c.session_id, concat('#EXTM3U\n', string_agg(concat('#EXTINF:240,', coalesce(artist, 'Unknown Artist'), ' - ', coalesce(title, 'Unknown Title'), chr(10), filepath), chr(10) ORDER BY position)) AS m3u FROM crates c JOIN tracks t USING (trackid) GROUP BY c.session_id")

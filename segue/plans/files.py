@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from segue.plans.base import Tables, query
+from segue.plans.basics import CRATE_ROWS
 from segue.plans.streams import work_dir
 from segue.sources import readers, writers
 
@@ -40,9 +41,10 @@ def _(t: Tables):
     return readers.read_library_xml(t.spark, at)
 
 
-@query("sn7_export_json", "SELECT count(DISTINCT session_id) AS sessions, count(*) AS n FROM crates JOIN tracks USING (trackid)")
+@query("sn7_export_json", CRATE_ROWS)
 def _(t: Tables):
     at = work_dir(t.spark)
     writers.export_json(t.crates, t.tracks, at)
-    back = t.spark.read.json(at)
-    return back.agg(F.count("*").alias("sessions"), F.sum(F.size("tracks")).cast("long").alias("n"))
+    track = "STRUCT<position: LONG, trackid: LONG, title: STRING, artist: STRING, bpm: DOUBLE, key: STRING>"
+    back = t.spark.read.schema(f"session_id LONG, tracks ARRAY<{track}>, stats STRUCT<track_count: LONG, minutes: LONG, mean_bpm: DOUBLE>").json(at)
+    return back.select("session_id", "stats.*", F.inline("tracks"))

@@ -16,7 +16,7 @@ SELECT p.p_partkey AS trackid,
   CASE WHEN p.p_partkey % 31 = 0 THEN NULL ELSE p.p_brand END AS artist,
   p.p_type AS album,
   CASE WHEN p.p_partkey % 17 = 0 THEN NULL WHEN p.p_partkey % 101 = 0 THEN CAST(0 AS DOUBLE) ELSE round(CAST(100 AS DOUBLE) + p.p_size * CAST(0.9 AS DOUBLE), 1) END AS bpm,
-  CASE WHEN p.p_partkey % 13 = 0 THEN NULL ELSE concat(CAST(1 + p.p_partkey % 12 AS {string}), CASE WHEN p.p_partkey % 24 < 12 THEN 'A' ELSE 'B' END) END AS key,
+  CASE WHEN p.p_partkey % 13 = 0 THEN NULL WHEN p.p_partkey % 11 = 3 THEN 'Am' WHEN p.p_partkey % 11 = 5 THEN 'C major' WHEN p.p_partkey % 19 = 4 THEN 'F#m' WHEN p.p_partkey % 19 = 7 THEN 'Eb minor' WHEN p.p_partkey % 23 = 6 THEN 'H' ELSE concat(CAST(1 + p.p_partkey % 12 AS {string}), CASE WHEN p.p_partkey % 24 < 12 THEN 'A' ELSE 'B' END) END AS key,
   e.embedding AS embedding
 FROM part p LEFT JOIN embeddings e ON e.vec_id = p.p_partkey"""
 LABELS = """

@@ -26,9 +26,9 @@ def _(t):
     return t.embeddings.join(nxt, "vec_id").select("vec_id", F.round(scores.cosine(F.col("embedding"), F.col("other")), 6).alias("sim"))
 
 
-@query("v2_unit_vectors", "SELECT trackid, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 5) AS total FROM tracks WHERE embedding IS NOT NULL")
+@query("v2_unit_vectors", "SELECT trackid, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim, round(unnest(embedding)::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 5) AS x FROM tracks WHERE embedding IS NOT NULL")
 def _(t):
-    return vectors.unit_vectors(t.tracks).select("trackid", F.round(F.aggregate("unit", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+    return vectors.unit_vectors(t.tracks).select("trackid", F.posexplode("unit").alias("dim", "x")).withColumn("x", F.round("x", 5))
 
 
 @query("v3_knn", f"WITH n AS ({knn_sql(10, 'embedding', 'tracks')}) SELECT seed, neighbour, sim, rank FROM n")
@@ -48,7 +48,7 @@ def _(t):
 
 @query("v7_find_similar", f"WITH n AS ({knn_sql(7, 'embedding', 'tracks', 0.2)}) SELECT seed, neighbour, sim, rank FROM n")
 def _(t):
-    return scoring.find_similar(t.tracks)
+    return vectors.knn(t.tracks, 7, threshold=0.2)
 
 
 @query("v8_mix_confidence", f"WITH n AS ({knn_sql(100)}), c AS ({CONFIDENCE}) SELECT seed, neighbour, sim, confidence, place FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY confidence DESC, neighbour) AS place FROM c) WHERE place <= 5")
@@ -61,12 +61,10 @@ def _(t):
     return vectors.explain_pairs(feat_knn(t, 5), t.tracks)
 
 
-@query("v11_pool_frames", "SELECT CAST(label AS BIGINT) AS label, round(sum(m), 5) AS means, round(sum(s), 5) AS deviations FROM (SELECT label, i, avg(x) AS m, stddev_pop(x) AS s FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label")
+@query("v11_pool_frames", "WITH d AS (SELECT label, i, avg(x) AS m, stddev_pop(x) AS s, max(i) OVER () AS width FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) SELECT CAST(label AS BIGINT) AS label, CAST(i - 1 AS INTEGER) AS dim, round(m, 5) AS x FROM d UNION ALL SELECT label, i - 1 + width, round(s, 5) FROM d")
 def _(t):
     p = vectors.pool_frames(t.embeddings.select("label", F.transform("embedding", lambda x: x.cast("double")).alias("v")), "label")
-    half = F.size("pooled") / 2
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
-    return p.select(F.col("label").cast("long").alias("label"), F.round(total(F.slice("pooled", F.lit(1), half.cast("int"))), 5).alias("means"), F.round(total(F.slice("pooled", (half + 1).cast("int"), half.cast("int"))), 5).alias("deviations"))
+    return p.select(F.col("label").cast("long").alias("label"), F.posexplode("pooled").alias("dim", "x")).withColumn("x", F.round("x", 5))
 
 
 @query("v12_layout3d")
@@ -241,8 +239,9 @@ def _(t):
   sm AS (SELECT request_id, trackid, round(list_cosine_similarity(feat, c), 6) AS sim FROM ce CROSS JOIN feat WHERE round(list_cosine_similarity(feat, c), 6) > 0.25 AND (request_id, trackid) NOT IN (SELECT (request_id, trackid) FROM rs))
   SELECT request_id, trackid, sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY sim DESC, trackid) AS rank FROM sm) WHERE rank <= 5""")
 def _(t):
-    found = scoring.relaxation_search(intents(t), t.track_labels, t.tracks).select("request_id", "trackid", "score")
-    return scoring.infer_by_centroid(found, t.feat)
+    asked = intents(t)
+    found = scoring.relaxation_search(asked, t.track_labels, t.tracks).select("request_id", "trackid", "score")
+    return scoring.infer_by_centroid(found, t.feat, held=asked.agg(F.coalesce(F.max("track_count"), F.lit(0))).first()[0])
 
 
 @query("r15_score_detail", f"WITH {INTENTS}, d AS (SELECT request_id, trackid, tag, s FROM w JOIN (SELECT trackid, unnest(semantic_tags) AS tag FROM track_labels) ON lower(tag) = term) SELECT request_id, count(DISTINCT trackid) AS n, count(*) AS matched, max(s) AS most FROM d GROUP BY request_id")
@@ -300,7 +299,7 @@ def _(t):
     return tags.vote_summary(t.votes)
 
 
-SUGGEST = "j AS (SELECT n.*, {c} AS names, energy, semantic_tags, vibe FROM n JOIN track_labels l ON l.trackid = n.neighbour), so AS (SELECT seed FROM j WHERE len(semantic_tags) > 0 OR len(vibe) > 0 GROUP BY seed HAVING sum(sim) <> 0), x AS (SELECT seed, tag, round(sum(sim), 6) AS weight FROM (SELECT seed, sim, unnest(names) AS tag FROM j) GROUP BY seed, tag) SELECT seed, tag, weight, round(least(0.99::DOUBLE, weight / 4), 9) AS confidence FROM x WHERE weight > 0.5 AND seed IN (FROM so)"
+SUGGEST = "j AS (SELECT n.*, {c} AS names, energy, semantic_tags, vibe FROM n JOIN track_labels l ON l.trackid = n.neighbour), so AS (SELECT seed FROM j WHERE len(semantic_tags) > 0 OR len(vibe) > 0 GROUP BY seed HAVING round(sum(sim), 6) <> 0), x AS (SELECT seed, tag, round(sum(sim), 6) AS weight FROM (SELECT seed, sim, unnest(names) AS tag FROM j) GROUP BY seed, tag) SELECT seed, tag, weight, round(least(0.99::DOUBLE, weight / 4), 9) AS confidence FROM x WHERE weight > 0.5 AND seed IN (FROM so)"
 
 
 @query("a8_suggest_tags", f"WITH n AS ({knn_sql(10)}), {SUGGEST.format(c='semantic_tags')}")
@@ -313,7 +312,7 @@ def _(t):
     return tags.suggest(feat_knn(t, 10), t.track_labels, "vibe")
 
 
-@query("a10_predict_energy", f"WITH n AS ({knn_sql(10)}), j AS (SELECT n.*, energy, coalesce(len(semantic_tags) > 0, false) OR coalesce(len(vibe) > 0, false) AS tagged FROM n JOIN track_labels l ON l.trackid = n.neighbour) SELECT seed, CASE WHEN bool_or(tagged) AND sum(sim) FILTER (energy IS NOT NULL) <> 0 THEN round(sum(energy * sim) / sum(sim) FILTER (energy IS NOT NULL), 5) END AS energy FROM j GROUP BY seed")
+@query("a10_predict_energy", f"WITH n AS ({knn_sql(10)}), j AS (SELECT n.*, energy, coalesce(len(semantic_tags) > 0, false) OR coalesce(len(vibe) > 0, false) AS tagged FROM n JOIN track_labels l ON l.trackid = n.neighbour) SELECT seed, CASE WHEN round(sum(sim) FILTER (tagged), 6) <> 0 AND round(sum(sim) FILTER (energy IS NOT NULL), 6) > 0 THEN round(sum(energy * sim) / sum(sim) FILTER (energy IS NOT NULL), 5) END AS energy FROM j GROUP BY seed")
 def _(t):
     return tags.predict_energy(feat_knn(t, 10), t.track_labels)
 
@@ -351,15 +350,15 @@ MEMBERS = """mb AS (SELECT DISTINCT tag, trackid, feat, list_transform(feat, lam
 
 
 def checked(df: DataFrame) -> DataFrame:
-    """A centroid as its first component and its length."""
-    return df.select("tag", F.round(F.get("centroid", F.lit(0)), 5).alias("first"), F.round(scores.norm(F.col("centroid")), 5).alias("length"))
+    """Centroids, a row for each dimension."""
+    return df.select("tag", F.posexplode("centroid").alias("dim", "x")).withColumn("x", F.round("x", 5))
 
 
 def tag_members(t: Tables) -> DataFrame:
     return tags.members(t.track_labels, t.feat)
 
 
-@query("c1_mean_centroid", f"WITH {MEMBERS} SELECT tag, round(centroid[1], 5) AS first, round(sqrt(list_inner_product(centroid, centroid)), 5) AS length FROM mu")
+@query("c1_mean_centroid", f"WITH {MEMBERS} SELECT tag, CAST(generate_subscripts(centroid, 1) - 1 AS INTEGER) AS dim, round(unnest(centroid), 5) AS x FROM mu")
 def _(t):
     return checked(tags.centroid_mean(tag_members(t)))
 
@@ -369,7 +368,7 @@ def _(t):
     return tags.centroid_medoid(tag_members(t)).select("tag", "trackid", "near")
 
 
-@query("c3_density_centroid", f"WITH {MEMBERS}, w AS (SELECT tag, trackid, sum(exp(-(1 - c) / (2 * 0.1::DOUBLE * 0.1::DOUBLE))) AS w FROM pairs GROUP BY ALL), ce AS (SELECT tag, list(x ORDER BY d) AS centroid FROM (SELECT tag, d, sum(w * x) / sum(w) AS x FROM (SELECT mb.tag, w, unnest(feat) AS x, generate_subscripts(feat, 1) AS d FROM mb JOIN w ON w.tag = mb.tag AND w.trackid = mb.trackid) GROUP BY ALL) GROUP BY tag) SELECT tag, round(centroid[1] / sqrt(list_inner_product(centroid, centroid)), 5) AS first, 1::DOUBLE AS length FROM ce")
+@query("c3_density_centroid", f"WITH {MEMBERS}, w AS (SELECT tag, trackid, sum(exp(-(1 - c) / (2 * 0.1::DOUBLE * 0.1::DOUBLE))) AS w FROM pairs GROUP BY ALL), ce AS (SELECT tag, list(x ORDER BY d) AS centroid FROM (SELECT tag, d, sum(w * x) / sum(w) AS x FROM (SELECT mb.tag, w, unnest(feat) AS x, generate_subscripts(feat, 1) AS d FROM mb JOIN w ON w.tag = mb.tag AND w.trackid = mb.trackid) GROUP BY ALL) GROUP BY tag) SELECT tag, CAST(generate_subscripts(centroid, 1) - 1 AS INTEGER) AS dim, round(unnest(centroid) / sqrt(list_inner_product(centroid, centroid)), 5) AS x FROM ce")
 def _(t):
     return checked(tags.centroid_density(tag_members(t)))
 
@@ -454,7 +453,7 @@ def _(t):
     return tags.triage(tags.label_spread(feat_knn(t, 6), brand_seeds(t)))
 
 
-@query("c14_random_unlabeled")
+@query("c14_random_unlabeled", "SELECT t.trackid FROM tracks t LEFT JOIN track_labels l ON l.trackid = t.trackid LEFT JOIN (SELECT DISTINCT trackid, 1 AS seen FROM votes) v ON v.trackid = t.trackid WHERE l.trackid IS NULL OR coalesce(len(l.semantic_tags), 0) = 0 ORDER BY coalesce(seen, 0), md5(concat(t.trackid, '/7')), t.trackid LIMIT 50")
 def _(t):
     return tables.random_unlabeled(t.tracks, t.track_labels, t.votes, 50, 7).select("trackid")
 
@@ -522,7 +521,7 @@ def _(t):
 
 
 def far_pairs(t: Tables) -> DataFrame:
-    """Each track with a vector and the two after it in id order as targets."""
+    """Each track with a vector and the one after it in id order, within tens of ids, as source and target."""
     w = Window.partitionBy("b").orderBy("trackid")
     f = t.feat.select("trackid", F.floor(F.col("trackid") / 10).alias("b"))
     return f.select(F.col("trackid").alias("source"), F.lead("trackid").over(w).alias("target")).where("target is not null")
@@ -589,7 +588,7 @@ def _(t):
     return req.suggest_similar(i, tags.vocabulary(t.track_labels), tags.vocabulary(t.track_labels, "vibe"))
 
 
-@query("x8_intents_from_json")
+@query("x8_intents_from_json", "WITH j AS (SELECT p_partkey AS request_id, CASE WHEN p_partkey % 50 <> 0 THEN json_object('tag_scores', json_object(p_brand, 0.9), 'bpm_range', [100.0, 120.0], 'track_count', p_size) END AS j FROM part) SELECT request_id, CAST(j ->> '$.track_count' AS INTEGER) AS track_count, array_to_string(json_keys(j, '$.tag_scores'), '|') AS tags FROM j")
 def _(t):
     text = F.to_json(F.struct(F.create_map(F.col("p_brand"), F.lit(0.9)).alias("tag_scores"), F.array(F.lit(100.0), F.lit(120.0)).alias("bpm_range"), F.col("p_size").alias("track_count")))
     bad = F.when(F.col("p_partkey") % 50 == 0, F.lit("no json")).otherwise(text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 TRACK_CSV = "trackid LONG, filepath STRING, title STRING, artist STRING, album STRING, bpm DOUBLE, key STRING"
 ANALYSIS = "stats STRUCT<total: LONG, analyzed: LONG, failed: LONG>, tracks ARRAY<STRUCT<filepath: STRING, filename: STRING, file_hash: STRING, title: STRING, artist: STRING, bpm: DOUBLE, key: STRING, key_strength: DOUBLE>>"
@@ -21,10 +21,16 @@ def read_vectors_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_position_id(df: DataFrame) -> DataFrame:
-    """``trackid`` from 1 on, in the order of rows; needs ordered positions, which only the RDD gives."""
-    spark = df.sparkSession
-    schema = df.schema.add("trackid", "long")
-    return spark.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), schema)
+    """``trackid`` from 1 on, in the order of rows: the number of rows in the partitions before, and the place in the partition.
+
+    The rows are read twice and must come in the same order both times, as those of a file or a sorted table do. Partitions are
+    counted, one row each; nothing else is shuffled.
+    """
+    placed = df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    inside = F.col("_at") - F.shiftleft("_part", 33)
+    return placed.join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + inside + 1).alias("trackid"))
 
 
 def read_analysis_json(spark: SparkSession, path: str) -> DataFrame:

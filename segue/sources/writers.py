@@ -18,7 +18,7 @@ def crate_json(crates: DataFrame, tracks: DataFrame) -> DataFrame:
     """``session_id, json``: each session with its tracks in order and simple statistics."""
     one = crates.join(tracks.select("trackid", "title", "artist", "bpm", "key"), "trackid")
     ordered = F.array_sort(F.collect_list(F.struct("position", "trackid", "title", "artist", "bpm", "key")))
-    grouped = one.groupBy("session_id").agg(ordered.alias("tracks"), F.struct(F.count("*").alias("track_count"), (F.count("*") * 4).alias("minutes"), F.round(F.avg("bpm")).alias("mean_bpm")).alias("stats"))
+    grouped = one.groupBy("session_id").agg(ordered.alias("tracks"), F.struct(F.count("*").alias("track_count"), (F.count("*") * 4).alias("minutes"), F.round(F.round(F.avg("bpm"), 6)).alias("mean_bpm")).alias("stats"))
     return grouped.select("session_id", F.to_json(F.struct("session_id", "tracks", "stats")).alias("json"))
 
 

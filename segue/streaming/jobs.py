@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from segue.operators.tables import init_labels, latest
@@ -11,18 +11,24 @@ VOTE = "event_id LONG, trackid LONG, tag STRING, weight_delta DOUBLE, ts TIMESTA
 
 
 def skip_existing(files: DataFrame, tracks: DataFrame) -> DataFrame:
-    """``files`` with ``status``: ``failed`` without a path, ``skipped`` if the path is known, else ``uploaded``."""
+    """``files`` with ``status``: ``failed`` without a path, ``skipped`` if the path is known or came before in ``files``, else ``uploaded``.
+
+    Of several rows with a path the first by its columns counts; each row without a path fails on its own.
+    """
     known = tracks.select("filepath").where("filepath is not null").distinct().withColumn("known", F.lit(True))
-    status = F.when(F.col("filepath").isNull(), "failed").when(F.col("known"), "skipped").otherwise("uploaded")
-    return files.join(known, "filepath", "left").withColumn("status", status).drop("known")
+    named, nameless = files.where("filepath is not null"), files.where("filepath is null").withColumn("status", F.lit("failed"))
+    again = F.row_number().over(Window.partitionBy("filepath").orderBy(*(c for c in files.columns if c != "filepath"))) > 1
+    status = F.when(F.col("known") | F.col("again"), "skipped").otherwise("uploaded")
+    judged = named.withColumn("again", again).join(known, "filepath", "left").withColumn("status", status).drop("known", "again")
+    return judged.select(*nameless.columns).unionByName(nameless)
 
 
 def ingest_tracks(spark: SparkSession, source: str, schema: str, tracks_path: str, labels_path: str, log_path: str, checkpoint: str) -> StreamingQuery:
     """New track rows from a folder of Parquet files: known paths are skipped, the rest is appended with empty labels.
 
-    Each batch is written under its own number, by overwriting, so a batch that runs again after a failure changes nothing.
+    Each batch is written under its own number, by overwriting, so a batch that runs again after a failure changes nothing. Paths
+    are compared with the table, so the stream itself keeps no state.
     """
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
 
     def batch(df: DataFrame, number: int) -> None:
         session = df.sparkSession
@@ -35,16 +41,16 @@ def ingest_tracks(spark: SparkSession, source: str, schema: str, tracks_path: st
         judged = skip_existing(df, before)
         fresh = judged.where("status = 'uploaded'").select(df.columns)
         for out, path in ((fresh, tracks_path), (init_labels(fresh), labels_path), (judged.groupBy("status").count(), log_path)):
-            out.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").partitionBy("batch").parquet(path)
+            out.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
-    stream = spark.readStream.schema(schema).parquet(source).dropDuplicates(["filepath"])
+    stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def ingest_votes(spark: SparkSession, source: str, table_path: str, checkpoint: str) -> StreamingQuery:
     """The latest vote of each track and tag, kept in ``table_path/batch=N``: the newest batch is the whole table.
 
-    There is no watermark: a vote that comes late counts like any other, and repeated events change nothing in the merge.
+    Batches older than the one before it are deleted. There is no watermark: a vote that comes late counts like any other, and repeated events change nothing in the merge.
     """
 
     def batch(df: DataFrame, number: int) -> None:
@@ -59,6 +65,13 @@ def ingest_votes(spark: SparkSession, source: str, table_path: str, checkpoint:
             base = session.createDataFrame([], df.schema)
         merged = latest(base.unionByName(df), ["trackid", "tag"], [F.desc("ts"), F.desc("event_id")])
         merged.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table_path)
+        jvm = session.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(table_path)
+        fs = root.getFileSystem(session.sparkContext._jsc.hadoopConfiguration())
+        for found in fs.listStatus(root):  # a folder for each batch that is left
+            name = found.getPath().getName()
+            if name.startswith("batch=") and int(name[6:]) < number - 1:
+                fs.delete(found.getPath(), True)
 
     stream = spark.readStream.schema(VOTE).parquet(source)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

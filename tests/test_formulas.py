@@ -23,6 +23,10 @@ def test_harmonic(spark, profile, want):
     pairs = [("8A", "8A"), ("8A", "8B"), ("12A", "1A"), ("12A", "1B"), ("1A", "11A"), ("1A", "6A"), ("1A", None)]
     assert values(spark, pairs, "a string, b string", keys.harmonic(F.col("a"), F.col("b"), profile)) == want
     assert values(spark, [("Am", "Am"), ("Am", "8A")], "a string, b string", keys.compatible(F.col("a"), F.col("b"))) == [True, False]
+    spelled = [("Am", "8A"), ("Am", "C major"), ("H", "8A"), ("H", "H"), ("13A", "13A"), ("", "8A")]
+    same, relative, *_, other, missing = want
+    meant = [same, relative, missing, missing, missing, missing] if profile in keys.SPELLED else [other, other, other, same, same, missing]
+    assert values(spark, spelled, "a string, b string", keys.harmonic(F.col("a"), F.col("b"), profile)) == meant
 
 
 def test_bpm(spark):
@@ -152,3 +156,43 @@ def test_files(spark, tmp_path):
     tracks = spark.createDataFrame([(1, "A", "T", "/p.mp3", None), (2, None, None, "/q.mp3", 99)], "trackid long, artist string, title string, filepath string, duration int")
     crates = spark.createDataFrame([(7, 1, 1), (7, 0, 2)], "session_id long, position int, trackid long")
     assert writers.m3u(crates, tracks).first().m3u == "#EXTM3U\n#EXTINF:99,Unknown Artist - Unknown Title\n/q.mp3\n#EXTINF:240,A - T\n/p.mp3"
+
+
+def test_predicted_energy_needs_weight(spark):
+    labels = spark.createDataFrame([(1, ["x"], None, 4.0), (2, [], [], 8.0), (3, ["y"], None, None), (4, None, ["z"], 6.0)], "trackid long, semantic_tags array<string>, vibe array<string>, energy double")
+    near = [("sum", 1, 0.5), ("sum", 2, 0.5), ("cancel", 1, 0.4), ("cancel", 4, -0.4), ("below", 1, -0.5), ("below", 2, 0.2), ("untagged", 2, 0.9), ("no energy", 3, 0.9)]
+    knn = spark.createDataFrame(near, "seed string, neighbour long, sim double")
+    assert {r.seed: r.energy for r in tags.predict_energy(knn, labels).collect()} == {"sum": 6.0, "cancel": None, "below": None, "untagged": None, "no energy": None}
+
+
+def test_artist_edges_across_ranges(spark):
+    df = spark.createDataFrame([(i, None if i % 3 else f"a{i % 2}") for i in range(40)], "trackid long, artist string")
+    one, many = ({tuple(r) for r in sequences.artist_edges(df, n).collect()} for n in (1000, 7))
+    assert one == many and len(one) == 40 - 3
+
+
+def test_ingest_counts_rows_without_a_path(spark):
+    from segue.streaming.jobs import skip_existing
+
+    files = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "a"), (5, "b")], "trackid long, filepath string")
+    got = skip_existing(files, spark.createDataFrame([(9, "b")], "trackid long, filepath string"))
+    assert sorted((r.trackid, r.status) for r in got.collect()) == [(1, "failed"), (2, "failed"), (3, "uploaded"), (4, "skipped"), (5, "skipped")]
+
+
+def test_blocks_do_not_change_relaxation(spark):
+    from segue.operators import scoring
+
+    labels = spark.createDataFrame([(i, [f"T{i % 4}", f"t{i % 3}", "all"] if i % 7 else None, [f"v{i % 2}"], float(i % 11) if i % 5 else None) for i in range(80)], "trackid long, semantic_tags array<string>, vibe array<string>, energy double")
+    tracks = spark.createDataFrame([(i, 100.0 + i if i % 6 else None) for i in range(80)], "trackid long, bpm double")
+    requests = spark.createDataFrame([(i, {f"t{i % 4}": 0.9, "All": 0.3}, {"v1": 1.0}, 0.2 if i % 2 else None, 0.7 if i % 2 else None, 110.0 if i % 3 else None, 150.0 if i % 3 else None, 1 + i % 6) for i in range(20)], "request_id long, tag_scores map<string,double>, vibe_scores map<string,double>, energy_low double, energy_high double, bpm_low double, bpm_high double, track_count int")
+    one, many = ({tuple(r) for r in scoring.relaxation_search(requests, labels, tracks, b).collect()} for b in ((1024, 8192), (3, 7)))
+    assert one == many and {r[0] for r in one} == set(range(20))
+
+
+def test_discover_files(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    for name in ("a/x.MP3", "a/b/y.flac", "z.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    found = readers.discover_files(spark, str(tmp_path))
+    assert sorted(r.path.rsplit("/", 1)[1] for r in found.collect()) == ["x.MP3", "y.flac"]
+    assert {r.copies for r in readers.file_hashes(found).collect()} == {2}
