@@ -5,9 +5,9 @@ vocabulary, have the same form (bigrams, interpolated with smoothed unigrams) an
 the target model the documents given as in-domain, the background model all others. The score is the mean over a document's
 tokens of the background model's log-probability minus the target model's, so lower scores are nearer to the target.
 
-``cross_entropy_difference`` takes every token of the documents into the vocabulary. Counts of pairs and of tokens
-are summed by ranges of keys and grow with the input. Tokens and pairs are told apart by 64-bit hashes. ``train`` and ``score`` are the same models in dense form for a small closed vocabulary (the most
-frequent tokens, ties going to the smaller one, and one symbol for all others); the query does not use them.
+Every token of the documents is in the vocabulary, and every document is counted. Counts of pairs and of tokens are summed by ranges
+of keys and grow with the input. Tokens and pairs are told apart by 64-bit hashes. A document's own tokens are part of the model
+that it is scored against, so documents that occur often are near to it.
 
 A null or empty text has no tokens and the score 0; equal texts have equal scores; an empty table gives an empty result, and
 a target without documents a uniform model.
@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from segue.llm.common import id_text, mapped, written
 
-VOCABULARY = 1024
 #: Differences of log-probabilities are summed as whole numbers of this part.
 UNIT = 2**30
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
@@ -37,73 +36,6 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
-    """The most frequent tokens; counts are summed per task before they are shuffled."""
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
-        found: Counter[str] = Counter()
-
-        def sent() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["token", "n"])
-            found.clear()
-            return b
-
-        for b in batches:
-            for text in b.column(1).to_pylist():
-                found.update(tokens(text))
-                if len(found) > 400_000:  # memory stays bounded; what was counted goes on to the shuffle
-                    yield sent()
-        yield sent()
-
-    summed = id_text(docs).mapInArrow(counts, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return [r["token"] for r in summed.orderBy(F.desc("n"), "token").limit(size - 1).collect()]
-
-
-def _indexed(text: str, index: dict[str, int]) -> np.ndarray:
-    """Vocabulary numbers with the start mark (0) in front; 1 is any other token."""
-    get = index.get
-    return np.array([0, *[get(t, 1) for t in tokens(text)]], np.int32)
-
-
-def pair_counts(docs: DataFrame, words: list[str]) -> DataFrame:
-    """``target, pair, n``: token pairs of the texts, counted per value of ``docs.target``."""
-    index = {w: i + 2 for i, w in enumerate(words)}
-    n = len(words) + 2
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, n * n), np.uint32)
-        for b in batches:
-            held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
-            for text, target in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at = _indexed(text, index)
-                held[int(target)].append(at[:-1].astype(np.int64) * n + at[1:])
-            for k in (0, 1):
-                if held[k]:
-                    pairs, times = np.unique(np.concatenate(held[k]), return_counts=True)
-                    total[k][pairs] += times.astype(np.uint32)
-        for k in (0, 1):
-            pairs = np.flatnonzero(total[k])
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), bool(k))), pa.array(pairs), pa.array(total[k][pairs].astype(np.int64))], names=["target", "pair", "n"])
-
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("target", F.lit(False)).alias("target"))
-    return texts.mapInArrow(counts, "target boolean, pair long, n long").groupBy("target", "pair").agg(F.sum("n").alias("n"))
-
-
-def log_table(pairs: np.ndarray, times: np.ndarray, n: int, weight: float = 0.7) -> np.ndarray:
-    """Log-probabilities of the second token after the first, ``n`` by ``n``."""
-    table = np.zeros(n * n, np.float64)
-    table[pairs] = times
-    table = table.reshape(n, n)
-    single = table.sum(axis=0) + 0.5
-    single /= single.sum()
-    first = table.sum(axis=1, keepdims=True)
-    share = weight * first / (first + 5.0)  # a token seldom seen says little about what follows it
-    return np.log(share * table / np.maximum(first, 1) + (1 - share) * single).astype(np.float32)
-
-
 def _marked(docs: DataFrame, target_ids: DataFrame, few_ids: int) -> DataFrame:
     """``doc_id, text, target`` for each row."""
     ids = target_ids.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True))
@@ -114,35 +46,6 @@ def _marked(docs: DataFrame, target_ids: DataFrame, few_ids: int) -> DataFrame:
     return marked.withColumn("target", F.coalesce("target", F.lit(False)))
 
 
-def train(docs: DataFrame, target_ids: DataFrame, size: int = VOCABULARY, few_ids: int = 1_000_000) -> tuple[list[str], np.ndarray]:
-    """The vocabulary and the table of log-probability differences, background minus target."""
-    words = vocabulary(docs, size)
-    n = len(words) + 2
-    marked = _marked(docs, target_ids, few_ids)
-    counted = pair_counts(marked, words).toArrow()  # at most 2 * n * n rows
-    target, pair, times = (counted.column(c).to_numpy() for c in ("target", "pair", "n"))
-    tables = [log_table(pair[target == k], times[target == k], n) for k in (True, False)]
-    return words, tables[1] - tables[0]
-
-
-def score(docs: DataFrame, words: list[str], table: np.ndarray) -> DataFrame:
-    """``doc_id, n_tokens, difference`` for each row."""
-    spark = docs.sparkSession
-    n = len(words) + 2
-    shared = spark.sparkContext.broadcast((words, table))  # a fixed size: the square of the vocabulary
-
-    def rows(source: Iterator[tuple]) -> Iterator[tuple]:
-        known, flat = shared.value
-        index = {w: i + 2 for i, w in enumerate(known)}
-        flat = flat.ravel()
-        for doc_id, text in source:
-            at = _indexed(text, index).astype(np.int64)
-            m = len(at) - 1
-            yield doc_id, m, float(flat[at[:-1] * n + at[1:]].astype(np.float64).mean()) if m else 0.0
-
-    return mapped(id_text(docs), rows, "doc_id long, n_tokens long, difference double")
-
-
 def _hashes(text: str) -> np.ndarray:
     """A 64-bit hash for each token, the start mark (0) in front."""
     found = tokens(text)
@@ -243,7 +146,7 @@ def _replies(requests: DataFrame) -> DataFrame:
 
 
 def _differences(found: list, places: tuple, counts: list[tuple[np.ndarray, np.ndarray]], totals: list[int], symbols: int, weight: float = 0.7) -> np.ndarray:
-    """The difference of log-probabilities for each pair of a batch; the form is that of ``log_table``."""
+    """The difference of log-probabilities for each pair of a batch; a bigram's share is ``weight`` of what its first token was seen, less for rare ones, and smoothed unigrams have the rest."""
     logs = []
     for k in (0, 1):
         pair, first, second = counts[0][k], counts[1][k][places[1]], counts[2][k][places[2]]

@@ -1,50 +1,8 @@
-"""Language-model scores against direct counts, licence findings on planted lines."""
+"""Licence findings on planted lines."""
 
-import math
-import random
-from collections import Counter
-
-import numpy as np
 from pyspark.sql import functions as F
 
-from segue.llm import cross_entropy, license_scan
-
-
-def test_cross_entropy_difference(spark):
-    r = random.Random(1)
-    near, far = ["alpha", "beta", "gamma", ","], ["delta", "beta", "zeta", "."]
-    docs = [(i, " ".join(r.choice(near if i % 2 else far) for _ in range(40))) for i in range(60)] + [(90, None), (91, ""), (92, "Alpha alpha"), (None, "beta"), (1, "alpha beta")]
-    df = spark.createDataFrame([(i, t, True) for i, t in docs], "doc_id long, text string, target boolean").repartition(3)
-    ids = spark.createDataFrame([(i,) for i in range(1, 60, 2)], "doc_id long")
-    words, table = cross_entropy.train(df, ids, size=6)
-    counts = Counter(t for _, x in docs for t in cross_entropy.tokens(x or ""))
-    assert words == [w for w, _ in sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:5]]
-    n = len(words) + 2
-    number = {w: i + 2 for i, w in enumerate(words)}
-
-    def log(chosen):
-        seqs = [[0, *(number.get(t, 1) for t in cross_entropy.tokens(x or ""))] for x in chosen]
-        pair = Counter(p for s in seqs for p in zip(s, s[1:], strict=False))
-        first, second = Counter(), Counter()
-        for (a, b), c in pair.items():
-            first[a] += c
-            second[b] += c
-        total = sum(second.values()) + 0.5 * n
-        return lambda a, b: math.log(0.7 * first[a] / (first[a] + 5) * pair[a, b] / max(1, first[a]) + (1 - 0.7 * first[a] / (first[a] + 5)) * (second[b] + 0.5) / total)
-
-    odd = set(range(1, 60, 2))
-    target, background = log([t for i, t in docs if i in odd]), log([t for i, t in docs if i not in odd])
-    for a in range(n):
-        for b in range(n):
-            assert abs(table[a, b] - (background(a, b) - target(a, b))) < 1e-4
-    got = cross_entropy.score(df, words, table).collect()
-    assert len(got) == len(docs)
-    by = {x.doc_id: x for x in got}
-    assert by[90].difference == by[91].difference == 0 and by[92].n_tokens == 2
-    assert np.mean([by[i].difference for i in range(3, 60, 2)]) < 0 < np.mean([by[i].difference for i in range(0, 60, 2)])
-    # shuffled join of many target ids
-    assert np.allclose(cross_entropy.train(df, ids, 6, few_ids=1)[1], table)
-    assert cross_entropy.score(df.limit(0), *cross_entropy.train(df.limit(0), ids)).collect() == []
+from segue.llm import license_scan
 
 
 def test_licences(spark):
