@@ -14,6 +14,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from segue.llm.common import sample
+
 #: The base patterns by kind, with the least length of what the group captures.
 #: For ``access`` and ``hex`` a run's length is part of the pattern: a run is matched whole from its start, so a failing run hides none that passes.
 BASE = (
@@ -83,23 +85,37 @@ def ratio(token: Column, table: list[float]) -> Column:
 
 
 def corpus_samples(docs: DataFrame, sample_docs: int = 2000) -> DataFrame:
-    """Labelled samples ``token, random`` from about ``sample_docs`` documents, drawn by a hash of the id.
+    """Labelled samples ``token, random`` from at most ``sample_docs`` documents, drawn by a hash of id and text.
 
-    Ordinary identifiers are the documents' words outside base spans; random strings are the values of base spans and,
-    since these show few alphabets, digests of the ids in hexadecimal (either case), Base64 and Base64 without signs.
+    Ordinary identifiers are the documents' words outside base spans, and four of them at a time, at some forty places all over a
+    text, joined as names are: in camel
+    case, with ``_``, ``-`` or ``/``, and in capitals; and days and versions. Random strings are the values of base spans and, since
+    these show few alphabets, digests of the texts in hexadecimal (either case), Base64, Base64 without signs, letters and
+    digits of one case, and digits.
     """
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    some = base_spans(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)))
+    some = base_spans(sample(docs, sample_docs))
     pattern = "|".join(f"(?:{p})" for _, p, *_ in BASE)
-    words = some.select(F.explode(F.regexp_extract_all(F.regexp_replace("text", pattern, " "), F.lit(r"[A-Za-z0-9+/_=-]{6,}"), F.lit(0))).alias("token"), F.lit(False).alias("random"))
+    rest = F.regexp_replace("text", pattern, " ")
+    words = some.select(F.explode(F.regexp_extract_all(rest, F.lit(r"[A-Za-z0-9+/_=-]{6,}"), F.lit(0))).alias("token"), F.lit(False).alias("random"))
+    plain = F.filter(F.regexp_extract_all(F.lower(rest), F.lit(r"[a-z]{2,12}"), F.lit(0)), lambda w: F.length(w) > 0)
+    listed = some.select(plain.alias("w"), F.abs(F.xxhash64("doc_id", "text") % 10_000).alias("n")).where("size(w) >= 4")
+    fours = listed.select("n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - 3, F.greatest(F.lit(4), F.ceil(F.size("w") / 40).cast("int"))), lambda i: F.slice("w", i, 4))).alias("i", "w"))
+    titled = F.transform("w", lambda x: F.initcap(x))
+    day = F.concat_ws("-", (2000 + F.col("n") % 30).cast("string"), F.lpad((1 + F.col("i") % 12).cast("string"), 2, "0"), F.lpad((1 + F.col("n") % 28).cast("string"), 2, "0"))
+    named = F.array(
+        F.array_join(titled, ""), F.concat(F.element_at("w", 1), F.array_join(F.slice(titled, 2, 3), "")), F.array_join("w", "_"), F.array_join("w", "-"), F.array_join("w", "/"), F.upper(F.array_join("w", "_")),
+        F.concat(F.lit("/"), F.array_join("w", "/"), F.lit("/"), day), F.concat(F.array_join(F.slice("w", 1, 2), "_"), F.lit("_"), day), F.concat(F.array_join(F.slice(titled, 1, 3), ""), (F.col("i") % 10).cast("string")),
+    )
+    made = fours.select(F.explode(named).alias("token"), F.lit(False).alias("random"))
     known = some.select(F.explode(F.concat(*(F.transform(k, lambda s: s["value"]) for k, *_ in BASE))).alias("token"), F.lit(True).alias("random"))
-    digest = F.sha2(F.col("doc_id").cast("string"), 256)
-    plain = F.base64(F.unhex(digest))
-    drawn = some.select(F.explode(F.array(digest, F.upper(digest), plain, F.regexp_replace(plain, "[+/=]", ""))).alias("token"), F.lit(True).alias("random"))
-    return words.unionByName(known).unionByName(drawn)
+    digest = F.sha2(F.concat_ws("/", F.col("doc_id").cast("string"), "text"), 256)
+    base64 = F.base64(F.unhex(digest))
+    bare = F.regexp_replace(base64, "[+/=]", "")
+    drawn = some.select(F.explode(F.array(digest, F.upper(digest), base64, bare, bare, F.upper(bare), F.lower(bare), F.regexp_replace(F.conv(F.substring(digest, 1, 15), 16, 10), "^0+", ""), F.translate(digest, "abcdef", "147036"))).alias("token"), F.lit(True).alias("random"))
+    return words.unionByName(made).unionByName(known).unionByName(drawn)
 
 
-def scan(docs: DataFrame, table: list[float], least_total: float = 12.0, least_mean: float = 0.4, keep: tuple[str, ...] = ()) -> DataFrame:
+def scan(docs: DataFrame, table: list[float], least_total: float = 30.0, least_mean: float = 2.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, text``, further columns to ``keep``, and ``assign, access, hex, random``: arrays of ``(start, end, value)``.
 
     ``random`` holds tokens of 20 or more characters whose ratio reaches both limits and that touch no base span.

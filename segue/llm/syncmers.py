@@ -116,17 +116,18 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
-def edit_comparison(docs: DataFrame, rows_per_bucket: int = 1500, k: int = K, s: int = S) -> DataFrame:
+def edit_comparison(docs: DataFrame, rows_per_bucket: int = 1500, most_ranges: int = 65_536, k: int = K, s: int = S) -> DataFrame:
     """Fingerprints of each text and of its edited text, compared with each other and with the next document's.
 
     The next document has the next smaller ``doc_id``; after the last comes the first. Null ids come last and equal ids
     by text. Texts are dealt once, by ranges of ids: each range also gets the first document of the range that follows,
-    so no window spans the table. The driver sees one id per range.
+    so no window spans the table. The driver sees one id per range, ``most_ranges`` at most; beyond that ranges grow, and Spark
+    sorts each on disk.
     """
     spark, texts = docs.sparkSession, id_text(docs)
     ids = texts.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"))
     n = ids.count()
-    ranges = max(1, min(4096, n // rows_per_bucket))
+    ranges = max(1, min(most_ranges, n // rows_per_bucket))
     bounds = sorted(set(ids.approxQuantile("key", [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
     cuts = np.array(bounds[::-1])
 
@@ -142,10 +143,10 @@ def edit_comparison(docs: DataFrame, rows_per_bucket: int = 1500, k: int = K, s:
     if lead is None:
         dealt = keyed.select("range", F.lit(False).alias("lead"), "key", "doc_id", "text")
     else:
-        also = F.broadcast(lead)  # a row per range, 4096 at most
+        also = F.broadcast(lead)  # a row per range, most_ranges at most
         copies = F.filter(F.array(F.struct("range", F.lit(False).alias("lead")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("range"), F.lit(True).alias("lead")))), lambda x: x.isNotNull())
         dealt = keyed.join(also, "key", "left").select(F.inline(copies).alias("range", "lead"), "key", "doc_id", "text")
-    parts = max(1, min(ranges, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = max(1, min(ranges, max(int(spark.conf.get("spark.sql.shuffle.partitions")), ranges // 8)))
     dealt = dealt.repartition(parts, "range").sortWithinPartitions("range", "lead", F.desc("key"), "text")
 
     def rows(source: Iterator[tuple]) -> Iterator[tuple]:
