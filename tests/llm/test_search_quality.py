@@ -60,3 +60,57 @@ def test_quality_of_odd_rows(spark):
     nothing = mil_quality.score(docs, mil_quality.train(docs, labels.limit(0))).collect()
     assert {x.score for x in nothing} == {0.5}
     assert mil_quality.score(docs.limit(0), mil_quality.train(docs, labels)).collect() == []
+
+
+def test_attention_and_gradients_against_plain_sums():
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(90)]
+    bags = [mil_quality.passages(" ".join(r.choice(vocabulary) for _ in range(n))) for n in (1, 64, 65, 300)]
+    y = np.array([0, 1, 1, 0], np.float32)
+    model = mil_quality.fit(bags, y, epochs=2, batch=4)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    p, shown = model.p, []
+    for bag in bags:
+        hidden, weight = [], []
+        for i in range(len(bag.dense)):
+            own = bag.grams[bag.starts[i] : bag.starts[i + 1] if i + 1 < len(bag.starts) else None]
+            x = np.clip((bag.dense[i] - p["mean"]) / p["scale"], -8, 8)
+            h = np.tanh(x @ p["w1"] + sum(p["word"][g] for g in own) / len(own) @ p["w2"] + p["b1"])
+            gate = np.tanh(h @ p["v"]) / (1 + np.exp(-(h @ p["u"])))
+            hidden.append(h)
+            weight.append(np.exp(gate @ p["a"]))
+        z = sum(w * h for w, h in zip(weight, hidden, strict=True)) / sum(weight)
+        shown.append(1 / (1 + np.exp(-(z @ p["c"] + p["c0"][0]))))
+        assert abs(model.score(bag) - shown[-1]) < 1e-9
+    assert np.allclose(model.forward(bags)["y"], shown)
+
+    def loss():
+        q = model.forward(bags)["y"]
+        return -np.mean(y * np.log(q) + (1 - y) * np.log(1 - q))
+
+    grads, rows, each = model.gradients(bags, y)
+    for k, g in [*grads.items(), ("word", None)]:
+        for _ in range(4):
+            at = (r.choice(rows.tolist()), r.randrange(mil_quality.EMBED)) if k == "word" else tuple(r.randrange(n) for n in p[k].shape)
+            want = each[rows.tolist().index(at[0]), at[1]] if k == "word" else g[at]
+            p[k][at] += 1e-5
+            up = loss()
+            p[k][at] -= 2e-5
+            down = loss()
+            p[k][at] += 1e-5
+            assert abs((up - down) / 2e-5 - want) < 1e-6
+    assert [b.tolist() for b in mil_quality.passages("")] == [[[0.0] * mil_quality.FEATURES], [0], [0]]
+
+
+def test_words_are_seen():
+    """Labels that only a word tells, in texts whose characters and lengths are alike."""
+    r = random.Random(6)
+    vocabulary = [f"{a}{b}" for a in "bcdfgklmnprst" for b in ("ale", "ine", "ort", "ump")]
+    docs = [[r.choice(vocabulary) for _ in range(150)] for _ in range(600)]
+    labels = np.array([i % 2 for i in range(600)])
+    for words, label in zip(docs, labels, strict=True):
+        for _ in range(10):
+            words[r.randrange(150)] = "tumble" if label else "bulmet"
+    bags = [mil_quality.passages(" ".join(w)) for w in docs]
+    model = mil_quality.fit(bags[:500], labels[:500], epochs=20)
+    assert sum((model.score(b) >= 0.5) == k for b, k in zip(bags[500:], labels[500:], strict=True)) >= 95
