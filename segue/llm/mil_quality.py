@@ -126,8 +126,8 @@ class AttentionModel:
         return float(self.forward([bag])["y"][0])
 
 
-def fit(bags: list[Bag], labels: np.ndarray, epochs: int = 5, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 1) -> AttentionModel:
-    """Adam on the cross-entropy of document labels, some bags at a time; the rate falls in a straight line. Word vectors change only where they occur."""
+def fit(bags: list[Bag], labels: np.ndarray, epochs: int = 5, least_steps: int = 200, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 1) -> AttentionModel:
+    """Adam on the cross-entropy of document labels, some bags at a time, for ``epochs`` rounds or ``least_steps`` steps, whichever is more; the rate falls in a straight line. Word vectors change only where they occur."""
     r = np.random.default_rng(seed)
     p = {k: (r.normal(size=s) / np.sqrt(s[0])).astype(np.float32) for k, s in (("w1", (FEATURES, HIDDEN)), ("w2", (EMBED, HIDDEN)), ("v", (HIDDEN, GATE)), ("u", (HIDDEN, GATE)), ("a", (GATE,)), ("c", (HIDDEN,)))}
     p |= {"word": (0.05 * r.normal(size=(BUCKETS, EMBED))).astype(np.float32), "b1": np.zeros(HIDDEN, np.float32), "c0": np.zeros(1, np.float32), "mean": np.zeros(FEATURES, np.float32), "scale": np.ones(FEATURES, np.float32)}
@@ -137,6 +137,7 @@ def fit(bags: list[Bag], labels: np.ndarray, epochs: int = 5, batch: int = 64, r
     p |= {"mean": dense.mean(axis=0), "scale": dense.std(axis=0) + 1e-3}
     model, y = AttentionModel(p), labels.astype(np.float32)
     moments = {k: (np.zeros_like(p[k]), np.zeros_like(p[k])) for k in ("w1", "w2", "b1", "v", "u", "a", "c", "c0", "word")}
+    epochs = max(epochs, -(-least_steps // -(-len(bags) // batch)))
     steps, t = epochs * -(-len(bags) // batch), 0
     for _ in range(epochs):
         for some in np.array_split(r.permutation(len(bags)), -(-len(bags) // batch)):
