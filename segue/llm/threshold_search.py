@@ -70,7 +70,7 @@ class SortedLists:
         return self.ids[at[best]], scores[best]
 
 
-def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, candidate_block: int = 8192, query_block: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, candidate_block: int = 4096, query_block: int = 1024) -> DataFrame:
     """``query_id, rank, vec_id, score`` of each row whose id is divisible by ``every``, against all rows."""
     known = rounded(vectors, scale).withColumn("width", F.size("v"))
     asked = known.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
@@ -78,7 +78,7 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, can
     query_blocks = max(1, -(-asked.count() // query_block))
     own = known.select("width", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("asking"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "vec_id", "v")
     asking = asked.select("width", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("asking"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "vec_id", "v")
-    dealt = own.unionByName(asking).repartition("width", "asking", "block").sortWithinPartitions("width", "asking", "block", "asks", "vec_id")
+    dealt = own.unionByName(asking).repartition(blocks * query_blocks, "width", "asking", "block").sortWithinPartitions("width", "asking", "block", "asks", "vec_id")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, ids, rows, lists = None, [], [], None
