@@ -22,8 +22,7 @@ def op2_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = secret_scan.train(secret_scan.corpus_samples(docs))
-    return secret_scan.digests(secret_scan.scan(docs, model))
+    return secret_scan.digests(secret_scan.scan(docs, secret_scan.corpus_model(docs)))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from segue.llm.common import sample
+from segue.llm.common import sample, scratch, written
 
 #: The base patterns by kind, with the least length of what the group captures.
 #: For ``access`` and ``hex`` a run's length is part of the pattern: a run is matched whole from its start, so a failing run hides none that passes.
@@ -85,7 +85,7 @@ def ratio(token: Column, table: list[float]) -> Column:
 
 
 def corpus_samples(docs: DataFrame, sample_docs: int = 2000) -> DataFrame:
-    """Labelled samples ``token, random`` from at most ``sample_docs`` documents, drawn by a hash of id and text.
+    """Labelled samples ``token, random`` (to be used inside a ``scratch`` block, where the sample is written) from at most ``sample_docs`` documents, drawn by a hash of id and text.
 
     Ordinary identifiers are the documents' words outside base spans, and four of them at a time, at some forty places all over a
     text, joined as names are: in camel
@@ -93,7 +93,7 @@ def corpus_samples(docs: DataFrame, sample_docs: int = 2000) -> DataFrame:
     these show few alphabets, digests of the texts in hexadecimal (either case), Base64, Base64 without signs, letters and
     digits of one case, and digits.
     """
-    some = base_spans(sample(docs, sample_docs))
+    some = base_spans(written(sample(docs.select("doc_id", "text"), sample_docs)).repartition(16))
     pattern = "|".join(f"(?:{p})" for _, p, *_ in BASE)
     rest = F.regexp_replace("text", pattern, " ")
     words = some.select(F.explode(F.regexp_extract_all(rest, F.lit(r"[A-Za-z0-9+/_=-]{6,}"), F.lit(0))).alias("token"), F.lit(False).alias("random"))
@@ -115,6 +115,12 @@ def corpus_samples(docs: DataFrame, sample_docs: int = 2000) -> DataFrame:
     return words.unionByName(made).unionByName(known).unionByName(drawn)
 
 
+def corpus_model(docs: DataFrame, sample_docs: int = 2000) -> list[float]:
+    """``train`` on ``corpus_samples``."""
+    with scratch(docs.sparkSession):
+        return train(corpus_samples(docs, sample_docs))
+
+
 def scan(docs: DataFrame, table: list[float], least_total: float = 30.0, least_mean: float = 2.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, text``, further columns to ``keep``, and ``assign, access, hex, random``: arrays of ``(start, end, value)``.
 
