@@ -45,7 +45,7 @@ def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; every document stays."""
-    model = secret_scan.train(secret_scan.corpus_samples(docs))
+    model = secret_scan.corpus_model(docs)
     scanned = secret_scan.scan(docs.drop("n_chars"), model, keep=("lang", "source"))
     return secret_scan.masked(scanned, keep=("lang", "source")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
