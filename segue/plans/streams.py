@@ -12,8 +12,12 @@ from segue.streaming import jobs
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint folder, or a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new folder in the cluster's shared checkpoint folder, or a temporary one where none is set and all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/streams-{uuid.uuid4().hex}"
 
 
