@@ -104,19 +104,22 @@ def _buckets(members: DataFrame) -> DataFrame:
 
 
 def _with_few(df: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
-    """``df`` joined with a table of ids: broadcast up to ``most`` ids (8 MB), by a shuffle beyond."""
-    return df.join(F.broadcast(ids) if ids.count() <= most else ids, key)
+    """The rows of ``df`` whose key is among the ids: broadcast up to ``most`` ids (8 MB, repeats counted), by a shuffle of the distinct ones beyond."""
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids.distinct(), key, "left_semi")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """``doc_id, found``: the full sets of some documents, made again from their texts."""
+    """``doc_id, found``: the full sets of some documents, made again from their texts, dealt by ``doc_id``.
+
+    The result is a plan, not a table: who joins it by ``doc_id``, once or more often, takes it from its one shuffle.
+    """
 
     def made(source: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in source:
             yield doc_id, shingle_set(text, width).tobytes()
 
-    wanted = _with_few(id_text(docs), written(ids.distinct()), "doc_id")
-    return written(mapped(wanted.select("doc_id", "text"), made, "doc_id long, found binary").dropDuplicates(["doc_id"]))
+    wanted = _with_few(id_text(docs), written(ids), "doc_id")
+    return mapped(wanted.select("doc_id", "text"), made, "doc_id long, found binary").dropDuplicates(["doc_id"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -319,20 +322,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block: i
         ends = buckets.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low != high")
         shared = written(buckets.join(ends, "bucket"))
         # Of the documents that begin or end its buckets, a member is first verified against those with which it shares the most.
-        stars = None
-        for end in ("low", "high"):
-            counted = shared.where(F.col("rep") != F.col(end)).groupBy("rep", F.col(end).alias("other")).agg(F.count("*").alias("n"))
-            most = counted.groupBy("rep").agg(F.max_by("other", F.struct("n", "other")).alias("other"))
-            pairs = most.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
-            stars = pairs if stars is None else stars.unionByName(pairs).distinct()
+        # A member has a row for each band, so its rows are dealt by it once and counted where they land.
+        dealt = shared.select("rep", "low", "high").repartition("rep").select("rep", F.posexplode(F.array("low", "high")).alias("end", "other")).where("rep != other")
+        most = dealt.groupBy("rep", "end", "other").agg(F.count("*").alias("n")).groupBy("rep", "end").agg(F.max_by("other", F.struct("n", "other")).alias("other"))
+        stars = most.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
         links = verified(stars, docs, width, percent)
         found = components(links)
         open_members = _open_members(shared, found)
         if open_members.limit(1).count():
-            prefixes = written(_prefixes(_sets(docs, open_members.select(F.col("rep").alias("doc_id")), width), percent))
+            prefixes = written(_prefixes(written(_sets(docs, open_members.select(F.col("rep").alias("doc_id")), width)), percent))
             for best in (True, False):
                 meeting = _labelled(prefixes, found)
-                several = meeting.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first != last").select("bucket")
+                several = written(meeting.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first != last").select("bucket"))
                 open_buckets = written(meeting.join(several, "bucket", "left_semi").join(classes.select("rep", "low"), "rep"))
                 if not open_buckets.limit(1).count():
                     break
