@@ -109,9 +109,9 @@ def _with_few(df: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000) ->
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """``doc_id, found``: the full sets of some documents, made again from their texts, dealt by ``doc_id``.
+    """``doc_id, found``: the full sets of some documents, made again from their texts.
 
-    The result is a plan, not a table: who joins it by ``doc_id``, once or more often, takes it from its one shuffle.
+    They are written, so that what joins them is a plain shuffle on both sides: Spark then splits the tasks of an id with very many pairs.
     """
 
     def made(source: Iterator[tuple]) -> Iterator[tuple]:
@@ -119,7 +119,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             yield doc_id, shingle_set(text, width).tobytes()
 
     wanted = _with_few(id_text(docs), written(ids), "doc_id")
-    return mapped(wanted.select("doc_id", "text"), made, "doc_id long, found binary").dropDuplicates(["doc_id"])
+    return written(mapped(wanted.select("doc_id", "text"), made, "doc_id long, found binary").dropDuplicates(["doc_id"]))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -330,7 +330,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block: i
         found = components(links)
         open_members = _open_members(shared, found)
         if open_members.limit(1).count():
-            prefixes = written(_prefixes(written(_sets(docs, open_members.select(F.col("rep").alias("doc_id")), width)), percent))
+            prefixes = written(_prefixes(_sets(docs, open_members.select(F.col("rep").alias("doc_id")), width), percent))
             for best in (True, False):
                 meeting = _labelled(prefixes, found)
                 several = written(meeting.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first != last").select("bucket"))
