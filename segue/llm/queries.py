@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from segue.llm import cross_entropy, license_scan, mil_quality, minhash, packing, piece_bpe, secret_scan, suffix_dedup, syncmers, threshold_search
+from segue.llm import cross_entropy, license_scan, merkle, mil_quality, minhash, packing, piece_bpe, secret_scan, suffix_dedup, syncmers, threshold_search, word_windows
 from segue.llm.common import table
 
 
@@ -57,6 +57,14 @@ def op10_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_quality.score(docs, mil_quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_word_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_windows.dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
@@ -69,6 +77,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_cross_entropy_difference": op9_cross_entropy_difference,
         "op10_attention_quality": op10_attention_quality,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_word_window_dedup": op13_word_window_dedup,
         "pipeline": corpus_pipeline.run,
     }
 
