@@ -5,12 +5,15 @@ the matches, added up, are the code-point offsets. Random strings that no base p
 Markov models (one of random strings, one of ordinary identifiers): a token counts as random if the log-likelihood ratio
 of its transitions is high, in total and on average. The models are transition counts, so they are tables of fixed size.
 
-A null text is an empty text (no spans). Rows are independent: ties, repeated rows and further columns need no rule.
+Work grows with a text's length (times the logarithm of its spans): running sums are made by doubling, never by growing an array for each
+match, and characters are split off once, never looked up by place. A null text is an empty text (no spans). Rows are independent: ties,
+repeated rows and further columns need no rule.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -29,22 +32,38 @@ TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, the value being worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, both: Callable[[Column, Column], Column], forward: bool = True) -> Column:
+    """Running results from the left (or right), by doubling: some ``n log n`` steps, where growing an array would take a square of them."""
+    way = 1 if forward else -1
+    rounds = F.when(F.size(values) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(values))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+    def step(acc: Column, k: Column) -> Column:
+        def value(x: Column, i: Column) -> Column:
+            other = F.get(acc, i - way * F.pow(F.lit(2), k).cast("int"))
+            return F.when(other.isNull(), x).otherwise(both(x, other))
+
+        return F.transform(acc, value)
+
+    return F.aggregate(rounds, values, step)
+
+
 def spans(text: Column, pattern: str, group: int = 0, least: int = 1) -> Column:
     """The pattern's matches from the left, not overlapping, as an array of ``(start, end, value)``; ``value`` is the group, of ``least`` characters or more."""
     p = F.lit(pattern)
     parts, whole, value = F.split(text, pattern, -1), F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(group))
-    ends = F.transform(F.arrays_zip(parts.alias("a"), whole.alias("b"), value.alias("c")), lambda z: F.struct(F.length(z["a"]).alias("gap"), F.length(z["b"]).alias("size"), z["c"].alias("value")))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    found = F.aggregate(
-        F.filter(ends, lambda z: z["size"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, z: F.struct(
-            (acc["at"] + z["gap"] + z["size"]).alias("at"),
-            F.when(F.length(z["value"]) >= least, F.concat(acc["out"], F.array(F.struct((acc["at"] + z["gap"]).alias("start"), (acc["at"] + z["gap"] + z["size"]).alias("end"), z["value"].alias("value"))))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    matches = F.filter(F.arrays_zip(parts.alias("a"), whole.alias("b"), value.alias("c")), lambda z: z["b"].isNotNull())
+
+    def placed(m: Column) -> Column:
+        ends = running(F.transform(m, lambda z: F.length(z["a"]) + F.length(z["b"])), lambda x, y: x + y)
+        return F.zip_with(m, ends, lambda z, e: F.struct((e - F.length(z["b"])).alias("start"), e.alias("end"), z["c"].alias("value")))
+
+    return F.when(text.rlike(pattern), F.filter(let(matches, placed), lambda s: F.length(s["value"]) >= least)).otherwise(none)
 
 
 def base_spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -53,8 +72,9 @@ def base_spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return texts.select("doc_id", "text", *keep, *(spans(F.col("text"), p, g, n).alias(k) for k, p, g, n in BASE))
 
 
-def _symbol(token: Column, i: Column) -> Column:
-    return F.instr(F.lit(SYMBOLS), token.substr(i, F.lit(1)))
+def _symbols(token: Column) -> Column:
+    """The numbers of a token's symbols."""
+    return F.transform(F.split(token, ""), lambda c: F.instr(F.lit(SYMBOLS), c))
 
 
 def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
@@ -64,8 +84,9 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     samples is the uniform model.
     """
     n = len(SYMBOLS) + 1
-    pairs = samples.where(F.length("token") > 1).select(F.col("random").cast("boolean").alias("random"), "token", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("i"))
-    counted = pairs.groupBy("random", (_symbol(F.col("token"), F.col("i")) * n + _symbol(F.col("token"), F.col("i") + 1)).alias("pair")).count()
+    coded = samples.where(F.length("token") > 1).select(F.col("random").cast("boolean").alias("random"), _symbols(F.col("token")).alias("s"))
+    pairs = F.zip_with(F.slice("s", F.lit(1), F.size("s") - 1), F.slice("s", F.lit(2), F.size("s") - 1), lambda a, b: a * n + b)
+    counted = coded.select("random", F.explode(pairs).alias("pair")).groupBy("random", "pair").count()
     table = {True: [smoothing] * (n * n), False: [smoothing] * (n * n)}
     for r in counted.collect():  # 2 * n * n rows at most
         table[r["random"]][r["pair"]] += r["count"]
@@ -81,7 +102,23 @@ def ratio(token: Column, table: list[float]) -> Column:
     """Log-likelihood ratio of a token's transitions."""
     n = len(SYMBOLS) + 1
     ratios = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.get(ratios, _symbol(token, i) * n + _symbol(token, i + 1)))
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
+    add = lambda acc, c: F.struct(c.alias("last"), (acc["sum"] + F.when(acc["last"] < 0, 0.0).otherwise(F.get(ratios, acc["last"] * n + c))).alias("sum"))
+    return F.aggregate(_symbols(token), start, add, lambda acc: acc["sum"])
+
+
+def apart(tokens: Column, others: Column) -> Column:
+    """The tokens that touch none of the others, all being spans: both are put in one order, and for each token the greatest end before it and the least start after it tell."""
+    none = F.lit(2**31 - 1)
+    both = F.array_sort(F.concat(F.transform(others, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("own"), s["end"].alias("end"), F.lit("").alias("value"))), F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), F.lit(1).alias("own"), t["end"].alias("end"), t["value"].alias("value")))))
+
+    def judged(x: Column) -> Column:
+        before = running(F.transform(x, lambda z: F.when(z["own"] == 0, z["end"]).otherwise(0)), lambda p, q: F.greatest(p, q))
+        after = running(F.transform(x, lambda z: F.when(z["own"] == 0, z["start"]).otherwise(none)), lambda p, q: F.least(p, q), forward=False)
+        kept = F.filter(F.arrays_zip(x.alias("x"), before.alias("b"), after.alias("a")), lambda z: (z["x"]["own"] == 1) & (z["b"] <= z["x"]["start"]) & (z["a"] >= z["x"]["end"]))
+        return F.transform(kept, lambda z: F.struct(z["x"]["start"].alias("start"), z["x"]["end"].alias("end"), z["x"]["value"].alias("value")))
+
+    return F.when((F.size(tokens) == 0) | (F.size(others) == 0), tokens).otherwise(let(both, judged))
 
 
 def corpus_samples(docs: DataFrame, sample_docs: int = 2000) -> DataFrame:
@@ -127,7 +164,7 @@ def scan(docs: DataFrame, table: list[float], least_total: float = 30.0, least_m
     ``random`` holds tokens of 20 or more characters whose ratio reaches both limits and that touch no base span.
     """
     based = base_spans(docs, keep)
-    tokens = based.withColumn("tokens", F.filter(spans(F.col("text"), TOKEN), lambda t: ~F.exists(F.concat(*(F.col(k) for k, *_ in BASE)), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))))
+    tokens = based.withColumn("tokens", let(spans(F.col("text"), TOKEN), lambda t: let(F.concat(*(F.col(k) for k, *_ in BASE)), lambda s: apart(t, s))))
     scored = tokens.withColumn("scored", F.transform("tokens", lambda t: F.struct(t.alias("t"), ratio(t["value"], table).alias("r"))))
     kept = F.filter("scored", lambda x: (x["r"] >= least_total) & (x["r"] >= least_mean * (F.length(x["t"]["value"]) - 1)))
     return scored.select("doc_id", "text", *keep, *(k for k, *_ in BASE), F.transform(kept, lambda x: x["t"]).alias("random"))
@@ -152,17 +189,14 @@ def digests(scanned: DataFrame) -> DataFrame:
 def masked(scanned: DataFrame, mask: str = "[SECRET]", keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, text`` with each run of overlapping spans replaced by the mask, and further columns to ``keep``."""
     every = F.array_sort(F.concat(*(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS)))
-    text = F.col("text")
-    done = F.aggregate(
-        every,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(
-            F.struct(
-                s["end"].alias("at"),
-                F.when((s["start"] < acc["at"]), acc["out"]).otherwise(F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).alias("out"),
-            )
-        ),
-        lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))),
-    )
-    found = F.size(every) > 0
-    return scanned.select("doc_id", F.when(found, done).otherwise(text).alias("text"), *keep)
+
+    def done(x: Column) -> Column:
+        reach = running(F.transform(x, lambda z: z["end"]), lambda p, q: F.greatest(p, q))
+        return let(reach, lambda r: let(F.filter(F.transform(x, lambda z, i: F.struct(z["start"].alias("start"), F.coalesce(F.get(r, i - 1), F.lit(0)).alias("was"))), lambda z: z["start"] >= z["was"]), lambda heads: joined(heads, F.element_at(r, -1))))
+
+    def joined(heads: Column, last: Column) -> Column:
+        """The text from the end of each run to the start of the next, by its characters."""
+        bounds = F.concat(F.transform(heads, lambda z: F.struct(z["was"].alias("a"), z["start"].alias("b"))), F.array(F.struct(last.alias("a"), F.length("text").alias("b"))))
+        return let(F.split("text", ""), lambda chars: F.array_join(F.transform(bounds, lambda z: F.array_join(F.slice(chars, z["a"] + 1, F.greatest(z["b"] - z["a"], F.lit(0))), "")), mask))
+
+    return scanned.select("doc_id", F.when(F.size(every) > 0, let(every, done)).otherwise(F.col("text")).alias("text"), *keep)
