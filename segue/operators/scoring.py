@@ -1,20 +1,13 @@
-"""Recommendation, relevance and relaxation search."""
+"""Recommendation, hybrid search and how neighbours differ."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from segue.functions import scores
 from segue.functions.keys import harmonic
-from segue.operators.vectors import mean_vector, nearest, unit_vectors
-
-#: The steps of relaxation: least tag score, least vibe score, and whether ranges are dropped.
-STEPS = ((0, 0.65, 0.65, False), (1, 0.45, 0.45, False), (2, 0.20, 0.20, False), (3, 0.20, 0.20, True), (4, 0.0, 0.0, True))
 
 
 def with_total(df: DataFrame, weights: dict[str, float] = scores.WEIGHTS) -> DataFrame:
@@ -57,152 +50,6 @@ def reasons(df: DataFrame, least: float = 0.8) -> DataFrame:
     return df.withColumn("reasons", F.array_join(F.transform(kept, lambda x: x["c"]), ", "))
 
 
-def tag_relevance(requests: DataFrame, labels: DataFrame, column: str, scores_column: str) -> DataFrame:
-    """``request_id, trackid, share``: the sum of a request's scores for the track's tags, of all its scores; a repeated tag counts again."""
-    wanted = requests.select("request_id", F.explode(scores_column).alias("term", "score"))
-    total = wanted.groupBy("request_id").agg(F.sum("score").alias("total"))
-    tags = labels.select("trackid", F.explode(column).alias("tag")).withColumn("term", F.lower("tag"))
-    hit = wanted.withColumn("term", F.lower("term")).join(tags, "term").groupBy("request_id", "trackid").agg(F.sum("score").alias("got"), F.max("score").alias("best"))
-    return hit.join(total, "request_id").select("request_id", "trackid", (F.col("got") / F.when(F.col("total") == 0, 1.0).otherwise(F.col("total"))).alias("share"), "best")
-
-
-def relevance(requests: DataFrame, labels: DataFrame, tracks: DataFrame) -> DataFrame:
-    """``request_id, trackid, score, best_tag`` of the labelled tracks that share a tag or vibe with a request.
-
-    Tags give up to .45, vibes .35, energy .12 and tempo .08; the sum is 1 at most and has three places.
-    """
-    tag = tag_relevance(requests, labels, "semantic_tags", "tag_scores").select("request_id", "trackid", F.col("share").alias("tag_share"), F.col("best").alias("best_tag"))
-    vibe = tag_relevance(requests, labels, "vibe", "vibe_scores").select("request_id", "trackid", F.col("share").alias("vibe_share"))
-    joined = tag.join(vibe, ["request_id", "trackid"], "full").join(labels.select("trackid", "energy"), "trackid").join(tracks.select("trackid", "bpm"), "trackid", "left").join(requests.select("request_id", "energy_low", "energy_high", "bpm_low", "bpm_high"), "request_id")
-
-    def near(value: Column, low: Column, high: Column, least: float, weight: float) -> Column:
-        return F.coalesce(F.greatest(F.lit(0.0), 1 - F.abs(value - (low + high) / 2) / F.greatest(high - low, F.lit(least))) * weight, F.lit(0.0))
-
-    e = near(F.col("energy") / 10, F.col("energy_low"), F.col("energy_high"), 0.1, 0.12)
-    b = near(F.col("bpm"), F.col("bpm_low"), F.col("bpm_high"), 10.0, 0.08)
-    zero = F.lit(0.0)
-    score = F.round(F.least(F.lit(1.0), 0.45 * F.coalesce("tag_share", zero) + 0.35 * F.coalesce("vibe_share", zero) + e + b), 3)
-    return joined.select("request_id", "trackid", score.alias("score"), F.coalesce("best_tag", zero).alias("best_tag"), F.coalesce("vibe_share", zero).alias("vibe_share"), "energy", "bpm", "energy_low", "energy_high", "bpm_low", "bpm_high")
-
-
-def relaxation_search(requests: DataFrame, labels: DataFrame, tracks: DataFrame, block: tuple[int, int] = (1024, 8192)) -> DataFrame:
-    """The tracks of each request at the first step with as many as it asks for (else the last), ranked by the full request.
-
-    The best score of a track's matching tags says at which steps it passes. Requests and labelled tracks meet in pairs of blocks,
-    where a request follows the lists of tracks that its terms have; of each step only as many tracks as it asks for leave the task,
-    with the number of all that pass.
-    """
-    lower = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.lower(x))
-    entries = lambda c: F.transform(F.map_entries(c), lambda x: F.struct(F.lower(x["key"]).alias("term"), x["value"].cast("double").alias("score")))
-    ranges = ("energy_low", "energy_high", "bpm_low", "bpm_high")
-    asking = requests.select(F.col("request_id").alias("id"), F.struct(entries("tag_scores").alias("tags"), entries("vibe_scores").alias("vibes"), *(F.col(c).cast("double").alias(c) for c in ranges), F.col("track_count").cast("int").alias("track_count")).alias("asked"))
-    own = labels.join(tracks.select("trackid", "bpm"), "trackid", "left").select(F.col("trackid").alias("id"), F.struct(lower("semantic_tags").alias("tags"), lower("vibe").alias("vibes"), F.col("energy").cast("double").alias("energy"), F.col("bpm").cast("double").alias("bpm")).alias("own"))
-    left, right = (max(1, -(-df.count() // n)) for df, n in zip((asking, own), block, strict=True))
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    dealt = (
-        own.select(F.explode(F.sequence(F.lit(0), F.lit(left - 1))).alias("a"), deal(right).alias("b"), F.lit(False).alias("asks"), "id", F.lit(None).alias("asked"), "own")
-        .unionByName(asking.select(deal(left).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(right - 1))).alias("b"), F.lit(True).alias("asks"), "id", "asked", F.lit(None).alias("own")))
-        .repartition(left * right, "a", "b").sortWithinPartitions("a", "b", "asks", "id")
-    )
-
-    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, held, lists = None, [], None
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                out: list[tuple] = []
-                for *where, asks, id_, asked, own_ in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns), strict=True):
-                    if where != place:
-                        place, held, lists = where, [], None
-                    if not asks:
-                        held.append((id_, own_))
-                    elif held:
-                        lists = lists or _TrackLists(held)
-                        out += [(id_, *row) for row in lists.found(asked)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["request_id", "trackid", "score", "first", "n", "track_count"])
-
-    found = dealt.mapInArrow(searched, "request_id long, trackid long, score double, first int, n long, track_count int")
-    counts = found.where("n is not null").groupBy("request_id").agg(F.max("track_count").alias("k"), *(F.sum(F.when(F.col("first") <= i, F.col("n")).otherwise(0)).alias(f"n{i}") for i, *_ in STEPS))
-    step = F.coalesce(*(F.when(F.col(f"n{i}") >= F.col("k"), i) for i, *_ in STEPS), F.lit(len(STEPS) - 1))
-    chosen = found.where("n is null").join(counts.select("request_id", step.alias("step")), "request_id").where("first <= step")
-    ranked = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), "trackid")))
-    return ranked.where(F.col("rank") <= F.col("track_count")).select("request_id", "trackid", "score", "step", "rank")
-
-
-class _TrackLists:
-    """A block of tracks: for each tag and vibe, who has it and how often."""
-
-    def __init__(self, rows: list[tuple]) -> None:
-        self.ids = np.array([r[0] for r in rows])
-        self.energy, self.bpm = (np.array([np.nan if r[1][c] is None else r[1][c] for r in rows], float) for c in ("energy", "bpm"))
-        self.lists = {c: self._listed([r[1][c] for r in rows]) for c in ("tags", "vibes")}
-
-    @staticmethod
-    def _listed(terms: list[list[str]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-        at: dict[str, list[int]] = {}
-        for i, own in enumerate(terms):
-            for t in own:
-                at.setdefault(t, []).append(i)
-        return {t: np.unique(np.array(x), return_counts=True) for t, x in at.items()}
-
-    def _share(self, wanted: list[dict] | None, lists: dict) -> tuple[np.ndarray, np.ndarray]:
-        got, best = np.zeros(len(self.ids)), np.zeros(len(self.ids))
-        total = sum(w["score"] for w in wanted or ())
-        for w in wanted or ():
-            if w["term"] in lists:
-                at, times = lists[w["term"]]
-                got[at] += w["score"] * times
-                best[at] = np.maximum(best[at], w["score"])
-        return got / (total or 1.0), best
-
-    def _near(self, value: np.ndarray, low: float | None, high: float | None, least: float, weight: float) -> np.ndarray:
-        if low is None or high is None:
-            return np.zeros(len(value))
-        return np.nan_to_num(np.maximum(0.0, 1 - np.abs(value - (low + high) / 2) / max(high - low, least)) * weight)
-
-    def found(self, asked: dict) -> Iterator[tuple]:
-        """``trackid, score, first, None, track_count`` of each step's best tracks, and ``None, None, first, n, track_count`` with its number."""
-        share, best = self._share(asked["tags"], self.lists["tags"])
-        hit = np.flatnonzero(best > 0)
-        if not len(hit):
-            return
-        vibe, _ = self._share(asked["vibes"], self.lists["vibes"])
-        energy, bpm, best = self.energy[hit] / 10, self.bpm[hit], best[hit]
-        e = self._near(energy, asked["energy_low"], asked["energy_high"], 0.1, 0.12)
-        b = self._near(bpm, asked["bpm_low"], asked["bpm_high"], 10.0, 0.08)
-        score = np.floor(np.minimum(1.0, 0.45 * share[hit] + 0.35 * vibe[hit] + e + b) * 1000 + 0.5) / 1000
-        low, high = asked["energy_low"], asked["energy_high"]
-        fits = np.ones(len(hit), bool) if low is None else np.zeros(len(hit), bool) if high is None else (energy >= low) & (energy <= high)
-        if asked["bpm_low"] is not None:
-            fits &= np.isnan(bpm) | ((bpm >= asked["bpm_low"]) & (bpm <= (np.nan if asked["bpm_high"] is None else asked["bpm_high"])))
-        first = np.full(len(hit), len(STEPS))
-        for i, least, _, dropped in reversed(STEPS):
-            first[(best >= least) & (fits | dropped)] = i
-        n = max(0, asked["track_count"] or 0)
-        for i in np.unique(first[first < len(STEPS)]).tolist():
-            at = np.flatnonzero(first == i)
-            yield None, None, i, len(at), n
-            at = at[np.lexsort((self.ids[hit[at]], -score[at]))][:n]
-            yield from ((t, s, i, None, n) for t, s in zip(self.ids[hit[at]].tolist(), score[at].tolist(), strict=True))
-
-
-def infer_by_centroid(found: DataFrame, vectors: DataFrame, n: int = 5, threshold: float = 0.25, most: int = 30, vector: str = "feat", held: int | None = None) -> DataFrame:
-    """For each request, the tracks nearest to the mean of its best ``most`` found ones, these left out.
-
-    ``held`` is how many tracks were found for a request at most, and is counted where it is not told.
-    """
-    some = latest_n(found, "request_id", [F.desc("score"), F.col("trackid")], most)
-    means = mean_vector(some.join(vectors, "trackid"), "request_id", vector)
-    units = unit_vectors(vectors, vector)
-    centre = means.select(F.col("request_id").alias("seed"), scores.unit(F.col("mean")).alias("unit"))
-    if held is None:
-        held = found.groupBy("request_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    near = nearest(centre, units.select(F.col("trackid").alias("neighbour"), "unit"), n + held, threshold, same=True)
-    sims = near.select(F.col("seed").alias("request_id"), F.col("neighbour").alias("trackid"), "sim")
-    fresh = sims.join(found.select("request_id", "trackid"), ["request_id", "trackid"], "left_anti")
-    return fresh.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("sim"), "trackid"))).where(F.col("rank") <= n)
-
-
 def latest_n(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each key in an order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
@@ -231,11 +78,3 @@ def describe_direction(pairs: DataFrame) -> DataFrame:
 def last_plays(crates: DataFrame, at: DataFrame) -> DataFrame:
     """``trackid, last_play``: the latest time of a session that holds a track; ``at`` is ``session_id, ts``."""
     return crates.join(at, "session_id").groupBy("trackid").agg(F.max("ts").alias("last_play"))
-
-
-def score_detail(requests: DataFrame, labels: DataFrame) -> DataFrame:
-    """``request_id, trackid, matched``: the matched tags and their confidences, ``tag=score`` by tag."""
-    wanted = requests.select("request_id", F.explode("tag_scores").alias("term", "score")).withColumn("term", F.lower("term"))
-    tags = labels.select("trackid", F.explode("semantic_tags").alias("tag")).withColumn("term", F.lower("tag"))
-    return wanted.join(tags, "term").groupBy("request_id", "trackid").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("tag", F.round("score", 2))))).alias("matched"))
-

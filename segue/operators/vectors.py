@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from segue.functions.keys import compatible, harmonic
 from segue.functions.scores import bpm_factor, norm, unit
+from segue.operators import blocks
 
 
 def unit_vectors(df: DataFrame, vector: str = "embedding", key: str = "trackid") -> DataFrame:
@@ -28,39 +29,13 @@ def knn(df: DataFrame, k: int, seeds: DataFrame | None = None, vector: str = "em
     return nearest(asked.select(F.col("trackid").alias("seed"), "unit"), units.select(F.col("trackid").alias("neighbour"), "unit"), k, threshold, block)
 
 
-def dealt_blocks(asked: DataFrame, own: DataFrame, block: int) -> DataFrame:
-    """``a, b, asks, id, unit``: each block of ``asked`` (``id, unit``) with each block of ``own``, one task to a pair of blocks."""
-    left, right = (max(1, -(-df.count() // block)) for df in (asked, own))
-    lent = own.select(F.explode(F.sequence(F.lit(0), F.lit(left - 1))).alias("a"), F.pmod(F.xxhash64("id"), F.lit(right)).cast("int").alias("b"), F.lit(False).alias("asks"), "id", "unit")
-    asking = asked.select(F.pmod(F.xxhash64("id"), F.lit(left)).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(right - 1))).alias("b"), F.lit(True).alias("asks"), "id", "unit")
-    return lent.unionByName(asking).repartition(left * right, "a", "b").sortWithinPartitions("a", "b", "asks", "id")
-
-
 def block_products(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """Asking ids, a block's own ids and their cosines (six places), for up to ``rows`` asking ids at a time, from rows of ``dealt_blocks``."""
-    place, ids, vectors, matrix, held = None, [], [], None, ([], [])
-
-    def product() -> tuple[list, np.ndarray, np.ndarray]:
-        return held[0], np.array(ids), np.round(np.stack(held[1]) @ matrix.T, 6) + 0.0
-
-    for b in batches:
-        for *at, asks, id_, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if at != place:
-                if held[0]:
-                    yield product()
-                place, ids, vectors, matrix, held = at, [], [], None, ([], [])
-            if not asks:
-                ids.append(id_)
-                vectors.append(v)
-            elif ids:
-                matrix = np.array(vectors) if matrix is None else matrix
-                held[0].append(id_)
-                held[1].append(np.array(v))
-                if len(held[0]) == rows:
-                    yield product()
-                    held = ([], [])
-    if held[0]:
-        yield product()
+    """Asking ids, a block's own ids and their cosines (six places), for up to ``rows`` asking ids at a time, from rows of ``blocks.dealt``."""
+    held = None
+    for own, asking in blocks.pairs(batches, rows):
+        if own is not held:
+            held, ids, matrix = own, np.array([i for i, _ in own]), np.array([v for _, v in own])
+        yield [i for i, _ in asking], ids, np.round(np.array([v for _, v in asking]) @ matrix.T, 6) + 0.0
 
 
 def nearest(asked: DataFrame, own: DataFrame, k: int, threshold: float | None = None, block: int = 2048, same: bool = False) -> DataFrame:
@@ -71,7 +46,8 @@ def nearest(asked: DataFrame, own: DataFrame, k: int, threshold: float | None =
     rows per seed and block and no table is ever collected.
     """
     kinds = dict(asked.dtypes)["seed"], dict(own.dtypes)["neighbour"]
-    dealt = dealt_blocks(asked.select(F.col("seed").cast("string" if kinds[0] != kinds[1] else kinds[0]).alias("id"), "unit"), own.select(F.col("neighbour").cast("string" if kinds[0] != kinds[1] else kinds[1]).alias("id"), "unit"), block)
+    kind = kinds[0] if kinds[0] == kinds[1] else "string"
+    dealt = blocks.dealt(asked.select(F.col("seed").cast(kind).alias("id"), F.col("unit").alias("asked")), own.select(F.col("neighbour").cast(kind).alias("id"), F.col("unit").alias("own")), (block, block))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for seeds, ids, sims in block_products(batches):
@@ -85,7 +61,6 @@ def nearest(asked: DataFrame, own: DataFrame, k: int, threshold: float | None =
                 out.append((np.full(len(at), s), ids[at], row[at]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["seed", "neighbour", "sim"])
 
-    kind = kinds[0] if kinds[0] == kinds[1] else "string"
     found = dealt.mapInArrow(best, f"seed {kind}, neighbour {kind}, sim double").select(F.col("seed").cast(kinds[0]).alias("seed"), F.col("neighbour").cast(kinds[1]).alias("neighbour"), "sim")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("sim"), "neighbour")))
     return ranked.where(F.col("rank") <= k)
@@ -93,7 +68,7 @@ def nearest(asked: DataFrame, own: DataFrame, k: int, threshold: float | None =
 
 def all_cosines(asked: DataFrame, own: DataFrame, block: int = 2048) -> DataFrame:
     """``seed, neighbour, sim`` of every pair of ``asked`` (``seed, unit``, numbers) and ``own`` (``neighbour, unit``, strings), as blocks of matrix products."""
-    dealt = dealt_blocks(asked.select(F.col("seed").cast("string").alias("id"), "unit"), own.select(F.col("neighbour").alias("id"), "unit"), block)
+    dealt = blocks.dealt(asked.select(F.col("seed").cast("string").alias("id"), F.col("unit").alias("asked")), own.select(F.col("neighbour").alias("id"), F.col("unit").alias("own")), (block, block))
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for seeds, ids, sims in block_products(batches, 16):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from segue.functions import scores
 from segue.functions.keys import harmonic
-from segue.operators import evaluation, requests as req, scoring, sequences, tables, tags, vectors
+from segue.operators import evaluation, requests as req, scoring, search, sequences, tables, tags, vectors
 from segue.operators.scoring import latest_n
 from segue.plans.base import Tables, harmonic_sql, knn_sql, query
 
@@ -203,51 +203,91 @@ def _(t):
     return scoring.describe_direction(candidates(t)).select("seed", "neighbour", "clue")
 
 
+#: Requests of many kinds, in the SQL of both engines: no tags, tags or vibes below the first steps' scores, no vibes, terms that nobody has, more tracks than
+#: match, brands in small letters (which score but do not match), lists of terms beside the scores.
+ASKED = """SELECT p_partkey AS request_id, {w}[{one} - 1] AS a, {w}[{one}] AS b, lower(p_brand) AS c, lower(p_type) AS v,
+  CASE WHEN p_partkey % 50 = 9 THEN 'rare' WHEN p_partkey % 8 = 0 THEN 'none' WHEN p_partkey % 8 = 3 THEN 'low' ELSE 'all' END AS tag_kind,
+  CASE WHEN p_partkey % 50 = 9 THEN 'rare' WHEN p_partkey % 5 = 2 THEN 'low' WHEN p_partkey % 5 = 4 THEN 'none' ELSE 'all' END AS vibe_kind, p_partkey % 100 = 9 AS listed,
+  CASE WHEN p_partkey % 2 = 0 THEN CAST(0.2 AS DOUBLE) END AS energy_low, CASE WHEN p_partkey % 2 = 0 THEN CAST(0.2 AS DOUBLE) + CAST(0.5 AS DOUBLE) END AS energy_high,
+  CASE WHEN p_partkey % 3 = 0 THEN CAST(110 AS DOUBLE) END AS bpm_low, CASE WHEN p_partkey % 3 = 0 THEN CAST(130 AS DOUBLE) END AS bpm_high,
+  CAST(CASE WHEN p_partkey % 10 = 7 THEN 60 ELSE 1 + p_size % 9 END AS INT) AS track_count FROM part"""
+
+
 def intents(t: Tables) -> DataFrame:
-    """One intent per part: its two words and brand as scored tags, its type as a vibe, ranges for some."""
-    p = t.part
-    words = F.split("p_name", " ")
-    tag = F.map_from_entries(F.array(F.struct(F.get(words, F.lit(0)), F.lit(0.9)), F.struct(F.concat(F.get(words, F.lit(1)), F.lit("")), F.lit(0.5)), F.struct(F.lower("p_brand"), F.lit(0.3))))
-    low = F.when(F.col("p_partkey") % 2 == 0, 0.2)
-    return p.select(F.col("p_partkey").alias("request_id"), tag.alias("tag_scores"), F.create_map(F.lower("p_type"), F.lit(1.0)).alias("vibe_scores"), low.alias("energy_low"), (low + 0.5).alias("energy_high"), F.when(F.col("p_partkey") % 3 == 0, 110.0).alias("bpm_low"), F.when(F.col("p_partkey") % 3 == 0, 130.0).alias("bpm_high"), (1 + F.col("p_size") % 9).cast("int").alias("track_count"))
+    """One intent per part."""
+    i = t.spark.sql(ASKED.format(w="split(p_name, ' ')", one=1).replace("FROM part", "FROM {part}"), part=t.part)
+    scored = lambda *s: F.map_from_arrays(F.array("a", "b", "c"), F.array(*map(F.lit, s)))
+    none = F.create_map().cast("map<string,double>")
+    tags_ = F.when(F.col("tag_kind") == "rare", F.create_map(F.lit("nothing such"), F.lit(0.9))).when(F.col("tag_kind") == "none", none).when(F.col("tag_kind") == "low", scored(0.5, 0.3, 0.1)).otherwise(scored(0.9, 0.5, 0.3))
+    vibes = F.when(F.col("vibe_kind") == "rare", F.create_map(F.lit("nothing such"), F.lit(1.0))).when(F.col("vibe_kind") == "none", none).when(F.col("vibe_kind") == "low", F.create_map("v", F.lit(0.3))).otherwise(F.create_map("v", F.lit(1.0)))
+    lists = F.when(F.col("listed"), F.array("a", "b")), F.when(F.col("listed"), F.array().cast("array<string>"))
+    return i.select("request_id", tags_.alias("tag_scores"), vibes.alias("vibe_scores"), lists[0].alias("semantic_tags"), lists[1].alias("vibes"), "energy_low", "energy_high", "bpm_low", "bpm_high", "track_count")
 
 
-INTENTS = """i AS (SELECT p_partkey AS request_id, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b, lower(p_brand) AS c, lower(p_type) AS v, CASE WHEN p_partkey % 2 = 0 THEN 0.2::DOUBLE END AS el, CASE WHEN p_partkey % 2 = 0 THEN 0.2::DOUBLE + 0.5::DOUBLE END AS eh, CASE WHEN p_partkey % 3 = 0 THEN 110::DOUBLE END AS bl, CASE WHEN p_partkey % 3 = 0 THEN 130::DOUBLE END AS bh, 1 + p_size % 9 AS k FROM part),
-  w AS (SELECT request_id, unnest([a, b, c]) AS term, unnest([0.9, 0.5, 0.3]::DOUBLE[]) AS s FROM i),
-  lt AS (SELECT trackid, lower(unnest(semantic_tags)) AS term FROM track_labels),
-  g AS (SELECT request_id, trackid, sum(s) / (0.9::DOUBLE + 0.5::DOUBLE + 0.3::DOUBLE) AS ts, max(s) AS best FROM w JOIN lt USING (term) GROUP BY ALL),
-  vb AS (SELECT request_id, trackid, 1::DOUBLE AS vs FROM i JOIN (SELECT trackid, lower(vibe[1]) AS v FROM track_labels) USING (v)),
-  q AS (SELECT request_id, trackid, coalesce(best, 0) AS best, energy, bpm, el, eh, bl, bh, k, round(least(1, 0.45::DOUBLE * coalesce(ts, 0) + 0.35::DOUBLE * coalesce(vs, 0) + coalesce(greatest(0, 1 - abs(energy / 10 - (el + eh) / 2) / greatest(eh - el, 0.1::DOUBLE)) * 0.12::DOUBLE, 0) + coalesce(greatest(0, 1 - abs(bpm - (bl + bh) / 2) / greatest(bh - bl, 10)) * 0.08::DOUBLE, 0)), 3) AS score
-    FROM g FULL JOIN vb USING (request_id, trackid) JOIN track_labels USING (trackid) LEFT JOIN tracks USING (trackid) JOIN i USING (request_id)),
-  h AS (SELECT *, coalesce(energy / 10 BETWEEN el AND eh, el IS NULL) AND (bpm IS NULL OR bl IS NULL OR bpm BETWEEN bl AND bh) AS inr FROM q WHERE best > 0),
-  z AS (SELECT *, CASE WHEN best >= 0.65::DOUBLE AND inr THEN 0 WHEN best >= 0.45::DOUBLE AND inr THEN 1 WHEN best >= 0.2::DOUBLE AND inr THEN 2 WHEN best >= 0.2::DOUBLE THEN 3 ELSE 4 END AS f FROM h),
-  st AS (SELECT request_id, CASE WHEN count(*) FILTER (f <= 0) >= any_value(k) THEN 0 WHEN count(*) FILTER (f <= 1) >= any_value(k) THEN 1 WHEN count(*) FILTER (f <= 2) >= any_value(k) THEN 2 WHEN count(*) FILTER (f <= 3) >= any_value(k) THEN 3 ELSE 4 END AS step FROM z GROUP BY request_id),
-  rs AS (SELECT * FROM (SELECT request_id, trackid, score, CAST(step AS INTEGER) AS step, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, trackid) AS rank, k FROM z JOIN st USING (request_id) WHERE f <= step) WHERE rank <= k)"""
+INTENTS = f"""i AS ({ASKED.format(w="string_split(p_name, ' ')", one=2)}),
+  w AS (SELECT request_id, 'nothing such' AS term, 0.9::DOUBLE AS s FROM i WHERE tag_kind = 'rare' UNION ALL
+    SELECT request_id, unnest([a, b, c]), unnest(CASE tag_kind WHEN 'low' THEN [0.5, 0.3, 0.1]::DOUBLE[] ELSE [0.9, 0.5, 0.3]::DOUBLE[] END) FROM i WHERE tag_kind IN ('low', 'all')),
+  x AS (SELECT request_id, CASE WHEN vibe_kind = 'rare' THEN 'nothing such' ELSE v END AS term, CASE WHEN vibe_kind = 'low' THEN 0.3::DOUBLE ELSE 1::DOUBLE END AS s FROM i WHERE vibe_kind <> 'none'),
+  lt AS (SELECT trackid, unnest(semantic_tags) AS tag FROM track_labels), lv AS (SELECT trackid, unnest(vibe) AS tag FROM track_labels),
+  wt AS (SELECT request_id, sum(s) AS total, max(s) AS most FROM w GROUP BY ALL), xt AS (SELECT request_id, sum(s) AS total, max(s) AS most FROM x GROUP BY ALL),
+  g AS (SELECT request_id, trackid, sum(s) AS got, max(s) FILTER (term = tag) AS best FROM w JOIN lt ON lower(tag) = lower(term) GROUP BY ALL),
+  h AS (SELECT request_id, trackid, sum(s) AS got, max(s) FILTER (term = tag) AS best FROM x JOIN lv ON lower(tag) = lower(term) GROUP BY ALL),
+  q AS (SELECT i.*, l.trackid, energy / 10 AS e, bpm, wt.most AS wm, xt.most AS xm, g.best AS wb, h.best AS xb,
+      CASE WHEN wt.total IS NULL AND xt.total IS NULL AND energy_low IS NULL AND bpm_low IS NULL THEN 0.5::DOUBLE ELSE
+      round(least(1, 0.45::DOUBLE * coalesce(g.got / wt.total, 0) + 0.35::DOUBLE * coalesce(h.got / xt.total, 0) + coalesce(greatest(0, 1 - abs(energy / 10 - (energy_low + energy_high) / 2) / greatest(energy_high - energy_low, 0.1::DOUBLE)) * 0.12::DOUBLE, 0) + coalesce(greatest(0, 1 - abs(bpm - (bpm_low + bpm_high) / 2) / greatest(bpm_high - bpm_low, 10)) * 0.08::DOUBLE, 0)), 3) END AS score
+    FROM i CROSS JOIN track_labels l LEFT JOIN tracks t ON t.trackid = l.trackid LEFT JOIN wt ON wt.request_id = i.request_id LEFT JOIN xt ON xt.request_id = i.request_id
+    LEFT JOIN g ON g.request_id = i.request_id AND g.trackid = l.trackid LEFT JOIN h ON h.request_id = i.request_id AND h.trackid = l.trackid),
+  best AS (SELECT * FROM (SELECT request_id, trackid, score, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, trackid) AS rank, track_count FROM q) WHERE rank <= track_count)"""
 
+LADDER = f"""{INTENTS}, steps(step, least, dropped) AS (VALUES (0, 0.65::DOUBLE, false), (1, 0.45::DOUBLE, false), (2, 0.2::DOUBLE, false), (3, 0.2::DOUBLE, true), (4, 0::DOUBLE, true)),
+  inr AS (SELECT *, (energy_low IS NULL OR coalesce(e BETWEEN energy_low AND energy_high, false)) AND (bpm_low IS NULL OR bpm IS NULL OR bpm BETWEEN bpm_low AND bpm_high) AS fits FROM q),
+  ps AS (SELECT request_id, trackid, score, track_count, step FROM inr JOIN steps ON (coalesce(wm < least, true) OR wb >= least) AND (coalesce(xm < least, true) OR xb >= least) AND (fits OR dropped)),
+  st AS (SELECT request_id, coalesce(min(step) FILTER (n >= track_count), 4) AS step FROM (SELECT request_id, step, track_count, count(*) AS n FROM ps GROUP BY ALL) GROUP BY request_id),
+  rs AS (SELECT * FROM (SELECT request_id, trackid, score, step, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, trackid) AS rank, track_count FROM ps JOIN st USING (request_id, step)) WHERE rank <= track_count),
+  need AS (SELECT request_id, i.track_count - count(rs.trackid) AS needed, count(rs.trackid) AS held FROM i LEFT JOIN rs USING (request_id) GROUP BY request_id, i.track_count HAVING count(rs.trackid) < i.track_count),
+  al AS (SELECT request_id, term FROM w JOIN i USING (request_id) WHERE NOT listed UNION SELECT request_id, unnest([a, b]) FROM i WHERE listed), ax AS (SELECT request_id, term FROM x JOIN i USING (request_id) WHERE NOT listed),
+  rf AS (SELECT * FROM (SELECT request_id, trackid, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, trackid) AS nth FROM inr JOIN need USING (request_id) WHERE fits
+      AND (request_id NOT IN (SELECT request_id FROM al) OR (request_id, trackid) IN (SELECT request_id, trackid FROM al JOIN lt ON tag = term))
+      AND (request_id NOT IN (SELECT request_id FROM ax) OR (request_id, trackid) IN (SELECT request_id, trackid FROM ax JOIN lv ON tag = term))) WHERE nth <= 30),
+  ce AS (SELECT request_id, list(m ORDER BY d) AS c FROM (SELECT request_id, d, avg(z) AS m FROM (SELECT request_id, unnest(feat) AS z, generate_subscripts(feat, 1) AS d FROM rf JOIN feat USING (trackid) WHERE (request_id, trackid) NOT IN (SELECT request_id, trackid FROM rs)) GROUP BY ALL) GROUP BY request_id),
+  sm AS (SELECT request_id, trackid, round(list_cosine_similarity(feat, c), 6) AS sim FROM ce CROSS JOIN feat),
+  fa AS (SELECT request_id, trackid, round(sim, 3) AS score, row_number() OVER (PARTITION BY request_id ORDER BY sim DESC, trackid) AS rank FROM sm WHERE sim > 0.25 AND (request_id, trackid) NOT IN (SELECT request_id, trackid FROM rs)),
+  sb AS (SELECT request_id, trackid, round(least(1, 0.5 + coalesce(greatest(0, 0.5 - abs(energy / 10 - (energy_low + energy_high) / 2)), 0) + coalesce(greatest(0, 0.5 - abs(bpm - (bpm_low + bpm_high) / 2) / 30), 0))::DOUBLE, 3) AS score
+    FROM need JOIN i USING (request_id) CROSS JOIN (SELECT trackid, bpm, energy FROM tracks LEFT JOIN track_labels USING (trackid)) WHERE request_id NOT IN (SELECT request_id FROM ce) AND (request_id, trackid) NOT IN (SELECT request_id, trackid FROM rs)),
+  fb AS (SELECT request_id, trackid, score, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, trackid) AS rank FROM sb),
+  fill AS (SELECT *, 'embedding similarity to tagged references' AS reason FROM fa UNION ALL SELECT *, 'audio feature proximity (untagged)' FROM fb),
+  whole AS (SELECT request_id, trackid, score, CAST(step AS INTEGER) AS step, CAST(rank AS INTEGER) AS rank, false AS inferred, NULL::VARCHAR AS reason FROM rs
+    UNION ALL SELECT request_id, trackid, score, 4, CAST(rank + held AS INTEGER), true, reason FROM fill JOIN need USING (request_id) WHERE rank <= needed)"""
 
-@query("r2_relevance", f"WITH {INTENTS} SELECT request_id, sum(score) AS total, count(*) AS n, max(score) AS most FROM q GROUP BY request_id")
+
+@query("r2_relevance", f"WITH {INTENTS} SELECT request_id, trackid, score, rank FROM best")
 def _(t):
-    return scoring.relevance(intents(t), t.track_labels, t.tracks).groupBy("request_id").agg(F.round(F.sum("score"), 3).alias("total"), F.count("*").alias("n"), F.max("score").alias("most"))
+    return search.relevance(intents(t), t.track_labels, t.tracks)
 
 
-@query("r13_relaxation_search", f"WITH {INTENTS} SELECT request_id, trackid, score, step, rank FROM rs")
+@query("r13_relaxation_search", f"WITH {LADDER} SELECT request_id, trackid, score, step, rank, inferred, reason FROM whole")
 def _(t):
-    return scoring.relaxation_search(intents(t), t.track_labels, t.tracks)
+    return search.relaxation_search(intents(t), t.track_labels, t.tracks, t.feat)
 
 
-@query("v10_infer_by_centroid", f"""WITH {INTENTS}, mem AS (SELECT request_id, feat FROM rs JOIN feat USING (trackid)), ce AS (SELECT request_id, list(x ORDER BY d) AS c FROM (SELECT request_id, d, avg(x) AS x FROM (SELECT request_id, unnest(feat) AS x, generate_subscripts(feat, 1) AS d FROM mem) GROUP BY ALL) GROUP BY request_id),
-  sm AS (SELECT request_id, trackid, round(list_cosine_similarity(feat, c), 6) AS sim FROM ce CROSS JOIN feat WHERE round(list_cosine_similarity(feat, c), 6) > 0.25 AND (request_id, trackid) NOT IN (SELECT (request_id, trackid) FROM rs))
-  SELECT request_id, trackid, sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY sim DESC, trackid) AS rank FROM sm) WHERE rank <= 5""")
+@query("r13_without_vectors", f"WITH {LADDER.replace('list_cosine_similarity(feat, c)', '0::DOUBLE').replace('NOT IN (SELECT request_id FROM ce)', 'IS NOT NULL')} SELECT request_id, trackid, score, step, rank, inferred, reason FROM whole")
 def _(t):
-    asked = intents(t)
-    found = scoring.relaxation_search(asked, t.track_labels, t.tracks).select("request_id", "trackid", "score")
-    return scoring.infer_by_centroid(found, t.feat, held=asked.agg(F.coalesce(F.max("track_count"), F.lit(0))).first()[0])
+    return search.relaxation_search(intents(t), t.track_labels, t.tracks)
 
 
-@query("r15_score_detail", f"WITH {INTENTS}, d AS (SELECT request_id, trackid, tag, s FROM w JOIN (SELECT trackid, unnest(semantic_tags) AS tag FROM track_labels) ON lower(tag) = term) SELECT request_id, count(DISTINCT trackid) AS n, count(*) AS matched, max(s) AS most FROM d GROUP BY request_id")
+@query("v10_infer_by_centroid", f"WITH {LADDER} SELECT request_id, trackid, score, rank FROM whole WHERE reason LIKE 'embedding%'")
 def _(t):
-    d = scoring.score_detail(intents(t), t.track_labels)
-    return d.groupBy("request_id").agg(F.count("*").alias("n"), F.sum(F.size("matched")).cast("long").alias("matched"), F.max(F.array_max(F.map_values("matched"))).alias("most"))
+    return search.relaxation_search(intents(t), t.track_labels, t.tracks, t.feat).where(F.col("reason") == search.BY_CENTROID).select("request_id", "trackid", "score", "rank")
+
+
+@query("r15_score_detail", f"""WITH {INTENTS}, d AS (SELECT request_id, trackid, lt.tag || '=' || printf('%.2f', s) AS said FROM best JOIN w USING (request_id) JOIN lt USING (trackid) WHERE lower(lt.tag) = lower(term)),
+  v AS (SELECT request_id, trackid, lv.tag || '=' || printf('%.2f', s) AS said FROM best JOIN x USING (request_id) JOIN lv USING (trackid) WHERE lower(lv.tag) = lower(term))
+  SELECT request_id, trackid, coalesce((SELECT string_agg(DISTINCT said, ', ' ORDER BY said) FROM d WHERE d.request_id = best.request_id AND d.trackid = best.trackid), '') AS tags, coalesce((SELECT string_agg(DISTINCT said, ', ' ORDER BY said) FROM v WHERE v.request_id = best.request_id AND v.trackid = best.trackid), '') AS vibes FROM best""")
+def _(t):
+    asked = intents(t)
+    d = search.score_detail(search.relevance(asked, t.track_labels, t.tracks), asked, t.track_labels)
+    said = lambda c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda x: F.concat(x["key"], F.lit("="), F.format_number(x["value"], 2)))), ", ")
+    return d.select("request_id", "trackid", said("matched_tags").alias("tags"), said("matched_vibes").alias("vibes"))
 
 
 @query("a1_tag_vocabulary", "SELECT DISTINCT unnest(semantic_tags) AS tag FROM track_labels")

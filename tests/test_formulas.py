@@ -112,17 +112,6 @@ def test_spreading(spark):
     assert got == {1: 1.0, 2: 1.0, 3: 0.0, 4: 0.0, 5: 0.0}
 
 
-def test_relaxation_widens(spark):
-    labels = spark.createDataFrame([(i, [t], ["v"], 5.0) for i, t in enumerate(["a", "a", "b", "c"])], "trackid long, semantic_tags array<string>, vibe array<string>, energy double")
-    tracks = spark.createDataFrame([(i, 120.0) for i in range(4)], "trackid long, bpm double")
-    schema = "request_id long, tag_scores map<string,double>, vibe_scores map<string,double>, energy_low double, energy_high double, bpm_low double, bpm_high double, track_count int"
-    asked = [(n, {"A": 0.9, "b": 0.5, "c": 0.1}, {}, None, None, None, None, n) for n in (1, 2, 3, 4, 9)]
-    got = {}
-    for r in scoring.relaxation_search(spark.createDataFrame(asked, schema), labels, tracks).collect():
-        got.setdefault(r.request_id, []).append((r["rank"], r.trackid, r.step))
-    assert {k: sorted(v) for k, v in got.items()} == {1: [(1, 0, 0)], 2: [(1, 0, 0), (2, 1, 0)], 3: [(1, 0, 1), (2, 1, 1), (3, 2, 1)], 4: [(1, 0, 4), (2, 1, 4), (3, 2, 4), (4, 3, 4)], 9: [(1, 0, 4), (2, 1, 4), (3, 2, 4), (4, 3, 4)]}
-
-
 def test_sequences(spark):
     tracks = spark.createDataFrame([(1, 120.0, "8A"), (2, 131.0, "8A"), (3, 150.0, "2A"), (4, None, None)], "trackid long, bpm double, key string")
     crates = spark.createDataFrame([("s", i, k) for i, k in enumerate([1, 2, 3, 4])] + [("one", 0, 1)], "session_id string, position int, trackid long")
@@ -179,16 +168,6 @@ def test_ingest_counts_rows_without_a_path(spark):
     assert sorted((r.trackid, r.status) for r in got.collect()) == [(1, "failed"), (2, "failed"), (3, "uploaded"), (4, "skipped"), (5, "skipped")]
 
 
-def test_blocks_do_not_change_relaxation(spark):
-    from segue.operators import scoring
-
-    labels = spark.createDataFrame([(i, [f"T{i % 4}", f"t{i % 3}", "all"] if i % 7 else None, [f"v{i % 2}"], float(i % 11) if i % 5 else None) for i in range(80)], "trackid long, semantic_tags array<string>, vibe array<string>, energy double")
-    tracks = spark.createDataFrame([(i, 100.0 + i if i % 6 else None) for i in range(80)], "trackid long, bpm double")
-    requests = spark.createDataFrame([(i, {f"t{i % 4}": 0.9, "All": 0.3}, {"v1": 1.0}, 0.2 if i % 2 else None, 0.7 if i % 2 else None, 110.0 if i % 3 else None, 150.0 if i % 3 else None, 1 + i % 6) for i in range(20)], "request_id long, tag_scores map<string,double>, vibe_scores map<string,double>, energy_low double, energy_high double, bpm_low double, bpm_high double, track_count int")
-    one, many = ({tuple(r) for r in scoring.relaxation_search(requests, labels, tracks, b).collect()} for b in ((1024, 8192), (3, 7)))
-    assert one == many and {r[0] for r in one} == set(range(20))
-
-
 def test_discover_files(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     for name in ("a/x.MP3", "a/b/y.flac", "z.txt"):
