@@ -28,7 +28,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from segue.llm.common import mapped, removed, scratch, scratch_dir, written
+from segue.llm.common import mapped, scratch, scratch_dir, written
 
 LENGTH = 50
 #: Odd multipliers of the two lanes of a name.
@@ -37,30 +37,27 @@ SPANS = "array<struct<start:int,end:int>>"
 
 
 class _Names(dict):
-    """Hashes of words, as two numbers of 64 bits; what is remembered is bounded."""
+    """Hashes of words, of one lane; what is remembered is bounded."""
 
-    def __init__(self, most: int = 200_000) -> None:
+    def __init__(self, lane: int, most: int = 200_000) -> None:
         super().__init__()
-        self.most = most
+        self.lane, self.most = lane, most
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
-        whole = xxhash.xxh3_128_intdigest(word)
-        self[word] = name = (whole & 0xFFFFFFFFFFFFFFFF, whole >> 64)
+        self[word] = name = xxhash.xxh3_64_intdigest(word, self.lane)
         return name
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
 
 def words_of(text: bytes) -> list[bytes]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text in UTF-8."""
     return text.split()
 
 
-def lanes_of(words: list[bytes], names: _Names, n: int = 2) -> list[np.ndarray]:
-    both = np.array([names[w] for w in words], np.uint64).reshape(-1, 2)
-    return [both[:, i] for i in range(n)]
-
-
 def paired(a: np.ndarray, b: np.ndarray, lane: int) -> np.ndarray:
     """Names of pairs of names."""
     by, again = LANES[lane]
@@ -103,14 +100,14 @@ def _marked(docs: DataFrame, length: int) -> DataFrame:
     half, inside = length // 2, length - length // 2 + 1
 
     def rows(source: Iterator[tuple]) -> Iterator[tuple]:
-        names = _Names()
+        names = _Names(0)
         for doc_id, text_hash, text in source:
             words = words_of(text)
             joined = b" ".join(words)
             whole = xxhash.xxh3_128_intdigest(joined)
             starts = named = []
             if len(words) >= length and doc_id is not None:
-                at = windows(lanes_of(words, names, 1)[0], half, 0)
+                at = windows(names.of(words), half, 0)
                 chosen = np.unique(representatives(at, inside))
                 starts, named = chosen.tolist(), _signed(at[chosen])
             yield doc_id, text_hash, (whole & 0xFFFFFFFFFFFFFFFF) - 2**63, (whole >> 64) - 2**63, len(words), hashlib.sha256(joined).hexdigest(), starts, named
@@ -120,8 +117,8 @@ def _marked(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _recurring(rows: DataFrame, *name: str) -> DataFrame:
-    """The names that occur under several ids, with the smallest (``low``)."""
-    return rows.groupBy(*name).agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high").select(*name, "low")
+    """The names that occur under several ids, with the smallest (``low``); written, so that Spark can split what is joined with them."""
+    return written(rows.groupBy(*name).agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high").select(*name, "low"))
 
 
 def _extended(docs: DataFrame, live: DataFrame, length: int) -> DataFrame:
@@ -129,12 +126,12 @@ def _extended(docs: DataFrame, live: DataFrame, length: int) -> DataFrame:
     half, inside = length // 2, length - length // 2 + 1
 
     def rows(source: Iterator[tuple]) -> Iterator[tuple]:
-        names = _Names()
+        lanes = _Names(0), _Names(1)
         for first, a, text, survived in source:
             words = words_of(text)
             if (xxhash.xxh3_128_intdigest(b" ".join(words)) & 0xFFFFFFFFFFFFFFFF) - 2**63 != a:
                 continue  # another text of the same id
-            one, two = lanes_of(words, names)
+            one, two = (names.of(words) for names in lanes)
             chosen = representatives(windows(one, half, 0), inside)
             starts = np.flatnonzero(np.isin(chosen, survived))
             if not len(starts):
