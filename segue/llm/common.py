@@ -8,15 +8,15 @@ empty result with the full schema.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from segue.store import removed, scratch, scratch_dir, written  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, read by Spark from any store that Spark knows."""
@@ -28,56 +28,6 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared ``spark.checkpoint.dir``.
-
-    Where that is unset, the context's checkpoint folder serves; a session on one machine (``local`` master) that has neither gets
-    a temporary folder as its checkpoint folder. On a cluster a machine's own folder would lose rows, so there it is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/segue-{uuid.uuid4().hex}"
-
-
-#: The scratch folders of each open ``scratch`` block, the innermost last.
-_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that are ``written`` inside the block are deleted at its end, but for those to ``keep``; these belong to the block around it, if any."""
-    mine: list[str] = []
-    token = _OPEN.set((*_OPEN.get(), mine))
-    try:
-        yield
-    finally:
-        _OPEN.reset(token)
-        for path in mine:
-            removed(spark, path)
-
-
-def written(df: DataFrame, path: str | None = None, keep: bool = False) -> DataFrame:
-    """The same rows, written as Parquet in the shared folder and read again: the lineage ends there and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = path or scratch_dir(spark)
-    blocks = _OPEN.get()[: -1 if keep else None]
-    if blocks:
-        blocks[-1].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch folder that ``written`` made and nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """What is executed inside the block sends Python workers so many rows at once, for rows of many kilobytes; the session's setting comes back at its end."""
@@ -106,10 +56,23 @@ def sample(docs: DataFrame, most: int, n: int | None = None) -> DataFrame:
     return near.orderBy(at, "doc_id", "text").limit(most)
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function of a partition, which gives the memory that it freed back to the machine at its end: workers live on between stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def mapped(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str, batch: int = 512) -> DataFrame:
     """``mapInArrow`` over Python tuples: ``rows`` takes the partition's rows one by one and yields result tuples.
 
-    Results leave in batches of ``batch`` rows, so that memory stays bounded by a few rows and not by the partition.
+    Results leave in batches of ``batch`` rows or some eight megabytes, so that memory stays bounded by a few rows and not by the partition.
     """
     fields = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -134,4 +97,4 @@ def mapped(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]], sc
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held, strict=True), out, strict=True)], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from segue.llm.common import hash_bound, id_text, mapped
+from segue.llm.common import hash_bound, id_text, mapped, tidied
 
 WORDS = 64
 HIDDEN, GATE = 24, 12
@@ -196,4 +196,4 @@ def accepted(docs: DataFrame, model: AttentionModel) -> DataFrame:
                 part = b.slice(at, 512)
                 yield part.filter(pa.array([model.score(passages(t or "")) >= 0.5 for t in part.column(text).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(tidied(kept), docs.schema)

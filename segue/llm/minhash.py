@@ -29,8 +29,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from segue.llm.common import id_text, mapped, scratch, scratch_dir, small_batches, written
+from segue.llm.common import id_text, mapped, scratch, scratch_dir, small_batches, tidied, written
 from segue.llm.components import components
+from segue.llm.merkle import placed
 
 BANDS, ROWS = 32, 4
 #: Coordinates of a signature; the bands take the first ``BANDS * ROWS``. The lowest byte of each of them estimates a likeness,
@@ -200,7 +201,7 @@ def _rarities(sets: DataFrame) -> np.ndarray:
                 total += np.frombuffer(counts, np.int64)
             yield chunk, np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()
 
-    parts = sets.select("found").mapInArrow(counted, "chunk long, counts binary").repartition("chunk").sortWithinPartitions("chunk")
+    parts = sets.select("found").mapInArrow(tidied(counted), "chunk long, counts binary").repartition("chunk").sortWithinPartitions("chunk")
     out = np.zeros((SLOTS // CHUNK, CHUNK), np.int32)
     for r in mapped(parts, summed, "chunk long, counts binary").collect():  # at most SLOTS / CHUNK rows
         out[r["chunk"]] = np.frombuffer(r["counts"], np.int32)
@@ -357,3 +358,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block: i
         (F.col("doc_id") == F.coalesce("component", "rep", "doc_id")).alias("kept"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
+
+
+def own_ids(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``own``: the id, unless a row with another text has it too; then all but one of these texts get ids of their own, after all others."""
+    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"), text_hash.alias("hash")).where("id is not null")
+    several = ids.groupBy("id").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low != high")
+    more = written(ids.join(several.select("id", "low"), "id").where("hash != low").select("id", "hash").distinct())
+    if more.isEmpty():
+        return docs.withColumn("own", F.col("doc_id").cast("long"))
+    last = ids.agg(F.max("id")).first()[0]
+    numbered = placed(more.withColumn("all", F.lit("")), "all", "id", "hash").select("id", "hash", (F.col("pos") + (last + 1)).alias("extra"))
+    joined = docs.join(numbered, (docs["doc_id"].cast("long") == numbered["id"]) & (text_hash == numbered["hash"]), "left")
+    return joined.select(*(docs[c] for c in docs.columns), F.coalesce("extra", docs["doc_id"].cast("long")).alias("own"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay if one text of each group of near-duplicates does: that with the smallest id.
+
+    Rows with one id and one text are one document, of which one row stays; of texts that share an id each is judged by itself, the further
+    ones as if they came after all other ids. Rows without an id all stay. A column ``own`` is not allowed.
+    """
+    path = scratch_dir(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        rows = own_ids(docs)
+        found = near_duplicates(rows.select(F.col("own").alias("doc_id"), "text"), width, percent).where("doc_id is not null")
+        marked = written(found.groupBy(F.col("doc_id").alias("own")).agg(F.count("*").alias("n"), F.min("kept").alias("kept")).where("n > 1 or not kept"))
+        repeated = rows.join(marked.where("kept").select("own"), "own", "left_semi").dropDuplicates(["own"])
+        return written(rows.join(marked.select("own"), "own", "left_anti").select(*docs.columns).unionByName(repeated.select(*docs.columns)), path, keep=True)

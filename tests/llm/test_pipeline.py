@@ -17,7 +17,7 @@ def test_stages(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, at, SF)
         if name != "packing":
-            assert out.columns == list(corpus_pipeline.COLUMNS)
+            assert out.columns == docs.columns
         out.write.parquet(f"{tmp_path}/{name}")
         kept[name] = at = spark.read.parquet(f"{tmp_path}/{name}")
     good = kept["quality classifier"]
@@ -52,7 +52,7 @@ def test_repeated_and_long_rows_of_near_duplicates(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     docs = spark.createDataFrame(rows, schema)
     got = corpus_pipeline.near_duplicates(spark, docs, SF)
-    assert got.columns == list(corpus_pipeline.COLUMNS)
+    assert got.columns == docs.columns
     assert sorted((x.doc_id or 0, (x.text or "")[:5]) for x in got.collect()) == sorted([(0, ""), (0, other[:5]), (1, long[:5]), (3, other[:5]), (3, "quite")])
 
 
@@ -66,3 +66,18 @@ def test_run_leaves_only_its_result(spark, tmp_path):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.count() > 0
     assert len(set(os.listdir(before)) - held) <= 1
+
+
+def test_texts_that_share_an_id(spark):
+    """A text found nowhere else stays in every stage, whatever ids other texts have, and so do further columns of clashing names."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "en", "s", 1, "x", 1), (2, a, "en", "s", 1, "y", 2), (2, b, "en", "s", 1, "z", 3), (2, a + " more", "de", "s", 1, "v", 4), (3, c, "en", "s", 1, "w", 5), (3, c, "en", "s", 1, "w", 5), (3, b + " tail", "en", "s", 1, "u", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, spans string, n_removed int")
+    near = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert near.columns == docs.columns
+    assert sorted((x.doc_id, x.text, x.spans) for x in near.collect()) in ([(1, a, "x"), (2, b, "z"), (3, c, "w")], [(1, a, "x"), (3, b + " tail", "u"), (3, c, "w")], sorted([(1, a, "x"), (3, b + " tail", "u"), (3, c, "w")]))
+    rest = corpus_pipeline.repeated_text(spark, docs, SF)
+    assert rest.columns == docs.columns
+    assert sorted((x.doc_id, x.text, x.n_removed) for x in rest.collect() if x.spans in "xz") == [(1, a, 1), (2, b, 3)]
+    safe = corpus_pipeline.secrets(spark, docs, SF)
+    assert safe.columns == docs.columns and safe.count() == len(rows)
