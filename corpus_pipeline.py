@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes ``(spark, docs, sf_dir)``, works on all that the stage before kept, and returns a DataFrame; all but the
-last return the columns of ``documents``. ``run`` writes each stage's rows to the shared folder and reads them again, so a
+last return the columns of ``documents``, further ones included. ``run`` writes each stage's rows to the shared folder and reads them again, so a
 lost executor costs no more than the stage it was in.
 """
 
@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from segue.llm import mil_quality, minhash, packing, secret_scan, suffix_dedup
 from segue.llm.common import removed, scratch, scratch_dir, table, written
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: No SQL: a trained classifier, MinHash and tokenizers cannot be said in it; the stages are tested against brute force.
 ORACLE_SQL = None
 
@@ -21,33 +20,35 @@ ORACLE_SQL = None
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. A row without an id is scored like any other and stays if it passes."""
     model = mil_quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return mil_quality.accepted(docs.select(*COLUMNS), model)
+    return mil_quality.accepted(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest id; of equal rows one, and rows without an id all.
 
-    Where different texts share an id, the id is judged by one of them, and all its texts stay or go with it.
+    Texts that share an id are documents of their own, each judged by itself.
     """
-    path = scratch_dir(spark)
-    with scratch(spark):
-        found = minhash.near_duplicates(docs, width=5, percent=80).where("doc_id is not null")
-        marked = written(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("kept")).where("n > 1 or not kept"), path, keep=True)
-    rows = docs.select(*COLUMNS)
-    repeated = rows.join(marked.where("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates()
-    return rows.join(marked.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS).unionByName(repeated.select(*COLUMNS))
+    return minhash.one_of_each(docs, width=5, percent=80)
 
 
 def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long passages that stand earlier go; a document of which nothing is left goes whole, one that was empty stays."""
-    return suffix_dedup.dedup_rows(docs.select(*COLUMNS)).where("text != '' or n_removed = 0").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    count = "_".join(["removed", *docs.columns])  # a name that no column has
+    rest = suffix_dedup.dedup_rows(docs, count=count).where(F.col(count).isin(0) | (F.col("text") != ""))
+    return sized(rest.drop(count))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; every document stays."""
     model = secret_scan.corpus_model(docs)
-    scanned = secret_scan.scan(docs.drop("n_chars"), model, keep=("lang", "source"))
-    return secret_scan.masked(scanned, keep=("lang", "source")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    scanned = secret_scan.scan(docs.select("doc_id", "text", F.struct(*others).alias("others")), model, keep=("others",))
+    return sized(secret_scan.masked(scanned, keep=("others",)).select("doc_id", "text", "others.*").select(*docs.columns))
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """``n_chars`` told anew."""
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
