@@ -274,48 +274,6 @@ def tag_quality(of: DataFrame, centroids: DataFrame, drop_below: float = 0.5, me
     return intra_similarity(of).join(near, "tag", "left").select("tag", "n", "intra", "nearest", "inter", action.alias("action"))
 
 
-def seed_labels(labels: DataFrame, votes: DataFrame, tags: DataFrame, tracks: DataFrame) -> DataFrame:
-    """``tag, trackid, label`` for each given tag and track: 1 with the tag, 0 with others only, -1 unknown; a vote's sign overrides.
-
-    Only what is known is listed: an absent row is -1.
-    """
-    tagged = labels.where(F.size("semantic_tags") > 0).select("trackid").distinct()
-    having = tag_index(labels).join(tags, "tag", "left_semi").withColumn("has", F.lit(1))
-    voted = latest_votes(votes).join(tags, "tag", "left_semi").select("tag", "trackid", F.when(F.col("weight_delta") > 0, 1).when(F.col("weight_delta") < 0, 0).alias("vote"))
-    grid = tags.select("tag").distinct().join(tagged)
-    out = grid.join(having, ["tag", "trackid"], "left").join(voted, ["tag", "trackid"], "full").select("tag", "trackid", F.coalesce("vote", "has", F.lit(0)).alias("label"))
-    return out.join(tracks.select("trackid"), "trackid", "left_semi").select("tag", "trackid", "label")
-
-
-def label_spread(edges: DataFrame, seeds: DataFrame, alpha: float = 0.2, rounds: int = 5) -> DataFrame:
-    """Probability of each tag for the tracks that spreading reaches, positives left out.
-
-    ``edges`` is ``seed, neighbour``: the graph of nearest neighbours, a track itself not listed. Column sums scale both
-    ends; ``rounds`` steps are taken, and every fifth is written out by ``checkpoint`` so that lineage stays short.
-    """
-    n = edges.select("seed", "neighbour")
-    degree = n.groupBy(F.col("neighbour").alias("node")).agg(F.count("*").cast("double").alias("d"))
-    scaled = (
-        n.join(degree.select(F.col("node").alias("seed"), F.col("d").alias("da")), "seed", "left")
-        .join(degree.select(F.col("node").alias("neighbour"), F.col("d").alias("db")), "neighbour", "left")
-        .select("seed", "neighbour", (1 / F.sqrt(F.coalesce("da", F.lit(1.0)) * F.coalesce("db", F.lit(1.0)))).alias("s"))
-    )
-    start = seeds.where("label >= 0").select("tag", F.col("trackid").alias("node"), F.when(F.col("label") == 0, 1.0).otherwise(0.0).alias("y0"), F.when(F.col("label") == 1, 1.0).otherwise(0.0).alias("y1"))
-    f = start.select("tag", "node", F.col("y0").alias("f0"), F.col("y1").alias("f1"))
-    for i in range(rounds):
-        spread = scaled.join(f.withColumnRenamed("node", "neighbour"), "neighbour").groupBy("tag", F.col("seed").alias("node")).agg(F.sum(F.col("s") * F.col("f0")).alias("g0"), F.sum(F.col("s") * F.col("f1")).alias("g1"))
-        zero = F.lit(0.0)
-        f = spread.join(start, ["tag", "node"], "full").select("tag", "node", (alpha * F.coalesce("g0", zero) + (1 - alpha) * F.coalesce("y0", zero)).alias("f0"), (alpha * F.coalesce("g1", zero) + (1 - alpha) * F.coalesce("y1", zero)).alias("f1"))
-        if i % 5 == 4 and i + 1 < rounds and f.sparkSession.sparkContext.getCheckpointDir():
-            f = f.checkpoint()
-    total = F.col("f0") + F.col("f1")
-    normal = f.where(total > 0).select("tag", F.col("node").alias("neighbour"), (F.col("f0") / total).alias("p0"), (F.col("f1") / total).alias("p1"))
-    around = n.unionByName(n.select("seed", F.col("seed").alias("neighbour")).distinct())
-    voted = around.join(normal, "neighbour").groupBy("tag", "seed").agg(F.sum("p0").alias("p0"), F.sum("p1").alias("p1"))
-    out = voted.select("tag", F.col("seed").alias("trackid"), F.round(F.col("p1") / (F.col("p0") + F.col("p1")), 6).alias("probability"))
-    return out.join(seeds.where("label = 1").select("tag", "trackid"), ["tag", "trackid"], "left_anti")
-
-
 def triage(predicted: DataFrame, n: int = 10) -> DataFrame:
     """The first ``n`` to accept (above .85) and of the uncertain (.4 to .6), per tag."""
     bucket = F.when(F.col("probability") > 0.85, "accept").when((F.col("probability") > 0.4) & (F.col("probability") < 0.6), "uncertain")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from segue.functions import scores
 from segue.functions.keys import harmonic
-from segue.operators import evaluation, requests as req, scoring, search, sequences, tables, tags, vectors
+from segue.operators import evaluation, requests as req, scoring, search, sequences, spreading, tables, tags, vectors
 from segue.operators.scoring import latest_n
 from segue.plans.base import Tables, harmonic_sql, knn_sql, query
 
@@ -458,12 +458,15 @@ def _(t):
 
 
 SEEDS = f"""tg AS (SELECT DISTINCT p_brand AS tag FROM part), {LATEST}, hv AS (SELECT DISTINCT tag, trackid FROM (SELECT trackid, unnest(semantic_tags) AS tag FROM track_labels) WHERE tag IN (FROM tg)), vo AS (SELECT tag, trackid, CASE WHEN weight_delta > 0 THEN 1 WHEN weight_delta < 0 THEN 0 END AS vote FROM lv WHERE tag IN (FROM tg)),
-  gr AS (SELECT tag, trackid FROM tg CROSS JOIN (SELECT trackid FROM track_labels WHERE len(semantic_tags) > 0) UNION SELECT tag, trackid FROM vo WHERE trackid IN (SELECT trackid FROM tracks)),
-  sd AS (SELECT tag, trackid, CAST(coalesce(vote, CASE WHEN hv.trackid IS NOT NULL THEN 1 ELSE 0 END) AS INTEGER) AS label FROM gr LEFT JOIN hv USING (tag, trackid) LEFT JOIN vo USING (tag, trackid))"""
+  sd AS (SELECT tag, trackid, CAST(coalesce(vote, 1) AS INTEGER) AS label FROM hv FULL JOIN vo USING (tag, trackid) WHERE (vote IS NOT NULL OR hv.trackid IS NOT NULL) AND trackid IN (SELECT trackid FROM tracks))"""
 
 
 def brand_seeds(t: Tables) -> DataFrame:
-    return tags.seed_labels(t.track_labels, t.votes, t.part.select(F.col("p_brand").alias("tag")).distinct(), t.tracks)
+    return spreading.seed_labels(t.track_labels, t.votes, t.part.select(F.col("p_brand").alias("tag")).distinct(), t.tracks)
+
+
+def brand_spread(t: Tables) -> DataFrame:
+    return spreading.label_spread(feat_knn(t, 6), brand_seeds(t), t.track_labels.where(F.size("semantic_tags") > 0))
 
 
 @query("c11_seed_labels", f"WITH {SEEDS} SELECT tag, trackid, label FROM sd")
@@ -471,26 +474,26 @@ def _(t):
     return brand_seeds(t)
 
 
-def _spread_sql(rounds: int) -> str:
-    steps = ["f0 AS (SELECT tag, trackid AS node, CASE label WHEN 0 THEN 1 ELSE 0 END::DOUBLE AS a, CASE label WHEN 1 THEN 1 ELSE 0 END::DOUBLE AS b FROM sd)"]
-    for i in range(rounds):
-        steps.append(f"g{i} AS (SELECT tag, seed AS node, sum(s * a) AS a, sum(s * b) AS b FROM sc JOIN f{i} ON f{i}.node = neighbour GROUP BY ALL), f{i + 1} AS (SELECT tag, node, 0.2::DOUBLE * coalesce(g{i}.a, 0) + 0.8::DOUBLE * coalesce(f0.a, 0) AS a, 0.2::DOUBLE * coalesce(g{i}.b, 0) + 0.8::DOUBLE * coalesce(f0.b, 0) AS b FROM g{i} FULL JOIN f0 USING (tag, node))")
-    return ", ".join(steps)
-
-
-SPREAD = f"""n AS ({knn_sql(6)}), {SEEDS}, dg AS (SELECT neighbour AS node, count(*)::DOUBLE AS d FROM n GROUP BY 1), sc AS (SELECT seed, neighbour, 1 / sqrt(coalesce(a.d, 1) * coalesce(b.d, 1)) AS s FROM n LEFT JOIN dg a ON a.node = seed LEFT JOIN dg b ON b.node = neighbour), {_spread_sql(5)},
-  nm AS (SELECT tag, node, a / (a + b) AS a, b / (a + b) AS b FROM f5 WHERE a + b > 0), ar AS (SELECT seed, neighbour FROM n UNION SELECT seed, seed FROM n),
-  pr AS (SELECT tag, seed AS trackid, round(sum(b) / (sum(a) + sum(b)), 6) AS probability FROM ar JOIN nm ON nm.node = neighbour GROUP BY tag, seed), po AS (SELECT * FROM pr WHERE (tag, trackid) NOT IN (SELECT (tag, trackid) FROM sd WHERE label = 1))"""
+#: Each tag's labels of all tracks are spread until they settle; an edge from each track to itself carries what it was before.
+SPREAD = f"""n AS ({knn_sql(6)}), {SEEDS}, dg AS (SELECT neighbour AS node, count(*)::DOUBLE AS d FROM n GROUP BY 1),
+  sc AS (SELECT seed, neighbour, 1 / sqrt(coalesce(a.d, 1) * coalesce(b.d, 1)) AS s, 0 AS me FROM n LEFT JOIN dg a ON a.node = seed LEFT JOIN dg b ON b.node = neighbour UNION ALL SELECT DISTINCT seed, seed, 0, 1 FROM n),
+  y AS (SELECT tg.tag, node, coalesce(label, CASE WHEN node IN (SELECT trackid FROM track_labels WHERE len(semantic_tags) > 0) THEN 0 ELSE -1 END) AS label FROM (SELECT DISTINCT seed AS node FROM n) CROSS JOIN tg LEFT JOIN sd ON sd.trackid = node AND sd.tag = tg.tag WHERE tg.tag IN (SELECT tag FROM sd WHERE label = 1 AND trackid IN (SELECT seed FROM n))),
+  f AS (SELECT 0 AS t, y.tag, node, label, (label = 0)::INT::DOUBLE AS a, (label = 1)::INT::DOUBLE AS b, 1::DOUBLE AS change FROM y UNION ALL
+    SELECT t + 1, tag, node, label, a, b, sum(abs(a - oa) + abs(b - ob)) OVER (PARTITION BY tag) FROM (SELECT f.t, f.tag, seed AS node, max(f.label) FILTER (me = 1) AS label, 0.2::DOUBLE * sum(s * a) + 0.8::DOUBLE * (max(f.label) FILTER (me = 1) = 0)::INT AS a, 0.2::DOUBLE * sum(s * b) + 0.8::DOUBLE * (max(f.label) FILTER (me = 1) = 1)::INT AS b,
+      sum(a) FILTER (me = 1) AS oa, sum(b) FILTER (me = 1) AS ob FROM f JOIN sc ON sc.neighbour = f.node WHERE f.t < 30 AND change >= 0.001::DOUBLE GROUP BY f.t, f.tag, seed)),
+  fl AS (SELECT * FROM f QUALIFY t = max(t) OVER (PARTITION BY tag)),
+  nm AS (SELECT tag, node, a / (a + b) AS a, b / (a + b) AS b FROM fl WHERE a + b > 0), ar AS (SELECT seed, neighbour FROM n UNION SELECT seed, seed FROM n),
+  pr AS (SELECT tag, seed AS trackid, round(sum(b) / (sum(a) + sum(b)), 6) AS probability FROM ar JOIN nm ON nm.node = neighbour GROUP BY tag, seed), po AS (SELECT * FROM pr WHERE probability > 0 AND (tag, trackid) NOT IN (SELECT (tag, trackid) FROM sd WHERE label = 1))"""
 
 
-@query("c12_label_spread", f"WITH {SPREAD} SELECT tag, trackid, probability FROM po")
+@query("c12_label_spread", f"WITH RECURSIVE {SPREAD} SELECT tag, trackid, probability FROM po")
 def _(t):
-    return tags.label_spread(feat_knn(t, 6), brand_seeds(t))
+    return brand_spread(t)
 
 
-@query("c13_triage", f"WITH {SPREAD} SELECT tag, trackid, probability, bucket, place FROM (SELECT *, row_number() OVER (PARTITION BY tag, bucket ORDER BY probability DESC, trackid) AS place FROM (SELECT *, CASE WHEN probability > 0.85 THEN 'accept' WHEN probability > 0.4 AND probability < 0.6 THEN 'uncertain' END AS bucket FROM po) WHERE bucket IS NOT NULL) WHERE place <= 10")
+@query("c13_triage", f"WITH RECURSIVE {SPREAD} SELECT tag, trackid, probability, bucket, place FROM (SELECT *, row_number() OVER (PARTITION BY tag, bucket ORDER BY probability DESC, trackid) AS place FROM (SELECT *, CASE WHEN probability > 0.85 THEN 'accept' WHEN probability > 0.4 AND probability < 0.6 THEN 'uncertain' END AS bucket FROM po) WHERE bucket IS NOT NULL) WHERE place <= 10")
 def _(t):
-    return tags.triage(tags.label_spread(feat_knn(t, 6), brand_seeds(t)))
+    return tags.triage(brand_spread(t))
 
 
 @query("c14_random_unlabeled", "SELECT t.trackid FROM tracks t LEFT JOIN track_labels l ON l.trackid = t.trackid LEFT JOIN (SELECT DISTINCT trackid, 1 AS seen FROM votes) v ON v.trackid = t.trackid WHERE l.trackid IS NULL OR coalesce(len(l.semantic_tags), 0) = 0 ORDER BY coalesce(seen, 0), md5(concat(t.trackid, '/7')), t.trackid LIMIT 50")

@@ -105,13 +105,6 @@ def test_sums_equal_pairs(spark):
     assert tags.centroid_multi(of).count() == 3
 
 
-def test_spreading(spark):
-    edges = spark.createDataFrame([(a, b) for a in range(6) for b in range(6) if a != b and (a < 3) == (b < 3)], "seed long, neighbour long")
-    seeds = spark.createDataFrame([("x", 0, 1), ("x", 3, 0)], "tag string, trackid long, label int")
-    got = {r.trackid: r.probability for r in tags.label_spread(edges, seeds, rounds=7).collect()}
-    assert got == {1: 1.0, 2: 1.0, 3: 0.0, 4: 0.0, 5: 0.0}
-
-
 def test_sequences(spark):
     tracks = spark.createDataFrame([(1, 120.0, "8A"), (2, 131.0, "8A"), (3, 150.0, "2A"), (4, None, None)], "trackid long, bpm double, key string")
     crates = spark.createDataFrame([("s", i, k) for i, k in enumerate([1, 2, 3, 4])] + [("one", 0, 1)], "session_id string, position int, trackid long")
