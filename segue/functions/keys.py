@@ -56,3 +56,9 @@ def harmonic(a: Column, b: Column, profile: str = "engine") -> Column:
 def compatible(a: Column, b: Column) -> Column:
     """Equal, relative or neighbouring keys; null if one is missing."""
     return harmonic(a, b, "explain") >= 0.8
+
+
+def key_passes(key: Column, reference: Column, mode: Column) -> Column:
+    """Whether a key goes with a reference key: ``same``, ``compatible``, or ``any`` (also without a mode or a reference). A missing key passes only ``any``."""
+    free = mode.isNull() | (mode == "any") | reference.isNull()
+    return F.when(free, True).when(mode == "same", F.coalesce(to_camelot(key) == to_camelot(reference), F.lit(False))).otherwise(F.coalesce(compatible(key, reference), F.lit(False)))

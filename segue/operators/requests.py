@@ -64,9 +64,17 @@ def widened_bpm(low: Column, high: Column) -> Column:
 
 
 def with_defaults(intents: DataFrame, context: DataFrame) -> DataFrame:
-    """Confidence .7, five tracks (one at least) and compatible keys unless told; ``context`` is ``request_id, context_key``."""
+    """Confidence .7, five tracks (one at least), and, where no kind of key is asked for and a track is playing, keys that go with its own.
+
+    ``context`` is ``request_id, context_key``; the key to go with is ``reference_key``.
+    """
     joined = intents.join(context, "request_id", "left")
-    return joined.withColumn("confidence", F.coalesce("confidence", F.lit(0.7))).withColumn("track_count", F.greatest(F.lit(1), F.coalesce("track_count", F.lit(5)))).withColumn("key_compatibility", F.coalesce("key_compatibility", F.when(F.col("context_key").isNotNull(), "compatible")))
+    implied = F.col("key_compatibility").isNull() & F.col("context_key").isNotNull()
+    given = F.col("reference_key") if "reference_key" in intents.columns else F.lit(None).cast("string")
+    return joined.withColumns({
+        "confidence": F.coalesce("confidence", F.lit(0.7)), "track_count": F.greatest(F.lit(1), F.coalesce("track_count", F.lit(5))),
+        "reference_key": F.when(implied, F.col("context_key")).otherwise(given), "key_compatibility": F.when(implied, "compatible").otherwise(F.col("key_compatibility")),
+    }).drop("context_key")
 
 
 def suggest_similar(inputs: DataFrame, tags: DataFrame, vibes: DataFrame, n: int = 5) -> DataFrame:

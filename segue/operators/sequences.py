@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from segue.functions.keys import harmonic
 from segue.operators.tables import upsert
@@ -15,30 +15,40 @@ def apply_order(crates: DataFrame) -> DataFrame:
 
 
 def transitions(crates: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Each track of a session with the next one: tempo step, harmony and their mean score; a missing tempo counts as 120."""
-    joined = crates.join(tracks.select("trackid", "bpm", "key"), "trackid", "left").withColumn("bpm", F.coalesce("bpm", F.lit(120.0)))
+    """Each track of a session with the next one: tempos and keys of both, tempo step, harmony and their mean score; a missing tempo counts as 120 in the step."""
+    joined = crates.join(tracks.select("trackid", "bpm", "key"), "trackid", "left")
     w = Window.partitionBy("session_id").orderBy("position")
     pairs = joined.select("session_id", "position", "trackid", "bpm", "key", F.lead("trackid").over(w).alias("next_track"), F.lead("bpm").over(w).alias("next_bpm"), F.lead("key").over(w).alias("next_key"), F.lead(F.lit(1)).over(w).alias("more")).where("more = 1")
-    step = pairs.withColumn("bpm_step", F.round(F.abs(F.col("next_bpm") - F.col("bpm")), 6)).withColumn("harmony", harmonic(F.col("key"), F.col("next_key")))
+    tempo = lambda c: F.coalesce(c, F.lit(120.0))
+    step = pairs.withColumn("bpm_step", F.round(F.abs(tempo("next_bpm") - tempo("bpm")), 6)).withColumn("harmony", harmonic(F.col("key"), F.col("next_key")))
     score = F.round(0.5 * (1 - F.least(F.col("bpm_step") / 20, F.lit(1.0))) + 0.5 * F.col("harmony"), 6)
-    return step.select("session_id", "position", "trackid", "next_track", "bpm_step", "harmony", score.alias("score"))
+    return step.select("session_id", "position", "trackid", "next_track", "bpm", "next_bpm", "key", "next_key", "bpm_step", "harmony", score.alias("score"))
+
+
+def _issues() -> Column:
+    """A transition's issues, as an array of ``type, position, severity, details``."""
+    said = lambda what, a, b: F.concat(F.lit(what), F.coalesce(F.col(a).cast("string"), F.lit("None")), F.lit(" → "), F.coalesce(F.col(b).cast("string"), F.lit("None"))).alias("details")
+    at = F.col("position").cast("int").alias("position")
+    tempo = F.when(F.col("bpm_step") > 10, F.struct(F.lit("bpm_incompatibility").alias("type"), at, F.when(F.col("bpm_step") > 15, "high").otherwise("medium").alias("severity"), said("BPM jump: ", "bpm", "next_bpm")))
+    keys = F.when(F.col("harmony") < 0.3, F.struct(F.lit("harmonic_clash").alias("type"), at, F.lit("medium").alias("severity"), said("Key clash: ", "key", "next_key")))
+    return F.filter(F.array(tempo, keys), lambda x: x.isNotNull())
 
 
 def sequence_issues(steps: DataFrame) -> DataFrame:
-    """``session_id, position, type, severity``: tempo jumps above 10 (high above 15) and clashing keys below .3."""
-    tempo = F.when(F.col("bpm_step") > 10, F.struct(F.lit("bpm_jump").alias("type"), F.when(F.col("bpm_step") > 15, "high").otherwise("medium").alias("severity")))
-    keys = F.when(F.col("harmony") < 0.3, F.struct(F.lit("key_clash").alias("type"), F.lit("medium").alias("severity")))
-    return steps.select("session_id", "position", F.inline(F.filter(F.array(tempo, keys), lambda x: x.isNotNull())))
+    """``session_id, type, position, severity, details``: tempo jumps above 10 (high above 15) and clashing keys below .3."""
+    return steps.select("session_id", F.inline(_issues()))
 
 
 def validate_sequence(crates: DataFrame, tracks: DataFrame) -> DataFrame:
-    """One report per session: mean score (0 below two tracks), numbers of issues, and whether none is high."""
-    steps = transitions(crates, tracks)
-    high, medium = F.col("bpm_step") > 15, F.col("bpm_step").between(10.0000001, 15)
-    report = steps.groupBy("session_id").agg(F.round(F.avg("score"), 9).alias("overall"), F.count_if(high).alias("high"), (F.count_if(medium) + F.count_if(F.col("harmony") < 0.3)).alias("medium"))
+    """One report per session: ``issues`` and ``transition_scores`` in order, their mean (0 below two tracks), and whether no issue is high."""
+    steps = transitions(crates, tracks).withColumn("found", _issues())
+    report = steps.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("position", "score", "found"))).alias("steps"))
     sizes = crates.groupBy("session_id").agg(F.count("*").alias("n"))
-    zero = F.lit(0)
-    return sizes.join(report, "session_id", "left").select("session_id", "n", F.coalesce("overall", F.lit(0.0)).alias("overall"), F.coalesce("high", zero).alias("high"), F.coalesce("medium", zero).alias("medium"), (F.coalesce("high", zero) == 0).alias("is_mixable"))
+    found = sizes.join(report, "session_id", "left").withColumn("steps", F.coalesce("steps", F.array().cast(report.schema["steps"].dataType)))
+    scores = F.transform("steps", lambda x: x["score"])
+    mean = F.when(F.size("steps") > 0, F.round(F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size("steps"), 9)).otherwise(0.0)
+    issues = F.flatten(F.transform("steps", lambda x: x["found"]))
+    return found.select("session_id", "n", issues.alias("issues"), scores.alias("transition_scores"), mean.alias("overall_score"), (~F.exists(issues, lambda x: x["severity"] == "high")).alias("is_mixable"))
 
 
 def badges(steps: DataFrame) -> DataFrame:

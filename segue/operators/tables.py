@@ -87,10 +87,9 @@ def keep(df: DataFrame, ids: DataFrame, key: str = "trackid") -> DataFrame:
     return df.join(ids.select(key), key, "left_semi")
 
 
-def by_ids(tracks: DataFrame, ids: list[int]) -> DataFrame:
-    """The tracks of a request, in its order, with the place ``pos``."""
-    asked = tracks.sparkSession.createDataFrame(list(enumerate(ids)), "pos int, trackid long")
-    return tracks.join(F.broadcast(asked), "trackid").orderBy("pos")
+def by_ids(tracks: DataFrame, asked: DataFrame, request: str = "request_id", place: str = "pos") -> DataFrame:
+    """The tracks that requests name (a row for each request and place, with a ``trackid``), each request's in its own order; unknown ids give no row."""
+    return asked.select(request, place, "trackid").join(tracks, "trackid").orderBy(request, place)
 
 
 def bpm_between(df: DataFrame, low: float, high: float, keep_null: bool = False) -> DataFrame:
@@ -123,11 +122,13 @@ def flatten_labels(labels: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def track_view(tracks: DataFrame, labels: DataFrame) -> DataFrame:
-    """Tracks with their labels and the defaults of a listing."""
+    """Tracks with their labels and the defaults of a listing; ``position`` is null unless all three coordinates are known."""
     none = F.array().cast("array<string>")
+    at = [F.col(c).cast("double") if c in tracks.columns else F.lit(None).cast("double") for c in ("x_coord", "y_coord", "z_coord")]
+    placed = F.when(at[0].isNotNull() & at[1].isNotNull() & at[2].isNotNull(), F.array(*at))
     return with_labels(tracks, labels).select(
         "trackid", F.coalesce("title", F.lit("Unknown")).alias("title"), F.coalesce("artist", F.lit("Unknown")).alias("artist"), "bpm",
-        F.coalesce("energy", F.lit(0.5)).alias("energy"), F.coalesce("semantic_tags", none).alias("tags"), F.coalesce("vibe", none).alias("vibe"),
+        F.coalesce("energy", F.lit(0.5)).alias("energy"), F.coalesce("semantic_tags", none).alias("tags"), F.coalesce("vibe", none).alias("vibe"), placed.alias("position"),
     )
 
 

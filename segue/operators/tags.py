@@ -266,12 +266,13 @@ def misfits(of: DataFrame, centroids: DataFrame) -> DataFrame:
 
 
 def tag_quality(of: DataFrame, centroids: DataFrame, drop_below: float = 0.5, merge_from: float = 0.85) -> DataFrame:
-    """``drop``, ``merge`` or ``keep`` for each tag, by its own similarity and its nearest other tag."""
-    c = centroids.select("tag", unit(F.col("centroid")).alias("c"))
-    pairs = c.join(c.select(F.col("tag").alias("other"), F.col("c").alias("d"))).where("tag != other").withColumn("inter", F.round(dot(F.col("c"), F.col("d")), 6))
-    near = latest(pairs, ["tag"], [F.desc("inter"), F.col("other")]).select("tag", F.col("other").alias("nearest"), "inter")
+    """``drop``, ``merge`` or ``keep`` for each tag, by its own similarity and the nearest other tag's; ``top_similar`` are all that are nearest, if near enough to merge."""
+    c = centroids.select("tag", unit(F.col("centroid")).alias("unit"))
+    near = nearest(c.select(F.col("tag").alias("seed"), "unit"), c.select(F.col("tag").alias("neighbour"), "unit"), 1, ties=True)
+    best = near.groupBy(F.col("seed").alias("tag")).agg(F.max("sim").alias("inter"), F.array_sort(F.collect_list("neighbour")).alias("all"))
+    similar = F.when(F.col("inter") >= merge_from, F.array_join("all", ", ")).otherwise("")
     action = F.when((F.col("n") < 2) | F.col("intra").isNull(), "keep").when(F.col("intra") < drop_below, "drop").when(F.col("inter") >= merge_from, "merge").otherwise("keep")
-    return intra_similarity(of).join(near, "tag", "left").select("tag", "n", "intra", "nearest", "inter", action.alias("action"))
+    return intra_similarity(of).join(best, "tag", "left").select("tag", "n", "intra", F.get("all", F.lit(0)).alias("nearest"), "inter", F.coalesce(similar, F.lit("")).alias("top_similar"), action.alias("action"))
 
 
 def triage(predicted: DataFrame, n: int = 10) -> DataFrame:

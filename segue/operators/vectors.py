@@ -38,8 +38,9 @@ def block_products(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterat
         yield [i for i, _ in asking], ids, np.round(np.array([v for _, v in asking]) @ matrix.T, 6) + 0.0
 
 
-def nearest(asked: DataFrame, own: DataFrame, k: int, threshold: float | None = None, block: int = 2048, same: bool = False) -> DataFrame:
+def nearest(asked: DataFrame, own: DataFrame, k: int, threshold: float | None = None, block: int = 2048, same: bool = False, ties: bool = False) -> DataFrame:
     """``seed, neighbour, sim, rank``: the ``k`` most similar of ``own`` (``neighbour, unit``) for each of ``asked`` (``seed, unit``), equal ids left out but for ``same``.
+    With ``ties`` all that are as near as the last of them.
 
     Cosines are rounded to six places and ties go to the smaller id; ids are numbers or strings. Vectors are dealt into blocks; each
     pair of blocks meets in one task as a matrix product, and only the best ``k`` of a row leave it, so the shuffle is ``k``
@@ -57,12 +58,13 @@ def nearest(asked: DataFrame, own: DataFrame, k: int, threshold: float | None =
                 if len(at) > k:
                     least = np.partition(row[at], len(at) - k)[len(at) - k]
                     at = at[row[at] >= least]
-                at = at[np.lexsort((ids[at], -row[at]))][:k]
+                at = at[np.lexsort((ids[at], -row[at]))]
+                at = at if ties else at[:k]
                 out.append((np.full(len(at), s), ids[at], row[at]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["seed", "neighbour", "sim"])
 
     found = dealt.mapInArrow(best, f"seed {kind}, neighbour {kind}, sim double").select(F.col("seed").cast(kinds[0]).alias("seed"), F.col("neighbour").cast(kinds[1]).alias("neighbour"), "sim")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("sim"), "neighbour")))
+    ranked = found.withColumn("rank", F.rank().over(Window.partitionBy("seed").orderBy(F.desc("sim"))) if ties else F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("sim"), "neighbour")))
     return ranked.where(F.col("rank") <= k)
 
 

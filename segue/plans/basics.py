@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from segue.functions import clean, keys
 from segue.operators import tables as ops
-from segue.plans.base import harmonic_sql, keys_sql, query
+from segue.plans.base import camelot_sql, harmonic_sql, keys_sql, query
 from segue.sources import readers, writers
 
 TAGS = "array_to_string(list_sort(semantic_tags), '|')"
@@ -123,9 +123,12 @@ def _(t):
     return ops.flatten_labels(twice, [F.coalesce("energy", F.lit(0.0))]).select("trackid", tags().alias("tags"), "energy", F.element_at("vibe_descriptors", 1).alias("vibe_descriptor"))
 
 
-@query("n4_track_view", "SELECT t.trackid, coalesce(title, 'Unknown') AS title, coalesce(artist, 'Unknown') AS artist, bpm, coalesce(energy, 0.5) AS energy, coalesce(array_to_string(list_sort(semantic_tags), '|'), '') AS tags, coalesce(vibe[1], '') AS vibe FROM tracks t LEFT JOIN track_labels l USING (trackid)")
+@query("n4_track_view", "SELECT t.trackid, coalesce(title, 'Unknown') AS title, coalesce(artist, 'Unknown') AS artist, bpm, coalesce(energy, 0.5) AS energy, coalesce(array_to_string(list_sort(semantic_tags), '|'), '') AS tags, coalesce(vibe[1], '') AS vibe, CASE WHEN t.trackid % 9 <> 4 AND embedding IS NOT NULL THEN round(embedding[1]::DOUBLE + embedding[2]::DOUBLE + embedding[3]::DOUBLE, 6) END AS place FROM tracks t LEFT JOIN track_labels l USING (trackid)")
 def _(t):
-    return ops.track_view(t.tracks, t.track_labels).withColumn("tags", tags("tags")).withColumn("vibe", F.array_join("vibe", "|"))
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    placed = t.tracks.withColumns({"x_coord": at(0), "y_coord": F.when(F.col("trackid") % 9 != 4, at(1)), "z_coord": at(2)})
+    view = ops.track_view(placed, t.track_labels).withColumn("tags", tags("tags")).withColumn("vibe", F.array_join("vibe", "|"))
+    return view.withColumn("place", F.round(F.get("position", F.lit(0)) + F.get("position", F.lit(1)) + F.get("position", F.lit(2)), 6)).drop("position")
 
 
 @query("n5_crate_defaults", "SELECT t.trackid, coalesce(title, 'Unknown Title') AS title, coalesce(artist, 'Unknown Artist') AS artist, coalesce(nullif(bpm, 0), 120) AS bpm, coalesce(key, 'Unknown') AS key, coalesce(nullif(energy, 0), 0.5) AS energy FROM tracks t LEFT JOIN track_labels l USING (trackid)")
@@ -240,9 +243,10 @@ def _(t):
     return ops.exclude(t.tracks, t.votes).select("trackid")
 
 
-@query("f10_by_ids", "SELECT CAST(pos AS INTEGER) AS pos, trackid, title FROM (SELECT unnest([9, 3, 77, 3, 100000000, 12]) AS trackid, unnest([0, 1, 2, 3, 4, 5]) AS pos) JOIN tracks USING (trackid)")
+@query("f10_by_ids", "SELECT session_id AS request_id, CAST(position AS INTEGER) AS pos, trackid, title FROM crates JOIN tracks USING (trackid)")
 def _(t):
-    return ops.by_ids(t.tracks, [9, 3, 77, 3, 100000000, 12]).select("pos", "trackid", "title")
+    asked = t.crates.select(F.col("session_id").alias("request_id"), F.col("position").cast("int").alias("pos"), "trackid")
+    return ops.by_ids(t.tracks, asked).select("request_id", "pos", "trackid", "title")
 
 
 @query("f11_relaxed_terms", "SELECT trackid, tag FROM (SELECT trackid, unnest(semantic_tags) AS tag, energy FROM track_labels) WHERE energy / 10 >= 0.45")
@@ -257,9 +261,15 @@ def _(t):
     return ops.semantic_search(ops.labelled(t.tracks, t.track_labels), ["blue", "ring", "rod"], energy=(2, 8), bpm=(105, 140), without=["old", "cold"]).select("trackid")
 
 
-@query("f13_key_filter", f"SELECT trackid, key FROM tracks WHERE {harmonic_sql('key', chr(39) + '8A' + chr(39), 'explain')} >= 0.8")
+@query("f13_key_filter", f"""WITH f AS (SELECT session_id, key AS reference FROM crates JOIN tracks USING (trackid) WHERE position = 0), m AS (SELECT session_id, reference, (['same', 'compatible', 'any', NULL])[1 + session_id % 4] AS mode FROM f)
+  SELECT session_id, position, trackid, key FROM crates JOIN tracks USING (trackid) JOIN m USING (session_id)
+  WHERE mode IS NULL OR mode = 'any' OR reference IS NULL OR (mode = 'same' AND {camelot_sql('key')} = {camelot_sql('reference')}) OR (mode = 'compatible' AND {harmonic_sql('key', 'reference', 'explain')} >= 0.8)""")
 def _(t):
-    return t.tracks.where(keys.compatible(F.col("key"), F.lit("8A"))).select("trackid", "key")
+    """Each session's tracks that go with its first one, in the way that the session asks for."""
+    held = t.crates.join(t.tracks.select("trackid", "key"), "trackid")
+    mode = F.get(F.array(F.lit("same"), F.lit("compatible"), F.lit("any"), F.lit(None)), (F.col("session_id") % 4).cast("int"))
+    asked = held.where("position = 0").select("session_id", F.col("key").alias("reference"), mode.alias("mode"))
+    return held.join(asked, "session_id").where(keys.key_passes(F.col("key"), F.col("reference"), F.col("mode"))).select("session_id", "position", "trackid", "key")
 
 
 @query("j1_left_join", "SELECT t.trackid, title, energy FROM tracks t LEFT JOIN track_labels l USING (trackid)")

@@ -450,8 +450,8 @@ def _(t):
     return tags.misfits(m, tags.centroid_mean(m)).select("tag", "trackid", "own_sim", "other", "sim", "margin")
 
 
-@query("c10_tag_quality", f"""WITH {MEMBERS}, i AS (SELECT tag, n, round(avg(c) FILTER (trackid <> other), 6) AS intra FROM pairs JOIN cn USING (tag) GROUP BY tag, n), p AS (SELECT a.tag, b.tag AS nearest, round(list_inner_product(a.centroid, b.centroid), 6) AS inter FROM mu a JOIN mu b ON a.tag <> b.tag), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY inter DESC, nearest) AS r FROM p) WHERE r = 1)
-  SELECT tag, n, intra, nearest, inter, CASE WHEN n < 2 OR intra IS NULL THEN 'keep' WHEN intra < 0.5 THEN 'drop' WHEN inter >= 0.85 THEN 'merge' ELSE 'keep' END AS action FROM i LEFT JOIN b USING (tag)""")
+@query("c10_tag_quality", f"""WITH {MEMBERS}, i AS (SELECT tag, n, round(avg(c) FILTER (trackid <> other), 6) AS intra FROM pairs JOIN cn USING (tag) GROUP BY tag, n), p AS (SELECT a.tag, b.tag AS nearest, round(list_inner_product(a.centroid, b.centroid), 6) AS inter FROM mu a JOIN mu b ON a.tag <> b.tag), b AS (SELECT tag, min(nearest) AS nearest, any_value(inter) AS inter, CASE WHEN any_value(inter) >= 0.85 THEN string_agg(nearest, ', ' ORDER BY nearest) END AS top_similar FROM (SELECT *, rank() OVER (PARTITION BY tag ORDER BY inter DESC) AS r FROM p) WHERE r = 1 GROUP BY tag)
+  SELECT tag, n, intra, nearest, inter, coalesce(top_similar, '') AS top_similar, CASE WHEN n < 2 OR intra IS NULL THEN 'keep' WHEN intra < 0.5 THEN 'drop' WHEN inter >= 0.85 THEN 'merge' ELSE 'keep' END AS action FROM i LEFT JOIN b USING (tag)""")
 def _(t):
     m = tag_members(t)
     return tags.tag_quality(m, tags.centroid_mean(m))
@@ -501,8 +501,10 @@ def _(t):
     return tables.random_unlabeled(t.tracks, t.track_labels, t.votes, 50, 7).select("trackid")
 
 
-STEPS = f"""j AS (SELECT session_id, position, c.trackid, coalesce(bpm, 120) AS bpm, key FROM crates c LEFT JOIN tracks t USING (trackid)), s AS (SELECT *, lead(trackid) OVER w AS next_track, lead(bpm) OVER w AS nb, lead(key) OVER w AS nk, lead(1) OVER w AS more FROM j WINDOW w AS (PARTITION BY session_id ORDER BY position)),
-  tr AS (SELECT session_id, position, trackid, next_track, round(abs(nb - bpm), 6) AS bpm_step, {harmonic_sql('key', 'nk')} AS harmony, round(0.5::DOUBLE * (1 - least(round(abs(nb - bpm), 6) / 20, 1)) + 0.5::DOUBLE * {harmonic_sql('key', 'nk')}, 6) AS score FROM s WHERE more = 1)"""
+STEPS = f"""j AS (SELECT session_id, position, c.trackid, bpm, key FROM crates c LEFT JOIN tracks t USING (trackid)), s AS (SELECT *, lead(trackid) OVER w AS next_track, lead(bpm) OVER w AS next_bpm, lead(key) OVER w AS next_key, lead(1) OVER w AS more FROM j WINDOW w AS (PARTITION BY session_id ORDER BY position)),
+  tr AS (SELECT session_id, position, trackid, next_track, bpm, next_bpm, key, next_key, round(abs(coalesce(next_bpm, 120) - coalesce(bpm, 120)), 6) AS bpm_step, {harmonic_sql('key', 'next_key')} AS harmony, round(0.5::DOUBLE * (1 - least(round(abs(coalesce(next_bpm, 120) - coalesce(bpm, 120)), 6) / 20, 1)) + 0.5::DOUBLE * {harmonic_sql('key', 'next_key')}, 6) AS score FROM s WHERE more = 1),
+  iss AS (SELECT session_id, 'bpm_incompatibility' AS type, position, CASE WHEN bpm_step > 15 THEN 'high' ELSE 'medium' END AS severity, 'BPM jump: ' || coalesce(bpm::VARCHAR, 'None') || ' → ' || coalesce(next_bpm::VARCHAR, 'None') AS details FROM tr WHERE bpm_step > 10
+    UNION ALL SELECT session_id, 'harmonic_clash', position, 'medium', 'Key clash: ' || coalesce(key, 'None') || ' → ' || coalesce(next_key, 'None') FROM tr WHERE harmony < 0.3)"""
 
 
 @query("q1_transitions", f"WITH {STEPS} SELECT * FROM tr")
@@ -510,14 +512,18 @@ def _(t):
     return sequences.transitions(t.crates, t.tracks)
 
 
-@query("q2_sequence_issues", f"WITH {STEPS} SELECT session_id, position, 'bpm_jump' AS type, CASE WHEN bpm_step > 15 THEN 'high' ELSE 'medium' END AS severity FROM tr WHERE bpm_step > 10 UNION ALL SELECT session_id, position, 'key_clash', 'medium' FROM tr WHERE harmony < 0.3")
+@query("q2_sequence_issues", f"WITH {STEPS} SELECT session_id, type, CAST(position AS INTEGER) AS position, severity, details FROM iss")
 def _(t):
     return sequences.sequence_issues(sequences.transitions(t.crates, t.tracks))
 
 
-@query("q3_validate_sequence", f"WITH {STEPS} SELECT session_id, any_value(n) AS n, coalesce(round(avg(score), 9), 0) AS overall, count(*) FILTER (bpm_step > 15) AS high, count(*) FILTER (bpm_step > 10 AND bpm_step <= 15) + count(*) FILTER (harmony < 0.3) AS medium, count(*) FILTER (bpm_step > 15) = 0 AS is_mixable FROM (SELECT session_id, count(*) AS n FROM crates GROUP BY 1) LEFT JOIN tr USING (session_id) GROUP BY session_id")
+@query("q3_validate_sequence", f"""WITH {STEPS}, a AS (SELECT session_id, string_agg(type || '/' || position || '/' || severity || '/' || details, '; ' ORDER BY position, type) AS issues, bool_or(severity = 'high') AS high FROM iss GROUP BY 1),
+  b AS (SELECT session_id, string_agg(printf('%.6f', score), ' ' ORDER BY position) AS scores, round(avg(score), 9) AS overall FROM tr GROUP BY 1)
+  SELECT session_id, n, coalesce(issues, '') AS issues, coalesce(scores, '') AS transition_scores, coalesce(overall, 0) AS overall_score, NOT coalesce(high, false) AS is_mixable FROM (SELECT session_id, count(*) AS n FROM crates GROUP BY 1) LEFT JOIN a USING (session_id) LEFT JOIN b USING (session_id)""")
 def _(t):
-    return sequences.validate_sequence(t.crates, t.tracks)
+    report = sequences.validate_sequence(t.crates, t.tracks)
+    said = lambda x: F.concat_ws("/", x["type"], x["position"].cast("string"), x["severity"], x["details"])
+    return report.withColumns({"issues": F.array_join(F.transform("issues", said), "; "), "transition_scores": F.array_join(F.transform("transition_scores", lambda x: F.format_string("%.6f", x)), " ")})
 
 
 @query("q4_apply_order", "SELECT session_id, CAST(max(position) OVER (PARTITION BY session_id) - position AS INTEGER) AS position, trackid FROM crates")
@@ -618,11 +624,11 @@ def _(t):
     return b.select("trackid", req.widened_bpm(F.col("bpm"), F.col("bpm") + F.col("w")).alias("r")).select("trackid", F.round("r.low", 6).alias("low"), F.round("r.high", 6).alias("high"))
 
 
-@query("x6_defaults", "SELECT p_partkey AS request_id, 0.7::DOUBLE AS confidence, CAST(CASE WHEN p_size % 4 = 0 THEN 5 ELSE greatest(1, p_size % 4 - 1) END AS INTEGER) AS track_count, CASE WHEN t.key IS NOT NULL THEN 'compatible' END AS key_compatibility FROM part LEFT JOIN tracks t ON t.trackid = p_partkey")
+@query("x6_defaults", "SELECT p_partkey AS request_id, 0.7::DOUBLE AS confidence, CAST(CASE WHEN p_size % 4 = 0 THEN 5 ELSE greatest(1, p_size % 4 - 1) END AS INTEGER) AS track_count, CASE WHEN p_partkey % 6 = 1 THEN 'same' WHEN t.key IS NOT NULL THEN 'compatible' END AS key_compatibility, CASE WHEN p_partkey % 6 <> 1 THEN t.key END AS reference_key FROM part LEFT JOIN tracks t ON t.trackid = p_partkey")
 def _(t):
     n = F.col("p_size") % 4
-    i = t.part.select(F.col("p_partkey").alias("request_id"), F.lit(None).cast("double").alias("confidence"), F.when(n != 0, n - 1).alias("track_count"), F.lit(None).cast("string").alias("key_compatibility"))
-    return req.with_defaults(i, t.tracks.select(F.col("trackid").alias("request_id"), F.col("key").alias("context_key"))).drop("context_key")
+    i = t.part.select(F.col("p_partkey").alias("request_id"), F.lit(None).cast("double").alias("confidence"), F.when(n != 0, n - 1).alias("track_count"), F.when(F.col("p_partkey") % 6 == 1, "same").alias("key_compatibility"))
+    return req.with_defaults(i, t.tracks.select(F.col("trackid").alias("request_id"), F.col("key").alias("context_key")))
 
 
 @query("x7_suggest_similar", f"WITH {VOCABULARY}, i AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS input FROM part UNION SELECT DISTINCT p_type FROM part), v AS (SELECT tag, 0 AS kind FROM vt UNION ALL SELECT tag, 1 FROM vv) SELECT input, tag, CAST(kind AS INTEGER) AS kind, rank FROM (SELECT *, row_number() OVER (PARTITION BY input ORDER BY kind, tag) AS rank FROM i JOIN v ON contains(lower(input), lower(tag)) OR contains(lower(tag), lower(input))) WHERE rank <= 5")

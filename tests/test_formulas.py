@@ -109,9 +109,12 @@ def test_sequences(spark):
     tracks = spark.createDataFrame([(1, 120.0, "8A"), (2, 131.0, "8A"), (3, 150.0, "2A"), (4, None, None)], "trackid long, bpm double, key string")
     crates = spark.createDataFrame([("s", i, k) for i, k in enumerate([1, 2, 3, 4])] + [("one", 0, 1)], "session_id string, position int, trackid long")
     issues = sorted(tuple(r) for r in sequences.sequence_issues(sequences.transitions(crates, tracks)).collect())
-    assert issues == [("s", 0, "bpm_jump", "medium"), ("s", 1, "bpm_jump", "high"), ("s", 1, "key_clash", "medium"), ("s", 2, "bpm_jump", "high")]
+    tempo, clash = "bpm_incompatibility", "harmonic_clash"
+    assert issues == [("s", tempo, 0, "medium", "BPM jump: 120.0 → 131.0"), ("s", tempo, 1, "high", "BPM jump: 131.0 → 150.0"), ("s", tempo, 2, "high", "BPM jump: 150.0 → None"), ("s", clash, 1, "medium", "Key clash: 8A → 2A")]
     reports = {r.session_id: r for r in sequences.validate_sequence(crates, tracks).collect()}
-    assert (reports["one"].overall, reports["one"].is_mixable, reports["s"].is_mixable, reports["s"].high, reports["s"].medium) == (0.0, True, False, 2, 2)
+    one, many = reports["one"], reports["s"]
+    assert (one.overall_score, one.is_mixable, one.issues, one.transition_scores) == (0.0, True, [], [])
+    assert not many.is_mixable and [(x.type, x.position) for x in many.issues] == [(tempo, 0), (tempo, 1), (clash, 1), (tempo, 2)] and len(many.transition_scores) == 3
     moved = {r.trackid: r.position for r in sequences.move_track(crates.where("session_id = 's'"), 3, 1).collect()}
     assert moved == {1: 0, 4: 1, 2: 2, 3: 3}
 
