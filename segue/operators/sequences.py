@@ -115,24 +115,3 @@ def artist_edges(tracks: DataFrame, span: int = 1_000_000) -> DataFrame:
 def graph_edges(knn: DataFrame, tracks: DataFrame) -> DataFrame:
     similar = knn.select(F.col("seed").alias("source"), F.col("neighbour").alias("target"), F.lit("similarity").alias("type"))
     return similar.unionByName(artist_edges(tracks))
-
-
-def pathways(edges: DataFrame, pairs: DataFrame, hops: int = 4) -> DataFrame:
-    """The best path of each ``source, target`` pair: fewest hops, then the highest mean similarity, then the smallest ids.
-
-    ``edges`` is ``seed, neighbour, sim``. Paths grow hop by hop without repeats, for all pairs at once; pairs that are
-    reached stop there, and of the open paths to one node only the best by the same order goes on.
-    """
-    e = edges.select("seed", "neighbour", "sim")
-    key = F.struct(F.round(-F.col("total"), 6).alias("s"), F.col("path"))
-    paths = pairs.select("source", "target", F.col("source").alias("at"), F.array(F.col("source")).alias("path"), F.lit(0.0).alias("total")).where("source != target")
-    done = None
-    for hop in range(1, hops + 1):
-        grown = paths.join(e, paths["at"] == e["seed"]).where(~F.array_contains("path", F.col("neighbour")))
-        grown = grown.select("source", "target", F.col("neighbour").alias("at"), F.concat("path", F.array("neighbour")).alias("path"), (F.col("total") + F.col("sim")).alias("total"))
-        best = grown.withColumn("_n", F.row_number().over(Window.partitionBy("source", "target", "at").orderBy(key))).where("_n = 1").drop("_n")
-        reached = best.where("at = target").withColumn("hops", F.lit(hop))
-        done = reached if done is None else done.unionByName(reached)
-        paths = best.where("at != target")
-    ranked = done.withColumn("_n", F.row_number().over(Window.partitionBy("source", "target").orderBy("hops", key))).where("_n = 1")
-    return ranked.select("source", "target", "hops", F.round(F.col("total") / F.col("hops"), 6).alias("mean_sim"), F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))).alias("path"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from segue.functions import scores
 from segue.functions.keys import harmonic
-from segue.operators import evaluation, requests as req, scoring, search, sequences, spreading, tables, tags, vectors
+from segue.operators import evaluation, graphs, requests as req, scoring, search, sequences, spreading, tables, tags, vectors
 from segue.operators.scoring import latest_n
 from segue.plans.base import Tables, harmonic_sql, knn_sql, query
 
@@ -570,26 +570,27 @@ def _(t):
 
 
 def far_pairs(t: Tables) -> DataFrame:
-    """Each track with a vector and the one after it in id order, within tens of ids, as source and target."""
+    """For every tenth track that has a vector the next three such tracks in id order, one far away, and one that does not exist."""
+    f = t.feat.select("trackid", F.floor(F.col("trackid") / 1000).alias("b"))
     w = Window.partitionBy("b").orderBy("trackid")
-    f = t.feat.select("trackid", F.floor(F.col("trackid") / 10).alias("b"))
-    return f.select(F.col("trackid").alias("source"), F.lead("trackid").over(w).alias("target")).where("target is not null")
+    some = f.select("trackid", F.array(*(F.lead("trackid", n).over(w) for n in (1, 2, 3, 71)), F.lit(-1).cast("long")).alias("targets")).where("trackid % 10 = 0")
+    return some.select(F.col("trackid").alias("source"), F.explode("targets").alias("target")).where("target is not null")
 
 
-@query("g3_pathways", f"""WITH n AS ({knn_sql(8, threshold=0.3)}), pq AS (SELECT * FROM (SELECT trackid AS source, lead(trackid) OVER (PARTITION BY trackid // 10 ORDER BY trackid) AS target FROM feat) WHERE target IS NOT NULL),
+@query("g3_pathways", f"""WITH n AS ({knn_sql(8, threshold=0.3)}), pq AS (SELECT * FROM (SELECT source, unnest([a, b, c, d, -1]) AS target FROM (SELECT trackid AS source, lead(trackid, 1) OVER w AS a, lead(trackid, 2) OVER w AS b, lead(trackid, 3) OVER w AS c, lead(trackid, 71) OVER w AS d FROM feat WINDOW w AS (PARTITION BY trackid // 1000 ORDER BY trackid)) WHERE source % 10 = 0) WHERE target IS NOT NULL),
   """ + ", ".join(
     f"p{h} AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY source, target, node ORDER BY round(-total, 6), path) AS r FROM (SELECT source, target, neighbour AS node, list_append(path, neighbour) AS path, total + sim AS total FROM {'(SELECT source, target, source AS node, [source] AS path, 0::DOUBLE AS total FROM pq)' if h == 1 else f'(SELECT * FROM p{h - 1} WHERE node <> target)'} JOIN n ON n.seed = node WHERE NOT list_contains(path, neighbour))) WHERE r = 1)"
     for h in (1, 2, 3, 4)
-) + ", al AS (" + " UNION ALL ".join(f"SELECT *, {h} AS hops FROM p{h} WHERE node = target" for h in (1, 2, 3, 4)) + ") SELECT source, target, CAST(hops AS INTEGER) AS hops, round(total / hops, 6) AS mean_sim, array_to_string(path, '>') AS path FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY hops, round(-total, 6), path) AS r FROM al) WHERE r = 1")
+) + ", al AS (" + " UNION ALL ".join(f"SELECT *, {h} AS hops FROM p{h} WHERE node = target" for h in (1, 2, 3, 4)) + ") SELECT source, target, CAST(hops AS INTEGER) AS hops, round(round(total, 6) / hops, 9) AS mean_sim, array_to_string(path, '>') AS path FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY hops, round(-total, 6), path) AS r FROM al) WHERE r = 1")
 def _(t):
-    return sequences.pathways(feat_knn(t, 8, 0.3), far_pairs(t))
+    return graphs.pathways(feat_knn(t, 8, 0.3), far_pairs(t))
 
 
-@query("g4_pathway_data", f"WITH n AS ({knn_sql(5, threshold=0.3)}) SELECT seed AS source, neighbour AS target, sim, title, feat[1] AS x, feat[2] AS y FROM n JOIN feat f ON f.trackid = n.neighbour JOIN tracks t ON t.trackid = n.neighbour")
+@query("g4_pathway_data", f"""WITH n AS ({knn_sql(20)}), {FACTORS}, best AS (SELECT seed, neighbour, total, row_number() OVER (PARTITION BY seed ORDER BY total DESC, neighbour) AS rank FROM r)
+  SELECT b.seed AS source, b.neighbour AS target, total, rank, title, artist, feat[1] AS x, feat[2] AS y, feat[3] AS z FROM best b LEFT JOIN tracks t ON t.trackid = b.neighbour LEFT JOIN feat f ON f.trackid = b.neighbour WHERE rank <= 5""")
 def _(t):
-    near = sequences.pathways(feat_knn(t, 5, 0.3), feat_knn(t, 5, 0.3).select(F.col("seed").alias("source"), F.col("neighbour").alias("target")), hops=1)
-    placed = t.feat.select(F.col("trackid").alias("target"), F.get("feat", F.lit(0)).alias("x"), F.get("feat", F.lit(1)).alias("y")).join(t.tracks.select(F.col("trackid").alias("target"), "title"), "target")
-    return near.join(placed, "target").select("source", "target", F.col("mean_sim").alias("sim"), "title", "x", "y")
+    placed = t.feat.select("trackid", *(F.get("feat", F.lit(i)).alias(c) for i, c in enumerate("xyz")))
+    return graphs.pathway_data(scoring.recommend(candidates(t), n=5), t.tracks, placed)
 
 
 VOCABULARY = "vt AS (SELECT DISTINCT unnest(semantic_tags) AS tag FROM track_labels), vv AS (SELECT DISTINCT unnest(vibe) AS tag FROM track_labels)"

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from segue.functions import clean, keys, scores
-from segue.operators import requests as req, scoring, sequences, tables, tags, vectors
+from segue.operators import graphs, requests as req, scoring, sequences, tables, tags, vectors
 from segue.sources import readers, writers
 
 
@@ -121,8 +121,30 @@ def test_sequences(spark):
 
 def test_pathways(spark):
     edges = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.9), (1, 4, 0.5), (4, 3, 0.5), (3, 5, 0.7), (2, 1, 0.9)], "seed long, neighbour long, sim double")
-    pairs = spark.createDataFrame([(1, 3), (1, 5), (5, 1), (1, 1)], "source long, target long")
-    assert sorted((r.source, r.target, r.hops, r.path) for r in sequences.pathways(edges, pairs).collect()) == [(1, 3, 2, "1>2>3"), (1, 5, 3, "1>2>3>5")]
+    pairs = spark.createDataFrame([(1, 3), (1, 5), (5, 1), (1, 1), (1, 77)], "source long, target long")
+    assert sorted((r.source, r.target, r.hops, r.path) for r in graphs.pathways(edges, pairs).collect()) == [(1, 3, 2, "1>2>3"), (1, 5, 3, "1>2>3>5")]
+
+
+def test_pathways_of_many_targets(spark):
+    """Against all simple paths."""
+    import random
+
+    r = random.Random(6)
+    near = {s: {n: r.choice([0.3, 0.5, 0.7, 0.9]) for n in r.sample(range(40), 2)} for s in range(36)}
+    edges = [(s, n, x) for s, row in near.items() for n, x in row.items() if n != s]
+    pairs = [(s, t) for s in range(0, 40, 5) for t in range(41)]
+    want = []
+    for s, t in pairs:
+        paths, found = [((s,), 0.0)], None
+        for hop in range(1, 5):
+            paths = [((*p, n), x + y) for p, x in paths for a, n, y in edges if a == p[-1] and n not in p]
+            hits = sorted((round(-x, 6), p) for p, x in paths if p[-1] == t)
+            if hits and s != t:
+                found = (s, t, hop, round(-hits[0][0] / hop, 9), ">".join(map(str, hits[0][1])))
+                break
+        want += [found] if found else []
+    df = graphs.pathways(spark.createDataFrame(edges, "seed long, neighbour long, sim double"), spark.createDataFrame(pairs, "source long, target long"))
+    assert sorted(tuple(x) for x in df.collect()) == sorted(want) and len(want) > 30
 
 
 def test_files(spark, tmp_path):
