@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from segue.operators import blocks
+
 #: Energy ranges of descriptors, in the order in which they are tried.
 DESCRIPTORS = (
     ("low", 0.0, 0.3), ("chill", 0.0, 0.3), ("relaxed", 0.1, 0.4), ("laid-back", 0.1, 0.4), ("moderate", 0.3, 0.6), ("medium", 0.3, 0.6), ("groovy", 0.4, 0.7),
@@ -12,15 +17,44 @@ DESCRIPTORS = (
 INTENT = "struct<tag_scores:map<string,double>,vibe_scores:map<string,double>,energy_range:array<double>,bpm_range:array<double>,key_compatibility:string,direction:string,track_count:int,confidence:double,reasoning:string>"
 
 
-def matched_terms(requests: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``request_id, term``: vocabulary terms that the lower-cased text contains.
+def contained(texts: DataFrame, patterns: DataFrame, block: tuple[int, int] = (4096, 20_000)) -> DataFrame:
+    """``text_id, pattern``: which of ``patterns (pattern)`` each of ``texts (text_id, text)`` contains, as they are written, each once.
 
-    The vocabulary is broadcast while it is small, and is compared by a nested loop over shuffled blocks beyond.
+    Patterns are dealt into blocks, each of which is one automaton in the task that has it, and texts run through it letter by letter: no text is
+    compared with single patterns. The empty pattern is in every text; null patterns and texts match nothing.
     """
-    v = vocabulary.select(F.col("tag").alias("term")).distinct()
-    few = v.limit(100_001).count() <= 100_000
-    texts = requests.select("request_id", F.lower("text").alias("said"))
-    return texts.join(F.broadcast(v) if few else v, F.contains(F.col("said"), F.lower("term"))).select("request_id", "term")
+    import ahocorasick
+
+    kind = dict(texts.dtypes)["text_id"]
+    asking = texts.where("text is not null").select(F.xxhash64("text_id", "text").alias("id"), F.struct(F.col("text_id").cast("string").alias("text_id"), "text").alias("asked"))
+    own = patterns.where("pattern is not null").select("pattern").distinct().select(F.xxhash64("pattern").alias("id"), F.col("pattern").alias("own"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, machine, empty = None, None, False
+        for rows, asking_ in blocks.pairs(batches):
+            if rows is not held:
+                held, machine = rows, ahocorasick.Automaton()
+                for _, pattern in rows:
+                    if pattern:
+                        machine.add_word(pattern, pattern)
+                machine.make_automaton()
+                empty = any(not pattern for _, pattern in rows)
+            out: list[tuple[str | None, str]] = []
+            for _, asked in asking_:
+                found = {p for _, p in machine.iter(asked["text"])} if len(machine) else set()
+                out += [(asked["text_id"], p) for p in sorted(found | ({""} if empty else set()))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=["text_id", "pattern"])
+
+    found = blocks.dealt(asking, own, block).mapInArrow(run, "text_id string, pattern string")
+    return found.select(F.col("text_id").cast(kind).alias("text_id"), "pattern")
+
+
+def matched_terms(requests: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``request_id, term``: vocabulary terms that the text contains, in any case."""
+    v = vocabulary.where("tag is not null").select(F.col("tag").alias("term"), F.lower("tag").alias("pattern")).distinct()
+    found = contained(requests.select(F.col("request_id").alias("text_id"), F.lower("text").alias("text")), v)
+    return found.join(v, "pattern").select(F.col("text_id").alias("request_id"), "term").distinct()
 
 
 def energy_range(text: Column) -> Column:
@@ -78,11 +112,14 @@ def with_defaults(intents: DataFrame, context: DataFrame) -> DataFrame:
 
 
 def suggest_similar(inputs: DataFrame, tags: DataFrame, vibes: DataFrame, n: int = 5) -> DataFrame:
-    """Terms that contain an input or lie within it, tags before vibes."""
-    v = tags.select("tag", F.lit(0).alias("kind")).unionByName(vibes.select("tag", F.lit(1).alias("kind")))
-    few = v.limit(100_001).count() <= 100_000
-    a, b = F.lower("input"), F.lower("tag")
-    pairs = inputs.join(F.broadcast(v) if few else v, F.contains(a, b) | F.contains(b, a))
+    """``input, tag, kind, rank``: terms that contain an input or lie within it, in any case, tags before vibes; ``n`` of them."""
+    v = tags.select("tag", F.lit(0).alias("kind")).unionByName(vibes.select("tag", F.lit(1).alias("kind"))).where("tag is not null")
+    a = inputs.where("input is not null").select("input", F.lower("input").alias("low_input")).distinct()
+    b = v.select("tag", "kind", F.lower("tag").alias("low_tag"))
+    low_a, low_b = a.select("low_input").distinct(), b.select("low_tag").distinct()
+    within = contained(low_a.select(F.col("low_input").alias("text_id"), F.col("low_input").alias("text")), low_b.select(F.col("low_tag").alias("pattern"))).select(F.col("text_id").alias("low_input"), F.col("pattern").alias("low_tag"))
+    around = contained(low_b.select(F.col("low_tag").alias("text_id"), F.col("low_tag").alias("text")), low_a.select(F.col("low_input").alias("pattern"))).select(F.col("pattern").alias("low_input"), F.col("text_id").alias("low_tag"))
+    pairs = within.unionByName(around).distinct().join(a, "low_input").join(b, "low_tag")
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("input").orderBy("kind", "tag"))).where(F.col("rank") <= n).select("input", "tag", "kind", "rank")
 
 

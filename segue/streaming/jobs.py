@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
-from segue.operators.tables import init_labels, latest
+from segue.operators.tables import init_labels
+from segue.streaming.merging import merge_batch, merged_table
 
 VOTE = "event_id LONG, trackid LONG, tag STRING, weight_delta DOUBLE, ts TIMESTAMP"
+VOTE_KEYS = ["trackid", "tag"]
 
 
 def skip_existing(files: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -32,12 +35,9 @@ def ingest_tracks(spark: SparkSession, source: str, schema: str, tracks_path: st
 
     def batch(df: DataFrame, number: int) -> None:
         session = df.sparkSession
-        try:
-            before = session.read.parquet(tracks_path).where(F.col("batch") != number)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            before = session.createDataFrame([], df.schema)
+        pattern = session.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{tracks_path}/batch=*")
+        there = pattern.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)  # the first batch finds no table
+        before = session.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(tracks_path).where(F.col("batch") != number) if there else session.createDataFrame([], df.schema)
         judged = skip_existing(df, before)
         fresh = judged.where("status = 'uploaded'").select(df.columns)
         for out, path in ((fresh, tracks_path), (init_labels(fresh), labels_path), (judged.groupBy("status").count(), log_path)):
@@ -48,37 +48,22 @@ def ingest_tracks(spark: SparkSession, source: str, schema: str, tracks_path: st
 
 
 def ingest_votes(spark: SparkSession, source: str, table_path: str, checkpoint: str) -> StreamingQuery:
-    """The latest vote of each track and tag, kept in ``table_path/batch=N``: the newest batch is the whole table.
+    """The latest vote of each track and tag, kept by ``merging``: a batch writes its own votes and, now and then, a bucket.
 
-    Batches older than the one before it are deleted. There is no watermark: a vote that comes late counts like any other, and repeated events change nothing in the merge.
+    There is no watermark: a vote that comes late counts like any other, and repeated events change nothing in the merge.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        session = df.sparkSession
-        try:
-            before = session.read.parquet(table_path).where(F.col("batch") < number)
-            newest = before.agg(F.max("batch")).first()[0]
-            base = before.where(F.col("batch") == F.lit(newest)).drop("batch")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            base = session.createDataFrame([], df.schema)
-        merged = latest(base.unionByName(df), ["trackid", "tag"], [F.desc("ts"), F.desc("event_id")])
-        merged.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table_path)
-        jvm = session.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(table_path)
-        fs = root.getFileSystem(session.sparkContext._jsc.hadoopConfiguration())
-        for found in fs.listStatus(root):  # a folder for each batch that is left
-            name = found.getPath().getName()
-            if name.startswith("batch=") and int(name[6:]) < number - 1:
-                fs.delete(found.getPath(), True)
+        merge_batch(df, number, table_path, VOTE_KEYS, _newest())
 
     stream = spark.readStream.schema(VOTE).parquet(source)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _newest() -> list[Column]:
+    return [F.desc("ts"), F.desc("event_id")]
+
+
 def votes_table(spark: SparkSession, table_path: str) -> DataFrame:
     """What ``ingest_votes`` holds now."""
-    df = spark.read.parquet(table_path)
-    newest = df.agg(F.max("batch")).first()[0]
-    return df.where(F.col("batch") == newest).drop("batch")
+    return merged_table(spark, table_path, spark.createDataFrame([], VOTE).schema, VOTE_KEYS, _newest())
