@@ -1,4 +1,4 @@
-"""Recommendation, hybrid search and how neighbours differ."""
+"""Recommendation and how neighbours differ."""
 
 from __future__ import annotations
 
@@ -55,15 +55,6 @@ def latest_n(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
-def hybrid_search(vector_hits: DataFrame, semantic_hits: DataFrame, n: int = 50, vector_weight: float = 0.6, semantic_weight: float = 0.4) -> DataFrame:
-    """Both result lists (``seed, trackid`` with ``sim`` or ``semantic``) as one: weighted scores added, the kind of match told."""
-    joined = vector_hits.join(semantic_hits, ["seed", "trackid"], "full")
-    kind = F.when(F.col("sim").isNotNull() & F.col("semantic").isNotNull(), "hybrid").when(F.col("sim").isNotNull(), "embedding").otherwise("semantic")
-    zero = F.lit(0.0)
-    scored = joined.select("seed", "trackid", F.round(vector_weight * F.coalesce("sim", zero) + semantic_weight * F.coalesce("semantic", zero), 6).alias("score"), kind.alias("match_type"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "trackid"))).where(F.col("rank") <= n)
-
-
 def describe_direction(pairs: DataFrame) -> DataFrame:
     """``clue``: what changes from a seed to its neighbour; a ``more`` clue first, else any, else ``similar vibe``."""
     de, db = F.round((F.col("energy_b") - F.col("energy_a")) / 10, 6), F.round(F.col("bpm_b") - F.col("bpm_a"), 6)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from segue.functions import scores
 from segue.functions.keys import harmonic
-from segue.operators import evaluation, graphs, requests as req, scoring, search, sequences, spreading, tables, tags, vectors
+from segue.operators import evaluation, graphs, hybrid, requests as req, scoring, search, sequences, spreading, tables, tags, vectors
 from segue.operators.scoring import latest_n
 from segue.plans.base import Tables, harmonic_sql, knn_sql, query
 
@@ -95,18 +95,23 @@ def _(t):
     return session_semantic(t)
 
 
-@query("v6_hybrid_search", f"""WITH n AS ({knn_sql(40, threshold=0.3)}), s AS (SELECT a.trackid AS seed, b.trackid, round(least(1, 0.4::DOUBLE * len(list_intersect(b.semantic_tags, a.semantic_tags)) / len(a.semantic_tags)), 6) AS semantic FROM track_labels a JOIN feat fa ON fa.trackid = a.trackid JOIN track_labels b ON list_has_any(a.semantic_tags, b.semantic_tags) AND a.trackid <> b.trackid JOIN feat fb ON fb.trackid = b.trackid),
-  r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY semantic DESC, trackid) AS m FROM s) WHERE m <= 40),
-  u AS (SELECT coalesce(n.seed, r.seed) AS seed, coalesce(n.neighbour, r.trackid) AS trackid, round(0.6::DOUBLE * coalesce(sim, 0) + 0.4::DOUBLE * coalesce(semantic, 0), 6) AS score, CASE WHEN sim IS NOT NULL AND semantic IS NOT NULL THEN 'hybrid' WHEN sim IS NOT NULL THEN 'embedding' ELSE 'semantic' END AS match_type FROM n FULL JOIN r ON n.seed = r.seed AND n.neighbour = r.trackid)
-  SELECT seed, trackid, score, match_type, rank FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, trackid) AS rank FROM u) WHERE rank <= 20""")
+def wishes(t: Tables) -> DataFrame:
+    """What is like each track: its vector, tags and vibes, and energies near its own for every other one; some ask for labels or for a vector alone."""
+    i, e = F.col("trackid"), F.col("energy") / 10
+    own = t.tracks.select("trackid").join(t.feat, "trackid", "left").join(t.track_labels, "trackid", "left")
+    return own.select(i.alias("request_id"), F.when(i % 7 != 3, F.col("feat")).alias("vector"), F.when(i % 7 != 5, F.col("semantic_tags")).alias("tags"), F.when((i % 7 != 5) & (i % 3 != 0), F.col("vibe")).alias("vibes"), F.when((i % 2 == 0) & (i % 7 != 5), e - 0.2).alias("energy_low"), F.when((i % 2 == 0) & (i % 7 != 5), e + 0.2).alias("energy_high"))
+
+
+@query("v6_hybrid_search", """WITH o AS (SELECT t.trackid, feat, l.trackid IS NOT NULL AS labelled, coalesce(semantic_tags, []) AS tags, coalesce(vibe, []) AS vibes, energy / 10 AS energy FROM tracks t LEFT JOIN feat f USING (trackid) LEFT JOIN track_labels l ON l.trackid = t.trackid),
+  w AS (SELECT trackid AS request_id, CASE WHEN trackid % 7 <> 3 THEN feat END AS vector, CASE WHEN trackid % 7 <> 5 THEN tags ELSE [] END AS wt, CASE WHEN trackid % 7 <> 5 AND trackid % 3 <> 0 THEN vibes ELSE [] END AS wv, CASE WHEN trackid % 2 = 0 AND trackid % 7 <> 5 THEN energy - 0.2::DOUBLE END AS lo, CASE WHEN trackid % 2 = 0 AND trackid % 7 <> 5 THEN energy + 0.2::DOUBLE END AS hi FROM o),
+  s AS (SELECT a.trackid AS request_id, b.trackid, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM (SELECT trackid, CAST(feat AS DOUBLE[]) AS v FROM feat WHERE trackid % 7 <> 3) a CROSS JOIN (SELECT trackid, CAST(feat AS DOUBLE[]) AS v FROM feat) b),
+  p AS (SELECT request_id, trackid, coalesce(s.sim, 0) AS sim,
+      labelled AND (len(wt) > 0 OR len(wv) > 0 OR lo IS NOT NULL) AND (len(wt) = 0 OR list_has_any(wt, tags)) AND (len(wv) = 0 OR list_has_any(wv, vibes)) AND (lo IS NULL OR coalesce(energy BETWEEN lo AND hi, false)) AS sem,
+      round(least(1, CASE WHEN len(wt) > 0 THEN 0.4::DOUBLE * (len(list_intersect(wt, tags)) / len(wt)) ELSE 0 END + CASE WHEN len(wv) > 0 THEN 0.3::DOUBLE * (len(list_intersect(wv, vibes)) / len(wv)) ELSE 0 END + CASE WHEN lo IS NOT NULL THEN 0.3::DOUBLE * coalesce(greatest(0, 1 - 2 * abs(energy - (lo + hi) / 2)), 0) ELSE 0 END), 6) AS semantic FROM w JOIN o ON request_id <> o.trackid LEFT JOIN s USING (request_id, trackid)),
+  u AS (SELECT request_id, trackid, round(CASE WHEN sim > 0.5 THEN 0.6::DOUBLE * sim ELSE 0 END + CASE WHEN sem THEN 0.4::DOUBLE * semantic ELSE 0 END, 6) AS score, CASE WHEN sim > 0.5 AND sem THEN 'hybrid' WHEN sim > 0.5 THEN 'embedding' ELSE 'semantic' END AS match_type FROM p WHERE sim > 0.5 OR sem)
+  SELECT request_id, trackid, score, match_type, rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, trackid) AS rank FROM u) WHERE rank <= 20""")
 def _(t):
-    l = t.track_labels.join(t.feat.select("trackid"), "trackid", "left_semi")
-    long = tags.tag_index(l)
-    shared = long.withColumnRenamed("trackid", "seed").join(long, "tag").where("seed != trackid").groupBy("seed", "trackid").agg(F.count("*").alias("both"))
-    sizes = l.select(F.col("trackid").alias("seed"), F.size("semantic_tags").alias("wanted"))
-    semantic = shared.join(sizes, "seed").select("seed", "trackid", F.round(F.least(F.lit(1.0), 0.4 * F.col("both") / F.col("wanted")), 6).alias("semantic"))
-    hits = feat_knn(t, 40, 0.3).select("seed", F.col("neighbour").alias("trackid"), "sim")
-    return scoring.hybrid_search(hits, latest_n(semantic, "seed", [F.desc("semantic"), F.col("trackid")], 40), 20)
+    return hybrid.hybrid_search(wishes(t), t.tracks, t.track_labels, t.feat, 20)
 
 
 def candidates(t: Tables, k: int = 20) -> DataFrame:
