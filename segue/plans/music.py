@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from segue.functions import scores
 from segue.functions.keys import harmonic
-from segue.operators import evaluation, graphs, hybrid, requests as req, scoring, search, sequences, spreading, tables, tags, vectors
+from segue.operators import edits, evaluation, graphs, hybrid, requests as req, scoring, search, sequences, spreading, tables, tags, vectors
 from segue.operators.scoring import latest_n
 from segue.plans.base import Tables, harmonic_sql, knn_sql, query
 
@@ -547,6 +547,34 @@ def _(t):
     return sequences.move_track(sequences.remove_tracks(t.crates, t.tracks.where("title is null")), 0, 2)
 
 
+def crate_edits(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The first three tracks of each session, and its other rows as edits: most add their track or that of the row before, some remove the track three rows before, set a new order or clear."""
+    w = Window.partitionBy("session_id").orderBy("position")
+    rows = t.crates.withColumns({"third": F.lag("trackid", 3).over(w), "one": F.lag("trackid", 1).over(w)}).where("position > 2")
+    m = F.col("trackid") % 9
+    op = F.when(m == 0, "remove").when(m == 1, "reorder").when((m == 2) & (F.col("position") > 4), "clear").otherwise("add")
+    order = F.when(op == "reorder", F.array("one", "third"))
+    return t.crates.where("position < 3"), rows.select("session_id", F.col("position").alias("seq"), op.alias("op"), F.when(op == "remove", F.col("third")).when(m == 3, F.col("one")).otherwise(F.col("trackid")).alias("trackid"), order.alias("order"))
+
+
+EDITS = """op AS (SELECT session_id, position AS seq, CASE WHEN m = 0 THEN 'remove' WHEN m = 1 THEN 'reorder' WHEN m = 2 AND position > 4 THEN 'clear' ELSE 'add' END AS op, CASE WHEN m = 0 THEN third WHEN m = 3 THEN one ELSE trackid END AS trackid, list_distinct([one, third]) AS l1, one, third
+    FROM (SELECT *, trackid % 9 AS m, lag(trackid, 3) OVER w AS third, lag(trackid, 1) OVER w AS one FROM crates WINDOW w AS (PARTITION BY session_id ORDER BY position)) WHERE position > 2),
+  st AS (SELECT session_id, 2::BIGINT AS seq, list(trackid ORDER BY first) AS held, true AS accepted FROM (SELECT session_id, trackid, min(position) AS first FROM crates WHERE position < 3 GROUP BY ALL) GROUP BY session_id UNION ALL
+    SELECT st.session_id, op.seq, CASE op.op WHEN 'add' THEN CASE WHEN list_contains(held, op.trackid) THEN held ELSE list_append(held, op.trackid) END WHEN 'remove' THEN list_filter(held, lambda x: x <> op.trackid) WHEN 'clear' THEN [] ELSE CASE WHEN one = third THEN [one] ELSE [one, third] END END, op.op <> 'add' OR NOT list_contains(held, op.trackid)
+    FROM st JOIN op ON op.session_id = st.session_id AND op.seq = st.seq + 1),
+  fin AS (SELECT session_id, held FROM st QUALIFY seq = max(seq) OVER (PARTITION BY session_id))"""
+
+
+@query("q5_edited_crates", f"WITH RECURSIVE {EDITS} SELECT session_id, CAST(unnest(range(0, len(held))) AS INTEGER) AS position, unnest(held) AS trackid FROM fin")
+def _(t):
+    return edits.edited(*crate_edits(t))
+
+
+@query("q5_edit_log", f"WITH RECURSIVE {EDITS} SELECT session_id, seq, op.op, CASE WHEN op.op IN ('add', 'remove') THEN trackid END AS trackid, accepted FROM st JOIN op USING (session_id, seq)")
+def _(t):
+    return edits.edit_log(*crate_edits(t))
+
+
 @query("q6_recent_crates", "SELECT o_orderkey AS session_id FROM orders WHERE o_orderdate > TIMESTAMP '1998-01-01 00:00:00' - INTERVAL 24 HOURS")
 def _(t):
     return sequences.recent_crates(t.orders.select(F.col("o_orderkey").alias("session_id"), F.col("o_orderdate").alias("modified")), "1998-01-01 00:00:00").select("session_id")
