@@ -144,17 +144,8 @@ def centroid_density(of: DataFrame, sigma: float = 0.1, block: int = 2048) -> Da
     return dims.groupBy("tag").agg(unit(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"])).alias("centroid"))
 
 
-def _average_linkage(sims: np.ndarray, clusters: int) -> list[list[int]]:
-    groups = [[i] for i in range(len(sims))]
-    while len(groups) > clusters:
-        best = max(((round(float(sims[np.ix_(a, b)].mean()), 9), -i, -j) for i, a in enumerate(groups) for j, b in enumerate(groups[:i])))
-        i, j = -best[1], -best[2]
-        groups[j] = groups[j] + groups.pop(i)
-    return groups
-
-
 def _linkage_chain(u: np.ndarray, clusters: int) -> list[list[int]]:
-    """The clusters of ``_average_linkage`` (but for ties) by chains of nearest neighbours, from sums of unit vectors: no table of pairs is held."""
+    """Clusters by average linkage, along chains of nearest neighbours, from sums of unit vectors: no table of pairs is held. Of equally near ones the first counts."""
     n = len(u)
     sums, size, gone = u.astype(float), np.ones(n), np.zeros(n)
     chain: list[int] = []
@@ -193,18 +184,17 @@ def _linkage_chain(u: np.ndarray, clusters: int) -> list[list[int]]:
     return list(groups.values())
 
 
-def centroid_multi(of: DataFrame, small: int = 30, clusters: int = 3) -> DataFrame:
+def centroid_multi(of: DataFrame, clusters: int = 3) -> DataFrame:
     """Up to three medoids a tag, one per average-linkage cluster: one below four members, else at most half as many as members.
 
-    Tags of more than ``small`` members are clustered without a table of pairs. A tag is one task, whose memory grows with
-    its members and whose time with their square.
+    One rule holds at every size. A tag is one task, whose memory grows with its members and whose time with their square.
     """
 
     def medoids(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("trackid").reset_index(drop=True)
         u = np.stack(g["unit"])
         n = min(clusters, len(g) // 2)
-        groups = [list(range(len(g)))] if len(g) < 4 else _average_linkage(u @ u.T, n) if len(g) <= small else _linkage_chain(u, n)
+        groups = [list(range(len(g)))] if len(g) < 4 else _linkage_chain(u, n)
         near = {i: round(float(x), 6) for c in groups for i, x in zip(c, u[c] @ u[c].mean(axis=0), strict=True)}
         picked = [min(c, key=lambda i: (-near[i], g["trackid"][i])) for c in groups]
         return pd.DataFrame({"tag": g["tag"][0], "trackid": g["trackid"][picked], "centroid": [list(map(float, g["raw"][i])) for i in picked]})

@@ -20,10 +20,32 @@ def test_every_tag_has_medoids(spark):
     assert {i % 3 for i in got["large"]} == {0, 1, 2}
 
 
-def test_chain_equals_plain_linkage():
+def plain_linkage(sims, clusters):
+    """Average linkage by comparing all groups with all others, step by step."""
+    groups = [[i] for i in range(len(sims))]
+    while len(groups) > clusters:
+        _, i, j = max((sims[np.ix_(a, b)].mean(), -i, -j) for i, a in enumerate(groups) for j, b in enumerate(groups[:i]))
+        groups[-j] = groups[-j] + groups.pop(-i)
+    return groups
+
+
+def test_one_rule_at_every_size(spark):
     r = np.random.default_rng(4)
-    for n in (4, 7, 31, 60):
+    rows, want = [], {}
+    for n in (4, 5, 7, 30, 31, 60, 120):
         u = r.normal(size=(n, 4))
         u /= np.linalg.norm(u, axis=1, keepdims=True)
-        k = min(3, n // 2)
-        assert sorted(map(sorted, tags._linkage_chain(u, k))) == sorted(map(sorted, tags._average_linkage(u @ u.T, k)))
+        groups = plain_linkage(u @ u.T, min(3, n // 2))
+        assert sorted(map(sorted, tags._linkage_chain(u, min(3, n // 2)))) == sorted(map(sorted, groups))
+        want[str(n)] = {min(c, key=lambda i: (-round(float(u[i] @ u[c].mean(axis=0)), 6), i)) for c in groups}
+        rows += [(str(n), i, v, v) for i, v in enumerate(u.tolist())]
+    got = {}
+    for x in tags.centroid_multi(spark.createDataFrame(rows, "tag string, trackid long, raw array<double>, unit array<double>")).collect():
+        got.setdefault(x.tag, set()).add(x.trackid)
+    assert got == want
+
+
+def test_many_members():
+    u = np.random.default_rng(5).normal(size=(2000, 4)) + np.eye(4)[np.arange(2000) % 3] * 8
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    assert sorted(map(sorted, tags._linkage_chain(u, 3))) == [list(range(k, 2000, 3)) for k in range(3)]
