@@ -53,45 +53,44 @@ def label_spread(edges: DataFrame, seeds: DataFrame, tagged: DataFrame, alpha: f
         plain = F.coalesce("plain", F.lit(False))
         start = given.select("tag", "node", F.when(F.col("label") == 1, F.when(plain, -1.0).otherwise(0.0)).otherwise(F.when(plain, 0.0).otherwise(1.0)).alias("c0"), F.when(F.col("label") == 1, 1.0).otherwise(0.0).alias("c1")).where("c0 != 0 or c1 != 0")
         chosen = given.where("label = 1").select("tag").distinct()
-        start = written(start.join(chosen, "tag", "left_semi"))
-
-        def along_zeros(g: DataFrame) -> DataFrame:
-            return scaled.join(g.withColumnRenamed("node", "neighbour"), "neighbour").groupBy(F.col("seed").alias("node")).agg((alpha * F.sum(F.col("s") * F.col("g"))).alias("g"))
+        none = F.lit(None).cast(start.schema["tag"].dataType)
+        # What tagged tracks spread for all tags has no tag here.
+        start = written(zeros.select(none.alias("tag"), "node", F.col("g").alias("c0"), F.lit(0.0).alias("c1")).unionByName(start.join(chosen, "tag", "left_semi")))
 
         def along(c: DataFrame) -> DataFrame:
             moved = scaled.join(c.withColumnRenamed("node", "neighbour"), "neighbour")
-            return moved.groupBy("tag", F.col("seed").alias("node")).agg(*((alpha * F.sum(F.col("s") * F.col(x))).alias(x) for x in ("c0", "c1")))
+            return moved.select("tag", F.col("seed").alias("node"), *((alpha * F.col("s") * F.col(x)).alias(x) for x in ("c0", "c1")))
 
-        g, c, all_g, all_c, stops = zeros, start, [zeros.withColumn("t", F.lit(0))], [start], []
-        going = start.select("tag").distinct()
+        c, changes, stops = start, [start.withColumn("t", F.lit(0))], []
+        going = start.where("tag is not null").select("tag").distinct()
         for t in range(1, rounds + 1):
-            g, c = along_zeros(g), along(c)
+            moved = along(c)
             if t == 1:  # the share of a label that a node gives up
-                g = g.unionByName(zeros.select("node", (-alpha * F.col("g")).alias("g"))).groupBy("node").agg(F.sum("g").alias("g"))
-                c = c.unionByName(start.select("tag", "node", *((-alpha * F.col(x)).alias(x) for x in ("c0", "c1")))).groupBy("tag", "node").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-            g, c = written(g.where("g != 0")), written(c.where("c0 != 0 or c1 != 0"))
-            all_g.append(g.withColumn("t", F.lit(t)))
-            all_c.append(c)
-            whole = g.agg(F.coalesce(F.sum(F.abs("g")), F.lit(0.0)).alias("whole")).first()["whole"]
-            beside = c.join(g, "node", "left").select("tag", (F.abs(F.coalesce("g", F.lit(0.0)) + F.col("c0")) - F.abs(F.coalesce("g", F.lit(0.0))) + F.abs("c1")).alias("more"))
-            change = beside.groupBy("tag").agg(F.sum("more").alias("more"))
-            judged = written(going.join(change, "tag", "left").select("tag", (F.lit(whole) + F.coalesce("more", F.lit(0.0))).alias("change")))
+                moved = moved.unionByName(start.select("tag", "node", *((-alpha * F.col(x)).alias(x) for x in ("c0", "c1"))))
+            c = written(moved.groupBy("tag", "node").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).where("c0 != 0 or c1 != 0"))
+            changes.append(c.withColumn("t", F.lit(t)))
+            g, own, zero = c.where("tag is null").select("node", F.col("c0").alias("g")), c.where("tag is not null"), F.lit(0.0)
+            beside = own.join(g, "node", "left").select("tag", (F.abs(F.coalesce("g", zero) + F.col("c0")) - F.abs(F.coalesce("g", zero)) + F.abs("c1")).alias("more"))
+            whole = g.agg(F.coalesce(F.sum(F.abs("g")), zero).alias("whole"))
+            judged = going.join(beside.groupBy("tag").agg(F.sum("more").alias("more")), "tag", "left").join(F.broadcast(whole))  # one row
+            judged = written(judged.select("tag", (F.col("whole") + F.coalesce("more", zero)).alias("change")))
             last = judged if t == rounds else judged.where(F.col("change") < tolerance)
             stops.append(last.select("tag", F.lit(t).alias("t")))
             going = judged.where(F.col("change") >= tolerance).select("tag")
             if going.isEmpty():
                 break
-            c = c.join(going, "tag", "left_semi")
+            c = c.where("tag is null").unionByName(own.join(going, "tag", "left_semi"))
+        every = reduce(DataFrame.unionByName, changes)
+        all_g, all_c = every.where("tag is null").select("node", F.col("t").alias("since"), F.col("c0").alias("g")), every.where("tag is not null").select("tag", "node", "c0", "c1")
         stop = written(reduce(DataFrame.unionByName, stops))
         return written(_probabilities(n, nodes, all_g, all_c, stop, seeds), path, keep=True)
 
 
-def _probabilities(n: DataFrame, nodes: DataFrame, all_g: list[DataFrame], all_c: list[DataFrame], stop: DataFrame, seeds: DataFrame) -> DataFrame:
+def _probabilities(n: DataFrame, nodes: DataFrame, grown: DataFrame, corrections: DataFrame, stop: DataFrame, seeds: DataFrame) -> DataFrame:
     """What the nodes around a track, itself included, say on average of those that say anything."""
     times = stop.select("t").distinct()
-    grown = reduce(DataFrame.unionByName, all_g).select("node", F.col("t").alias("since"), "g")
     zero = written(grown.join(times, F.col("since") <= F.col("t")).groupBy("node", "t").agg(F.round(F.sum("g"), 12).alias("g")).where("g > 0"))  # a row for each node and round at which a tag stops
-    own = reduce(DataFrame.unionByName, all_c).groupBy("tag", "node").agg(F.sum("c0").alias("c0"), F.round(F.sum("c1"), 12).alias("c1")).join(stop, "tag")
+    own = corrections.groupBy("tag", "node").agg(F.sum("c0").alias("c0"), F.round(F.sum("c1"), 12).alias("c1")).join(stop, "tag")
     both = own.join(zero, ["node", "t"], "left").select("tag", "node", "t", F.greatest(F.lit(0.0), F.round(F.coalesce("g", F.lit(0.0)) + F.col("c0"), 12)).alias("f0"), F.col("c1").alias("f1"), F.col("g").isNotNull().cast("int").alias("counted"))
     said = F.when(F.col("f0") + F.col("f1") > 0, 1).otherwise(0)
     points = written(both.select("tag", "node", "t", F.when(said == 1, F.col("f1") / (F.col("f0") + F.col("f1"))).otherwise(0.0).alias("p"), (said - F.col("counted")).alias("more")).where("p != 0 or more != 0"))
