@@ -8,9 +8,11 @@ two to ``LONGEST`` words inside a piece. Everything is counted for each language
    fixed size, which is all that is sent to every task.
 2. A second pass counts n-grams that may be frequent: words and pairs by the filter, longer ones if all pairs inside are (a part
    of a frequent phrase is frequent, so none is lost; a full filter lets more through, and results stay the same). Each batch gives
-   a fingerprint's count and a pointer to one occurrence, after comparing the words of all its occurrences with that one.
-3. The shuffle adds up fingerprints. Pointers of frequent ones meet their texts, are read as phrases, and the counts are added by phrase:
-   two phrases with one fingerprint part there. Infrequent n-grams are never written out as text.
+   a fingerprint's count and a pointer to one occurrence, after comparing the words of all its occurrences with that one. A second
+   polynomial, of other hashes of the words, gives 32 more bits.
+3. The shuffle adds up what has one fingerprint. Of each frequent one two pointers, as far apart as there are, meet their texts and are
+   read: that is the phrase. If they differ, the fingerprint is counted again by the phrases of all its pointers. Infrequent n-grams
+   are never written out as text.
 
 The empty n-gram counts the words of a language. A null text is empty and a null language is ``und``; rows without an id, rows
 that share one and equal rows all count, each by itself; further columns are ignored; an empty table has no phrases. A text may be as
@@ -37,7 +39,8 @@ ENDS, LETTERS = b".,;:!?\n\x0b\x0c\r", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TABLE = bytes.maketrans(LETTERS + ENDS, LETTERS.lower() + BREAK * len(ENDS))
 #: The base of the polynomial (odd, so that it has an inverse), and multipliers that spread the bits.
 BASE, SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
-COUNTED = {"fp": pa.int64(), "size": pa.int8(), "n": pa.int64(), "doc_id": pa.int64(), "text_hash": pa.int64(), "at": pa.int32()}
+COUNTED = {"fp": pa.int64(), "tag": pa.int32(), "size": pa.int8(), "n": pa.int64(), "doc_id": pa.int64(), "text_hash": pa.int64(), "at": pa.int32()}
+SECOND = "fp long, tag int, size byte, n long, doc_id long, text_hash long, at int"
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -50,13 +53,16 @@ class _Ids(dict):
 
     def __init__(self) -> None:
         super().__init__({BREAK: 0})
-        self.hashes = [0]
+        self.words = [BREAK]
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.hashes)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
+        self[word] = n = len(self.words)
+        self.words.append(word)
         return n
 
+    def hashes(self, seed: int) -> np.ndarray:
+        return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))
+
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
@@ -70,32 +76,48 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Grams:
     """The n-grams of a batch of documents."""
 
-    def __init__(self, docs: list[tuple], ids: list[np.ndarray], hashes: list[int], bits: int = 64) -> None:
+    def __init__(self, docs: list[tuple], ids: list[np.ndarray], of: _Ids, bits: int = 64) -> None:
         lengths = np.array([len(x) for x in ids], np.int64)
-        self.docs, self.first = docs, np.cumsum(lengths) - lengths
+        self.docs, self.of, self.first = docs, of, np.cumsum(lengths) - lengths
         self.ids = np.concatenate(ids)
         langs: dict[str, int] = {}
         lang = np.array([langs.setdefault(d[2], len(langs)) for d in docs], np.int32)
         self.lang = np.repeat(lang, lengths)
         self.seeds = np.array([xxhash.xxh3_64_intdigest(x.encode(), 1) for x in langs], np.uint64)
         self.mask = np.uint64(2**bits - 1)
-        forth, self.back = _powers(len(self.ids))
-        self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array(hashes, np.uint64)[self.ids] * forth)])
+        self.forth, self.back = _powers(len(self.ids))
+        self.prefixes: dict[int, np.ndarray] = {}
         self.breaks = np.concatenate([np.zeros(1, np.int32), np.cumsum(self.ids == 0, dtype=np.int32)])
 
+    def prefix(self, seed: int) -> np.ndarray:
+        if seed not in self.prefixes:
+            self.prefixes[seed] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.of.hashes(seed)[self.ids] * self.forth)])
+        return self.prefixes[seed]
+
     def whole(self, size: int) -> np.ndarray:
         """Where an n-gram of so many words starts."""
         last = len(self.ids) - size + 1
         return np.flatnonzero(self.breaks[size : size + last] == self.breaks[:last]) if last > 0 else np.zeros(0, np.int64)
 
-    def prints(self, at: np.ndarray, size: int) -> np.ndarray:
-        """Fingerprints of the n-grams at these starts, of their language."""
-        h = (self.prefix[at + size] - self.prefix[at]) * self.back[at]
-        h ^= self.seeds[self.lang[at]] + np.uint64(size)
+    def _polynomial(self, at: np.ndarray, size: int, seed: int) -> np.ndarray:
+        prefix = self.prefix(seed)
+        h = prefix[at + size]
+        h -= prefix[at]
+        h *= self.back[at]
+        h ^= (self.seeds + np.uint64(size))[self.lang[at]]
         h *= SPREAD
         h ^= h >> np.uint64(32)
         h *= SPREAD
-        return (h ^ (h >> np.uint64(29))) & self.mask
+        h ^= h >> np.uint64(29)
+        return h
+
+    def prints(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Fingerprints of the n-grams at these starts, of their language."""
+        return self._polynomial(at, size, 0) & self.mask
+
+    def tags(self, at: np.ndarray, size: int, bits: int) -> np.ndarray:
+        """Up to 32 more bits, of another polynomial."""
+        return (self._polynomial(at, size, 1) & np.uint64(2**bits - 1)).astype(np.uint32).view(np.int32)
 
     def pointed(self, at: np.ndarray, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Fingerprint, count and first start of each n-gram; those that share a fingerprint but not their words are told apart."""
@@ -133,10 +155,10 @@ def _batches(source: Iterator[pa.RecordBatch], words: int, bits: int) -> Iterato
                 ids.append(np.fromiter(map(of.__getitem__, (*tokens, BREAK)), np.int32, len(tokens) + 1))
                 n += len(tokens) + 1
                 if n >= words:
-                    yield Grams(docs, ids, of.hashes, bits)
+                    yield Grams(docs, ids, of, bits)
                     docs, ids, of, n = [], [], _Ids(), 0
     if docs:
-        yield Grams(docs, ids, of.hashes, bits)
+        yield Grams(docs, ids, of, bits)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -150,16 +172,24 @@ def _rows(columns: dict[str, np.ndarray | pa.Array], step: int = 50_000) -> Iter
     yield from whole.to_batches(step)
 
 
+#: The bits of a fingerprint that the first pass and the filter use.
+PART = np.uint64(2**48 - 1)
+
+
 def _first_pass(texts: DataFrame, words: int, bits: int) -> DataFrame:
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for grams in _batches(source, words, bits):
             for size in (1, 2):
-                prints, n = np.unique(grams.prints(grams.whole(size), size), return_counts=True)
+                prints, n = np.unique(grams.prints(grams.whole(size), size) & PART, return_counts=True)
                 yield from _rows({"fp": prints.view(np.int64), "n": n})
 
     return texts.mapInArrow(run, "fp long, n long")
 
 
+#: Where the two places of a fingerprint in the filter begin.
+SHIFTS = 0, 22
+
+
 class Filter:
     """A Bloom filter of ``2**bits`` bits: two places for each fingerprint."""
 
@@ -167,8 +197,8 @@ class Filter:
         self.words, self.mask = words, np.uint64(len(words) * 64 - 1)
 
     def has(self, prints: np.ndarray) -> np.ndarray:
-        found = np.ones(len(prints), bool)
-        for shift in (0, 27):
+        found, prints = np.ones(len(prints), bool), prints & PART
+        for shift in SHIFTS:
             at = (prints >> np.uint64(shift)) & self.mask
             found &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
         return found
@@ -176,7 +206,7 @@ class Filter:
     @staticmethod
     def of(prints: DataFrame, bits: int) -> Filter:
         """The bits are set by Spark; ``2**bits / 64`` numbers reach the driver at most."""
-        places = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(2**bits - 1)) for s in (0, 27)]
+        places = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(2**bits - 1)) for s in SHIFTS]
         at = prints.select(F.explode(F.array(*places)).alias("at"))
         words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set")).toArrow()
         out = np.zeros(2**bits // 64, np.uint64)
@@ -184,7 +214,7 @@ class Filter:
         return Filter(out)
 
 
-def _second_pass(texts: DataFrame, frequent: Broadcast, words: int, bits: int) -> DataFrame:
+def _second_pass(texts: DataFrame, frequent: Broadcast, words: int, bits: int, tag_bits: int) -> DataFrame:
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Filter(frequent.value)
         for grams in _batches(source, words, bits):
@@ -194,27 +224,29 @@ def _second_pass(texts: DataFrame, frequent: Broadcast, words: int, bits: int) -
                     firsts, n = (x[1:] for x in np.unique(np.r_[-1, grams.lang[at]], return_index=True, return_counts=True)[1:])
                     firsts = at[firsts - 1]
                     prints = grams.prints(firsts, 0)
-                else:
+                elif size <= 2:
                     prints = grams.prints(at, size)
-                    if size <= 2:
-                        may = known.has(prints)
-                        if size == 2:
-                            pairs = np.zeros(len(grams.ids), bool)
-                            pairs[at[may]] = True
-                    else:
-                        may = np.logical_and.reduce([pairs[at + j] for j in range(size - 1)])
-                    prints, n, firsts = grams.pointed(at[may], size, prints[may])
+                    may = known.has(prints)
+                    at, prints = at[may], prints[may]
+                    if size == 2:
+                        pairs = np.zeros(len(grams.ids), bool)
+                        pairs[at] = True
+                    prints, n, firsts = grams.pointed(at, size, prints)
+                else:
+                    at = at[np.logical_and.reduce([pairs[at + j] for j in range(size - 1)])]
+                    prints, n, firsts = grams.pointed(at, size, grams.prints(at, size))
+                order = np.argsort(firsts)  # pointers into one text lie together, which makes them small
+                prints, n, firsts = prints[order], n[order], firsts[order]
                 doc = np.searchsorted(grams.first, firsts, "right") - 1
-                ids = pa.array([grams.docs[i][0] for i in doc.tolist()], pa.int64())
-                hashes = pa.array([grams.docs[i][1] for i in doc.tolist()], pa.int64())
-                yield from _rows({"fp": prints.view(np.int64), "size": np.full(len(n), size, np.int8), "n": n, "doc_id": ids, "text_hash": hashes, "at": (firsts - grams.first[doc]).astype(np.int32)})
+                ids, hashes = (pa.array([d[i] for d in grams.docs], pa.int64()).take(pa.array(doc)) for i in (0, 1))
+                yield from _rows({"fp": prints.view(np.int64), "tag": grams.tags(firsts, size, tag_bits), "size": np.full(len(n), size, np.int8), "n": n, "doc_id": ids, "text_hash": hashes, "at": (firsts - grams.first[doc]).astype(np.int32)})
 
-    return texts.mapInArrow(run, "fp long, size byte, n long, doc_id long, text_hash long, at int")
+    return texts.mapInArrow(run, SECOND)
 
 
 def _read(texts: DataFrame, pointers: DataFrame) -> DataFrame:
-    """``lang, size, phrase, n``: the pointers' phrases, with their counts."""
-    held = pointers.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("size", "at", "n")).alias("found"))  # no longer than the text
+    """``fp, tag, lang, size, phrase, n``: the pointers' phrases, with their counts."""
+    held = pointers.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("fp", "tag", "size", "at", "n")).alias("found"))  # no longer than the text
     once = texts.dropDuplicates(["doc_id", "text_hash"])  # equal rows
     joined = once.join(held, once["doc_id"].eqNullSafe(held["doc_id"]) & (once["text_hash"] == held["text_hash"])).select("lang", "text", "found")
 
@@ -222,22 +254,32 @@ def _read(texts: DataFrame, pointers: DataFrame) -> DataFrame:
         for lang, text, found in source:
             tokens = tokens_of(text)
             for x in found:
-                yield lang, x["size"], b" ".join(tokens[x["at"] : x["at"] + x["size"]]).decode(), x["n"]
+                yield x["fp"], x["tag"], lang, x["size"], b" ".join(tokens[x["at"] : x["at"] + x["size"]]).decode(), x["n"]
 
-    return mapped(joined, rows, "lang string, size int, phrase string, n long", batch=4096)
+    return mapped(joined, rows, "fp long, tag int, lang string, size int, phrase string, n long", batch=4096)
 
 
-def frequent_phrases(docs: DataFrame, least: int = 30, batch_words: int = 1_500_000, filter_bits: int = 26, print_bits: int = 64) -> DataFrame:
+def frequent_phrases(docs: DataFrame, least: int = 30, batch_words: int = 1_200_000, filter_bits: int = 26, print_bits: int = 64, tag_bits: int = 32) -> DataFrame:
     """``lang, size, phrase, f``: all n-grams of one to four words that occur ``least`` times or more, and, with no words, each
-    language's number of words (if it reaches ``least``). The filter takes ``2**filter_bits`` bits in each task."""
+    language's number of words (if it reaches ``least``). The filter takes ``2**filter_bits`` bits in each task; fingerprints have ``print_bits``
+    and ``tag_bits`` more."""
     spark, path, texts = docs.sparkSession, scratch_dir(docs.sparkSession), _texts(docs)
     with scratch(spark):
         often = written(_first_pass(texts, batch_words, print_bits).groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("fp"))
         known = spark.sparkContext.broadcast(Filter.of(often, filter_bits).words)
-        counted = _second_pass(texts, known, batch_words, print_bits)
-        total = F.sum("n").over(Window.partitionBy("fp"))  # a row for each batch at most
-        pointers = written(counted.withColumn("total", total).where(F.col("total") >= least).drop("total", "fp"))
-        out = _read(texts, pointers).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        counted = _second_pass(texts, known, batch_words, print_bits, tag_bits)
+        of = Window.partitionBy("fp", "tag").orderBy("text_hash")  # a row for each batch at most
+        every = of.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        summed = counted.withColumns({"total": F.sum("n").over(every), "rows": F.count("*").over(every), "nth": F.row_number().over(of)})
+        pointers = summed.where((F.col("total") >= least) & ((F.col("nth") == 1) | (F.col("nth") == F.col("rows"))))
+        read = written(_read(texts, pointers.select("fp", "tag", "size", "doc_id", "text_hash", "at", F.col("total").alias("n"))))
+        alike = read.groupBy("fp", "tag").agg(F.min(F.struct("lang", "size", "phrase")).alias("low"), F.max(F.struct("lang", "size", "phrase")).alias("high"), F.max("n").alias("f"))
+        alike = written(alike)
+        out = alike.where("low = high").select("low.lang", "low.size", "low.phrase", "f")
+        mixed = alike.where("low != high").select("fp", "tag")
+        if not mixed.isEmpty():  # every pointer of these is read
+            again = _read(texts, counted.join(mixed, ["fp", "tag"], "left_semi"))
+            out = out.unionByName(again.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
         out = written(out, path, keep=True)
         known.destroy()
         return out

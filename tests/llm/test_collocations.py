@@ -53,7 +53,7 @@ def fixture():
     return rows
 
 
-@pytest.mark.parametrize("bits", [{}, {"batch_words": 50, "filter_bits": 8}, {"batch_words": 400, "print_bits": 6}])
+@pytest.mark.parametrize("bits", [{}, {"batch_words": 50, "filter_bits": 8}, {"batch_words": 30, "print_bits": 4}, {"batch_words": 400, "print_bits": 0, "tag_bits": 0}])
 def test_every_phrase(spark, bits):
     rows = fixture()
     df = spark.createDataFrame([(*x, "p", 1) for x in rows], "doc_id long, text string, lang string, phrase string, n int").repartition(4)
