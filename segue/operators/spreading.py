@@ -17,6 +17,19 @@ from segue.store import scratch, scratch_dir, written
 
 
 def seed_labels(labels: DataFrame, votes: DataFrame, tags: DataFrame, tracks: DataFrame) -> DataFrame:
+    """``tag, trackid, label`` of each given tag and each tagged or voted track: 1 with the tag, 0 with others only; a vote's sign overrides.
+
+    An absent row is -1, unknown. A vote without a sign lists a track of other tags or none with 0.
+    """
+    having = tag_index(labels).join(tags, "tag", "left_semi").select("tag", "trackid", F.lit(1).alias("has"))
+    voted = latest_votes(votes).join(tags, "tag", "left_semi").select("tag", "trackid", F.when(F.col("weight_delta") > 0, 1).when(F.col("weight_delta") < 0, 0).alias("vote"))
+    tagged = labels.where(F.size("semantic_tags") > 0).select("trackid").distinct()
+    every = tagged.crossJoin(tags.select("tag").distinct())  # the result has all these rows
+    out = every.join(having.join(voted, ["tag", "trackid"], "full"), ["tag", "trackid"], "full").select("tag", "trackid", F.coalesce("vote", "has", F.lit(0)).alias("label"))
+    return out.join(tracks.select("trackid"), "trackid", "left_semi").select("tag", "trackid", "label")
+
+
+def own_labels(labels: DataFrame, votes: DataFrame, tags: DataFrame, tracks: DataFrame) -> DataFrame:
     """``tag, trackid, label`` where it does not follow from the track alone: 1 with the tag, and what the sign of the latest vote says.
 
     A tagged track that is not listed has 0, any other track is unknown.
@@ -39,7 +52,7 @@ def label_spread(edges: DataFrame, seeds: DataFrame, tagged: DataFrame, alpha: f
     """``tag, trackid, probability`` of the tracks that a tag reaches, its seeds of label 1 left out; tracks that are not listed have 0.
 
     ``edges`` is ``seed, neighbour``: the nearest neighbours of each track with a vector, itself not listed; ``seeds`` are those of
-    ``seed_labels`` and ``tagged`` holds the ``trackid`` of all tracks with tags. A tag stops at the first round whose changes, added up over all
+    ``own_labels`` and ``tagged`` holds the ``trackid`` of all tracks with tags. A tag stops at the first round whose changes, added up over all
     tracks and both classes, are below ``tolerance``, and after ``rounds`` in any case. Tags without a seed of label 1 among the tracks with vectors are
     left out. Edges that repeat count once.
     """
