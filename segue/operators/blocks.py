@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -56,3 +57,40 @@ def pairs(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[
                     asking = []
     if asking and held:
         yield held, asking
+
+
+def cut(asking: int, own: int, cores: int, most: int, least: int = 256) -> tuple[int, int]:
+    """Blocks of asking vectors and shares of the own ones for ``streamed``: two tasks for each core, if there are rows enough.
+
+    The own side is left whole where the asking one gives tasks enough, as each share adds its own best to what leaves the tasks.
+    """
+    tasks = 2 * cores
+    shares = max(1, round(tasks**0.5 / 5))
+    left = max(1, -(-asking // most), min(-(-tasks // shares), -(-asking // least)))
+    return left, max(1, min(max(shares if left >= cores else 1, -(-tasks // left)), -(-own // least)))
+
+
+def streamed(asking: DataFrame, own: DataFrame, most: int) -> DataFrame:
+    """``a, b, lent, id, unit``: each block of ``asking`` (``id, unit``) with each share of ``own`` (``id, unit``) in one task, first the rows that ask, which a
+    task can hold (``most``), then the own ones by id. The number of blocks follows the cores, not the rows, so what is dealt grows with the rows alone
+    until a block is full."""
+    left, right = cut(asking.count(), own.count(), asking.sparkSession.sparkContext.defaultParallelism, most)
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asks = asking.select(deal(left).alias("a"), every(right).alias("b"), F.lit(False).alias("lent"), "id", "unit")
+    lent = own.select(every(left).alias("a"), deal(right).alias("b"), F.lit(True).alias("lent"), "id", "unit")
+    return asks.unionByName(lent).repartition(left * right, "a", "b").sortWithinPartitions("a", "b", "lent", "id")
+
+
+def vector_runs(batches: Iterator[pa.RecordBatch], rows: int = 8192) -> Iterator[tuple[tuple[int, int], bool, np.ndarray, np.ndarray]]:
+    """From rows of ``streamed``: place, whether the rows are own ones, their ids and their matrix, up to ``rows`` rows at a time."""
+    for batch in batches:
+        a, b, lent = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        ends = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (lent[1:] != lent[:-1])) + 1
+        for start, end in zip([0, *ends.tolist()], [*ends.tolist(), batch.num_rows], strict=True):
+            for at in range(start, end, rows):
+                n = min(rows, end - at)
+                ids = batch.column(3).slice(at, n)
+                ids = np.array(ids.to_pylist()) if pa.types.is_string(ids.type) or pa.types.is_large_string(ids.type) else ids.to_numpy(zero_copy_only=False)
+                if n:
+                    yield (int(a[at]), int(b[at])), bool(lent[at]), ids, batch.column(4).slice(at, n).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)

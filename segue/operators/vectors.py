@@ -22,7 +22,7 @@ def unit_vectors(df: DataFrame, vector: str = "embedding", key: str = "trackid")
     return df.where(F.coalesce(sound, F.lit(False))).where(norm(v) > 0).select(key, unit(v).alias("unit"))
 
 
-def knn(df: DataFrame, k: int, seeds: DataFrame | None = None, vector: str = "embedding", threshold: float | None = None, block: int = 2048) -> DataFrame:
+def knn(df: DataFrame, k: int, seeds: DataFrame | None = None, vector: str = "embedding", threshold: float | None = None, block: int = 65536) -> DataFrame:
     """``seed, neighbour, sim, rank``: the ``k`` most similar tracks of each seed (all tracks by default), itself left out."""
     units = unit_vectors(df, vector)
     asked = units if seeds is None else units.join(seeds.select("trackid").distinct(), "trackid", "left_semi")
@@ -38,30 +38,81 @@ def block_products(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterat
         yield [i for i, _ in asking], ids, np.round(np.array([v for _, v in asking]) @ matrix.T, 6) + 0.0
 
 
-def nearest(asked: DataFrame, own: DataFrame, k: int, threshold: float | None = None, block: int = 2048, same: bool = False, ties: bool = False) -> DataFrame:
+def _first(r: np.ndarray, s: np.ndarray, p: np.ndarray, k: int, ties: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows ``r`` with similarities ``s`` and places ``p`` the first ``k`` of each row (with ``ties`` all as near as the last of them), in order."""
+    order = np.lexsort((p, -s, r))
+    r, s, p = r[order], s[order], p[order]
+    first = np.searchsorted(r, r)
+    kept = s >= s[np.minimum(first + k, np.searchsorted(r, r, "right")) - 1] if ties else np.arange(len(r)) - first < k
+    return r[kept], s[kept], p[kept]
+
+
+class _Asking:
+    """Asking vectors of a task and the best of the own ones that have passed so far: of all own vectors only those above a row's ``k``-th best are looked at."""
+
+    def __init__(self, ids: np.ndarray, units: np.ndarray, k: int, threshold: float | None, same: bool, ties: bool) -> None:
+        self.ids, self.units, self.k, self.threshold, self.same, self.ties = ids, units, k, threshold, same, ties
+        self.bar = np.full(len(ids), -np.inf if threshold is None else threshold - 1e-6)
+        none = np.zeros(0, np.int64)
+        self.best = none, np.zeros(0), none
+
+    def meet(self, ids: np.ndarray, units: np.ndarray, base: int) -> None:
+        """Own vectors by id, all after those that came before; the first has the place ``base``."""
+        sims = self.units @ units.T
+        if not self.same:
+            low, high = np.searchsorted(ids, self.ids), np.searchsorted(ids, self.ids, "right")
+            for i in np.flatnonzero(low < high).tolist():
+                sims[i, low[i] : high[i]] = -np.inf
+        over = sims > self.bar[:, None]
+        if sims.shape[1] > self.k and np.count_nonzero(over) > 4 * self.k * len(sims):
+            over &= sims >= np.partition(sims, -self.k, axis=1)[:, -self.k, None] - 1e-6
+        at = np.flatnonzero(over)
+        r, c = np.divmod(at, sims.shape[1])
+        s = np.round(sims.ravel()[at], 6) + 0.0
+        sound = s > (-np.inf if self.threshold is None else self.threshold)
+        if not sound.any():
+            return
+        self.best = r, s, _ = _first(*(np.concatenate(x) for x in zip(self.best, (r[sound], s[sound], c[sound] + base), strict=True)), self.k, self.ties)
+        ends = np.searchsorted(r, np.arange(len(sims))) + self.k - 1
+        full = np.flatnonzero(np.bincount(r, minlength=len(sims)) >= self.k)
+        # A later id must be nearer after rounding, or as near where ties stay.
+        self.bar[full] = np.maximum(self.bar[full], s[ends[full]] + (-5e-7 if self.ties else 5e-7) - 1e-9)
+
+
+def nearest(asked: DataFrame, own: DataFrame, k: int, threshold: float | None = None, block: int = 65536, same: bool = False, ties: bool = False) -> DataFrame:
     """``seed, neighbour, sim, rank``: the ``k`` most similar of ``own`` (``neighbour, unit``) for each of ``asked`` (``seed, unit``), equal ids left out but for ``same``.
     With ``ties`` all that are as near as the last of them.
 
-    Cosines are rounded to six places and ties go to the smaller id; ids are numbers or strings. Vectors are dealt into blocks; each
-    pair of blocks meets in one task as a matrix product, and only the best ``k`` of a row leave it, so the shuffle is ``k``
-    rows per seed and block and no table is ever collected.
+    Cosines are rounded to six places and ties go to the smaller id; ids are numbers or strings. A task holds a block of asking vectors and
+    their best so far, and the own ones pass by in tiles, each a matrix product. So only the best ``k`` of a row and share leave a task, and
+    what is shuffled grows with the vectors, not with their pairs; all pairs are looked at, and no table is ever collected.
     """
     kinds = dict(asked.dtypes)["seed"], dict(own.dtypes)["neighbour"]
     kind = kinds[0] if kinds[0] == kinds[1] else "string"
-    dealt = blocks.dealt(asked.select(F.col("seed").cast(kind).alias("id"), F.col("unit").alias("asked")), own.select(F.col("neighbour").cast(kind).alias("id"), F.col("unit").alias("own")), (block, block))
+    dealt = blocks.streamed(asked.select(F.col("seed").cast(kind).alias("id"), "unit"), own.select(F.col("neighbour").cast(kind).alias("id"), "unit"), max(1, min(block, 10_000_000 // k)))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for seeds, ids, sims in block_products(batches):
-            out = []
-            for s, row in zip(seeds, sims, strict=True):
-                at = np.flatnonzero(((ids != s) | same) & (row > threshold if threshold is not None else True))
-                if len(at) > k:
-                    least = np.partition(row[at], len(at) - k)[len(at) - k]
-                    at = at[row[at] >= least]
-                at = at[np.lexsort((ids[at], -row[at]))]
-                at = at if ties else at[:k]
-                out.append((np.full(len(at), s), ids[at], row[at]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["seed", "neighbour", "sim"])
+        place, asking, passed, seen = None, [], [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            every = np.concatenate(passed) if passed else None
+            for x in asking:
+                r, s, p = x.best
+                if len(r):
+                    yield pa.RecordBatch.from_arrays([pa.array(x.ids[r]), pa.array(every[p]), pa.array(s)], names=["seed", "neighbour", "sim"])
+
+        for at, lent, ids, units in blocks.vector_runs(batches):
+            if at != place:
+                yield from done()
+                place, asking, passed, seen = at, [], [], 0
+            if not lent:
+                asking += [_Asking(ids[i : i + 256], units[i : i + 256], k, threshold, same, ties) for i in range(0, len(ids), 256)]
+            elif asking:
+                for x in asking:
+                    x.meet(ids, units, seen)
+                passed.append(ids)
+                seen += len(ids)
+        yield from done()
 
     found = dealt.mapInArrow(best, f"seed {kind}, neighbour {kind}, sim double").select(F.col("seed").cast(kinds[0]).alias("seed"), F.col("neighbour").cast(kinds[1]).alias("neighbour"), "sim")
     ranked = found.withColumn("rank", F.rank().over(Window.partitionBy("seed").orderBy(F.desc("sim"))) if ties else F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("sim"), "neighbour")))
