@@ -21,6 +21,8 @@ REFERENCES, NEAR = 30, 0.25
 BY_CENTROID, BY_FEATURES = "embedding similarity to tagged references", "audio feature proximity (untagged)"
 RANGES = ("energy_low", "energy_high", "bpm_low", "bpm_high")
 LAST, REFERENCE = len(STEPS) - 1, len(STEPS)
+#: Most requests and tracks of a block: requests pass by and are not held, so their blocks only serve to keep the cores busy.
+BLOCK = 1 << 18, 1 << 16
 
 
 class _Terms:
@@ -51,15 +53,34 @@ class _Terms:
         if not terms:
             return None
         found = [self.exact[t] for t in terms if t in self.exact]
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        if len(found) < 2:
+            return found[0] if found else np.zeros(0, np.int64)
+        any_ = np.zeros(self.n, bool)
+        for at in found:
+            any_[at] = True
+        return np.flatnonzero(any_)
 
 
 def _near(value: np.ndarray, low: float, high: float, least: float, weight: float) -> np.ndarray:
     return np.nan_to_num(np.maximum(0.0, 1 - np.abs(value - (low + high) / 2) / max(high - low, least)) * weight)
 
 
+def _highest(score: np.ndarray, at: np.ndarray | None, n: int) -> np.ndarray:
+    """The ``n`` highest of the scores (of those ``at`` some places), equal ones by place, in the order of places."""
+    of = score if at is None else score[at]
+    if len(of) <= n:
+        return np.arange(len(of)) if at is None else at
+    some = of[: 16 * n + 1024]
+    least = np.partition(some, len(some) - n)[len(some) - n] if n < len(some) else -np.inf
+    near = np.flatnonzero(of >= least)
+    least = np.partition(of[near], len(near) - n)[len(near) - n]
+    over, even = near[of[near] > least], near[of[near] == least]
+    best = np.sort(np.concatenate([over, even[: n - len(over)]]))
+    return best if at is None else at[best]
+
+
 class _Block:
-    """A block of labelled tracks: lists of tracks by term, and the tracks in order of energy."""
+    """A block of labelled tracks by id: lists of tracks by term, and the tracks in order of energy."""
 
     def __init__(self, rows: list[tuple]) -> None:
         self.ids = np.array([r[0] for r in rows])
@@ -67,6 +88,16 @@ class _Block:
         self.tags, self.vibes = (_Terms([r[1][c] for r in rows]) for c in ("tags", "vibes"))
         self.by_energy = np.argsort(self.energy, kind="stable")  # unknown ones last
         self.energies = self.energy[self.by_energy]
+        self.nearness: dict[tuple, np.ndarray] = {}
+
+    def near(self, column: str, low: float, high: float, least: float, weight: float) -> np.ndarray:
+        """What a range gives each track; requests share few ranges, of which some are kept."""
+        key = column, low, high
+        if key not in self.nearness:
+            if len(self.nearness) >= 32:
+                self.nearness.clear()
+            self.nearness[key] = _near(getattr(self, column), low, high, least, weight)
+        return self.nearness[key]
 
     def scores(self, asked: dict) -> np.ndarray:
         tags, vibes = asked["tags"], asked["vibes"]
@@ -79,10 +110,15 @@ class _Block:
         if vibes:
             out += 0.35 * self.vibes.share(vibes)
         if energy:
-            out += _near(self.energy, asked["energy_low"], asked["energy_high"], 0.1, 0.12)
+            out += self.near("energy", asked["energy_low"], asked["energy_high"], 0.1, 0.12)
         if bpm:
-            out += _near(self.bpm, asked["bpm_low"], asked["bpm_high"], 10.0, 0.08)
-        return np.floor(np.minimum(1.0, out) * 1000 + 0.5) / 1000
+            out += self.near("bpm", asked["bpm_low"], asked["bpm_high"], 10.0, 0.08)
+        np.minimum(1.0, out, out=out)
+        out *= 1000
+        out += 0.5
+        np.floor(out, out=out)
+        out /= 1000
+        return out
 
     def passing(self, asked: dict, tags: list[str], vibes: list[str], dropped: bool) -> np.ndarray:
         """The tracks that have a wanted tag and a wanted vibe and lie in the ranges; what is not asked for does not exclude."""
@@ -90,7 +126,9 @@ class _Block:
         if at is None:
             at = other
         elif other is not None:
-            at = np.intersect1d(at, other, assume_unique=True)
+            both = np.zeros(len(self.ids), bool)
+            both[at] = True
+            at = other[both[other]]
         low, high = asked["energy_low"], asked["energy_high"]
         if not dropped and low is not None and high is not None:
             if at is None:
@@ -117,11 +155,7 @@ class _Block:
                 seen[key] = self.passing(asked, tags, vibes, dropped)
             at = seen[key]
             counts.append(len(at))
-            if len(at) > n:
-                least = np.partition(score[at], len(at) - n)[len(at) - n]
-                at = at[score[at] >= least]
-                at = at[np.lexsort((self.ids[at], -score[at]))][:n]
-            for x in at.tolist():
+            for x in _highest(score, np.sort(at) if len(at) > n and not (tags or vibes or dropped) else at, n).tolist():
                 best[x] = best.get(x, 0) | 1 << i
         self.score = score
         return counts, best
@@ -129,7 +163,7 @@ class _Block:
     def ranked(self, asked: dict) -> tuple[None, dict[int, int]]:
         """The best tracks for the full request, whether they pass a step or not."""
         self.score = score = self.scores(asked)
-        return None, dict.fromkeys(np.lexsort((self.ids, -score))[: asked["track_count"]].tolist(), 0)
+        return None, dict.fromkeys(_highest(score, None, asked["track_count"]).tolist(), 0)
 
 
 def _asked(requests: DataFrame) -> DataFrame:
@@ -143,7 +177,18 @@ def _asked(requests: DataFrame) -> DataFrame:
     return requests.select(F.col("request_id").alias("id"), asked.alias("asked"))
 
 
-def _met(asking: DataFrame, labels: DataFrame, tracks: DataFrame, visit: Callable[[_Block, dict], tuple] = _Block.found, block: tuple[int, int] = (1024, 8192)) -> DataFrame:
+def _distinct(asking: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows ``id, asked`` those that ask for different things, by their least id, and ``request_id, first``: whose answer each request has."""
+    firsts = written(asking.groupBy("asked").agg(F.min("id").alias("id")).select("id", "asked"))
+    return firsts, written(asking.select(F.col("id").alias("request_id"), "asked").join(firsts.withColumnRenamed("id", "first"), "asked").select("request_id", "first"))
+
+
+def _told(answers: DataFrame, members: DataFrame) -> DataFrame:
+    """The answers to the first of equal requests, for each of them."""
+    return members.join(answers.withColumnRenamed("request_id", "first"), "first").drop("first")
+
+
+def _met(asking: DataFrame, labels: DataFrame, tracks: DataFrame, visit: Callable[[_Block, dict], tuple] = _Block.found, block: tuple[int, int] = BLOCK) -> DataFrame:
     """``request_id, trackid, score, steps`` of the best tracks of each pair of blocks (``steps`` has a bit for each step), and rows without a track with ``counts``."""
     own = labels.join(tracks.select("trackid", "bpm"), "trackid", "left").select(F.col("trackid").alias("id"), F.struct(F.col("semantic_tags").alias("tags"), F.col("vibe").alias("vibes"), (F.col("energy").cast("double") / 10).alias("energy"), F.col("bpm").cast("double").alias("bpm")).alias("own"))
     kinds = pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.int64())
@@ -172,11 +217,15 @@ def relevance(requests: DataFrame, labels: DataFrame, tracks: DataFrame) -> Data
     """``request_id, trackid, score, rank``: for each request as many labelled tracks as it asks for, by how well they match all of it.
 
     Tags give up to .45, vibes .35, energy .12 and tempo .08; the sum is 1 at most and has three places; a request for nothing gives .5 to all.
-    No table is joined on terms, so a term that very many tracks have costs no more than others.
+    No table is joined on terms, so a term that very many tracks have costs no more than others. Requests that ask for the same are answered once.
     """
-    best = _met(_asked(requests), labels, tracks, _Block.ranked).select("request_id", "trackid", "score")
-    counts = requests.select("request_id", F.greatest(F.coalesce(F.col("track_count").cast("int"), F.lit(5)), F.lit(1)).alias("track_count"))
-    return _ranked(best, [F.desc("score"), F.col("trackid")]).join(counts, "request_id").where(F.col("rank") <= F.col("track_count")).select("request_id", "trackid", "score", "rank")
+    path = scratch_dir(requests.sparkSession)
+    with scratch(requests.sparkSession):
+        asking, members = _distinct(written(_asked(requests)))
+        best = _met(asking, labels, tracks, _Block.ranked).select("request_id", "trackid", "score")
+        counts = asking.select(F.col("id").alias("request_id"), "asked.track_count")
+        found = _ranked(best, [F.desc("score"), F.col("trackid")]).join(counts, "request_id").where(F.col("rank") <= F.col("track_count")).select("request_id", "trackid", "score", "rank")
+        return written(_told(found, members).select("request_id", "trackid", "score", "rank"), path, keep=True)
 
 
 def score_detail(found: DataFrame, requests: DataFrame, labels: DataFrame) -> DataFrame:
@@ -193,7 +242,7 @@ def score_detail(found: DataFrame, requests: DataFrame, labels: DataFrame) -> Da
     return found.join(asked, "request_id").join(own, "trackid").select("request_id", "trackid", matched("semantic_tags", "tags").alias("matched_tags"), matched("vibe", "vibes").alias("matched_vibes"))
 
 
-def relaxation_search(requests: DataFrame, labels: DataFrame, tracks: DataFrame, vectors: DataFrame | None = None, vector: str = "feat", block: tuple[int, int] = (1024, 8192)) -> DataFrame:
+def relaxation_search(requests: DataFrame, labels: DataFrame, tracks: DataFrame, vectors: DataFrame | None = None, vector: str = "feat", block: tuple[int, int] = BLOCK) -> DataFrame:
     """``request_id, trackid, score, step, rank, inferred, reason``: as many tracks for each request as it asks for, if the library has them.
 
     A step lets labelled tracks pass that have a tag among those of at least the step's score and a vibe likewise, and lie in the ranges; a list that
@@ -203,11 +252,12 @@ def relaxation_search(requests: DataFrame, labels: DataFrame, tracks: DataFrame,
     given), the nearest in energy and tempo.
 
     Requests and tracks meet in pairs of blocks, where terms are lists of tracks; of each step only as many tracks leave a task as are asked for.
+    Requests that ask for the same are answered once.
     """
     order = [F.desc("score"), F.col("trackid")]
     path = scratch_dir(requests.sparkSession)
     with scratch(requests.sparkSession):
-        asking = written(_asked(requests))
+        asking, members = _distinct(written(_asked(requests)))
         met = written(_met(asking, labels, tracks, block=block))
         sums = met.where("counts is not null").groupBy("request_id").agg(*(F.sum(F.col("counts")[i]).alias(f"n{i}") for i, *_ in STEPS))
         k = F.col("asked.track_count")
@@ -227,7 +277,8 @@ def relaxation_search(requests: DataFrame, labels: DataFrame, tracks: DataFrame,
         filled.append(infer_by_features(found, sparse, labels, tracks))
         said = [x.join(plan.select("request_id", "held"), "request_id").select("request_id", "trackid", "score", F.lit(LAST).alias("step"), (F.col("rank") + F.col("held")).cast("int").alias("rank"), F.lit(True).alias("inferred"), "reason") for x in filled]
         whole = found.select("*", F.lit(False).alias("inferred"), F.lit(None).cast("string").alias("reason"))
-        return written(reduce(DataFrame.unionByName, said, whole), path, keep=True)
+        answers = reduce(DataFrame.unionByName, said, whole)
+        return written(_told(answers, members).select(*answers.columns), path, keep=True)
 
 
 def _centres(references: DataFrame, found: DataFrame, vectors: DataFrame, vector: str) -> DataFrame:
@@ -289,7 +340,7 @@ def infer_by_features(found: DataFrame, sparse: DataFrame, labels: DataFrame, tr
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["target", "trackid", "score"])
 
     asking = targets.select(F.col("target").alias("id"), F.struct("energy", "bpm").alias("asked"))
-    near = blocks.dealt(asking, cells.select(F.xxhash64("energy", "bpm").alias("id"), F.struct("energy", "bpm", "ids").alias("own")), (1024, 4096)).mapInArrow(scored, "target long, trackid long, score double")
+    near = blocks.dealt(asking, cells.select(F.xxhash64("energy", "bpm").alias("id"), F.struct("energy", "bpm", "ids").alias("own")), (1 << 18, 4096)).mapInArrow(scored, "target long, trackid long, score double")
     best = near.withColumn("nth", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "trackid"))).where(F.col("nth") <= most)
     fresh = wanted.join(best, "target").where(F.col("nth") <= F.col("track_count")).join(found.select("request_id", "trackid"), ["request_id", "trackid"], "left_anti")
     ranked = _ranked(fresh, [F.desc("score"), F.col("trackid")]).where(F.col("rank") <= F.col("needed"))
