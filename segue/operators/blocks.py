@@ -8,6 +8,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from segue.store import written
+
+
+def distinct(asking: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows ``id, asked`` those that ask for different things, by their least id, and ``request_id, first``: whose answer each request has."""
+    firsts = written(asking.groupBy("asked").agg(F.min("id").alias("id")).select("id", "asked"))
+    return firsts, written(asking.select(F.col("id").alias("request_id"), "asked").join(firsts.withColumnRenamed("id", "first"), "asked").select("request_id", "first"))
+
+
+def told(answers: DataFrame, members: DataFrame) -> DataFrame:
+    """The answers to the first of equal requests, for each of them."""
+    return members.join(answers.withColumnRenamed("request_id", "first"), "first").drop("first")
+
 
 def sides(asking: DataFrame, own: DataFrame, most: tuple[int, int], least: int = 256) -> tuple[int, int, int]:
     """Blocks of each side, and tasks: blocks hold ``most`` rows at most, as few as keep all cores busy but not below ``least``, and the
@@ -59,6 +72,20 @@ def pairs(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[
         yield held, asking
 
 
+def highest(score: np.ndarray, at: np.ndarray | None, n: int) -> np.ndarray:
+    """The ``n`` highest of the scores (of those ``at`` some places), equal ones by place, in the order of places."""
+    of = score if at is None else score[at]
+    if len(of) <= n:
+        return np.arange(len(of)) if at is None else at
+    some = of[: 16 * n + 1024]
+    least = np.partition(some, len(some) - n)[len(some) - n] if n < len(some) else -np.inf
+    near = np.flatnonzero(of >= least)
+    least = np.partition(of[near], len(near) - n)[len(near) - n]
+    over, even = near[of[near] > least], near[of[near] == least]
+    best = np.sort(np.concatenate([over, even[: n - len(over)]]))
+    return best if at is None else at[best]
+
+
 def cut(asking: int, own: int, cores: int, most: int, least: int = 256) -> tuple[int, int]:
     """Blocks of asking vectors and shares of the own ones for ``streamed``: two tasks for each core, if there are rows enough.
 

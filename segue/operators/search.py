@@ -65,20 +65,6 @@ def _near(value: np.ndarray, low: float, high: float, least: float, weight: floa
     return np.nan_to_num(np.maximum(0.0, 1 - np.abs(value - (low + high) / 2) / max(high - low, least)) * weight)
 
 
-def _highest(score: np.ndarray, at: np.ndarray | None, n: int) -> np.ndarray:
-    """The ``n`` highest of the scores (of those ``at`` some places), equal ones by place, in the order of places."""
-    of = score if at is None else score[at]
-    if len(of) <= n:
-        return np.arange(len(of)) if at is None else at
-    some = of[: 16 * n + 1024]
-    least = np.partition(some, len(some) - n)[len(some) - n] if n < len(some) else -np.inf
-    near = np.flatnonzero(of >= least)
-    least = np.partition(of[near], len(near) - n)[len(near) - n]
-    over, even = near[of[near] > least], near[of[near] == least]
-    best = np.sort(np.concatenate([over, even[: n - len(over)]]))
-    return best if at is None else at[best]
-
-
 class _Block:
     """A block of labelled tracks by id: lists of tracks by term, and the tracks in order of energy."""
 
@@ -155,7 +141,7 @@ class _Block:
                 seen[key] = self.passing(asked, tags, vibes, dropped)
             at = seen[key]
             counts.append(len(at))
-            for x in _highest(score, np.sort(at) if len(at) > n and not (tags or vibes or dropped) else at, n).tolist():
+            for x in blocks.highest(score, np.sort(at) if len(at) > n and not (tags or vibes or dropped) else at, n).tolist():
                 best[x] = best.get(x, 0) | 1 << i
         self.score = score
         return counts, best
@@ -163,7 +149,7 @@ class _Block:
     def ranked(self, asked: dict) -> tuple[None, dict[int, int]]:
         """The best tracks for the full request, whether they pass a step or not."""
         self.score = score = self.scores(asked)
-        return None, dict.fromkeys(_highest(score, None, asked["track_count"]).tolist(), 0)
+        return None, dict.fromkeys(blocks.highest(score, None, asked["track_count"]).tolist(), 0)
 
 
 def _asked(requests: DataFrame) -> DataFrame:
@@ -177,17 +163,6 @@ def _asked(requests: DataFrame) -> DataFrame:
     return requests.select(F.col("request_id").alias("id"), asked.alias("asked"))
 
 
-def _distinct(asking: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of rows ``id, asked`` those that ask for different things, by their least id, and ``request_id, first``: whose answer each request has."""
-    firsts = written(asking.groupBy("asked").agg(F.min("id").alias("id")).select("id", "asked"))
-    return firsts, written(asking.select(F.col("id").alias("request_id"), "asked").join(firsts.withColumnRenamed("id", "first"), "asked").select("request_id", "first"))
-
-
-def _told(answers: DataFrame, members: DataFrame) -> DataFrame:
-    """The answers to the first of equal requests, for each of them."""
-    return members.join(answers.withColumnRenamed("request_id", "first"), "first").drop("first")
-
-
 def _met(asking: DataFrame, labels: DataFrame, tracks: DataFrame, visit: Callable[[_Block, dict], tuple] = _Block.found, block: tuple[int, int] = BLOCK) -> DataFrame:
     """``request_id, trackid, score, steps`` of the best tracks of each pair of blocks (``steps`` has a bit for each step), and rows without a track with ``counts``."""
     own = labels.join(tracks.select("trackid", "bpm"), "trackid", "left").select(F.col("trackid").alias("id"), F.struct(F.col("semantic_tags").alias("tags"), F.col("vibe").alias("vibes"), (F.col("energy").cast("double") / 10).alias("energy"), F.col("bpm").cast("double").alias("bpm")).alias("own"))
@@ -221,11 +196,11 @@ def relevance(requests: DataFrame, labels: DataFrame, tracks: DataFrame) -> Data
     """
     path = scratch_dir(requests.sparkSession)
     with scratch(requests.sparkSession):
-        asking, members = _distinct(written(_asked(requests)))
+        asking, members = blocks.distinct(written(_asked(requests)))
         best = _met(asking, labels, tracks, _Block.ranked).select("request_id", "trackid", "score")
         counts = asking.select(F.col("id").alias("request_id"), "asked.track_count")
         found = _ranked(best, [F.desc("score"), F.col("trackid")]).join(counts, "request_id").where(F.col("rank") <= F.col("track_count")).select("request_id", "trackid", "score", "rank")
-        return written(_told(found, members).select("request_id", "trackid", "score", "rank"), path, keep=True)
+        return written(blocks.told(found, members).select("request_id", "trackid", "score", "rank"), path, keep=True)
 
 
 def score_detail(found: DataFrame, requests: DataFrame, labels: DataFrame) -> DataFrame:
@@ -236,7 +211,7 @@ def score_detail(found: DataFrame, requests: DataFrame, labels: DataFrame) -> Da
 
     def matched(terms: str, wanted: str) -> Column:
         score = lambda t: F.array_max(F.transform(F.filter(wanted, lambda w: w["term"] == F.lower(t)), lambda w: w["score"]))
-        hit = F.filter(F.array_distinct(F.coalesce(F.col(terms), F.array().cast("array<string>"))), lambda t: F.exists(wanted, lambda w: w["term"] == F.lower(t)))
+        hit = F.filter(F.arrayblocks.distinct(F.coalesce(F.col(terms), F.array().cast("array<string>"))), lambda t: F.exists(wanted, lambda w: w["term"] == F.lower(t)))
         return F.map_from_entries(F.transform(hit, lambda t: F.struct(t.alias("key"), F.round(score(t), 2).alias("value"))))
 
     return found.join(asked, "request_id").join(own, "trackid").select("request_id", "trackid", matched("semantic_tags", "tags").alias("matched_tags"), matched("vibe", "vibes").alias("matched_vibes"))
@@ -257,7 +232,7 @@ def relaxation_search(requests: DataFrame, labels: DataFrame, tracks: DataFrame,
     order = [F.desc("score"), F.col("trackid")]
     path = scratch_dir(requests.sparkSession)
     with scratch(requests.sparkSession):
-        asking, members = _distinct(written(_asked(requests)))
+        asking, members = blocks.distinct(written(_asked(requests)))
         met = written(_met(asking, labels, tracks, block=block))
         sums = met.where("counts is not null").groupBy("request_id").agg(*(F.sum(F.col("counts")[i]).alias(f"n{i}") for i, *_ in STEPS))
         k = F.col("asked.track_count")
@@ -278,7 +253,7 @@ def relaxation_search(requests: DataFrame, labels: DataFrame, tracks: DataFrame,
         said = [x.join(plan.select("request_id", "held"), "request_id").select("request_id", "trackid", "score", F.lit(LAST).alias("step"), (F.col("rank") + F.col("held")).cast("int").alias("rank"), F.lit(True).alias("inferred"), "reason") for x in filled]
         whole = found.select("*", F.lit(False).alias("inferred"), F.lit(None).cast("string").alias("reason"))
         answers = reduce(DataFrame.unionByName, said, whole)
-        return written(_told(answers, members).select(*answers.columns), path, keep=True)
+        return written(blocks.told(answers, members).select(*answers.columns), path, keep=True)
 
 
 def _centres(references: DataFrame, found: DataFrame, vectors: DataFrame, vector: str) -> DataFrame:
