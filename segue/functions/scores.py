@@ -24,9 +24,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The vector at length 1; one without length stays."""
-    n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
+    """The vector at length 1; one without length stays. Its length is bound to a name, else it would be worked out for each element."""
+    return F.get(F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))), F.lit(0))
 
 
 def bpm_factor(a: Column, b: Column, tolerance: float = 8.0) -> Column:

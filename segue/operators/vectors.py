@@ -47,34 +47,82 @@ def _first(r: np.ndarray, s: np.ndarray, p: np.ndarray, k: int, ties: bool) -> t
     return r[kept], s[kept], p[kept]
 
 
+def _places(marks: np.ndarray) -> np.ndarray:
+    """Where the few true ones of many marks are; eight marks are looked at together."""
+    flat = marks.ravel()
+    if flat.size % 8:
+        return np.flatnonzero(flat)
+    some = np.flatnonzero(flat.view(np.uint64))
+    i, j = np.nonzero(flat.reshape(-1, 8)[some])
+    return some[i] * 8 + j
+
+
 class _Asking:
-    """Asking vectors of a task and the best of the own ones that have passed so far: of all own vectors only those above a row's ``k``-th best are looked at."""
+    """Asking vectors of a task and the best of the own ones that have passed so far: of all own vectors only those above a row's ``k``-th best are looked at.
+
+    Products of single precision tell which these may be: those of unit vectors are at most ``slack`` from the exact ones, in whatever order
+    they are summed. What they let pass is worked out in double precision, and waits until there is enough to be worth a sort.
+    """
 
     def __init__(self, ids: np.ndarray, units: np.ndarray, k: int, threshold: float | None, same: bool, ties: bool) -> None:
         self.ids, self.units, self.k, self.threshold, self.same, self.ties = ids, units, k, threshold, same, ties
+        self.short, self.slack = units.astype(np.float32), (units.shape[1] + 8) * 2.0**-24
         self.bar = np.full(len(ids), -np.inf if threshold is None else threshold - 1e-6)
         none = np.zeros(0, np.int64)
-        self.best = none, np.zeros(0), none
-
-    def meet(self, ids: np.ndarray, units: np.ndarray, base: int) -> None:
-        """Own vectors by id, all after those that came before; the first has the place ``base``."""
-        sims = self.units @ units.T
+        self.waiting, self.passed = [(none, np.zeros(0), none)], 0
+
+    @property
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, similarities and places, in order."""
+        self.settle()
+        return self.waiting[0]
+
+    def meet(self, ids: np.ndarray, units: np.ndarray, base: int, short: np.ndarray | None = None, room: np.ndarray | None = None) -> None:
+        """Own vectors by id, all after those that came before; the first has the place ``base``. ``short`` are the same, and ``room`` has place for the products."""
+        n, width = len(self.ids), len(ids)
+        near = np.matmul(self.short, (units.astype(np.float32) if short is None else short).T, out=None if room is None else room[: n * width].reshape(n, width))
         if not self.same:
             low, high = np.searchsorted(ids, self.ids), np.searchsorted(ids, self.ids, "right")
             for i in np.flatnonzero(low < high).tolist():
-                sims[i, low[i] : high[i]] = -np.inf
-        over = sims > self.bar[:, None]
-        if sims.shape[1] > self.k and np.count_nonzero(over) > 4 * self.k * len(sims):
-            over &= sims >= np.partition(sims, -self.k, axis=1)[:, -self.k, None] - 1e-6
-        at = np.flatnonzero(over)
-        r, c = np.divmod(at, sims.shape[1])
-        s = np.round(sims.ravel()[at], 6) + 0.0
-        sound = s > (-np.inf if self.threshold is None else self.threshold)
-        if not sound.any():
+                near[i, low[i] : high[i]] = -np.inf
+        over = near > (self.bar - self.slack).astype(np.float32)[:, None]
+        at = _places(over)
+        if width > self.k and len(at) > 4 * self.k:
+            many = np.flatnonzero(np.bincount(at // width, minlength=n) > 4 * self.k)
+            if len(many):
+                over[many] = self.nearer(many, near[many], units)
+                at = _places(over)
+        r, c = np.divmod(at, width)
+        r, c = (x[near.ravel()[at] > -np.inf] for x in (r, c))
+        if not len(r):
+            return
+        s = np.concatenate([np.einsum("ij,ij->i", self.units[r[i : i + 16384]], units[c[i : i + 16384]]) for i in range(0, len(r), 16384)])
+        above, s = s > self.bar[r], np.round(s, 6) + 0.0
+        sound = above & (s > (-np.inf if self.threshold is None else self.threshold))
+        if sound.any():
+            self.waiting.append((r[sound], s[sound], c[sound] + base))
+            self.passed += np.count_nonzero(sound)
+            if len(self.waiting[0][0]) == 0 or 2 * self.passed > self.k * n:
+                self.settle()
+
+    def nearer(self, rows: np.ndarray, near: np.ndarray, units: np.ndarray) -> np.ndarray:
+        """Of own vectors the ``k`` best of each of the rows, where single precision lets many pass: there are many as near, or nothing has come before."""
+        sims = np.round(self.units[rows] @ units.T, 6) + 0.0
+        sims[(near == -np.inf) | ~(sims > self.bar[rows][:, None])] = -np.inf
+        last = np.partition(sims, -self.k, axis=1)[:, -self.k, None]
+        if self.ties:
+            return (sims >= last) & (sims > -np.inf)
+        above, even = sims > last, sims == last
+        return (above | (even & (np.cumsum(even, axis=1) <= self.k - above.sum(axis=1)[:, None]))) & (sims > -np.inf)
+
+    def settle(self) -> None:
+        """Sorts what waits into the best."""
+        if len(self.waiting) == 1:
             return
-        self.best = r, s, _ = _first(*(np.concatenate(x) for x in zip(self.best, (r[sound], s[sound], c[sound] + base), strict=True)), self.k, self.ties)
-        ends = np.searchsorted(r, np.arange(len(sims))) + self.k - 1
-        full = np.flatnonzero(np.bincount(r, minlength=len(sims)) >= self.k)
+        r, s, p = _first(*(np.concatenate(x) for x in zip(*self.waiting, strict=True)), self.k, self.ties)
+        self.waiting, self.passed = [(r, s, p)], 0
+        ends = np.searchsorted(r, np.arange(len(self.ids))) + self.k - 1
+        full = np.flatnonzero(np.bincount(r, minlength=len(self.ids)) >= self.k)
         # A later id must be nearer after rounding, or as near where ties stay.
         self.bar[full] = np.maximum(self.bar[full], s[ends[full]] + (-5e-7 if self.ties else 5e-7) - 1e-9)
 
@@ -92,7 +140,7 @@ def nearest(asked: DataFrame, own: DataFrame, k: int, threshold: float | None =
     dealt = blocks.streamed(asked.select(F.col("seed").cast(kind).alias("id"), "unit"), own.select(F.col("neighbour").cast(kind).alias("id"), "unit"), max(1, min(block, 10_000_000 // k)))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, asking, passed, seen = None, [], [], 0
+        place, asking, passed, seen, room = None, [], [], 0, np.empty(256 * 2048, np.float32)
 
         def done() -> Iterator[pa.RecordBatch]:
             every = np.concatenate(passed) if passed else None
@@ -101,15 +149,16 @@ def nearest(asked: DataFrame, own: DataFrame, k: int, threshold: float | None =
                 if len(r):
                     yield pa.RecordBatch.from_arrays([pa.array(x.ids[r]), pa.array(every[p]), pa.array(s)], names=["seed", "neighbour", "sim"])
 
-        for at, lent, ids, units in blocks.vector_runs(batches):
+        for at, lent, ids, units in blocks.vector_runs(batches, 2048):
             if at != place:
                 yield from done()
                 place, asking, passed, seen = at, [], [], 0
             if not lent:
                 asking += [_Asking(ids[i : i + 256], units[i : i + 256], k, threshold, same, ties) for i in range(0, len(ids), 256)]
             elif asking:
+                short = units.astype(np.float32)
                 for x in asking:
-                    x.meet(ids, units, seen)
+                    x.meet(ids, units, seen, short, room)
                 passed.append(ids)
                 seen += len(ids)
         yield from done()
