@@ -100,13 +100,13 @@ def cut(asking: int, own: int, cores: int, most: int, least: int = 256) -> tuple
 def streamed(asking: DataFrame, own: DataFrame, most: int) -> DataFrame:
     """``a, b, lent, id, unit``: each block of ``asking`` (``id, unit``) with each share of ``own`` (``id, unit``) in one task, first the rows that ask, which a
     task can hold (``most``), then the own ones by id. The number of blocks follows the cores, not the rows, so what is dealt grows with the rows alone
-    until a block is full."""
+    until a block is full. Each such pair is a partition of its own, so none waits for others that a hash has put beside it."""
     left, right = cut(asking.count(), own.count(), asking.sparkSession.sparkContext.defaultParallelism, most)
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asks = asking.select(deal(left).alias("a"), every(right).alias("b"), F.lit(False).alias("lent"), "id", "unit")
     lent = own.select(every(left).alias("a"), deal(right).alias("b"), F.lit(True).alias("lent"), "id", "unit")
-    return asks.unionByName(lent).repartition(left * right, "a", "b").sortWithinPartitions("a", "b", "lent", "id")
+    return asks.unionByName(lent).repartitionById(left * right, (F.col("a") * right + F.col("b")).cast("int")).sortWithinPartitions("a", "b", "lent", "id")
 
 
 def vector_runs(batches: Iterator[pa.RecordBatch], rows: int = 8192) -> Iterator[tuple[tuple[int, int], bool, np.ndarray, np.ndarray]]:
