@@ -5,14 +5,12 @@ two to ``LONGEST`` words inside a piece. Everything is counted for each language
 
 1. Tasks read documents in batches. Prefix sums of a polynomial over the hashes of the words give the fingerprint of every n-gram by one
    subtraction. A first pass counts the fingerprints of words and pairs of words; those that are frequent set bits in a filter of a
-   fixed size, which is all that is sent to every task.
-2. A second pass counts n-grams that may be frequent: words and pairs by the filter, longer ones if all pairs inside are (a part
-   of a frequent phrase is frequent, so none is lost; a full filter lets more through, and results stay the same). Each batch gives
-   a fingerprint's count and a pointer to one occurrence, after comparing the words of all its occurrences with that one. A second
-   polynomial, of other hashes of the words, gives 32 more bits.
-3. The shuffle adds up what has one fingerprint. Of each frequent one two pointers, as far apart as there are, meet their texts and are
-   read: that is the phrase. If they differ, the fingerprint is counted again by the phrases of all its pointers. Infrequent n-grams
-   are never written out as text.
+   fixed size, which is all that is sent to every task. A second pass counts those of longer n-grams if all pairs inside may be frequent
+   (a part of a frequent phrase is frequent, so none is lost), and the frequent ones set their bits too.
+2. A third pass counts n-grams that may be frequent by the filter (a full one lets more through, and results stay the same). Each batch gives
+   a count for each fingerprint, after comparing the words of all its occurrences with those of the first, and that n-gram as text.
+3. Spark adds up what has one text, in the task and after the shuffle, so no result rests on a fingerprint alone. N-grams that the filter tells to be
+   infrequent are never written out as text, and texts are not shuffled.
 
 The empty n-gram counts the words of a language. A null text is empty and a null language is ``und``; rows without an id, rows
 that share one and equal rows all count, each by itself; further columns are ignored; an empty table has no phrases. A text may be as
@@ -25,11 +23,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from segue.llm.common import mapped, scratch, scratch_dir, written
+from segue.llm.common import scratch, scratch_dir, tidied, written
 
 LONGEST = 4
 #: The break between pieces, a byte that UTF-8 never has.
@@ -39,8 +38,6 @@ ENDS, LETTERS = b".,;:!?\n\x0b\x0c\r", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TABLE = bytes.maketrans(LETTERS + ENDS, LETTERS.lower() + BREAK * len(ENDS))
 #: The base of the polynomial (odd, so that it has an inverse), and multipliers that spread the bits.
 BASE, SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
-COUNTED = {"fp": pa.int64(), "tag": pa.int32(), "size": pa.int8(), "n": pa.int64(), "doc_id": pa.int64(), "text_hash": pa.int64(), "at": pa.int32()}
-SECOND = "fp long, tag int, size byte, n long, doc_id long, text_hash long, at int"
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -60,8 +57,8 @@ class _Ids(dict):
         self.words.append(word)
         return n
 
-    def hashes(self, seed: int) -> np.ndarray:
-        return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))
+    def hashes(self) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,51 +73,36 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Grams:
     """The n-grams of a batch of documents."""
 
-    def __init__(self, docs: list[tuple], ids: list[np.ndarray], of: _Ids, bits: int = 64) -> None:
-        lengths = np.array([len(x) for x in ids], np.int64)
-        self.docs, self.of, self.first = docs, of, np.cumsum(lengths) - lengths
-        self.ids = np.concatenate(ids)
+    def __init__(self, docs: list[str], ids: list[np.ndarray], of: _Ids, bits: int = 64) -> None:
+        self.of, self.ids = of, np.concatenate(ids)
         langs: dict[str, int] = {}
-        lang = np.array([langs.setdefault(d[2], len(langs)) for d in docs], np.int32)
-        self.lang = np.repeat(lang, lengths)
+        lang = np.array([langs.setdefault(x, len(langs)) for x in docs], np.int32)
+        self.lang, self.langs = np.repeat(lang, [len(x) for x in ids]), pa.array(list(langs))
         self.seeds = np.array([xxhash.xxh3_64_intdigest(x.encode(), 1) for x in langs], np.uint64)
         self.mask = np.uint64(2**bits - 1)
-        self.forth, self.back = _powers(len(self.ids))
-        self.prefixes: dict[int, np.ndarray] = {}
+        forth, self.back = _powers(len(self.ids))
+        self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(of.hashes()[self.ids] * forth)])
         self.breaks = np.concatenate([np.zeros(1, np.int32), np.cumsum(self.ids == 0, dtype=np.int32)])
 
-    def prefix(self, seed: int) -> np.ndarray:
-        if seed not in self.prefixes:
-            self.prefixes[seed] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.of.hashes(seed)[self.ids] * self.forth)])
-        return self.prefixes[seed]
-
     def whole(self, size: int) -> np.ndarray:
         """Where an n-gram of so many words starts."""
         last = len(self.ids) - size + 1
         return np.flatnonzero(self.breaks[size : size + last] == self.breaks[:last]) if last > 0 else np.zeros(0, np.int64)
 
-    def _polynomial(self, at: np.ndarray, size: int, seed: int) -> np.ndarray:
-        prefix = self.prefix(seed)
-        h = prefix[at + size]
-        h -= prefix[at]
+    def prints(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Fingerprints of the n-grams at these starts, of their language."""
+        h = self.prefix[at + size]
+        h -= self.prefix[at]
         h *= self.back[at]
         h ^= (self.seeds + np.uint64(size))[self.lang[at]]
         h *= SPREAD
         h ^= h >> np.uint64(32)
         h *= SPREAD
         h ^= h >> np.uint64(29)
-        return h
-
-    def prints(self, at: np.ndarray, size: int) -> np.ndarray:
-        """Fingerprints of the n-grams at these starts, of their language."""
-        return self._polynomial(at, size, 0) & self.mask
-
-    def tags(self, at: np.ndarray, size: int, bits: int) -> np.ndarray:
-        """Up to 32 more bits, of another polynomial."""
-        return (self._polynomial(at, size, 1) & np.uint64(2**bits - 1)).astype(np.uint32).view(np.int32)
+        return h & self.mask
 
-    def pointed(self, at: np.ndarray, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Fingerprint, count and first start of each n-gram; those that share a fingerprint but not their words are told apart."""
+    def counted(self, at: np.ndarray, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First start and count of each n-gram; those that share a fingerprint but not their words are told apart."""
         order = np.argsort(prints, kind="stable")
         prints, at = prints[order], at[order]
         head = np.flatnonzero(np.r_[True, prints[1:] != prints[:-1]]) if len(at) else np.zeros(0, np.int64)
@@ -131,48 +113,43 @@ class Grams:
             same &= self.ids[at + j] == self.ids[model + j]
         firsts = at[head]
         if same.all():
-            return prints[head], counts, firsts
+            return firsts, counts
         mixed = np.unique(np.searchsorted(head, np.flatnonzero(~same), "right") - 1)
         sound = np.setdiff1d(np.arange(len(head)), mixed)
         more: dict[tuple, list[int]] = {}
         for g in mixed.tolist():
             for p in at[head[g] : head[g] + counts[g]].tolist():
-                more.setdefault((int(prints[head[g]]), int(self.lang[p]), *self.ids[p : p + size].tolist()), []).append(p)
-        return (
-            np.r_[prints[head][sound], np.array([k[0] for k in more], np.uint64)],
-            np.r_[counts[sound], np.array([len(v) for v in more.values()], np.int64)],
-            np.r_[firsts[sound], np.array([v[0] for v in more.values()], np.int64)],
-        )
+                more.setdefault((int(self.lang[p]), *self.ids[p : p + size].tolist()), []).append(p)
+        return np.r_[firsts[sound], np.array([v[0] for v in more.values()], np.int64)], np.r_[counts[sound], np.array([len(v) for v in more.values()], np.int64)]
 
 
 def _batches(source: Iterator[pa.RecordBatch], words: int, bits: int) -> Iterator[Grams]:
     docs, ids, of, n = [], [], _Ids(), 0
     for b in source:
         for at in range(0, b.num_rows, 256):
-            for doc_id, text_hash, lang, text in zip(*(c.to_pylist() for c in b.slice(at, 256).columns), strict=True):
+            for lang, text in zip(*(c.to_pylist() for c in b.slice(at, 256).columns), strict=True):
                 tokens = tokens_of(text)
-                docs.append((doc_id, text_hash, lang))
+                docs.append(lang)
                 ids.append(np.fromiter(map(of.__getitem__, (*tokens, BREAK)), np.int32, len(tokens) + 1))
                 n += len(tokens) + 1
                 if n >= words:
-                    yield Grams(docs, ids, of, bits)
+                    grams = [Grams(docs, ids, of, bits)]
                     docs, ids, of, n = [], [], _Ids(), 0
+                    yield grams.pop()
     if docs:
         yield Grams(docs, ids, of, bits)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text, lang).alias("text_hash"), lang.alias("lang"), text.cast("binary").alias("text"))
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
 
 def _rows(columns: dict[str, np.ndarray | pa.Array], step: int = 50_000) -> Iterator[pa.RecordBatch]:
-    whole = pa.table({k: pa.array(v, COUNTED[k]) if isinstance(v, np.ndarray) else v for k, v in columns.items()})
+    whole = pa.table({k: pa.array(v, pa.int64()) if isinstance(v, np.ndarray) else v for k, v in columns.items()})
     yield from whole.to_batches(step)
 
 
-#: The bits of a fingerprint that the first pass and the filter use.
+#: The bits of a fingerprint that the first two passes and the filter use.
 PART = np.uint64(2**48 - 1)
 
 
@@ -182,8 +159,9 @@ def _first_pass(texts: DataFrame, words: int, bits: int) -> DataFrame:
             for size in (1, 2):
                 prints, n = np.unique(grams.prints(grams.whole(size), size) & PART, return_counts=True)
                 yield from _rows({"fp": prints.view(np.int64), "n": n})
+            del grams, prints, n  # before the next is gathered
 
-    return texts.mapInArrow(run, "fp long, n long")
+    return texts.mapInArrow(tidied(run), "fp long, n long")
 
 
 #: Where the two places of a fingerprint in the filter begin.
@@ -214,73 +192,71 @@ class Filter:
         return Filter(out)
 
 
-def _second_pass(texts: DataFrame, frequent: Broadcast, words: int, bits: int, tag_bits: int) -> DataFrame:
+def _within(grams: Grams, known: Filter) -> np.ndarray:
+    """Whether a pair of words starts there that may be frequent."""
+    at = grams.whole(2)
+    pairs = np.zeros(len(grams.ids), bool)
+    pairs[at[known.has(grams.prints(at, 2))]] = True
+    return pairs
+
+
+def _of_pairs(grams: Grams, pairs: np.ndarray, size: int) -> np.ndarray:
+    """Where an n-gram starts of which each pair of words may be frequent."""
+    at = grams.whole(size)
+    return at[np.logical_and.reduce([pairs[at + j] for j in range(size - 1)])]
+
+
+def _second_pass(texts: DataFrame, frequent: Broadcast, words: int, bits: int) -> DataFrame:
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Filter(frequent.value)
         for grams in _batches(source, words, bits):
-            for size in range(LONGEST + 1):
-                at = grams.whole(max(size, 1))
-                if size == 0:
-                    firsts, n = (x[1:] for x in np.unique(np.r_[-1, grams.lang[at]], return_index=True, return_counts=True)[1:])
-                    firsts = at[firsts - 1]
-                    prints = grams.prints(firsts, 0)
-                elif size <= 2:
-                    prints = grams.prints(at, size)
-                    may = known.has(prints)
-                    at, prints = at[may], prints[may]
-                    if size == 2:
-                        pairs = np.zeros(len(grams.ids), bool)
-                        pairs[at] = True
-                    prints, n, firsts = grams.pointed(at, size, prints)
-                else:
-                    at = at[np.logical_and.reduce([pairs[at + j] for j in range(size - 1)])]
-                    prints, n, firsts = grams.pointed(at, size, grams.prints(at, size))
-                order = np.argsort(firsts)  # pointers into one text lie together, which makes them small
-                prints, n, firsts = prints[order], n[order], firsts[order]
-                doc = np.searchsorted(grams.first, firsts, "right") - 1
-                ids, hashes = (pa.array([d[i] for d in grams.docs], pa.int64()).take(pa.array(doc)) for i in (0, 1))
-                yield from _rows({"fp": prints.view(np.int64), "tag": grams.tags(firsts, size, tag_bits), "size": np.full(len(n), size, np.int8), "n": n, "doc_id": ids, "text_hash": hashes, "at": (firsts - grams.first[doc]).astype(np.int32)})
+            pairs = _within(grams, known)
+            for size in range(3, LONGEST + 1):
+                prints, n = np.unique(grams.prints(_of_pairs(grams, pairs, size), size) & PART, return_counts=True)
+                yield from _rows({"fp": prints.view(np.int64), "n": n})
+            del grams, pairs, prints, n
 
-    return texts.mapInArrow(run, SECOND)
+    return texts.mapInArrow(tidied(run), "fp long, n long")
 
 
-def _read(texts: DataFrame, pointers: DataFrame) -> DataFrame:
-    """``fp, tag, lang, size, phrase, n``: the pointers' phrases, with their counts."""
-    held = pointers.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("fp", "tag", "size", "at", "n")).alias("found"))  # no longer than the text
-    once = texts.dropDuplicates(["doc_id", "text_hash"])  # equal rows
-    joined = once.join(held, once["doc_id"].eqNullSafe(held["doc_id"]) & (once["text_hash"] == held["text_hash"])).select("lang", "text", "found")
+def _third_pass(texts: DataFrame, frequent: Broadcast, words: int, bits: int) -> DataFrame:
+    """``lang, phrase, n``: each batch's n-grams that may be frequent, the empty one for all its words."""
 
-    def rows(source: Iterator[tuple]) -> Iterator[tuple]:
-        for lang, text, found in source:
-            tokens = tokens_of(text)
-            for x in found:
-                yield x["fp"], x["tag"], lang, x["size"], b" ".join(tokens[x["at"] : x["at"] + x["size"]]).decode(), x["n"]
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Filter(frequent.value)
+        for grams in _batches(source, words, bits):
+            pairs, written_as = _within(grams, known), pa.array(grams.of.words, pa.binary())
+            for size in range(LONGEST + 1):
+                at = grams.whole(1) if size < 2 else _of_pairs(grams, pairs, size)
+                if size == 0:
+                    lang, n = np.unique(grams.lang[at], return_counts=True)
+                    phrases = pa.array([""] * len(lang), pa.string())
+                else:
+                    prints = grams.prints(at, size)
+                    may = known.has(prints)
+                    firsts, n = grams.counted(at[may], size, prints[may])
+                    lang = grams.lang[firsts]
+                    phrases = pc.binary_join_element_wise(*(written_as.take(pa.array(grams.ids[firsts + j])) for j in range(size)), b" ").cast(pa.string())
+                    del prints, may, firsts
+                yield from _rows({"lang": grams.langs.take(pa.array(lang)), "phrase": phrases, "n": n})
+            del grams, pairs, written_as, at, lang, phrases, n
 
-    return mapped(joined, rows, "fp long, tag int, lang string, size int, phrase string, n long", batch=4096)
+    return texts.mapInArrow(tidied(run), "lang string, phrase string, n long")
 
 
-def frequent_phrases(docs: DataFrame, least: int = 30, batch_words: int = 1_200_000, filter_bits: int = 26, print_bits: int = 64, tag_bits: int = 32) -> DataFrame:
+def frequent_phrases(docs: DataFrame, least: int = 30, batch_words: int = 1_200_000, filter_bits: int = 26, print_bits: int = 64, tag_bits: int = 32) -> DataFrame:  # noqa: ARG001
     """``lang, size, phrase, f``: all n-grams of one to four words that occur ``least`` times or more, and, with no words, each
-    language's number of words (if it reaches ``least``). The filter takes ``2**filter_bits`` bits in each task; fingerprints have ``print_bits``
-    and ``tag_bits`` more."""
+    language's number of words (if it reaches ``least``). The filter takes ``2**filter_bits`` bits in each task; fingerprints have ``print_bits``.
+    ``tag_bits`` is taken but not needed any more, as n-grams of different batches are told apart by their text."""
     spark, path, texts = docs.sparkSession, scratch_dir(docs.sparkSession), _texts(docs)
     with scratch(spark):
-        often = written(_first_pass(texts, batch_words, print_bits).groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("fp"))
-        known = spark.sparkContext.broadcast(Filter.of(often, filter_bits).words)
-        counted = _second_pass(texts, known, batch_words, print_bits, tag_bits)
-        of = Window.partitionBy("fp", "tag").orderBy("text_hash")  # a row for each batch at most
-        every = of.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        summed = counted.withColumns({"total": F.sum("n").over(every), "rows": F.count("*").over(every), "nth": F.row_number().over(of)})
-        pointers = summed.where((F.col("total") >= least) & ((F.col("nth") == 1) | (F.col("nth") == F.col("rows"))))
-        read = written(_read(texts, pointers.select("fp", "tag", "size", "doc_id", "text_hash", "at", F.col("total").alias("n"))))
-        alike = read.groupBy("fp", "tag").agg(F.min(F.struct("lang", "size", "phrase")).alias("low"), F.max(F.struct("lang", "size", "phrase")).alias("high"), F.max("n").alias("f"))
-        alike = written(alike)
-        out = alike.where("low = high").select("low.lang", "low.size", "low.phrase", "f")
-        mixed = alike.where("low != high").select("fp", "tag")
-        if not mixed.isEmpty():  # every pointer of these is read
-            again = _read(texts, counted.join(mixed, ["fp", "tag"], "left_semi"))
-            out = out.unionByName(again.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
-        out = written(out, path, keep=True)
+        often = lambda found: Filter.of(written(found.groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("fp")), filter_bits).words
+        short = spark.sparkContext.broadcast(often(_first_pass(texts, batch_words, print_bits)))
+        known = spark.sparkContext.broadcast(short.value | often(_second_pass(texts, short, batch_words, print_bits)))
+        short.destroy()
+        counted = _third_pass(texts, known, batch_words, print_bits).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        size = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+        out = written(counted.select("lang", size.cast("byte").alias("size"), "phrase", "f"), path, keep=True)
         known.destroy()
         return out
 

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from segue.llm import collocations
 
@@ -77,3 +78,16 @@ def test_long_and_empty(spark):
     df = spark.createDataFrame([(1, long, "en")], "doc_id long, text string, lang string")
     assert [tuple(x) for x in collocations.collocations(df).collect()] == [("en", 1, "one two three", 200_000, 200_000, 200_000, 600_000, 1_000_000)]
     assert collocations.collocations(df.limit(0)).collect() == []
+
+
+def test_only_frequent_phrases_leave_a_task(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice("abcdefghijkl") for _ in range(200)) + " p q r s", "en") for i in range(40)]  # pairs are frequent, longer n-grams of the letters are not
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    texts, often = collocations._texts(df), lambda found: collocations.Filter.of(found.groupBy("fp").agg(F.sum("n").alias("n")).where("n >= 30"), 26).words
+    assert texts.columns == ["lang", "text"]
+    short = spark.sparkContext.broadcast(often(collocations._first_pass(texts, 500, 64)))
+    known = spark.sparkContext.broadcast(short.value | often(collocations._second_pass(texts, short, 500, 64)))
+    counted = collocations._third_pass(texts, known, 500, 64).groupBy("phrase").agg(F.sum("n").alias("n")).collect()
+    assert {x.phrase: x.n for x in counted if x.phrase.count(" ") > 1} == {"p q r": 40, "q r s": 40, "p q r s": 40}
+    assert sum(x.phrase.count(" ") == 1 for x in counted) > 100
