@@ -12,9 +12,12 @@ from segue.store import written
 
 
 def distinct(asking: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of rows ``id, asked`` those that ask for different things, by their least id, and ``request_id, first``: whose answer each request has."""
-    firsts = written(asking.groupBy("asked").agg(F.min("id").alias("id")).select("id", "asked"))
-    return firsts, written(asking.select(F.col("id").alias("request_id"), "asked").join(firsts.withColumnRenamed("id", "first"), "asked").select("request_id", "first"))
+    """Of rows ``id, asked`` (and further columns) those that ask for different things, ``id, asked`` by their least id, and ``request_id, first`` (and further
+    columns): whose answer each request has. Neither side of the join is broadcast, as a small file may hold very many rows."""
+    keyed = asking.withColumn("key", F.xxhash64("asked"))  # what is asked is compared as well
+    firsts = written(keyed.groupBy("key", "asked").agg(F.min("id").alias("id")))
+    members = keyed.withColumnRenamed("id", "request_id").join(firsts.withColumnRenamed("id", "first").hint("merge"), ["key", "asked"])
+    return firsts.select("id", "asked"), written(members.select("request_id", "first", *(c for c in asking.columns if c not in ("id", "asked"))))
 
 
 def told(answers: DataFrame, members: DataFrame) -> DataFrame:
@@ -22,14 +25,14 @@ def told(answers: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(answers.withColumnRenamed("request_id", "first"), "first").drop("first")
 
 
-def sides(asking: DataFrame, own: DataFrame, most: tuple[int, int], least: int = 256) -> tuple[int, int, int]:
+def sides(asking: DataFrame, own: DataFrame, most: tuple[int, int], least: int = 256, whole: bool = False) -> tuple[int, int, int]:
     """Blocks of each side, and tasks: blocks hold ``most`` rows at most, as few as keep all cores busy but not below ``least``, and the
-    number of tasks follows the cores and the rows dealt, not the pairs of blocks."""
+    number of tasks follows the cores and the rows dealt, not the pairs of blocks. With ``whole`` those that ask are cut before the own rows are."""
     counts = [df.count() for df in (asking, own)]
     cores = asking.sparkSession.sparkContext.defaultParallelism
     left, right = (max(1, -(-n // m)) for n, m in zip(counts, most, strict=True))
     while left * right < 2 * cores and max(counts[0] // left, counts[1] // right) > least:
-        if counts[0] // left >= counts[1] // right:
+        if counts[0] // left >= counts[1] // right or (whole and counts[0] // left > least):
             left *= 2
         else:
             right *= 2
@@ -37,17 +40,17 @@ def sides(asking: DataFrame, own: DataFrame, most: tuple[int, int], least: int =
     return left, right, min(left * right, max(4 * cores, dealt // 200_000))
 
 
-def dealt(asking: DataFrame, own: DataFrame, most: tuple[int, int]) -> DataFrame:
+def dealt(asking: DataFrame, own: DataFrame, most: tuple[int, int], whole: bool = False) -> DataFrame:
     """``a, b, asks, id, asked, own``: each block of ``asking`` (``id, asked``) with each block of ``own`` (``id, own``).
 
     A pair of blocks lies in one task, its own rows before those that ask; a task may hold several pairs, one after the other.
     """
-    left, right, tasks = sides(asking, own, most)
+    left, right, tasks = sides(asking, own, most, whole=whole)
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     lent = own.select(every(left).alias("a"), deal(right).alias("b"), F.lit(False).alias("asks"), "id", F.lit(None).alias("asked"), "own")
     asks = asking.select(deal(left).alias("a"), every(right).alias("b"), F.lit(True).alias("asks"), "id", "asked", F.lit(None).alias("own"))
-    return lent.unionByName(asks).repartition(tasks, "a", "b").sortWithinPartitions("a", "b", "asks", "id")
+    return lent.unionByName(asks).repartitionById(tasks, ((F.col("a") * right + F.col("b")) % tasks).cast("int")).sortWithinPartitions("a", "b", "asks", "id")
 
 
 def pairs(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[list[tuple], list[tuple]]]:
@@ -72,6 +75,16 @@ def pairs(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[
         yield held, asking
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[tuple[tuple[int, int], bool, pa.RecordBatch]]:
+    """From rows of ``dealt``: place, whether the rows ask, and the rows, up to ``rows`` at a time; they are not turned into objects."""
+    for batch in batches:
+        a, b, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        ends = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (asks[1:] != asks[:-1])) + 1
+        for start, end in zip([0, *ends.tolist()], [*ends.tolist(), batch.num_rows], strict=True):
+            for at in range(start, end, rows):
+                yield (int(a[at]), int(b[at])), bool(asks[at]), batch.slice(at, min(rows, end - at))
+
+
 def highest(score: np.ndarray, at: np.ndarray | None, n: int) -> np.ndarray:
     """The ``n`` highest of the scores (of those ``at`` some places), equal ones by place, in the order of places."""
     of = score if at is None else score[at]

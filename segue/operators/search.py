@@ -20,19 +20,19 @@ STEPS = ((0, 0.65, 0.65, False), (1, 0.45, 0.45, False), (2, 0.20, 0.20, False),
 REFERENCES, NEAR = 30, 0.25
 BY_CENTROID, BY_FEATURES = "embedding similarity to tagged references", "audio feature proximity (untagged)"
 RANGES = ("energy_low", "energy_high", "bpm_low", "bpm_high")
-LAST, REFERENCE = len(STEPS) - 1, len(STEPS)
-#: Most requests and tracks of a block: requests pass by and are not held, so their blocks only serve to keep the cores busy.
-BLOCK = 1 << 18, 1 << 16
+LAST, REFERENCE, ALL = len(STEPS) - 1, len(STEPS), len(STEPS) + 1
+#: Most requests and tracks of a block: requests pass by and are not held, so their blocks only serve to keep the cores busy, and a request costs less in few large blocks of tracks.
+BLOCK = 1 << 18, 1 << 19
 
 
 class _Terms:
-    """Who in a block of tracks has a term, as written and in small letters; the latter with how often."""
+    """Which groups of tracks have a term, as written and in small letters; the latter with how often."""
 
-    def __init__(self, own: list[list[str] | None]) -> None:
+    def __init__(self, own: list[tuple[str, ...]]) -> None:
         exact: dict[str, list[int]] = {}
         lower: dict[str, list[int]] = {}
         for i, terms in enumerate(own):
-            for t in terms or ():
+            for t in terms:
                 exact.setdefault(t, []).append(i)
                 lower.setdefault(t.lower(), []).append(i)
         self.n = len(own)
@@ -40,7 +40,7 @@ class _Terms:
         self.lower = {t: np.unique(x, return_counts=True) for t, x in lower.items()}
 
     def share(self, wanted: dict[str, float]) -> np.ndarray:
-        """The scores of each track's terms, of the sum of all wanted; of terms that differ in case the greatest score counts."""
+        """The scores of each group's terms, of the sum of all wanted; of terms that differ in case the greatest score counts."""
         got = np.zeros(self.n)
         for t, s in {t.lower(): s for t, s in sorted(wanted.items(), key=lambda x: (x[1], x[0]))}.items():
             if t in self.lower:
@@ -48,8 +48,8 @@ class _Terms:
                 got[at] += s * times
         return got / (sum(wanted.values()) or 1.0)
 
-    def having(self, terms: list[str]) -> np.ndarray | None:
-        """The tracks with any of these terms, in order; none if no term is wanted, as then all tracks pass."""
+    def having(self, terms: tuple[str, ...]) -> np.ndarray | None:
+        """The groups with any of these terms, in order; none if no term is wanted, as then all pass."""
         if not terms:
             return None
         found = [self.exact[t] for t in terms if t in self.exact]
@@ -65,142 +65,233 @@ def _near(value: np.ndarray, low: float, high: float, least: float, weight: floa
     return np.nan_to_num(np.maximum(0.0, 1 - np.abs(value - (low + high) / 2) / max(high - low, least)) * weight)
 
 
-class _Block:
-    """A block of labelled tracks by id: lists of tracks by term, and the tracks in order of energy."""
-
-    def __init__(self, rows: list[tuple]) -> None:
-        self.ids = np.array([r[0] for r in rows])
-        self.energy, self.bpm = (np.array([np.nan if r[1][c] is None else r[1][c] for r in rows], float) for c in ("energy", "bpm"))
-        self.tags, self.vibes = (_Terms([r[1][c] for r in rows]) for c in ("tags", "vibes"))
-        self.by_energy = np.argsort(self.energy, kind="stable")  # unknown ones last
-        self.energies = self.energy[self.by_energy]
-        self.nearness: dict[tuple, np.ndarray] = {}
-
-    def near(self, column: str, low: float, high: float, least: float, weight: float) -> np.ndarray:
-        """What a range gives each track; requests share few ranges, of which some are kept."""
-        key = column, low, high
-        if key not in self.nearness:
-            if len(self.nearness) >= 32:
-                self.nearness.clear()
-            self.nearness[key] = _near(getattr(self, column), low, high, least, weight)
-        return self.nearness[key]
-
-    def scores(self, asked: dict) -> np.ndarray:
-        tags, vibes = asked["tags"], asked["vibes"]
-        energy, bpm = (asked[f"{c}_low"] is not None and asked[f"{c}_high"] is not None for c in ("energy", "bpm"))
-        if not (tags or vibes or energy or bpm):
-            return np.full(len(self.ids), 0.5)
-        out = np.zeros(len(self.ids))
-        if tags:
-            out += 0.45 * self.tags.share(tags)
-        if vibes:
-            out += 0.35 * self.vibes.share(vibes)
+def _rounded(score: np.ndarray) -> np.ndarray:
+    """1 at most, three places, in place."""
+    np.minimum(1.0, score, out=score)
+    score *= 1000
+    score += 0.5
+    np.floor(score, out=score)
+    score /= 1000
+    return score
+
+
+class _Ranges:
+    """What a request's ranges give each track of a block, which tracks lie in them (none: all do), and of each group how many do and the most that one gets; the same of all its tracks."""
+
+    def __init__(self, block: _Block, energy: tuple | None, bpm: tuple | None) -> None:
+        self.parts, self.fits = [], None
         if energy:
-            out += self.near("energy", asked["energy_low"], asked["energy_high"], 0.1, 0.12)
+            self.parts.append(_near(block.energy, *energy, 0.1, 0.12))
+            self.fits = (block.energy >= energy[0]) & (block.energy <= energy[1])
         if bpm:
-            out += self.near("bpm", asked["bpm_low"], asked["bpm_high"], 10.0, 0.08)
-        np.minimum(1.0, out, out=out)
-        out *= 1000
-        out += 0.5
-        np.floor(out, out=out)
-        out /= 1000
-        return out
-
-    def passing(self, asked: dict, tags: list[str], vibes: list[str], dropped: bool) -> np.ndarray:
-        """The tracks that have a wanted tag and a wanted vibe and lie in the ranges; what is not asked for does not exclude."""
+            self.parts.append(_near(block.bpm, *bpm, 10.0, 0.08))
+            fits = np.isnan(block.bpm) | ((block.bpm >= bpm[0]) & (block.bpm <= bpm[1]))
+            self.fits = fits if self.fits is None else self.fits & fits
+        first, sizes = block.starts[:-1], np.diff(block.starts)
+        near = sum(self.parts, np.zeros(len(block.ids)))
+        self.sizes, self.most = {True: sizes, False: sizes}, dict.fromkeys((True, False), np.maximum.reduceat(near, first))
+        if self.parts:
+            self.sizes[False], self.most[False] = np.add.reduceat(self.fits.astype(np.int64), first), np.maximum.reduceat(np.where(self.fits, near, -np.inf), first)
+
+
+class _Block:
+    """A block of labelled tracks. Those with the same tags and vibes are a group, which has or lacks a term as a whole; a group's tracks lie together, by id.
+
+    So terms are looked up for groups, and of the tracks only those of groups are scored that can be among the best.
+    """
+
+    def __init__(self, rows: list[pa.RecordBatch]) -> None:
+        groups: dict[tuple, int] = {}
+        of, ids, energy, bpm = [], [], [], []
+        for batch in rows:
+            tags, vibes, e, b = batch.column("own").flatten()
+            of.append(np.array([groups.setdefault((tuple(t or ()), tuple(v or ())), len(groups)) for t, v in zip(tags.to_pylist(), vibes.to_pylist(), strict=True)]))
+            ids.append(batch.column("id").to_numpy())
+            energy.append(e.to_numpy(zero_copy_only=False).astype(float))
+            bpm.append(b.to_numpy(zero_copy_only=False).astype(float))
+        group, id_ = np.concatenate(of), np.concatenate(ids)
+        order = np.lexsort((id_, group))
+        self.ids, self.energy, self.bpm = id_[order], np.concatenate(energy)[order], np.concatenate(bpm)[order]
+        self.starts = np.searchsorted(group[order], np.arange(len(groups) + 1))
+        self.tags, self.vibes = (_Terms([g[i] for g in groups]) for i in (0, 1))
+        self.kept: dict[tuple, _Ranges] = {}
+
+    def ranges(self, asked: dict) -> _Ranges:
+        """Requests share few ranges, of which some are kept."""
+        key = tuple((low, high) if low is not None and high is not None else None for low, high in ((asked[f"{c}_low"], asked[f"{c}_high"]) for c in ("energy", "bpm")))
+        if key not in self.kept:
+            if len(self.kept) >= 8:
+                self.kept.clear()
+            self.kept[key] = _Ranges(self, *key)
+        return self.kept[key]
+
+    def passing(self, tags: tuple[str, ...], vibes: tuple[str, ...]) -> np.ndarray | None:
+        """The groups that have a wanted tag and a wanted vibe; what is not asked for does not exclude."""
         at, other = self.tags.having(tags), self.vibes.having(vibes)
-        if at is None:
-            at = other
-        elif other is not None:
-            both = np.zeros(len(self.ids), bool)
-            both[at] = True
-            at = other[both[other]]
-        low, high = asked["energy_low"], asked["energy_high"]
-        if not dropped and low is not None and high is not None:
-            if at is None:
-                at = self.by_energy[np.searchsorted(self.energies, low) : np.searchsorted(self.energies, high, "right")]
-            else:
-                at = at[(self.energy[at] >= low) & (self.energy[at] <= high)]
-        at = np.arange(len(self.ids)) if at is None else at
-        low, high = asked["bpm_low"], asked["bpm_high"]
-        if not dropped and low is not None and high is not None:
-            bpm = self.bpm[at]
-            at = at[np.isnan(bpm) | ((bpm >= low) & (bpm <= high))]
-        return at
-
-    def found(self, asked: dict) -> tuple[list[int], dict[int, int]]:
-        """How many tracks pass each step (and the full lists of terms, for references), and in which steps each of the best tracks is."""
-        score = self.scores(asked)
-        over = lambda terms, least: [t for t, s in terms.items() if s >= least]
-        steps = [(over(asked["tags"], a), over(asked["vibes"], b), dropped, asked["track_count"]) for _, a, b, dropped in STEPS]
-        steps.append((asked["all_tags"], asked["all_vibes"], False, REFERENCES))
-        counts, best, seen = [], {}, {}
-        for i, (tags, vibes, dropped, n) in enumerate(steps):
-            key = (tuple(tags), tuple(vibes), dropped)
+        if at is None or other is None:
+            return other if at is None else at
+        both = np.zeros(self.tags.n, bool)
+        both[at] = True
+        return other[both[other]]
+
+    def counts(self, asked: dict) -> list[int]:
+        """How many tracks pass each step."""
+        near, seen = self.ranges(asked), {}
+        for key in (keys := [_step(asked, i) for i, *_ in STEPS]):
             if key not in seen:
-                seen[key] = self.passing(asked, tags, vibes, dropped)
-            at = seen[key]
-            counts.append(len(at))
-            for x in blocks.highest(score, np.sort(at) if len(at) > n and not (tags or vibes or dropped) else at, n).tolist():
-                best[x] = best.get(x, 0) | 1 << i
-        self.score = score
-        return counts, best
+                at, sizes = self.passing(*key[:2]), near.sizes[key[2]]
+                seen[key] = int(sizes.sum() if at is None else sizes[at].sum())
+        return [seen[key] for key in keys]
 
-    def ranked(self, asked: dict) -> tuple[None, dict[int, int]]:
-        """The best tracks for the full request, whether they pass a step or not."""
-        self.score = score = self.scores(asked)
-        return None, dict.fromkeys(blocks.highest(score, None, asked["track_count"]).tolist(), 0)
+    def shares(self, asked: dict) -> np.ndarray:
+        """What the terms give each group."""
+        tags, vibes = asked["tags"], asked["vibes"]
+        if not (tags or vibes or self.ranges(asked).parts):
+            return np.full(self.tags.n, 0.5)
+        out = 0.45 * self.tags.share(tags) if tags else np.zeros(self.tags.n)
+        return out + 0.35 * self.vibes.share(vibes) if vibes else out
+
+    def scored(self, groups: np.ndarray, shares: np.ndarray, near: _Ranges, all_: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the groups' tracks (but for ``all_`` those in the ranges), and their scores."""
+        sizes = self.starts[groups + 1] - self.starts[groups]
+        places = np.arange(sizes.sum()) + np.repeat(self.starts[groups] - (np.cumsum(sizes) - sizes), sizes)
+        score = np.repeat(shares[groups], sizes)
+        if not all_ and near.fits is not None:
+            inside = near.fits[places]
+            places, score = places[inside], score[inside]
+        for part in near.parts:
+            score += part[places]
+        return places, _rounded(score)
+
+    def best(self, at: np.ndarray | None, shares: np.ndarray, near: _Ranges, all_: bool, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the ``n`` best tracks of the groups, in order. Groups come in the order of the most that a track of theirs may score, until no other can have one as good."""
+        upper = shares + near.most[all_] if at is None else shares[at] + near.most[all_][at]
+        if not all_ and near.parts:
+            some = np.flatnonzero(upper > -np.inf)
+            at, upper = some if at is None else at[some], upper[some]
+        at = np.arange(len(upper)) if at is None else at
+        if not len(at):
+            return self.ids[:0], np.zeros(0)
+        first = np.argpartition(upper, len(at) - n)[len(at) - n :] if len(at) > n else np.arange(len(at))  # these have n tracks at least, if there are as many
+        first = first[np.argsort(-upper[first])]
+        first = first[: np.searchsorted(np.cumsum(near.sizes[all_][at[first]]), n) + 1]
+        places, score = self.scored(at[first], shares, near, all_)
+        if len(first) < len(at):
+            rest = upper >= (np.partition(score, len(score) - n)[len(score) - n] - 0.0006 if len(score) >= n else -np.inf)  # scores are rounded to three places
+            rest[first] = False
+            rest = np.flatnonzero(rest)
+            if len(rest):
+                more = self.scored(at[rest], shares, near, all_)
+                places, score = np.concatenate([places, more[0]]), np.concatenate([score, more[1]])
+        if len(score) > n:
+            least = np.partition(score, len(score) - n)[len(score) - n]
+            over, even = np.flatnonzero(score > least), np.flatnonzero(score == least)
+            lack = n - len(over)
+            even = even[np.argpartition(self.ids[places[even]], lack - 1)[:lack]] if lack < len(even) else even
+            some = np.concatenate([over, even])
+            places, score = places[some], score[some]
+        order = np.lexsort((self.ids[places], -score))
+        return self.ids[places[order]], score[order]
+
+
+def _step(asked: dict, step: int) -> tuple[tuple[str, ...], tuple[str, ...], bool]:
+    """The tags and vibes of which a step wants one each, and whether it drops the ranges. References have the full lists, and there is a step that all tracks pass."""
+    if step == ALL:
+        return (), (), True
+    if step == REFERENCE:
+        return tuple(asked["all_tags"]), tuple(asked["all_vibes"]), False
+    _, tags, vibes, dropped = STEPS[step]
+    return tuple(t for t, s in asked["tags"].items() if s >= tags), tuple(t for t, s in asked["vibes"].items() if s >= vibes), dropped
 
 
 def _asked(requests: DataFrame) -> DataFrame:
-    """``id, asked``. Without lists of their own (``semantic_tags``, ``vibes``), the terms of the score maps are the lists."""
+    """``id, asked, track_count``. Without lists of their own (``semantic_tags``, ``vibes``), the terms of the score maps are the lists."""
     entries = lambda c: F.transform(F.map_entries(c), lambda x: F.struct(x["key"].alias("term"), x["value"].cast("double").alias("score")))
     terms = lambda own, c: F.coalesce(F.col(own) if own in requests.columns else F.lit(None).cast("array<string>"), F.map_keys(c), F.array().cast("array<string>"))
     asked = F.struct(
         entries("tag_scores").alias("tags"), entries("vibe_scores").alias("vibes"), terms("semantic_tags", "tag_scores").alias("all_tags"), terms("vibes", "vibe_scores").alias("all_vibes"),
-        *(F.col(c).cast("double").alias(c) for c in RANGES), F.greatest(F.coalesce(F.col("track_count").cast("int"), F.lit(5)), F.lit(1)).alias("track_count"),
+        *(F.col(c).cast("double").alias(c) for c in RANGES),
     )
-    return requests.select(F.col("request_id").alias("id"), asked.alias("asked"))
+    return requests.select(F.col("request_id").alias("id"), asked.alias("asked"), F.greatest(F.coalesce(F.col("track_count").cast("int"), F.lit(5)), F.lit(1)).alias("track_count"))
 
 
-def _met(asking: DataFrame, labels: DataFrame, tracks: DataFrame, visit: Callable[[_Block, dict], tuple] = _Block.found, block: tuple[int, int] = BLOCK) -> DataFrame:
-    """``request_id, trackid, score, steps`` of the best tracks of each pair of blocks (``steps`` has a bit for each step), and rows without a track with ``counts``."""
+def _met(asking: DataFrame, labels: DataFrame, tracks: DataFrame, visit: Callable[[_Block, dict], Iterator[tuple]], block: tuple[int, int]) -> DataFrame:
+    """``request_id, step, n, best``: what a visit of each request to each block of tracks tells of a step: a number, and tracks in order as ids and scores (``minus`` is a score's negative)."""
     own = labels.join(tracks.select("trackid", "bpm"), "trackid", "left").select(F.col("trackid").alias("id"), F.struct(F.col("semantic_tags").alias("tags"), F.col("vibe").alias("vibes"), (F.col("energy").cast("double") / 10).alias("energy"), F.col("bpm").cast("double").alias("bpm")).alias("own"))
-    kinds = pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.int64())
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, lists = None, None
-        for rows, asking_ in blocks.pairs(batches):
-            if rows is not held:
-                held, lists = rows, _Block(rows)
+        place, held, lists = None, [], None
+        for at, asks, rows in blocks.slices(batches):
+            if at != place:
+                place, held, lists = at, [], None
+            if not asks:
+                held.append(rows)
+                continue
+            if held:
+                lists, held = _Block(held), []
+            if lists is None:
+                continue
             out: list[tuple] = []
-            for id_, asked in asking_:
+            for id_, asked in zip(rows.column("id").to_pylist(), rows.column("asked").to_pylist(), strict=True):
                 asked |= {c: {x["term"]: x["score"] for x in asked[c] or ()} for c in ("tags", "vibes")}
-                counts, best = visit(lists, asked)
-                out += [(id_, None, None, None, counts)] if counts is not None else []
-                out += [(id_, t, s, steps, None) for t, s, steps in zip(lists.ids[list(best)].tolist(), lists.score[list(best)].tolist(), best.values(), strict=True)] if best else []
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["request_id", "trackid", "score", "steps", "counts"])
+                out += [(id_, *x) for x in visit(lists, asked)]
+            if out:
+                *told, ids, scores = zip(*out, strict=True)
+                ends = np.cumsum([0, *map(len, ids)])
+                best = pa.StructArray.from_arrays([pa.array(-np.concatenate(scores)), pa.array(np.concatenate(ids))], ["minus", "trackid"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, told, (pa.int64(), pa.int32(), pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), best)], names=["request_id", "step", "n", "best"])
+
+    return blocks.dealt(asking, own, block, whole=True).mapInArrow(searched, "request_id long, step int, n long, best array<struct<minus:double,trackid:long>>")
+
+
+def _counted(asking: DataFrame, labels: DataFrame, tracks: DataFrame, block: tuple[int, int]) -> DataFrame:
+    """``request_id, n0, n1 ...``: how many tracks pass each step."""
+    none = np.zeros(0, np.int64), np.zeros(0)
+    met = _met(asking, labels, tracks, lambda lists, asked: [(i, n, *none) for i, n in enumerate(lists.counts(asked))], block)
+    return met.groupBy("request_id").agg(*(F.sum(F.when(F.col("step") == i, F.col("n"))).alias(f"n{i}") for i, *_ in STEPS))
+
+
+def _listed(asking: DataFrame, labels: DataFrame, tracks: DataFrame, block: tuple[int, int]) -> DataFrame:
+    """``request_id, step, best``: in order as many ``(minus, trackid)`` as a request (``asked.wants``) wants of a step, by score and id. A block tells lists, not rows."""
 
-    return blocks.dealt(asking, own, block).mapInArrow(searched, "request_id long, trackid long, score double, steps int, counts array<long>")
+    def best(lists: _Block, asked: dict) -> Iterator[tuple]:
+        shares, near = lists.shares(asked), lists.ranges(asked)
+        for want in asked["wants"]:
+            tags, vibes, all_ = _step(asked, want["step"])
+            yield want["step"], want["n"], *lists.best(lists.passing(tags, vibes), shares, near, all_, want["n"])
+
+    met = _met(asking, labels, tracks, best, block)
+    return met.groupBy("request_id", "step").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), F.lit(1), F.max("n").cast("int")).alias("best"))
+
+
+def _wanting(asking: DataFrame, wants: DataFrame) -> DataFrame:
+    """Requests with what they want: ``wants`` is ``request_id, step, n``."""
+    own = wants.groupBy(F.col("request_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("step", "n"))).alias("wants"))
+    return asking.join(own.hint("merge"), "id").select("id", F.col("asked").withField("wants", F.col("wants")).alias("asked"))
 
 
 def _ranked(df: DataFrame, order: list[Column]) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(*order)))
 
 
-def relevance(requests: DataFrame, labels: DataFrame, tracks: DataFrame) -> DataFrame:
+def _rows(df: DataFrame, best: Column, *columns: str) -> DataFrame:
+    """The columns, and ``trackid, score, rank`` of each entry of a list."""
+    return df.select(*columns, F.posexplode(best).alias("at", "x")).select(*columns, "x.trackid", (-F.col("x.minus")).alias("score"), (F.col("at") + 1).alias("rank"))
+
+
+def relevance(requests: DataFrame, labels: DataFrame, tracks: DataFrame, block: tuple[int, int] = BLOCK) -> DataFrame:
     """``request_id, trackid, score, rank``: for each request as many labelled tracks as it asks for, by how well they match all of it.
 
     Tags give up to .45, vibes .35, energy .12 and tempo .08; the sum is 1 at most and has three places; a request for nothing gives .5 to all.
-    No table is joined on terms, so a term that very many tracks have costs no more than others. Requests that ask for the same are answered once.
+    No table is joined on terms, so a term that very many tracks have costs no more than others. Requests that ask for the same, if not as many, are answered once.
     """
     path = scratch_dir(requests.sparkSession)
     with scratch(requests.sparkSession):
         asking, members = blocks.distinct(written(_asked(requests)))
-        best = _met(asking, labels, tracks, _Block.ranked).select("request_id", "trackid", "score")
-        counts = asking.select(F.col("id").alias("request_id"), "asked.track_count")
-        found = _ranked(best, [F.desc("score"), F.col("trackid")]).join(counts, "request_id").where(F.col("rank") <= F.col("track_count")).select("request_id", "trackid", "score", "rank")
-        return written(blocks.told(found, members).select("request_id", "trackid", "score", "rank"), path, keep=True)
+        wants = members.groupBy(F.col("first").alias("request_id")).agg(F.lit(ALL).alias("step"), F.max("track_count").alias("n"))
+        lists = _listed(_wanting(asking, wants), labels, tracks, block).select(F.col("request_id").alias("first"), "best")
+        told = members.hint("merge").join(lists, "first")
+        return written(_rows(told, F.slice("best", F.lit(1), F.col("track_count")), "request_id").select("request_id", "trackid", "score", "rank"), path, keep=True)
 
 
 def score_detail(found: DataFrame, requests: DataFrame, labels: DataFrame) -> DataFrame:
@@ -226,34 +317,36 @@ def relaxation_search(requests: DataFrame, labels: DataFrame, tracks: DataFrame,
     ``REFERENCES`` tracks that match the request's full lists and ranges and were not found, or, where there are no such vectors (or ``vectors`` is not
     given), the nearest in energy and tempo.
 
-    Requests and tracks meet in pairs of blocks, where terms are lists of tracks; of each step only as many tracks leave a task as are asked for.
-    Requests that ask for the same are answered once.
+    Requests and tracks meet in pairs of blocks, where terms are lists of groups of tracks: first to count who passes each step, then for the best of the steps that
+    count. Requests that ask for the same, if not as many, are answered once: whoever asks for fewer has the first of the others' tracks.
     """
-    order = [F.desc("score"), F.col("trackid")]
     path = scratch_dir(requests.sparkSession)
     with scratch(requests.sparkSession):
         asking, members = blocks.distinct(written(_asked(requests)))
-        met = written(_met(asking, labels, tracks, block=block))
-        sums = met.where("counts is not null").groupBy("request_id").agg(*(F.sum(F.col("counts")[i]).alias(f"n{i}") for i, *_ in STEPS))
-        k = F.col("asked.track_count")
+        sums = written(_counted(asking, labels, tracks, block)).withColumnRenamed("request_id", "first")
+        k, last = F.col("track_count"), F.coalesce(F.col(f"n{LAST}"), F.lit(0))
         step = F.coalesce(*(F.when(F.col(f"n{i}") >= k, i) for i, *_ in STEPS), F.lit(LAST))
-        counted = asking.join(sums, asking["id"] == sums["request_id"], "left").select(F.col("id").alias("request_id"), "asked", step.alias("step"), F.coalesce(F.col(f"n{LAST}"), F.lit(0)).alias("held"))
+        counted = members.hint("merge").join(sums, "first", "left").select("request_id", "first", "track_count", step.alias("step"), last.cast("int").alias("held"))
         plan = written(counted.withColumn("needed", F.when(F.col("step") == LAST, F.greatest(k - F.col("held"), F.lit(0))).otherwise(0).cast("int")))
-        rows = met.where("counts is null").select("request_id", "trackid", "score", "steps").join(plan, "request_id")
-        tagged = _ranked(rows.where(F.expr("(steps & shiftleft(1, step)) != 0")), order).where(F.col("rank") <= k)
-        found = written(tagged.select("request_id", "trackid", "score", "step", "rank"))
-        sparse = plan.where("needed > 0")
+        by_request = plan.groupBy(F.col("first").alias("request_id"))
+        sparse = written(by_request.agg(F.max("needed").alias("needed"), F.max("track_count").alias("track_count")).where("needed > 0").join(asking.withColumnRenamed("id", "request_id").hint("merge"), "request_id"))
+        wants = plan.groupBy(F.col("first").alias("request_id"), "step").agg(F.max("track_count").alias("n")).unionByName(sparse.select("request_id", F.lit(REFERENCE).alias("step"), F.lit(REFERENCES).alias("n")))
+        lists = written(_listed(_wanting(asking, wants), labels, tracks, block))
+        told = plan.hint("merge").join(lists.withColumnRenamed("request_id", "first"), ["first", "step"])
+        answers = [_rows(told, F.slice("best", F.lit(1), F.col("track_count")), "request_id", "step").select("request_id", "trackid", "score", "step", "rank", F.lit(False).alias("inferred"), F.lit(None).cast("string").alias("reason"))]
+        few = lists.join(sparse.select("request_id"), "request_id", "left_semi")
+        found = written(_rows(few.where(F.col("step") == LAST), F.col("best"), "request_id"))
         filled = []
         if vectors is not None:
-            references = rows.where(f"needed > 0 and (steps & {1 << REFERENCE}) != 0").select("request_id", "trackid", "score")
+            references = _rows(few.where(F.col("step") == REFERENCE), F.col("best"), "request_id")
             centres = written(_centres(references, found, vectors, vector))
             filled.append(infer_by_centroid(centres, found, sparse, vectors, vector))
             sparse = sparse.join(centres, "request_id", "left_anti")
         filled.append(infer_by_features(found, sparse, labels, tracks))
-        said = [x.join(plan.select("request_id", "held"), "request_id").select("request_id", "trackid", "score", F.lit(LAST).alias("step"), (F.col("rank") + F.col("held")).cast("int").alias("rank"), F.lit(True).alias("inferred"), "reason") for x in filled]
-        whole = found.select("*", F.lit(False).alias("inferred"), F.lit(None).cast("string").alias("reason"))
-        answers = reduce(DataFrame.unionByName, said, whole)
-        return written(blocks.told(answers, members).select(*answers.columns), path, keep=True)
+        for x in filled:
+            more = plan.where("needed > 0").join(x.select(F.col("request_id").alias("first"), "trackid", "score", F.col("rank").alias("nth"), "reason"), "first").where("nth <= needed")
+            answers.append(more.select("request_id", "trackid", "score", F.lit(LAST).alias("step"), (F.col("nth") + F.col("held")).cast("int").alias("rank"), F.lit(True).alias("inferred"), "reason"))
+        return written(reduce(DataFrame.unionByName, answers), path, keep=True)
 
 
 def _centres(references: DataFrame, found: DataFrame, vectors: DataFrame, vector: str) -> DataFrame:
@@ -267,7 +360,7 @@ def _centres(references: DataFrame, found: DataFrame, vectors: DataFrame, vector
 def infer_by_centroid(centres: DataFrame, found: DataFrame, sparse: DataFrame, vectors: DataFrame, vector: str = "feat") -> DataFrame:
     """``request_id, trackid, score, rank, reason``: the tracks nearest to a request's centre (``request_id, unit``), but for those found; as many as
     ``sparse`` says are ``needed``. What was found and what is needed make up the count asked for, so that many neighbours are enough."""
-    most = sparse.agg(F.coalesce(F.max("asked.track_count"), F.lit(1))).first()[0]
+    most = sparse.agg(F.coalesce(F.max("track_count"), F.lit(1))).first()[0]
     units = unit_vectors(vectors, vector)
     near = nearest(centres.select(F.col("request_id").alias("seed"), "unit"), units.select(F.col("trackid").alias("neighbour"), "unit"), most, NEAR, same=True)
     sims = near.select(F.col("seed").alias("request_id"), F.col("neighbour").alias("trackid"), "sim").join(found.select("request_id", "trackid"), ["request_id", "trackid"], "left_anti")
@@ -281,7 +374,7 @@ def infer_by_features(found: DataFrame, sparse: DataFrame, labels: DataFrame, tr
     Tracks of one energy and tempo score alike, so each such cell keeps only as many of its smallest ids as the largest request asks for;
     cells meet the distinct targets in pairs of blocks, not tracks the requests.
     """
-    wanted = sparse.select("request_id", "needed", "asked.track_count", *((F.col(f"asked.{c}_low") + F.col(f"asked.{c}_high")).alias(c) for c in ("energy", "bpm")))
+    wanted = sparse.select("request_id", "needed", "track_count", *((F.col(f"asked.{c}_low") + F.col(f"asked.{c}_high")).alias(c) for c in ("energy", "bpm")))
     wanted = wanted.withColumns({"energy": F.col("energy") / 2, "bpm": F.col("bpm") / 2}).withColumn("target", F.xxhash64("energy", "bpm"))
     most = wanted.agg(F.coalesce(F.max("track_count"), F.lit(0))).first()[0]
     if not most:
