@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -28,7 +29,7 @@ BLOCK = 1 << 18, 1 << 19
 class _Terms:
     """Which groups of tracks have a term, as written and in small letters; the latter with how often."""
 
-    def __init__(self, own: list[tuple[str, ...]]) -> None:
+    def __init__(self, own: list[list[str]]) -> None:
         exact: dict[str, list[int]] = {}
         lower: dict[str, list[int]] = {}
         for i, terms in enumerate(own):
@@ -101,11 +102,11 @@ class _Block:
     """
 
     def __init__(self, rows: list[pa.RecordBatch]) -> None:
-        groups: dict[tuple, int] = {}
+        groups: dict[str, int] = {}
         of, ids, energy, bpm = [], [], [], []
         for batch in rows:
-            tags, vibes, e, b = batch.column("own").flatten()
-            of.append(np.array([groups.setdefault((tuple(t or ()), tuple(v or ())), len(groups)) for t, v in zip(tags.to_pylist(), vibes.to_pylist(), strict=True)]))
+            terms, e, b = batch.column("own").flatten()
+            of.append(np.array([groups.setdefault(t, len(groups)) for t in terms.to_pylist()]))
             ids.append(batch.column("id").to_numpy())
             energy.append(e.to_numpy(zero_copy_only=False).astype(float))
             bpm.append(b.to_numpy(zero_copy_only=False).astype(float))
@@ -113,7 +114,8 @@ class _Block:
         order = np.lexsort((id_, group))
         self.ids, self.energy, self.bpm = id_[order], np.concatenate(energy)[order], np.concatenate(bpm)[order]
         self.starts = np.searchsorted(group[order], np.arange(len(groups) + 1))
-        self.tags, self.vibes = (_Terms([g[i] for g in groups]) for i in (0, 1))
+        own = [json.loads(g) for g in groups]
+        self.tags, self.vibes = (_Terms([g.get(c) or () for g in own]) for c in ("tags", "vibes"))
         self.kept: dict[tuple, _Ranges] = {}
 
     def ranges(self, asked: dict) -> _Ranges:
@@ -194,6 +196,13 @@ class _Block:
         return self.ids[places[order]], score[order]
 
 
+def _asked_for(text: str) -> dict:
+    """What is asked, out of JSON, where nulls are left out and numbers that are not finite are text."""
+    asked = json.loads(text)
+    asked |= {c: {x["term"]: float(x["score"]) for x in asked.get(c) or () if x.get("score") is not None} for c in ("tags", "vibes")}
+    return asked | {c: None if asked.get(c) is None else float(asked[c]) for c in RANGES}
+
+
 def _step(asked: dict, step: int) -> tuple[tuple[str, ...], tuple[str, ...], bool]:
     """The tags and vibes of which a step wants one each, and whether it drops the ranges. References have the full lists, and there is a step that all tracks pass."""
     if step == ALL:
@@ -217,7 +226,8 @@ def _asked(requests: DataFrame) -> DataFrame:
 
 def _met(asking: DataFrame, labels: DataFrame, tracks: DataFrame, visit: Callable[[_Block, dict], Iterator[tuple]], block: tuple[int, int]) -> DataFrame:
     """``request_id, step, n, best``: what a visit of each request to each block of tracks tells of a step: a number, and tracks in order as ids and scores (``minus`` is a score's negative)."""
-    own = labels.join(tracks.select("trackid", "bpm"), "trackid", "left").select(F.col("trackid").alias("id"), F.struct(F.col("semantic_tags").alias("tags"), F.col("vibe").alias("vibes"), (F.col("energy").cast("double") / 10).alias("energy"), F.col("bpm").cast("double").alias("bpm")).alias("own"))
+    terms = F.to_json(F.struct(F.col("semantic_tags").alias("tags"), F.col("vibe").alias("vibes"))).alias("terms")  # one column is much faster to hand over than nested ones
+    own = labels.join(tracks.select("trackid", "bpm"), "trackid", "left").select(F.col("trackid").alias("id"), F.struct(terms, (F.col("energy").cast("double") / 10).alias("energy"), F.col("bpm").cast("double").alias("bpm")).alias("own"))
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, held, lists = None, [], None
@@ -233,15 +243,14 @@ def _met(asking: DataFrame, labels: DataFrame, tracks: DataFrame, visit: Callabl
                 continue
             out: list[tuple] = []
             for id_, asked in zip(rows.column("id").to_pylist(), rows.column("asked").to_pylist(), strict=True):
-                asked |= {c: {x["term"]: x["score"] for x in asked[c] or ()} for c in ("tags", "vibes")}
-                out += [(id_, *x) for x in visit(lists, asked)]
+                out += [(id_, *x) for x in visit(lists, _asked_for(asked))]
             if out:
                 *told, ids, scores = zip(*out, strict=True)
                 ends = np.cumsum([0, *map(len, ids)])
                 best = pa.StructArray.from_arrays([pa.array(-np.concatenate(scores)), pa.array(np.concatenate(ids))], ["minus", "trackid"])
                 yield pa.RecordBatch.from_arrays([*map(pa.array, told, (pa.int64(), pa.int32(), pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), best)], names=["request_id", "step", "n", "best"])
 
-    return blocks.dealt(asking, own, block, whole=True).mapInArrow(searched, "request_id long, step int, n long, best array<struct<minus:double,trackid:long>>")
+    return blocks.dealt(asking.select("id", F.to_json("asked").alias("asked")), own, block, whole=True).mapInArrow(searched, "request_id long, step int, n long, best array<struct<minus:double,trackid:long>>")
 
 
 def _counted(asking: DataFrame, labels: DataFrame, tracks: DataFrame, block: tuple[int, int]) -> DataFrame:
