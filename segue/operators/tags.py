@@ -90,8 +90,7 @@ def promote_votes(labels: DataFrame, votes: DataFrame, least: float = 2.0) -> Da
 
 def members(labels: DataFrame, vectors: DataFrame, vector: str = "feat") -> DataFrame:
     """``tag, trackid, raw, unit``: each tag's members with a usable vector."""
-    units = unit_vectors(vectors, vector).join(vectors.select("trackid", F.col(vector).alias("raw")), "trackid")
-    return tag_index(labels).join(units, "trackid")
+    return tag_index(labels).join(unit_vectors(vectors, vector, raw=True).hint("merge"), "trackid")
 
 
 def unit_sums(of: DataFrame) -> DataFrame:
@@ -251,7 +250,7 @@ def misfits(of: DataFrame, centroids: DataFrame) -> DataFrame:
     own = of.join(c.withColumnRenamed("other", "tag"), "tag").select("tag", "trackid", F.round(dot(F.col("unit"), F.col("c")), 6).alias("own_sim"))
     units = of.select(F.col("trackid").alias("seed"), "unit").dropDuplicates(["seed"])
     near = nearest(units, c.select(F.col("other").alias("neighbour"), F.col("c").alias("unit")), 2, same=True).select(F.col("seed").alias("trackid"), F.col("neighbour").alias("other"), "sim")
-    pairs = own.join(near, "trackid").where((F.col("other") != F.col("tag")) & (F.col("sim") > F.col("own_sim")))
+    pairs = own.join(near.hint("merge"), "trackid").where((F.col("other") != F.col("tag")) & (F.col("sim") > F.col("own_sim")))
     return latest(pairs, ["tag", "trackid"], [F.desc("sim"), F.col("other")]).withColumn("margin", F.round(F.col("sim") - F.col("own_sim"), 6))
 
 

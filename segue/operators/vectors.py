@@ -15,11 +15,11 @@ from segue.functions.scores import bpm_factor, norm, unit
 from segue.operators import blocks
 
 
-def unit_vectors(df: DataFrame, vector: str = "embedding", key: str = "trackid") -> DataFrame:
-    """``key, unit`` of the usable vectors: present, finite and not all zero."""
+def unit_vectors(df: DataFrame, vector: str = "embedding", key: str = "trackid", raw: bool = False) -> DataFrame:
+    """``key, unit`` of the usable vectors: present, finite and not all zero; with ``raw`` the vector as well."""
     v = F.col(vector)
     sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return df.where(F.coalesce(sound, F.lit(False))).where(norm(v) > 0).select(key, unit(v).alias("unit"))
+    return df.where(F.coalesce(sound, F.lit(False))).where(norm(v) > 0).select(key, *([v.alias("raw")] if raw else []), unit(v).alias("unit"))
 
 
 def knn(df: DataFrame, k: int, seeds: DataFrame | None = None, vector: str = "embedding", threshold: float | None = None, block: int = 65536) -> DataFrame:
