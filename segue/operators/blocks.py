@@ -22,7 +22,7 @@ def distinct(asking: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def told(answers: DataFrame, members: DataFrame) -> DataFrame:
     """The answers to the first of equal requests, for each of them."""
-    return members.join(answers.withColumnRenamed("request_id", "first"), "first").drop("first")
+    return members.hint("merge").join(answers.withColumnRenamed("request_id", "first"), "first").drop("first")
 
 
 def sides(asking: DataFrame, own: DataFrame, most: tuple[int, int], least: int = 256, whole: bool = False) -> tuple[int, int, int]:

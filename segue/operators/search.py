@@ -66,23 +66,13 @@ def _near(value: np.ndarray, low: float, high: float, least: float, weight: floa
     return np.nan_to_num(np.maximum(0.0, 1 - np.abs(value - (low + high) / 2) / max(high - low, least)) * weight)
 
 
-def _rounded(score: np.ndarray) -> np.ndarray:
-    """1 at most, three places, in place."""
-    np.minimum(1.0, score, out=score)
-    score *= 1000
-    score += 0.5
-    np.floor(score, out=score)
-    score /= 1000
-    return score
-
-
 class _Ranges:
     """What a request's ranges give each track of a block, which tracks lie in them (none: all do), and of each group how many do and the most that one gets; the same of all its tracks."""
 
     def __init__(self, block: _Block, energy: tuple | None, bpm: tuple | None) -> None:
         self.parts, self.fits = [], None
         if energy:
-            self.parts.append(_near(block.energy, *energy, 0.1, 0.12))
+            self.parts.append(block.nearness(*energy))
             self.fits = (block.energy >= energy[0]) & (block.energy <= energy[1])
         if bpm:
             self.parts.append(_near(block.bpm, *bpm, 10.0, 0.08))
@@ -113,14 +103,19 @@ class _Block:
         group, id_ = np.concatenate(of), np.concatenate(ids)
         order = np.lexsort((id_, group))
         self.ids, self.energy, self.bpm = id_[order], np.concatenate(energy)[order], np.concatenate(bpm)[order]
+        self.order = order  # which row lies at each place
         self.starts = np.searchsorted(group[order], np.arange(len(groups) + 1))
         own = [json.loads(g) for g in groups]
         self.tags, self.vibes = (_Terms([g.get(c) or () for g in own]) for c in ("tags", "vibes"))
         self.kept: dict[tuple, _Ranges] = {}
 
+    def nearness(self, low: float, high: float) -> np.ndarray:
+        """What a range of energy gives each track."""
+        return _near(self.energy, low, high, 0.1, 0.12)
+
     def ranges(self, asked: dict) -> _Ranges:
         """Requests share few ranges, of which some are kept."""
-        key = tuple((low, high) if low is not None and high is not None else None for low, high in ((asked[f"{c}_low"], asked[f"{c}_high"]) for c in ("energy", "bpm")))
+        key = tuple((low, high) if low is not None and high is not None else None for low, high in ((asked.get(f"{c}_low"), asked.get(f"{c}_high")) for c in ("energy", "bpm")))
         if key not in self.kept:
             if len(self.kept) >= 8:
                 self.kept.clear()
@@ -153,6 +148,19 @@ class _Block:
         out = 0.45 * self.tags.share(tags) if tags else np.zeros(self.tags.n)
         return out + 0.35 * self.vibes.share(vibes) if vibes else out
 
+    def rounded(self, score: np.ndarray) -> np.ndarray:
+        """1 at most, three places, in place."""
+        np.minimum(1.0, score, out=score)
+        score *= 1000
+        score += 0.5
+        np.floor(score, out=score)
+        score /= 1000
+        return score
+
+    def least(self, score: float) -> float:
+        """What a group's shares and ranges must add up to, for a track of it to have this score, which is rounded to three places."""
+        return score - 0.0006
+
     def scored(self, groups: np.ndarray, shares: np.ndarray, near: _Ranges, all_: bool) -> tuple[np.ndarray, np.ndarray]:
         """The places of the groups' tracks (but for ``all_`` those in the ranges), and their scores."""
         sizes = self.starts[groups + 1] - self.starts[groups]
@@ -163,7 +171,7 @@ class _Block:
             places, score = places[inside], score[inside]
         for part in near.parts:
             score += part[places]
-        return places, _rounded(score)
+        return places, self.rounded(score)
 
     def best(self, at: np.ndarray | None, shares: np.ndarray, near: _Ranges, all_: bool, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the ``n`` best tracks of the groups, in order. Groups come in the order of the most that a track of theirs may score, until no other can have one as good."""
@@ -177,9 +185,9 @@ class _Block:
         first = np.argpartition(upper, len(at) - n)[len(at) - n :] if len(at) > n else np.arange(len(at))  # these have n tracks at least, if there are as many
         first = first[np.argsort(-upper[first])]
         first = first[: np.searchsorted(np.cumsum(near.sizes[all_][at[first]]), n) + 1]
-        places, score = self.scored(at[first], shares, near, all_)
+        places, score = self.scored(at[first], shares, near, all_)  # of these the best are sure, unless a group that is left out may have better ones
         if len(first) < len(at):
-            rest = upper >= (np.partition(score, len(score) - n)[len(score) - n] - 0.0006 if len(score) >= n else -np.inf)  # scores are rounded to three places
+            rest = upper >= (self.least(np.partition(score, len(score) - n)[len(score) - n]) if len(score) >= n else -np.inf)
             rest[first] = False
             rest = np.flatnonzero(rest)
             if len(rest):
